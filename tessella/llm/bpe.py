@@ -53,6 +53,7 @@ class Codec:
         for t, x in names.items():
             self.automaton.add_word(x, (len(x), t))
         self.automaton.make_automaton()
+        self.cache: dict[str, tuple[str, str, int]] = {}  # of the pieces met lately, for digests
         self.fits: dict[tuple[int, int], bool] = {}
         # The decoder's text and offsets.
         spelled = {i: x for x, i in vocab.items()} | {i: x for x, i in self.special.items()}
@@ -139,13 +140,13 @@ def codec(vocabulary: str) -> Codec:
     """This worker's codec, made once a vocabulary."""
     key = hash(vocabulary)
     if _state.get("key") != key:
-        _state.update(key=key, codec=Codec(vocabulary), cache={})
+        _state.update(key=key, codec=Codec(vocabulary))
     return _state["codec"]
 
 
-def _ids(made: Codec, text: str | None, cache: dict, cache_size: int) -> list[tuple[str, str, int]]:
+def _digested(made: Codec, text: str | None, cache_size: int) -> list[tuple[str, str, int]]:
     """Of each piece: its ids as text, its decoded text, its number of tokens."""
-    pieces = made.splitter(text)
+    pieces, cache = made.splitter(text), made.cache
     out = list(map(cache.get, pieces))
     if None in out:
         for k, got in enumerate(out):
@@ -195,11 +196,10 @@ def bpe_digests(docs: DataFrame, vocabulary: str, *, cache_size: int = 300_000,
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = codec(words.value)
-        cache = _state["cache"]
         for batch in batches:
             rows = []
             for x in batch.column(1).to_pylist():
-                got = _ids(made, x, cache, cache_size)
+                got = _digested(made, x, cache_size)
                 rows.append((sum([g[2] for g in got]), hashlib.sha256(" ".join([g[0] for g in got]).encode()).hexdigest(), hashlib.sha256(" ".join([g[1] for g in got]).encode()).hexdigest()))
             n, ids, texts = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())], names=[key, "n_tokens", "ids_sha256", "decoded_sha256"])
