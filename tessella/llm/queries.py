@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from .bpe import op4_bpe
+from .decontamination import OP10_SQL, op10_decontamination
+from .html_text import op8_html_text
 from .token_counts import op2_token_counts
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_token_counts, op4_bpe)}
+    return {f.__name__: f for f in (op2_token_counts, op4_bpe, op8_html_text, op10_decontamination)}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"op10_decontamination": OP10_SQL}
