@@ -5,11 +5,12 @@ from __future__ import annotations
 from .bpe import op4_bpe
 from .decontamination import OP10_SQL, op10_decontamination
 from .html_text import op8_html_text
+from .neighbours import op3_neighbours
 from .token_counts import op2_token_counts
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_token_counts, op4_bpe, op8_html_text, op10_decontamination)}
+    return {f.__name__: f for f in (op2_token_counts, op3_neighbours, op4_bpe, op8_html_text, op10_decontamination)}
 
 
 def oracle_sql() -> dict:
