@@ -7,10 +7,11 @@ from .decontamination import OP10_SQL, op10_decontamination
 from .html_text import op8_html_text
 from .neighbours import op3_neighbours
 from .token_counts import op2_token_counts
+from .toxicity import op1_toxicity
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_token_counts, op3_neighbours, op4_bpe, op8_html_text, op10_decontamination)}
+    return {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_neighbours, op4_bpe, op8_html_text, op10_decontamination)}
 
 
 def oracle_sql() -> dict:
