@@ -7,13 +7,14 @@ from .decontamination import OP10_SQL, op10_decontamination
 from .html_text import op8_html_text
 from .line_dedup import OP7_SQL, op7_line_dedup
 from .neighbours import op3_neighbours
+from .revisits import OP9_SQL, op9_revisits
 from .token_counts import op2_token_counts
 from .toxicity import op1_toxicity
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_neighbours, op4_bpe, op7_line_dedup, op8_html_text, op10_decontamination)}
+    return {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_neighbours, op4_bpe, op7_line_dedup, op8_html_text, op9_revisits, op10_decontamination)}
 
 
 def oracle_sql() -> dict:
-    return {"op7_line_dedup": OP7_SQL, "op10_decontamination": OP10_SQL}
+    return {"op9_revisits": OP9_SQL, "op7_line_dedup": OP7_SQL, "op10_decontamination": OP10_SQL}
