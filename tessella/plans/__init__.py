@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from . import assembly, cleaning, matching, quality, state, structure  # noqa: F401
+from .registry import QUERIES, SQL
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
