@@ -1 +1,187 @@
-"""Queries."""
+"""Queries of quality, validation and tables inside texts."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tessella import sources as S
+from tessella.functions import text as T
+from tessella.operators import quality as Q
+
+from .cleaning import LINES, NORM, _lines
+from .registry import query
+
+
+def near_pairs(spark, sf_dir):
+    """Documents beside the first one that begins with the same 40 characters."""
+    d = S.table(spark, sf_dir, "documents").select("doc_id", "source", "text").withColumn("head", F.substring("text", 1, 40))
+    first = d.groupBy("head").agg(F.min(F.struct("doc_id", F.col("text").alias("original"))).alias("f")).select("head", F.col("f.doc_id").alias("first_id"), "f.original")
+    return d.join(first, "head").filter("doc_id <> first_id")
+
+
+_PAIRS = "d AS (SELECT doc_id, source, text, substr(text, 1, 40) AS head FROM documents), fi AS (SELECT head, min(doc_id) AS first_id FROM d GROUP BY 1), pr AS (SELECT d.doc_id, d.source, d.text, o.text AS original FROM d JOIN fi USING (head) JOIN documents o ON o.doc_id = fi.first_id WHERE d.doc_id <> fi.first_id)"
+_TERMS = f"list_distinct(list_filter(string_split({NORM.format('original')}, ' '), lambda x: length(x) >= 5 AND NOT regexp_matches(x, '^[0-9]+$')))"
+_FID = f"{_PAIRS}, t0 AS (SELECT doc_id, source, {_TERMS} AS terms, {NORM.format('text')} AS n FROM pr), t1 AS (SELECT doc_id, source, len(terms) AS n_terms, len(list_filter(terms, lambda x: NOT contains(n, x) AND NOT contains(replace(n, ' ', ''), x))) AS gone FROM t0), fid AS (SELECT doc_id, source, n_terms, CASE WHEN n_terms = 0 THEN 1.0 ELSE (n_terms - gone) / n_terms END AS share FROM t1)"
+
+
+def _scores(spark, sf_dir):
+    return Q.fidelity(near_pairs(spark, sf_dir), "original", "text").select("doc_id", "source", "n_terms", "score", "passed")
+
+
+@query(f"WITH {_FID} SELECT doc_id, CAST(n_terms AS INTEGER) AS n_terms, round_even(CAST(share AS DOUBLE), 3) AS score, share >= 0.85 AS passed FROM fid")
+def fidelity(spark, sf_dir):
+    return _scores(spark, sf_dir).drop("source")
+
+
+@query(f"WITH {_FID} SELECT source, round_even(avg(round_even(CAST(share AS DOUBLE), 3)), 3) AS mean_score, avg(round_even(CAST(share AS DOUBLE), 3)) < 0.85 AS warns FROM fid GROUP BY source")
+def fidelity_rollup(spark, sf_dir):
+    return Q.fidelity_rollup(_scores(spark, sf_dir), "source")
+
+
+_COV = f"""b AS (SELECT item_id, 'src' || (item_id % 20) AS source, list_distinct(list_filter(string_split({NORM.format('text')}, ' '), lambda x: length(x) >= 3 AND NOT regexp_matches(x, '^[0-9]+$'))) AS k FROM benchmark),
+c AS (SELECT doc_id, source, {NORM.format('text')} AS n FROM documents), cov AS (SELECT item_id, doc_id, c.source, len(k) = 0 OR len(list_filter(k, lambda x: contains(n, x))) >= greatest(1, (len(k) + 1) // 2) AS covered FROM b JOIN c USING (source))"""
+
+
+def _coverage(spark, sf_dir):
+    b = S.table(spark, sf_dir, "benchmark").select("item_id", F.concat(F.lit("src"), F.col("item_id") % 20).alias("source"), F.col("text").alias("topic"))
+    d = S.table(spark, sf_dir, "documents").select("doc_id", "source", T.normalize_for_matching(F.col("text")).alias("norm"))
+    return d.join(b, "source").select("item_id", "doc_id", "source", Q.coverage(F.col("topic"), F.col("norm")).alias("covered"))
+
+
+@query(f"WITH {_COV} SELECT item_id, doc_id, covered FROM cov")
+def coverage_checklist(spark, sf_dir):
+    return _coverage(spark, sf_dir).drop("source")
+
+
+@query(f"WITH {_COV} SELECT source, count(*) AS topics, count(CASE WHEN covered THEN 1 END) AS covered, round_even(count(CASE WHEN covered THEN 1 END) / count(*) * 100, 1) AS percent FROM cov GROUP BY 1")
+def coverage_pct(spark, sf_dir):
+    done = F.count(F.when(F.col("covered"), 1))
+    return _coverage(spark, sf_dir).groupBy("source").agg(F.count("*").alias("topics"), done.alias("covered"), F.bround(done / F.count("*") * 100, 1).alias("percent"))
+
+
+def marked_documents(spark, sf_dir):
+    """Documents with some words written as markers."""
+    t = F.col("text")
+    for word, marker in (("the ", "[ECUACION] "), ("of ", "[ECUACION_PARCIAL: x = 1] "), ("que ", "[TEXTO_ILEGIBLE] "), ("der ", "[ECUACION_RECONSTRUIDA: a] "), ("les ", "[FIGURA: b] ")):
+        t = F.replace(t, F.lit(word), F.lit(marker))
+    return S.table(spark, sf_dir, "documents").select("doc_id", t.alias("text"))
+
+
+_MARKED = "k AS (SELECT doc_id, replace(replace(replace(replace(replace(text, 'the ', '[ECUACION] '), 'of ', '[ECUACION_PARCIAL: x = 1] '), 'que ', '[TEXTO_ILEGIBLE] '), 'der ', '[ECUACION_RECONSTRUIDA: a] '), 'les ', '[FIGURA: b] ') AS text FROM documents)"
+_N = r"CAST(len(regexp_extract_all(text, '{}')) AS INTEGER)"
+
+
+@query(f"WITH {_MARKED}, c AS (SELECT doc_id, {_N.format(r'\[ECUACION\]')} AS equation, {_N.format(r'\[ECUACION_PARCIAL:[^\]]*\]')} AS partial, {_N.format(r'\[ECUACION_RECONSTRUIDA:[^\]]*\]')} AS reconstructed, {_N.format(r'\[TEXTO_ILEGIBLE\]')} AS unreadable, {_N.format(r'\[FIGURA:[^\]]*\]')} AS figure FROM k) SELECT *, equation + partial + unreadable AS problems, reconstructed AS review FROM c")
+def count_markers(spark, sf_dir):
+    return Q.count_markers(marked_documents(spark, sf_dir)).drop("text")
+
+
+@query(r"WITH " + _MARKED + r", m AS (SELECT doc_id, 'parcial' AS kind, unnest(regexp_extract_all(text, '\[ECUACION_PARCIAL:\s*([^\]]*)\]', 1)) AS payload FROM k UNION ALL SELECT doc_id, 'reconstruida', unnest(regexp_extract_all(text, '\[ECUACION_RECONSTRUIDA:\s*([^\]]*)\]', 1)) FROM k) SELECT doc_id, kind, payload, count(*) AS n FROM m GROUP BY ALL")
+def equation_markers(spark, sf_dir):
+    return Q.equation_markers(marked_documents(spark, sf_dir), "doc_id").groupBy("doc_id", "kind", "payload").agg(F.count("*").alias("n"))
+
+
+@query("SELECT conv_id, count(*) AS n_items, CAST(sum((CASE WHEN text IS NULL OR trim(text) = '' THEN 1 ELSE 0 END) + (CASE WHEN role IS NULL OR trim(role) = '' THEN 1 ELSE 0 END)) AS BIGINT) AS n_errors, bool_and(text IS NOT NULL AND trim(text) <> '' AND role IS NOT NULL AND trim(role) <> '') AS ok FROM conversations GROUP BY 1")
+def validate_items(spark, sf_dir):
+    return Q.validate_items(S.table(spark, sf_dir, "conversations"), "conv_id", ["text", "role"])
+
+
+def order_table(spark, sf_dir):
+    """A table row for each line item; the last of an order is cut where its part number is odd."""
+    r = S.table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_partkey").alias("part"))
+    cut = F.when(F.col("part") % 2 == 1, F.lit(" |")).otherwise(F.concat(F.lit(" | "), F.col("part"), F.lit(" |")))
+    return r.select("l_orderkey", F.col("l_linenumber").alias("line_no"), F.concat(F.lit("| "), F.col("l_linenumber"), cut).alias("line"), "part")
+
+
+@query("""WITH r AS (SELECT l_orderkey, l_linenumber, max(l_partkey) AS part FROM lineitem GROUP BY ALL), e AS (SELECT l_orderkey, arg_min(CASE WHEN part % 2 = 1 THEN 1 ELSE 2 END, l_linenumber) AS width, arg_max(CASE WHEN part % 2 = 1 THEN 1 ELSE 2 END, l_linenumber) AS last FROM r GROUP BY 1)
+SELECT l_orderkey, last < width AS truncated FROM e""")
+def detect_truncation(spark, sf_dir):
+    return Q.detect_truncation(order_table(spark, sf_dir), "l_orderkey")
+
+
+@query("SELECT n_nationkey, coalesce(c, 0) AS expected, coalesce(s, 0) AS generated, greatest(0, coalesce(c, 0) - coalesce(s, 0)) AS uncovered FROM (SELECT c_nationkey AS n_nationkey, count(*) AS c FROM customer GROUP BY 1) FULL JOIN (SELECT s_nationkey AS n_nationkey, count(*) AS s FROM supplier GROUP BY 1) USING (n_nationkey)")
+def cardinality_check(spark, sf_dir):
+    return Q.cardinality_check(S.table(spark, sf_dir, "customer").withColumnRenamed("c_nationkey", "n_nationkey"), S.table(spark, sf_dir, "supplier").withColumnRenamed("s_nationkey", "n_nationkey"), "n_nationkey")
+
+
+@query("""WITH p AS (SELECT user_id, event_type, epoch_us(ts) AS x, value AS y FROM events),
+q AS (SELECT user_id, event_type, row_number() OVER w - 1 AS idx, count(*) OVER g AS n, x - lag(x) OVER w AS dx, abs(y - lag(y) OVER w) AS dy, max(x) OVER g - min(x) OVER g AS xs0, max(y) OVER g - min(y) OVER g AS ys0 FROM p WINDOW w AS (PARTITION BY user_id, event_type ORDER BY x), g AS (PARTITION BY user_id, event_type)),
+s AS (SELECT *, CASE WHEN xs0 = 0 THEN 1.0 ELSE CAST(xs0 AS DOUBLE) END AS xs, CASE WHEN ys0 = 0 THEN 1.0 ELSE ys0 END AS ys, CASE WHEN dx > 0 THEN dy / dx END AS slope FROM q),
+b AS (SELECT *, lag(slope) OVER (PARTITION BY user_id, event_type ORDER BY idx) AS before FROM s),
+f AS (SELECT *, CASE WHEN dx <= 0.02 * xs AND dy >= 0.6 * ys THEN 'vertical' WHEN idx >= 2 AND dx > 0 AND dy > greatest(80.0, 0.28 * ys) AND slope > 6.0 * greatest(coalesce(before, 0.0), 0.5) AND dy > 0.12 * ys THEN 'slope' END AS rule FROM b WHERE n >= 3)
+SELECT user_id, event_type, CAST(min(idx) AS INTEGER) AS idx, arg_min(rule, idx) AS rule FROM f WHERE rule IS NOT NULL GROUP BY ALL""")
+def curve_jumps(spark, sf_dir):
+    e = S.table(spark, sf_dir, "events").select("user_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("x"), F.col("value").alias("y"))
+    return Q.curve_jumps(e, ["user_id", "event_type"], near=0.02, high=0.6)
+
+
+@query(r"""SELECT page_id, array_to_string(list_filter([CASE WHEN len(regexp_extract_all(lower(html), '<script[ >]')) <> len(regexp_extract_all(lower(html), '</script>')) THEN 'script_open' END, CASE WHEN NOT regexp_matches(lower(html), '<(canvas|svg)') THEN 'no_canvas' END,
+ CASE WHEN NOT contains(lower(html), 'addeventlistener') THEN 'no_listener' END, CASE WHEN regexp_matches(html, '\b(NaN|Infinity)\b') THEN 'not_a_number' END, CASE WHEN NOT contains(lower(html), '</body>') THEN 'unclosed_body' END], lambda x: x IS NOT NULL), ',') AS broken FROM pages""")
+def fragment_rules(spark, sf_dir):
+    return S.table(spark, sf_dir, "pages").select("page_id", Q.fragment_rules(F.col("html")).alias("broken"))
+
+
+@query("""WITH r AS (SELECT p_type, avg(p_retailprice) * 0.9 AS low, avg(p_retailprice) * 1.1 AS high FROM part GROUP BY 1)
+SELECT p_type, count(CASE WHEN p_retailprice < low OR p_retailprice > high THEN 1 END) AS outside, count(*) AS n, 'both' AS known FROM part JOIN r USING (p_type) GROUP BY 1""")
+def range_conformance(spark, sf_dir):
+    p = S.table(spark, sf_dir, "part").select("p_type", F.col("p_retailprice").alias("value"))
+    ranges = p.groupBy("p_type").agg((F.avg("value") * 0.9).alias("low"), (F.avg("value") * 1.1).alias("high"))
+    return Q.range_conformance(ranges, p, "p_type")
+
+
+@query("WITH t AS (SELECT conv_id, turn, text, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS next FROM conversations) SELECT conv_id, turn, round_even(levenshtein(a, b) / greatest(length(a), length(b), 1) * 100, 1) AS percent FROM (SELECT conv_id, turn, text, next, " + NORM.format("text") + " AS a, " + NORM.format("next") + " AS b FROM t) WHERE text IS NOT NULL AND next IS NOT NULL")
+def edit_percentage(spark, sf_dir):
+    from pyspark.sql.window import Window as W
+
+    c = S.table(spark, sf_dir, "conversations").withColumn("next", F.lead("text").over(W.partitionBy("conv_id").orderBy("turn")))
+    return c.filter("text is not null and next is not null").select("conv_id", "turn", Q.edit_percentage(T.normalize_for_matching(F.col("text")), T.normalize_for_matching(F.col("next"))).alias("percent"))
+
+
+@query("""WITH l AS (SELECT l_orderkey, l_linenumber, sum(l_quantity) AS h FROM lineitem GROUP BY ALL), s AS (SELECT *, sum(h) OVER (PARTITION BY l_orderkey) AS total, count(*) OVER (PARTITION BY l_orderkey) AS n FROM l),
+r AS (SELECT *, round_even(CASE WHEN total = 0 THEN 40.0 / n ELSE h * 40.0 / total END * 2, 0) / 2 AS new FROM s), q AS (SELECT *, 40.0 - sum(new) OVER (PARTITION BY l_orderkey) AS rest, row_number() OVER (PARTITION BY l_orderkey ORDER BY new DESC, l_linenumber) AS f FROM r)
+SELECT l_orderkey, l_linenumber, CAST(CASE WHEN abs(total - 40.0) > 0.01 THEN new + CASE WHEN f = 1 THEN rest ELSE 0 END ELSE h END AS DOUBLE) AS new_hours FROM q""")
+def normalize_hours(spark, sf_dir):
+    t = S.table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.sum("l_quantity").alias("h"))
+    return Q.normalize_hours(t, "l_orderkey", "h", ["l_linenumber"], total=40.0).select("l_orderkey", "l_linenumber", "new_hours")
+
+
+def _rendered(spark, sf_dir):
+    """Each customer's orders as blocks with their items as topics."""
+    o = S.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc"), F.col("o_orderkey").cast("int").alias("no"), F.col("o_orderpriority").alias("name"), (F.floor("o_totalprice") / 2).alias("hours"))
+    t = S.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").cast("int").alias("no"), F.col("l_linenumber").alias("ord")).agg(F.max("l_partkey").alias("part"))
+    topics = t.join(o.select("doc", "no"), "no").select("doc", "no", "ord", F.concat(F.lit("Pieza "), F.col("part")).alias("name"), F.concat(F.lit("p. "), F.col("ord")).alias("evidence"), F.lit("Guía docente").alias("origin"))
+    return Q.blocks_to_markdown(o, topics, "doc")
+
+
+def _parsed(spark, sf_dir):
+    return Q.markdown_to_blocks(S.lines_of(_rendered(spark, sf_dir), "doc", text="markdown"), "doc")
+
+
+@query("SELECT o_custkey AS doc, CAST(o_orderkey AS INTEGER) AS no, o_orderpriority AS name, floor(o_totalprice) / 2 AS hours FROM orders")
+def blocks_to_markdown(spark, sf_dir):
+    return _parsed(spark, sf_dir)[0]
+
+
+@query("""WITH l AS (SELECT l_orderkey, l_linenumber, max(l_partkey) AS part FROM lineitem GROUP BY ALL)
+SELECT o_custkey AS doc, CAST(o_orderkey AS INTEGER) AS no, CAST(row_number() OVER (PARTITION BY o_orderkey ORDER BY l_linenumber) AS INTEGER) AS ord, 'Pieza ' || part AS name, 'p. ' || l_linenumber AS evidence, 'Guía docente' AS origin FROM l JOIN orders ON l_orderkey = o_orderkey""")
+def markdown_to_blocks(spark, sf_dir):
+    return _parsed(spark, sf_dir)[1]
+
+
+@query("""WITH l AS (SELECT l_orderkey, l_linenumber, max(l_partkey) AS part FROM lineitem GROUP BY ALL), r AS (SELECT *, '| ' || l_linenumber || ' | ' || part || '\\|x |' AS line, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS f FROM l)
+SELECT l_orderkey, md5(string_agg(CASE WHEN f = 1 THEN line || chr(10) || '|---|---|' ELSE line END, chr(10) ORDER BY l_linenumber)) AS markdown_md5 FROM r GROUP BY 1""")
+def cells_to_markdown_table(spark, sf_dir):
+    r = S.table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_partkey").alias("part"))
+    cells = r.select("l_orderkey", F.col("l_linenumber").alias("row"), F.posexplode(F.array(F.col("l_linenumber").cast("string"), F.concat("part", F.lit("|x")))).alias("col", "text"))
+    return Q.cells_to_markdown_table(cells, "l_orderkey").select("l_orderkey", F.md5("markdown").alias("markdown_md5"))
+
+
+@query()
+def extract_equations(spark, sf_dir):
+    d = S.table(spark, sf_dir, "documents").select("doc_id", F.replace("text", F.lit("the "), F.lit("$a_1 = \\frac{b}{c}$ ")).alias("text"))
+    return d.select("doc_id", F.explode(Q.equations(F.col("text"))).alias("equation"))
+
+
+@query()
+def equation_variables(spark, sf_dir):
+    return Q.equation_variables(extract_equations(spark, sf_dir).select(F.concat_ws(":", "doc_id", "equation").alias("of"), "equation"), "of", "equation")
