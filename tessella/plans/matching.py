@@ -1 +1,120 @@
-"""Queries."""
+"""Queries of matching. Parts stand for topics and materials, brands and nations for what they are matched within."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tessella import sources as S
+from tessella.operators import matching as M
+
+from .registry import query
+
+_TOK = "list_distinct(list_filter(string_split(trim(regexp_replace(lower(strip_accents(p_name)), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: length(x) >= 3))"
+
+
+def _names(spark, sf_dir, id_):
+    """The different names of each brand, numbered by their smallest part."""
+    return S.table(spark, sf_dir, "part").groupBy("p_brand", F.col("p_name").alias(f"{id_}_name")).agg(F.min("p_partkey").alias(id_))
+
+
+_PAIRS = f"""n AS (SELECT p_brand, p_name, min(p_partkey) AS id, {_TOK} AS t FROM part GROUP BY ALL), e AS (SELECT p_brand, id, len(t) AS n, unnest(t) AS token FROM n),
+pairs AS (SELECT x.p_brand, x.id AS a, y.id AS b, count(*) / greatest(1, least(x.n, y.n)) AS overlap FROM e x JOIN e y ON x.p_brand = y.p_brand AND x.token = y.token WHERE x.id < y.id GROUP BY x.p_brand, x.id, y.id, x.n, y.n)"""
+
+
+@query(f"WITH {_PAIRS} SELECT * FROM pairs")
+def token_overlap_pairs(spark, sf_dir):
+    return M.token_overlap_pairs(_names(spark, sf_dir, "a"), _names(spark, sf_dir, "b"), "p_brand").filter("a < b")
+
+
+def _store(spark):
+    from tessella.sources import stored
+
+    return stored
+
+
+@query()
+def greedy_one_to_one(spark, sf_dir):
+    return M.greedy_one_to_one(token_overlap_pairs(spark, sf_dir).select("a", "b", F.col("overlap").alias("score")), _store(spark))
+
+
+@query("""WITH n AS (SELECT p_brand, p_name, min(p_partkey) AS id FROM part GROUP BY ALL), s AS (SELECT x.p_brand, x.id AS a, y.id AS b, 1 - levenshtein(x.p_name, y.p_name) / greatest(length(x.p_name), length(y.p_name), 1) AS score FROM n x JOIN n y ON x.p_brand = y.p_brand AND x.id <> y.id)
+SELECT p_brand, a, CASE WHEN max(score) >= 0.35 THEN arg_min(b, (-score, b)) END AS b, round_even(max(score), 6) AS score FROM s GROUP BY ALL""")
+def fuzzy_best_match(spark, sf_dir):
+    right = _names(spark, sf_dir, "b")
+    left = _names(spark, sf_dir, "a")
+    # The name itself is no match for itself.
+    other = left.join(right, "p_brand").filter("a <> b").select("p_brand", "a", "a_name", "b", "b_name")
+    pairs = other.withColumn("group", F.concat_ws(":", "p_brand", "a"))
+    best = M.fuzzy_best_match(pairs.select("group", "a", "a_name").distinct(), pairs.select("group", "b", "b_name"), "group")
+    return best.select(F.element_at(F.split("group", ":"), 1).alias("p_brand"), "a", "b", "score")
+
+
+@query("""WITH t AS (SELECT l_orderkey, l_linenumber, max(l_partkey) AS l_partkey, CASE WHEN max(l_returnflag) = 'N' THEN 'n/a' ELSE max(l_returnflag) END AS evidence FROM lineitem GROUP BY ALL), j AS (SELECT t.*, p_name FROM t JOIN part ON l_partkey = p_partkey),
+f AS (SELECT l_orderkey, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')) AS key, arg_max(p_type, (p_partkey)) AS new FROM (SELECT DISTINCT l_orderkey, p_name, p_type, p_partkey FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_returnflag <> 'A') GROUP BY ALL)
+SELECT j.l_orderkey, l_linenumber, CASE WHEN evidence = 'n/a' THEN new ELSE evidence END AS evidence, CASE WHEN evidence = 'n/a' AND new IS NOT NULL THEN 'Detectado' ELSE 'Propio' END AS origin
+FROM j LEFT JOIN f ON j.l_orderkey = f.l_orderkey AND trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')) = f.key""")
+def enrich_evidence(spark, sf_dir):
+    line = S.table(spark, sf_dir, "lineitem")
+    part = S.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_name").alias("name"), "p_type")
+    flag = F.max("l_returnflag")
+    topics = line.groupBy("l_orderkey", "l_linenumber").agg(F.max("l_partkey").alias("l_partkey"), F.when(flag == "N", "n/a").otherwise(flag).alias("evidence")).join(part, "l_partkey").select("l_orderkey", "l_linenumber", "name", "evidence")
+    found = line.filter("l_returnflag <> 'A'").select("l_orderkey", "l_partkey").distinct().join(part, "l_partkey").select("l_orderkey", "name", F.col("p_type").alias("evidence"), F.col("l_partkey").alias("pos"))
+    return M.enrich_evidence(topics, found, "l_orderkey").drop("name")
+
+
+def _page_headings(spark, sf_dir):
+    p = S.table(spark, sf_dir, "pages")
+    topic = F.regexp_extract("html", r"(?is)<h1>([^<]*)", 1)
+    return p.select("page_id", topic.alias("topic"), F.posexplode(F.regexp_extract_all("html", F.lit(r"(?is)<p>(?:<b>)?([^<.]+)"), 1)).alias("pos", "heading"))
+
+
+@query()
+def score_heading_match(spark, sf_dir):
+    h = _page_headings(spark, sf_dir)
+    return h.select("page_id", "pos", F.bround(M.heading_score(F.col("topic"), F.col("heading"), F.when(F.col("pos") == 0, 1).otherwise(3)), 6).alias("score"))
+
+
+@query()
+def monotone_anchors(spark, sf_dir):
+    s = score_heading_match(spark, sf_dir)
+    twice = s.select("page_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("ord"), "pos", "score")
+    return M.monotone_anchors(twice, "page_id", least=0.2)
+
+
+@query(r"""WITH f AS (SELECT c_nationkey, CAST(regexp_extract(c_name, '(\d+)\s*$', 1) AS BIGINT) % 100 AS no, min(c_custkey) AS file FROM customer GROUP BY ALL), b AS (SELECT s_nationkey, s_suppkey AS block, s_suppkey % 100 AS no FROM supplier)
+SELECT s_nationkey AS n_nationkey, block, file FROM b LEFT JOIN f ON s_nationkey = c_nationkey AND b.no = f.no""")
+def match_by_number(spark, sf_dir):
+    no = F.regexp_extract("c_name", r"(\d+)\s*$", 1).cast("long") % 100
+    files = S.table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("n_nationkey"), F.col("c_custkey").alias("file"), F.concat(F.lit("tema "), no).alias("stem"))
+    blocks = S.table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("n_nationkey"), F.col("s_suppkey").alias("block"), F.concat(F.lit("Bloque "), F.col("s_suppkey") % 100).alias("label"))
+    return M.match_by_number(blocks, files, "n_nationkey")
+
+
+@query(r"""WITH u AS (SELECT conv_id, string_agg(text, ' ' ORDER BY turn) AS text FROM conversations WHERE role = 'user' GROUP BY 1), o AS (SELECT conv_id, turn AS pos, text AS option FROM conversations WHERE role <> 'user'),
+m AS (SELECT conv_id, pos, option, contains(lower(text), lower(option)) OR len(list_filter(regexp_split_to_array(lower(option), '\s+'), lambda w: length(w) > 6 AND contains(lower(text), w))) > 0 AS met FROM u JOIN o USING (conv_id))
+SELECT conv_id, md5(coalesce(arg_max(option, (length(option), -pos)) FILTER (met), arg_min(option, pos))) AS anchor_md5 FROM m GROUP BY 1""")
+def suggest_anchor(spark, sf_dir):
+    from tessella.operators.structure import ordered
+
+    c = S.table(spark, sf_dir, "conversations")
+    asks = c.filter("role = 'user'").groupBy("conv_id").agg(ordered("turn", "text", " ").alias("text"))
+    options = c.filter("role <> 'user'").select("conv_id", F.col("turn").alias("pos"), F.col("text").alias("option"))
+    return M.suggest_anchor(asks, options, "conv_id", longer=6).select("conv_id", F.md5("anchor").alias("anchor_md5"))
+
+
+@query()
+def place_fragments(spark, sf_dir):
+    from tessella.operators.structure import split_h2_sections
+
+    from .structure import markdown
+
+    s = split_h2_sections(markdown(spark, sf_dir), "doc_id")
+    f = s.select("doc_id", F.col("section_no").alias("fragment"), F.element_at(F.split("body", r"\s+"), 1).alias("title")).filter("title <> ''")
+    return M.place_fragments(f, s, "doc_id")
+
+
+@query("SELECT c_custkey, o_orderkey, c_mktsegment FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')")
+def material_of_block(spark, sf_dir):
+    c = S.table(spark, sf_dir, "customer").filter(F.col("c_mktsegment").isin("BUILDING", "MACHINERY")).select("c_custkey", "c_mktsegment")
+    o = S.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey")
+    return o.join(c, "c_custkey")

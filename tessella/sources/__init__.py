@@ -74,3 +74,19 @@ def table_profile(tables: dict[str, tuple[DataFrame, str | None]]) -> DataFrame:
 def write_outputs(blocks: DataFrame, path: str) -> None:
     """blocks(doc, version, no, text) as Parquet files by document and version."""
     blocks.write.mode("overwrite").partitionBy("doc", "version").parquet(path)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df written as Parquet to the folder in spark.checkpoint.dir and read back: cuts the lineage and survives lost executors.
+    Where that is unset, as in local runs, a temporary folder is made."""
+    import tempfile
+    import uuid
+
+    spark = df.sparkSession
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        where = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        spark.conf.set("spark.checkpoint.dir", where)
+    path = f"{where}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
