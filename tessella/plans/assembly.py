@@ -1 +1,145 @@
-"""Queries."""
+"""Queries of assembly. Documents of a source are the items of one document."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tessella import sources as S
+from tessella.operators import assembly as A
+
+from .cleaning import _lines
+from .quality import marked_documents
+from .registry import query
+from .structure import MD, markdown
+
+_KINDS = ("mixto", "teoria", "procedimiento", "tabla", "ejemplo_resuelto", "ejercicio_propuesto", "resumen")
+_KIND_SQL = "['" + "', '".join(_KINDS) + "'][doc_id % 7 + 1]"
+
+
+def items(spark, sf_dir):
+    d = S.table(spark, sf_dir, "documents")
+    kind = F.element_at(F.array(*map(F.lit, _KINDS)), (F.col("doc_id") % 7 + 1).cast("int"))
+    first = F.element_at(F.split("text", "\n"), 1)
+    return d.select("source", F.col("doc_id").alias("pos"), kind.alias("kind"), F.when(F.length(first) < 40, first).alias("title"), "lang", F.col("text").alias("body"))
+
+
+_META = f"""it AS (SELECT source, doc_id AS pos, {_KIND_SQL} AS kind, CASE WHEN length(string_split(text, chr(10))[1]) < 40 THEN string_split(text, chr(10))[1] END AS title, lang, text AS body FROM documents),
+la AS (SELECT source, lang FROM (SELECT source, lang, count(*) AS n, min(pos) AS f FROM it WHERE lang IS NOT NULL GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY source ORDER BY n DESC, f) = 1),
+me AS (SELECT it.source, CASE WHEN count(DISTINCT kind) > 1 THEN 'mixto' ELSE max(kind) END AS kind, coalesce(arg_min(title, pos) FILTER (title IS NOT NULL), 'No detectado') AS title, CASE WHEN any_value(la.lang) IN ('es', 'en') THEN any_value(la.lang) ELSE 'es' END AS lang FROM it LEFT JOIN la USING (source) GROUP BY 1)"""
+
+
+@query(f"WITH {_META} SELECT * FROM me")
+def doc_metadata(spark, sf_dir):
+    return A.doc_metadata(items(spark, sf_dir), "source")
+
+
+@query(f"WITH {MD} SELECT doc_id, md5(string_agg(CASE WHEN starts_with(line, '## ') THEN '#' || line ELSE line END, chr(10) ORDER BY line_no)) AS text_md5 FROM md WHERE NOT starts_with(line, '# ') GROUP BY 1")
+def clean_item_headings(spark, sf_dir):
+    from tessella.operators.structure import ordered
+
+    return A.clean_item_headings(markdown(spark, sf_dir)).groupBy("doc_id").agg(F.md5(ordered("line_no", "line")).alias("text_md5"))
+
+
+_NAME = "CASE me.lang WHEN 'en' THEN CASE k WHEN 'teoria' THEN 'Theory' WHEN 'ejemplo_resuelto' THEN 'Solved examples' WHEN 'ejercicio_propuesto' THEN 'Practice problems' WHEN 'tabla' THEN 'Reference tables' WHEN 'procedimiento' THEN 'Procedures' ELSE 'Summary' END ELSE CASE k WHEN 'teoria' THEN 'Contenido teórico' WHEN 'ejemplo_resuelto' THEN 'Ejemplos resueltos' WHEN 'ejercicio_propuesto' THEN 'Ejercicios propuestos' WHEN 'tabla' THEN 'Tablas de referencia' WHEN 'procedimiento' THEN 'Procedimientos' ELSE 'Resumen' END END"
+_DOCS = f"""{_META}, bo AS (SELECT source, CASE WHEN kind = 'mixto' THEN 'teoria' ELSE kind END AS k, string_agg(trim(body), chr(10) || chr(10) ORDER BY pos) AS body FROM it WHERE trim(body) <> '' GROUP BY ALL),
+pt AS (SELECT source, list_position(['teoria', 'procedimiento', 'tabla', 'ejemplo_resuelto', 'ejercicio_propuesto', 'resumen'], k) AS place, '## ' || {_NAME} || chr(10) || chr(10) || body AS part FROM bo JOIN me USING (source)),
+wh AS (SELECT source, string_agg(part, chr(10) || chr(10) || '---' || chr(10) ORDER BY place) AS sections FROM pt GROUP BY 1)"""
+
+
+def _assembled(spark, sf_dir):
+    i = items(spark, sf_dir)
+    return A.assemble_sections(i, A.doc_metadata(i, "source"), "source")
+
+
+@query(f"""WITH {_DOCS} SELECT me.source, md5(concat_ws(chr(10) || chr(10), '---' || chr(10) || 'archivo_origen: ' || me.source || chr(10) || 'tipo_documento: ' || kind || chr(10) || 'tema_detectado: ' || title || chr(10) || 'idioma: ' || lang || chr(10) || '---', CASE WHEN title <> 'No detectado' THEN '# ' || title END, sections)) AS markdown_md5 FROM me LEFT JOIN wh USING (source)""")
+def assemble_sections(spark, sf_dir):
+    return _assembled(spark, sf_dir).select("source", F.md5("markdown").alias("markdown_md5"))
+
+
+@query(f"WITH {_META} SELECT source, kind AS tipo_documento, lang AS idioma FROM me")
+def front_matter_fields(spark, sf_dir):
+    d = _assembled(spark, sf_dir)
+    return d.select("source", A.front_matter_field(F.col("markdown"), "tipo_documento").alias("tipo_documento"), A.front_matter_field(F.col("markdown"), "idioma").alias("idioma"))
+
+
+@query(f"WITH {MD}, x AS (SELECT *, sum(CASE WHEN starts_with(line, '## ') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS s FROM md), y AS (SELECT *, max(CASE WHEN NOT starts_with(line, '## ') AND trim(line) NOT IN ('', '---') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, s) AS r FROM x) SELECT doc_id, count(*) AS n_lines FROM y WHERE s = 0 OR r = 1 GROUP BY 1")
+def remove_empty_sections(spark, sf_dir):
+    return A.remove_empty_sections(markdown(spark, sf_dir), "doc_id").groupBy("doc_id").agg(F.count("*").alias("n_lines"))
+
+
+@query("SELECT l_orderkey, CAST(l_linenumber AS INTEGER) AS ord, max(l_returnflag) AS state, 'Pieza ' || max(l_partkey) AS name, CASE WHEN max(l_linestatus) = 'O' THEN '_Pendiente de generar._' ELSE 'Texto ' || max(l_suppkey) END AS body FROM lineitem GROUP BY ALL")
+def delimited_subblocks(spark, sf_dir):
+    g = S.table(spark, sf_dir, "lineitem").groupBy("l_orderkey", F.col("l_linenumber").alias("ord"))
+    parts = g.agg(F.max("l_returnflag").alias("state"), F.concat(F.lit("Pieza "), F.max("l_partkey")).alias("name"), F.when(F.max("l_linestatus") == "O", None).otherwise(F.concat(F.lit("Texto "), F.max("l_suppkey"))).alias("body"))
+    return A.read_subblocks(A.write_subblocks(parts, "l_orderkey"), "l_orderkey").select("l_orderkey", "ord", "state", "name", "body")
+
+
+def _anchors(spark, sf_dir):
+    """The lines of a document as topics; those of more than three words have lost their place."""
+    lines = S.explode_lines(S.table(spark, sf_dir, "documents"), "doc_id")
+    total = S.table(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("length"))
+    return lines.join(total, "doc_id").select("doc_id", F.col("line_no").alias("ord"), F.when(F.size(F.split("line", " ")) <= 3, F.col("start")).alias("start"), "length")
+
+
+@query()
+def interpolate_starts(spark, sf_dir):
+    return A.interpolate_starts(_anchors(spark, sf_dir), "doc_id")
+
+
+@query("SELECT doc_id, CAST(length(text) AS BIGINT) AS covered FROM documents WHERE text IS NOT NULL")
+def split_by_anchors(spark, sf_dir):
+    parts = A.split_by_anchors(A.interpolate_starts(_anchors(spark, sf_dir), "doc_id"), "doc_id")
+    return parts.groupBy("doc_id").agg(F.sum(F.col("end") - F.col("begin")).alias("covered"))
+
+
+@query("SELECT doc_id, md5(substr(text, 1, 10) || '[a]' || substr(text, 11, 20) || '[b]' || '[c]' || substr(text, 31)) AS text_md5 FROM documents WHERE length(text) >= 30 UNION ALL SELECT doc_id, md5(substr(text, 1, 10) || '[a]' || substr(text, 11) || '[b]' || '[c]') FROM documents WHERE length(text) < 30")
+def interleave(spark, sf_dir):
+    d = S.table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", F.col("text").alias("body"))
+    spots = F.array(*[F.struct(F.lit(p).alias("pos"), F.lit(o).alias("offset"), F.lit(t).alias("piece")) for p, o, t in ((0, 10, "[a]"), (1, 30, "[b]"), (2, 5, "[c]"))])
+    pieces = d.select("doc_id", F.explode(spots).alias("s")).select("doc_id", "s.pos", "s.offset", "s.piece")
+    return A.interleave(d, pieces, "doc_id").select("doc_id", F.md5("text").alias("text_md5"))
+
+
+@query()
+def split_oversized(spark, sf_dir):
+    return A.split_oversized(_lines(spark, sf_dir).select("doc_id", F.col("line_no").alias("no"), F.col("line").alias("text")), "doc_id", most=1000)
+
+
+@query()
+def chunk_documents(spark, sf_dir):
+    return A.chunk_documents(_lines(spark, sf_dir), "doc_id")
+
+
+@query("WITH k AS (SELECT doc_id, replace(text, 'les ', '[FIGURA: b] ') AS text FROM documents) SELECT doc_id, 'b' AS figure FROM k WHERE contains(text, '[FIGURA: b]')")
+def extract_figures(spark, sf_dir):
+    return A.extract_figures(marked_documents(spark, sf_dir), "doc_id").select("doc_id", "figure")
+
+
+@query()
+def math_spans(spark, sf_dir):
+    d = S.table(spark, sf_dir, "documents").select("doc_id", F.replace("text", F.lit("the "), F.lit("$$a = b$$ ")).alias("text"))
+    return A.math_spans(d, "doc_id")
+
+
+def guides(spark, sf_dir):
+    """A guide for each region: its nations are blocks, and their customers' segments topics."""
+    n = S.table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    c = S.table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.array_sort(F.collect_set("c_mktsegment")).alias("segments"))
+    part = n.join(c, "n_nationkey").select("n_regionkey", "n_nationkey", F.concat(F.lit("Bloque "), "n_nationkey", F.lit(": "), "n_name", F.lit("\n"), F.array_join("segments", "\n"), F.lit("\n| Clases expositivas | "), "n_nationkey", F.lit(" |")).alias("part"))
+    from tessella.operators.structure import ordered
+
+    whole = part.groupBy("n_regionkey").agg(ordered("n_nationkey", "part").alias("body"))
+    return whole.select("n_regionkey", F.concat(F.lit("Identificación\n1. Contenidos\n"), "body", F.lit("\n2. Evaluación\nBloque 99: fin")).alias("text"))
+
+
+@query("SELECT n_regionkey, count(DISTINCT n_nationkey) AS blocks, count(DISTINCT (n_nationkey, c_mktsegment)) AS segments FROM nation JOIN customer ON n_nationkey = c_nationkey GROUP BY 1")
+def guide_structure(spark, sf_dir):
+    s = A.guide_structure(S.lines_of(guides(spark, sf_dir), "n_regionkey"), "n_regionkey")
+    topic = (F.col("kind") == "topic") & F.col("name").rlike("^[A-Z]+$")
+    names = S.table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), F.lit(True).alias("nation"))
+    return s.join(names, "name", "left").groupBy("n_regionkey").agg(F.count(F.when(F.col("kind") == "block", 1)).alias("blocks"), F.count(F.when(topic & F.col("nation").isNull(), 1)).alias("segments"))
+
+
+@query("SELECT n_regionkey, CAST(min(n_nationkey) AS DOUBLE) AS theory FROM nation JOIN customer ON n_nationkey = c_nationkey GROUP BY 1")
+def extract_hours(spark, sf_dir):
+    return A.extract_hours(S.lines_of(guides(spark, sf_dir), "n_regionkey"), "n_regionkey").select("n_regionkey", "theory")
