@@ -223,3 +223,53 @@ def extract_hours(lines: DataFrame, doc: str) -> DataFrame:
     rows = lines.filter(F.col("line").contains("|") & ~F.col("line").rlike("(?i)total")).withColumn("kind", F.coalesce(*[F.when(F.col("line").rlike(p), k) for k, p in HOURS.items()])).filter("kind is not null").withColumn("number", F.try_element_at(F.array(number), F.lit(1)))
     first = rows.filter("number is not null").groupBy(doc).agg(*[F.min_by("number", F.when(F.col("kind") == k, F.col("line_no"))).alias(k) for k in HOURS])
     return first.na.fill(0.0)
+
+
+def guide_topics_flat(lines: DataFrame, doc: str) -> DataFrame:
+    """doc, ord, name: the topics of all blocks, each key once; documents without a contents section give their numbered lines."""
+    from .structure import numbered_candidates
+
+    found = guide_structure(lines, doc).filter("kind = 'topic'").withColumn("key", T.topic_key(F.col("name")))
+    once = found.withColumn("r", F.row_number().over(W.partitionBy(doc, "key").orderBy("block_no", "ord"))).filter("r = 1")
+    flat = once.select(doc, F.row_number().over(W.partitionBy(doc).orderBy("block_no", "ord")).alias("ord"), "name")
+    other = numbered_candidates(lines, doc).join(flat.select(doc).distinct(), doc, "left_anti")
+    return flat.unionByName(other.select(doc, F.row_number().over(W.partitionBy(doc).orderBy("line_no")).alias("ord"), "name"))
+
+
+def hours_from_text(lines: DataFrame, tables: DataFrame, doc: str) -> DataFrame:
+    """tables(doc, theory, seminar, lab) with kinds that are still 0 taken from the first line, outside tables, that names the kind and a number
+    of hours."""
+    cue = r"(?i)(\d+(?:[.,]\d+)?)\s*(?:h\b|horas?\b|hours?\b)"
+    hours = F.regexp_replace(F.regexp_extract("line", cue, 1), ",", ".").try_cast("double")
+    rows = lines.filter(~F.col("line").contains("|") & F.col("line").rlike(cue)).withColumn("hours", hours)
+    first = rows.groupBy(doc).agg(*[F.min_by("hours", F.when(F.col("line").rlike(p), F.col("line_no"))).alias(f"t_{k}") for k, p in HOURS.items()])
+    j = tables.join(first, doc, "full")
+    return j.select(doc, *[F.coalesce(F.when(F.col(k) > 0, F.col(k)), f"t_{k}", F.lit(0.0)).alias(k) for k in HOURS])
+
+
+def variable_glossary(lines: DataFrame, doc: str) -> DataFrame:
+    """doc, symbol, description: from Markdown tables of symbols, before 'donde X es ...' clauses; of several the first."""
+    cells = F.transform(F.split(F.regexp_replace("line", r"^\|\s*|\s*\|$", ""), r"\s*\|\s*"), lambda x: F.trim(x))
+    rows = lines.filter(F.col("line").startswith("|") & ~F.col("line").rlike(r"^\|[\s:|-]+\|$")).withColumn("cells", cells).filter(F.size("cells") >= 2)
+    table = rows.filter(~F.lower(F.element_at("cells", 1)).rlike("^(s[ií]mbolo|symbol|variable)")).select(doc, F.lit(0).alias("from"), "line_no", F.regexp_replace(F.element_at("cells", 1), r"\$", "").alias("symbol"), F.element_at("cells", 2).alias("description"))
+    clause = r"(?i)\b(?:donde|where)\s+\$?([A-Za-z](?:_\w+)?)\$?\s+(?:es|is)\s+([^.,;]+)"
+    where = lines.filter(F.col("line").rlike(clause)).select(doc, F.lit(1).alias("from"), "line_no", F.regexp_extract("line", clause, 1).alias("symbol"), F.trim(F.regexp_extract("line", clause, 2)).alias("description"))
+    best = table.unionByName(where).filter("symbol <> '' and description <> ''").withColumn("r", F.row_number().over(W.partitionBy(doc, "symbol").orderBy("from", "line_no"))).filter("r = 1")
+    return best.select(doc, "symbol", "description")
+
+
+def place_equations(elements: DataFrame, sections: DataFrame, doc: str) -> DataFrame:
+    """elements(doc, element, heading, expression), sections(doc, section_no, title, body) -> doc, element, section_no: the section that holds the
+    expression, one with the element's heading first; else the last."""
+    s = sections.select(doc, "section_no", F.lower("title").alias("t"), "body")
+    j = elements.join(s, doc).withColumn("has", F.col("body").contains(F.col("expression"))).withColumn("named", F.col("has") & (F.col("t") == F.lower(F.coalesce("heading", F.lit("")))))
+    place = F.when(F.col("has"), F.col("section_no")).otherwise(-F.col("section_no"))
+    return j.withColumn("r", F.row_number().over(W.partitionBy(doc, "element").orderBy(F.desc("has"), F.desc("named"), place))).filter("r = 1").select(doc, "element", "section_no")
+
+
+def assemble_multiple(docs: DataFrame, group: str, order: str, name: str, text: str = "markdown") -> DataFrame:
+    """group, markdown: documents in order under one front matter, the first one's, with '## name' before each further one."""
+    by = W.partitionBy(group).orderBy(order)
+    first = F.row_number().over(by) == 1
+    part = F.when(first, F.col(text)).otherwise(F.concat(F.lit("## "), F.col(name), F.lit("\n\n"), without_front_matter(F.col(text))))
+    return docs.withColumn("__part", part).groupBy(group).agg(ordered(order, "__part", "\n\n---\n\n").alias("markdown"))

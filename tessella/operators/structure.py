@@ -248,3 +248,25 @@ def combine_history(turns: DataFrame, conversation: str, order: str, text: str)
     got = turns.groupBy(conversation).agg(F.array_sort(F.collect_list(F.struct(order, text))).alias("t"))
     earlier = F.transform(F.slice("t", 1, F.size("t") - 1), lambda s: F.concat(F.lit("- "), s[text]))
     return got.select(conversation, F.array_join(F.concat(earlier, F.array(F.concat(F.lit("PRIORIDAD: "), F.element_at("t", -1)[text]))), "\n").alias("instruction"))
+
+
+def index_page_topics(lines: DataFrame, doc: str, *, keyword: str = r"(?i)^(?:[ií]ndice|contenidos?|index|outline)\b", least: int = 2) -> DataFrame:
+    """lines(doc, page, line_no, is_title, line) -> doc, page, ord, name: of the first page whose first title is an index keyword, the valid
+    topics in the lines below it, if there are enough."""
+    first = lines.filter("is_title").groupBy(doc, "page").agg(F.min("line_no").alias("at"), F.min_by("line", "line_no").alias("title")).filter(F.col("title").rlike(keyword))
+    below = lines.join(first.select(doc, "page", "at"), [doc, "page"]).filter((F.col("line_no") > F.col("at")) & valid_topic(F.col("line"))).withColumn("key", T.topic_key(F.col("line")))
+    once = below.withColumn("r", F.row_number().over(W.partitionBy(doc, "page", "key").orderBy("line_no"))).filter("r = 1").withColumn("n", F.count("*").over(W.partitionBy(doc, "page"))).filter(F.col("n") >= least)
+    page = once.groupBy(doc).agg(F.min("page").alias("page"))
+    return once.join(page, [doc, "page"]).select(doc, "page", F.row_number().over(W.partitionBy(doc).orderBy("line_no")).alias("ord"), F.col("line").alias("name"))
+
+
+def visual_titles(words: DataFrame, doc: str) -> DataFrame:
+    """doc, status, n_titles: titles found by their style, each key once and without noise; documents without styled words, without titles, or
+    with them are sin_metadatos, sin_titulos and ok."""
+    text = group_words_into_lines(words, doc)
+    titles = text.join(heading_prefix(words, doc), [doc, "page", "y"]).filter(valid_topic(F.col("line")) & ~F.col("line").rlike(r"^[a-záéíóúñ]") & (F.size(F.split("line", " ")) <= 12)).withColumn("key", T.topic_key(F.col("line")))
+    counts = titles.groupBy(doc).agg(F.count_distinct("key").alias("n_titles"))
+    styled = words.groupBy(doc).agg(F.count(F.when(F.col("size").isNotNull(), 1)).alias("styled"))
+    both = styled.join(counts, doc, "left")
+    status = F.when(F.col("styled") == 0, "sin_metadatos").when(F.col("n_titles").isNull(), "sin_titulos").otherwise("ok")
+    return both.select(doc, status.alias("status"), F.coalesce("n_titles", F.lit(0)).alias("n_titles"))

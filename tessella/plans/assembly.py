@@ -143,3 +143,50 @@ def guide_structure(spark, sf_dir):
 @query("SELECT n_regionkey, CAST(min(n_nationkey) AS DOUBLE) AS theory FROM nation JOIN customer ON n_nationkey = c_nationkey GROUP BY 1")
 def extract_hours(spark, sf_dir):
     return A.extract_hours(S.lines_of(guides(spark, sf_dir), "n_regionkey"), "n_regionkey").select("n_regionkey", "theory")
+
+
+@query("SELECT n_regionkey, count(DISTINCT c_mktsegment) AS topics FROM nation JOIN customer ON n_nationkey = c_nationkey GROUP BY 1")
+def guide_topics_flat(spark, sf_dir):
+    t = A.guide_topics_flat(S.lines_of(guides(spark, sf_dir), "n_regionkey"), "n_regionkey")
+    segments = S.table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("name")).distinct()
+    return t.join(segments, "name", "left_semi").groupBy("n_regionkey").agg(F.count("*").alias("topics"))
+
+
+@query("SELECT c_nationkey, CAST(min(c_custkey) % 50 + 1 AS DOUBLE) AS theory, CAST(0 AS DOUBLE) AS seminar, CAST(min(c_custkey) % 7 AS DOUBLE) AS lab FROM customer GROUP BY 1")
+def extract_hours_freetext(spark, sf_dir):
+    c = S.table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.min("c_custkey").alias("k"))
+    text = F.concat(F.lit("Las clases expositivas ocupan "), F.col("k") % 50 + 1, F.lit(" horas\n| Laboratorio | "), F.col("k") % 7, F.lit(" |\nsin dato"))
+    lines = S.lines_of(c.select("c_nationkey", text.alias("text")), "c_nationkey")
+    return A.hours_from_text(lines, A.extract_hours(lines, "c_nationkey"), "c_nationkey")
+
+
+@query("SELECT p_brand, 'p_' || p_size AS symbol, arg_min(p_name, p_partkey) AS description FROM part GROUP BY ALL")
+def variable_glossary(spark, sf_dir):
+    p = S.table(spark, sf_dir, "part").select("p_brand", F.col("p_partkey").alias("line_no"), F.concat(F.lit("| $p_"), "p_size", F.lit("$ | "), "p_name", F.lit(" |")).alias("line"))
+    return A.variable_glossary(p, "p_brand")
+
+
+@query(f"WITH {MD}, x AS (SELECT doc_id, sum(CASE WHEN starts_with(line, '## ') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS section_no FROM md) SELECT doc_id, CAST(max(section_no) AS BIGINT) AS last FROM x GROUP BY 1")
+def place_equations(spark, sf_dir):
+    from tessella.operators.structure import split_h2_sections
+
+    s = split_h2_sections(markdown(spark, sf_dir), "doc_id")
+    e = S.table(spark, sf_dir, "documents").select("doc_id", F.lit(0).alias("element"), F.lit(None).cast("string").alias("heading"), F.lit("$none$").alias("expression"))
+    return A.place_equations(e, s, "doc_id").select("doc_id", F.col("section_no").alias("last"))
+
+
+@query("""WITH d AS (SELECT source, doc_id, text, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents WHERE text IS NOT NULL)
+SELECT source, md5(string_agg(CASE WHEN r = 1 THEN text ELSE '## ' || doc_id || chr(10) || chr(10) || text END, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY doc_id)) AS markdown_md5 FROM d GROUP BY 1""")
+def assemble_multiple(spark, sf_dir):
+    d = S.table(spark, sf_dir, "documents").filter("text is not null").select("source", "doc_id", F.col("text").alias("markdown"), F.col("doc_id").cast("string").alias("name"))
+    return A.assemble_multiple(d, "source", "doc_id", "name").select("source", F.md5("markdown").alias("markdown_md5"))
+
+
+@query("SELECT source, doc_id, length(text) AS n FROM documents")
+def write_outputs(spark, sf_dir):
+    import uuid
+
+    d = S.table(spark, sf_dir, "documents").select(F.col("source").alias("doc"), F.lit(1).alias("version"), F.col("doc_id").alias("no"), "text")
+    where = f"{S.shared_folder(spark)}/outputs-{uuid.uuid4().hex}"
+    S.write_outputs(d, where)
+    return spark.read.parquet(where).select(F.col("doc").alias("source"), F.col("no").alias("doc_id"), F.length("text").alias("n"))

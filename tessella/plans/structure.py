@@ -190,3 +190,15 @@ SELECT conv_id, md5(string_agg(CASE WHEN back = 1 THEN 'PRIORIDAD: ' || text ELS
 def combine_history(spark, sf_dir):
     u = S.table(spark, sf_dir, "conversations").filter("role = 'user'")
     return O.combine_history(u, "conv_id", "turn", "text").select("conv_id", F.md5("instruction").alias("instruction_md5"))
+
+
+@query()
+def index_page_topics(spark, sf_dir):
+    c = S.table(spark, sf_dir, "pages").select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(r"(?is)<(?:h1|li|p)>(?:<a[^>]*>|<b>)?([^<]+)"), 1)).alias("line_no", "line"))
+    lines = c.select("page_id", F.lit(1).alias("page"), "line_no", (F.col("line_no") == 0).alias("is_title"), "line")
+    return O.index_page_topics(lines, "page_id", keyword="(?i)^[a-z]")
+
+
+@query()
+def visual_titles(spark, sf_dir):
+    return O.visual_titles(words_of(spark, sf_dir), "doc_id")

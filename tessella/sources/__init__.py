@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -76,17 +79,17 @@ def write_outputs(blocks: DataFrame, path: str) -> None:
     blocks.write.mode("overwrite").partitionBy("doc", "version").parquet(path)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df written as Parquet to the folder in spark.checkpoint.dir and read back: cuts the lineage and survives lost executors.
-    Where that is unset, as in local runs, a temporary folder is made."""
-    import tempfile
-    import uuid
-
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which driver and executors share; a temporary one where that is unset, as in local runs."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         where = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", where)
-    path = f"{where}/table-{uuid.uuid4().hex}"
+    return where
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df written as Parquet to the shared folder and read back: cuts the lineage and survives lost executors."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
