@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tessella import sources as S
 from tessella.operators import assembly as A
 
-from .cleaning import _lines
+from .cleaning import LINES, _lines
 from .quality import marked_documents
 from .registry import query
 from .structure import MD, markdown
@@ -81,7 +81,11 @@ def _anchors(spark, sf_dir):
     return lines.join(total, "doc_id").select("doc_id", F.col("line_no").alias("ord"), F.when(F.size(F.split("line", " ")) <= 3, F.col("start")).alias("start"), "length")
 
 
-@query()
+@query(rf"""WITH {LINES}, o AS (SELECT doc_id, line_no AS ord, line, sum(length(raw) + 1) OVER (PARTITION BY doc_id ORDER BY line_no) - 1 - length(raw) AS s0 FROM (SELECT l.*, l0.raw FROM l JOIN l0 USING (source, doc_id, line_no))),
+a AS (SELECT o.doc_id, ord, CASE WHEN len(string_split(line, ' ')) <= 3 THEN s0 END AS s, length(text) AS length, count(*) OVER (PARTITION BY o.doc_id) AS n FROM o JOIN documents d ON o.doc_id = d.doc_id),
+w AS (SELECT *, coalesce(last_value(s IGNORE NULLS) OVER b, 0) AS lo, coalesce(last_value(CASE WHEN s IS NOT NULL THEN ord END IGNORE NULLS) OVER b, -1) AS lo_ord, coalesce(first_value(s IGNORE NULLS) OVER f, length) AS hi, coalesce(first_value(CASE WHEN s IS NOT NULL THEN ord END IGNORE NULLS) OVER f, n) AS hi_ord
+  FROM a WINDOW b AS (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), f AS (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+SELECT doc_id, CAST(ord AS INTEGER) AS ord, CAST(CASE WHEN s IS NOT NULL THEN s ELSE floor(lo + (hi - lo) * (ord - lo_ord) / (hi_ord - lo_ord)) END AS BIGINT) AS start, CAST(length AS INTEGER) AS length FROM w""")
 def interpolate_starts(spark, sf_dir):
     return A.interpolate_starts(_anchors(spark, sf_dir), "doc_id")
 
@@ -115,10 +119,10 @@ def extract_figures(spark, sf_dir):
     return A.extract_figures(marked_documents(spark, sf_dir), "doc_id").select("doc_id", "figure")
 
 
-@query()
+@query("SELECT doc_id, CASE WHEN len(regexp_extract_all(span, '[A-Za-zÀ-ÿ]{4,}')) >= 3 THEN 'prose' WHEN regexp_matches(span, '[=+*/^_<>-]') OR contains(span, chr(92)) THEN 'valid' ELSE 'invalid' END AS kind, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(replace(text, 'the ', '$$a = b$$ '), '(?s)\\$\\$(.*?)\\$\\$', 1)) AS span FROM documents) GROUP BY ALL")
 def math_spans(spark, sf_dir):
     d = S.table(spark, sf_dir, "documents").select("doc_id", F.replace("text", F.lit("the "), F.lit("$$a = b$$ ")).alias("text"))
-    return A.math_spans(d, "doc_id")
+    return A.math_spans(d, "doc_id").groupBy("doc_id", "kind").agg(F.count("*").alias("n"))
 
 
 def guides(spark, sf_dir):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tessella import sources as S
 from tessella.operators import matching as M
 
+from .cleaning import NORM
 from .registry import query
 
 _TOK = "list_distinct(list_filter(string_split(trim(regexp_replace(lower(strip_accents(p_name)), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: length(x) >= 3))"
@@ -68,7 +69,12 @@ def _page_headings(spark, sf_dir):
     return p.select("page_id", topic.alias("topic"), F.posexplode(F.regexp_extract_all("html", F.lit(r"(?is)<p>(?:<b>)?([^<.]+)"), 1)).alias("pos", "heading"))
 
 
-@query()
+_SIMILAR = "1 - levenshtein(a, b) / greatest(length(a), length(b), 1)"
+
+
+@query(rf"""WITH h AS (SELECT page_id, regexp_extract(html, '(?is)<h1>([^<]*)', 1) AS topic, unnest(regexp_extract_all(html, '(?is)<p>(?:<b>)?([^<.]+)', 1)) AS heading, generate_subscripts(regexp_extract_all(html, '(?is)<p>(?:<b>)?([^<.]+)', 1), 1) - 1 AS pos FROM pages),
+n AS (SELECT page_id, pos, {NORM.format('topic')} AS a, {NORM.format('heading')} AS b FROM h), s AS (SELECT *, {_SIMILAR} AS base FROM n)
+SELECT page_id, CAST(pos AS INTEGER) AS pos, round_even(least(1.0, base + CASE WHEN a <> '' AND b <> '' AND (contains(b, a) OR contains(a, b)) THEN 0.15 ELSE 0.0 END + CASE WHEN base > 0.6 THEN CASE WHEN pos = 0 THEN 0.1 ELSE 0.05 END ELSE 0.0 END), 6) AS score FROM s""")
 def score_heading_match(spark, sf_dir):
     h = _page_headings(spark, sf_dir)
     return h.select("page_id", "pos", F.bround(M.heading_score(F.col("topic"), F.col("heading"), F.when(F.col("pos") == 0, 1).otherwise(3)), 6).alias("score"))

@@ -91,7 +91,20 @@ def slide_titles(spark, sf_dir):
     return O.slide_titles(c, "conv_id", "slide", longest=300).select("conv_id", "title")
 
 
-@query()
+def topic_key_sql(c: str) -> str:
+    return NORM.format(rf"regexp_replace(regexp_replace({c}, '^\s+|\s+$', '', 'g'), '^\d+(\.\d+)*\.?\s*', '')")
+
+
+def valid_topic_sql(c: str) -> str:
+    """The rules of a valid topic, for a column c."""
+    k = topic_key_sql(c)
+    names = lambda values: ", ".join(f"'{v}'" for v in values)
+    return f"""(length({k}) >= 4 AND {k} NOT IN ({names(O.ADMIN_EXACT)}) AND NOT regexp_matches({k}, '^({"|".join(O.ADMIN_PREFIXES)})') AND NOT regexp_matches({k}, '^({"|".join(O.PROSE_OPENINGS)})( |$)')
+ AND NOT starts_with({k}, 'contexto') AND NOT regexp_matches(replace({k}, ' ', ''), '^[0-9]+$') AND NOT (contains({c}, '/') AND length({k}) < 12) AND len(list_filter(string_split({k}, ' '), lambda x: regexp_matches(x, '[0-9]'))) < 3
+ AND NOT (length({k}) <= 80 AND string_split({k}, ' ')[-1] IN ({names(O.FUNCTION_WORDS)})))"""
+
+
+@query(f"WITH {LINES} SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, line FROM l WHERE {valid_topic_sql('line')}")
 def valid_topic(spark, sf_dir):
     return _lines(spark, sf_dir).filter(O.valid_topic(F.col("line"))).select("doc_id", "line_no", "line")
 
@@ -115,7 +128,13 @@ def numbering_quality(spark, sf_dir):
     return O.numbering_quality(numbered_lines(spark, sf_dir), "l_orderkey").select("l_orderkey", "raw")
 
 
-@query()
+def _tag_sql(tag: str, strategy: str, priority: int) -> str:
+    found = f"regexp_extract_all(html, '(?is)<{tag}>([^<]+)', 1)"
+    return f"SELECT page_id, '{strategy}' AS strategy, {priority} AS priority, unnest({found}) AS name, generate_subscripts({found}, 1) - 1 AS pos FROM pages"
+
+
+@query(f"""WITH c AS ({_tag_sql('h1', 'numeracion', 0)} UNION ALL {_tag_sql('title', 'titulo_slide', 1)} UNION ALL {_tag_sql('p', 'titulo_visual', 2)}), n AS (SELECT *, count(CASE WHEN priority = 0 THEN 1 END) OVER (PARTITION BY page_id) AS numbered, {topic_key_sql('name')} AS key FROM c)
+SELECT page_id, strategy, CAST(pos AS INTEGER) AS pos, name FROM n WHERE (numbered < 2 OR priority = 0) AND key <> '' QUALIFY row_number() OVER (PARTITION BY page_id, key ORDER BY priority, pos) = 1""")
 def candidate_cascade(spark, sf_dir):
     p = S.table(spark, sf_dir, "pages")
     def of(tag, strategy, priority):
@@ -145,15 +164,18 @@ def _chunks(spark, sf_dir, most=1000):
     return O.pack_paragraphs(d, "doc_id", "p", most=most)
 
 
-@query(rf"""WITH RECURSIVE {LINES}, p AS (SELECT doc_id, raw, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS k FROM l0 WHERE trim(raw) <> ''),
+PACKED = rf"""{LINES}, p AS (SELECT doc_id, raw, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS k FROM l0 WHERE trim(raw) <> ''),
 f AS (SELECT doc_id, k, raw AS chunk, 0 AS no FROM p WHERE k = 1 UNION ALL
-  SELECT f.doc_id, p.k, CASE WHEN length(f.chunk) + 2 + length(p.raw) <= 1000 THEN f.chunk || chr(10) || chr(10) || p.raw ELSE p.raw END, CASE WHEN length(f.chunk) + 2 + length(p.raw) <= 1000 THEN f.no ELSE f.no + 1 END FROM f JOIN p ON p.doc_id = f.doc_id AND p.k = f.k + 1)
-SELECT doc_id, no AS chunk_no, md5(arg_max(chunk, k)) AS chunk_md5 FROM f GROUP BY ALL""")
+  SELECT f.doc_id, p.k, CASE WHEN length(f.chunk) + 2 + length(p.raw) <= 1000 THEN f.chunk || chr(10) || chr(10) || p.raw ELSE p.raw END, CASE WHEN length(f.chunk) + 2 + length(p.raw) <= 1000 THEN f.no ELSE f.no + 1 END FROM f JOIN p ON p.doc_id = f.doc_id AND p.k = f.k + 1),
+packed AS (SELECT doc_id, no AS chunk_no, arg_max(chunk, k) AS chunk FROM f GROUP BY ALL)"""
+
+
+@query(f"WITH RECURSIVE {PACKED} SELECT doc_id, chunk_no, md5(chunk) AS chunk_md5 FROM packed")
 def pack_paragraphs(spark, sf_dir):
     return _chunks(spark, sf_dir).select("doc_id", "chunk_no", F.md5("chunk").alias("chunk_md5"))
 
 
-@query()
+@query(f"WITH RECURSIVE {PACKED} SELECT doc_id, count(*) AS n, round(avg(length(chunk)), 3) AS mean_size, CAST(min(length(chunk)) AS INTEGER) AS least, CAST(max(length(chunk)) AS INTEGER) AS most FROM packed GROUP BY 1")
 def chunk_stats(spark, sf_dir):
     return O.chunk_stats(_chunks(spark, sf_dir), "doc_id")
 
