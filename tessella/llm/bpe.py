@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import only, table
+from .common import bounded_batches, table
 from .pieces import LETTERS, Splitter
 from .token_counts import vocabulary_text
 
@@ -163,7 +163,7 @@ def _digested(made: Codec, text: str | None, cache_size: int) -> list[tuple[str,
 
 def encode(docs: DataFrame, vocabulary: str, *, text: str = "text") -> DataFrame:
     """docs with ids (array of int) added; null and empty texts get an empty array."""
-    words = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    words = bounded_batches(docs).sparkSession.sparkContext.broadcast(vocabulary)
 
     @F.pandas_udf("array<int>")
     def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -205,7 +205,7 @@ def bpe_digests(docs: DataFrame, vocabulary: str, *, cache_size: int = 300_000,
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())], names=[key, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = docs.schema[key].dataType.simpleString()
-    pairs = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
+    pairs = bounded_batches(docs).select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
     return pairs.mapInArrow(digests, f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 

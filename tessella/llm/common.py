@@ -35,6 +35,13 @@ def stored(df: DataFrame, **partition: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """df; its session now hands batches of at most 4 MB to Python, so that a worker's memory follows neither the length of texts
+    nor the number of rows."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+    return df
+
+
 def words(text: Column) -> Column:
     """The array of words of a text: A-Z lower-cased, then runs of digits, letters and anything beyond ASCII. Null: none."""
     lower = F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)

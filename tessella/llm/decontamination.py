@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import only, shared_dir, stored, table, words  # noqa: F401
+from .common import only, stored, table, words
 
 WINDOW, SHINGLE, BROADCAST_ROWS = 13, 3, 2_000_000
 

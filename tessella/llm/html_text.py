@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import only, table
+from .common import bounded_batches, only, stored, table
 
 # Fixed values of HTML: elements without content, with raw content, that are blocks, that hold no article text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -210,9 +210,7 @@ def extract_text(pages: DataFrame, *, min_pages: int = 5, min_share: float = 0.2
     Null and empty html give an empty text; a null url counts as a host without a name. Rows are handled one by one, so
     repeated rows give repeated results. The template keys are broadcast while they are at most broadcast_rows (8 bytes each);
     beyond, pages get their own keys by a join on the keys."""
-    from .common import stored
-
-    keys = stored(template_keys(pages, min_pages=min_pages, min_share=min_share))
+    keys = stored(template_keys(bounded_batches(pages), min_pages=min_pages, min_share=min_share))
     rows = only(pages, "page_id", "url", "html")
     if keys.count() <= broadcast_rows:
         known = pages.sparkSession.sparkContext.broadcast(frozenset(r["key"] for r in keys.collect()))

@@ -21,11 +21,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .anchors import picks, prefix_sums, substring_hashes
-from .common import only, stored, table
+from .common import bounded_batches, only, stored, table
 from .lyndon import suffix_arrays
 
 #: Length of a repeated string and of its gram; kinds of segments that a bucket may have to be sorted; letters of a call.
-WINDOW, GRAM, KINDS, LETTERS = 200, 64, 64, 1_500_000
+WINDOW, GRAM, KINDS, LETTERS = 200, 64, 64, 1_000_000
 #: Window starts of a text that are handled at once.
 SPAN = 1 << 21
 
@@ -170,7 +170,7 @@ def repeated_spans(rows: DataFrame, *, window: int = WINDOW, gram: int = GRAM, k
         for batch in batches:
             for h, seg, n, text in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 if h != now:
-                    if letters > 4 * LETTERS:
+                    if letters > 3 * LETTERS:
                         yield judged()
                         names, bucket, letters = [], [], 0
                     bucket.append([])
@@ -208,7 +208,7 @@ def dedup_substrings(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM,
     judged on the input and may overlap; none crosses texts. Null and empty texts, and those shorter than window, lose
     nothing. Repeated rows are copies of each other and lose all their bytes if they have window bytes. docs must give its rows
     in the same partitions whenever it is read, as a table does."""
-    rows = only(docs, "doc_id", "text").withColumn("row", F.monotonically_increasing_id())
+    rows = only(bounded_batches(docs), "doc_id", "text").withColumn("row", F.monotonically_increasing_id())
     found = repeated_spans(rows, window=window, gram=gram, kinds=kinds)
     by_row = found.groupBy("row").agg(F.collect_set(F.struct("start", "end")).alias("spans"))  # of one text
     kind = docs.schema["doc_id"].dataType.simpleString()

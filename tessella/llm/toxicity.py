@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import only, stored, table
+from .common import bounded_batches, only, stored, table
 
 #: Labelled rows used to fit (a sample by a hash of doc_id where there are more), features kept in the model, the L1 penalty,
 #: and the expected severity from which a document is rejected.
@@ -131,7 +131,7 @@ def toxicity_model(docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAM
     The labels are made three grades: toxic texts with more marked words than the median of the toxic texts that have any are
     grade 2, other toxic ones 1. Marked: beginning with or being a feature that least_texts toxic texts have and that is 20
     times as frequent there as in other texts. The driver gets sample_rows rows of feature numbers at most."""
-    sample = stored(labelled_texts(docs, labels, sample_rows=sample_rows))
+    sample = stored(labelled_texts(bounded_batches(docs), labels, sample_rows=sample_rows))
     n, toxic = sample.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if toxic in (0, n):
         return OrdinalModel(base=int(n > 0 and toxic == n))
@@ -168,7 +168,7 @@ def toxicity_model(docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAM
 def score_toxicity(docs: DataFrame, model: OrdinalModel, *, text: str = "text", reject_at: float = REJECT_AT) -> DataFrame:
     """docs with severity (expected, double), grade (likeliest, int) and toxic (severity >= reject_at) added; columns of these
     names are replaced. Null and empty texts have no words and so the severity of the thresholds alone."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most max_features features
+    shared = bounded_batches(docs).sparkSession.sparkContext.broadcast(model)  # at most max_features features
 
     @F.pandas_udf("severity double, grade int")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

@@ -56,6 +56,7 @@ def mirrored(line: Column) -> Column:
     return (F.length(line) >= 6) & ((words(F.reverse(line)) > words(line)) & (words(line) == 0) | (vowels / letters < 0.1) & line.rlike(r"(?i)[bcdfghjklmnñpqrstvwxyz]{5,}"))
 
 
+SPACED = r"((?:^|[^A-Za-zÀ-ÿ0-9_])[A-Za-záéíóúñ]\s+[A-Za-záéíóúñ]\s+[A-Za-záéíóúñ])"  # three single letters
 SALVAGE = r"(?i)^[\d.,+\-*/=^_{}\\()]+$|^[A-Za-zÀ-ÿ]{1,4}$|^\d+(?:[.,]\d+)?\s*(?:%|[kMGT]?W|[kMGT]?Pa|bar|psi|kg|g|mg|m|cm|mm|km|s|min|h|Hz|N|J|V|A|K|°C|°)$"
 
 
@@ -65,7 +66,7 @@ def equation_shard(line: Column) -> Column:
     n, short = F.size(tokens), F.size(F.filter(tokens, lambda t: F.length(t) <= 2))
     long_ = F.size(F.filter(tokens, lambda t: (F.length(t) > 6) & t.rlike(r"^[A-Za-zÀ-ÿ]+$")))
     prose = T.is_technical(line) & line.rlike(r"=\s*\S") & (F.size(F.filter(F.regexp_extract_all(line, F.lit(f"({T.WORD})"), 1), lambda w: F.length(w) > 3)) >= 2)
-    broken = (short / n >= 0.55) | line.rlike(r"[ð¼½¾¿¡»›þÿ]|[^\x00-\x7F].*[^\x00-\x7F].*[^\x00-\x7F]") & (short >= 3) | (F.size(F.regexp_extract_all(line, F.lit(r"(\b[A-Za-záéíóúñ]\s+[A-Za-záéíóúñ]\s+[A-Za-záéíóúñ])"), 1)) >= 2)
+    broken = (short / n >= 0.55) | line.rlike(r"[ð¼½¾¿¡»›þÿ]|[^\x00-\x7F].*[^\x00-\x7F].*[^\x00-\x7F]") & (short >= 3) | (F.size(F.regexp_extract_all(line, F.lit(SPACED), 1)) >= 2)
     return (line != "") & ~T.is_heading(line) & ~T.is_equation_marker(line) & ~prose & (n >= 4) & (long_ < 2) & broken
 
 
@@ -93,7 +94,7 @@ def clean_corpus(lines: DataFrame, doc: str, section: str, *, light: bool = Fals
     inner space and blank lines reduced. A section that loses all is [TEXTO_ILEGIBLE]."""
     line = F.col("line")
     kept = reasons(lines, doc, section, light=light, share=share, fifths=fifths).filter("reason is null")
-    fixed = kept.withColumn("line", F.when(~T.is_marker(line) & equation_shard(line), salvaged(line)).otherwise(F.regexp_replace(line, r"(\S)[ \t]{2,}(?=\S)", "$1 ")))
+    fixed = kept.withColumn("line", F.when(~T.is_marker(line) & equation_shard(line), salvaged(line)).otherwise(F.regexp_replace(line, r"(\S)[ \t]{2,}(\S)", "$1 $2")))
     joined = fixed.groupBy(doc, section).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda s: s["line"]), "\n").alias("text"))
     every = lines.select(doc, section).distinct().join(joined, [doc, section], "left")
     text = T.stripped(F.regexp_replace(F.coalesce("text", F.lit("")), r"\n{3,}", "\n\n"))

@@ -31,6 +31,21 @@ REASONS = rf"""r AS (SELECT l.source, l.doc_id, l.line_no, l.line, CASE WHEN l.l
   FROM l LEFT JOIN (SELECT DISTINCT source, lower(line) AS lowered FROM noise) z ON l.source = z.source AND lower(l.line) = z.lowered)"""
 
 
+_TOKENS = r"regexp_split_to_array(line, '\s+')"
+SHARD = rf"""(line <> '' AND NOT {_HEAD} AND NOT {_EQ} AND NOT ({TECH} AND regexp_matches(line, '=\s*\S') AND len(list_filter(regexp_extract_all(line, '[A-Za-zÀ-ÿ0-9]+'), lambda w: length(w) > 3)) >= 2)
+ AND len({_TOKENS}) >= 4 AND len(list_filter({_TOKENS}, lambda t: length(t) > 6 AND regexp_matches(t, '^[A-Za-zÀ-ÿ]+$'))) < 2
+ AND (len(list_filter({_TOKENS}, lambda t: length(t) <= 2)) / len({_TOKENS}) >= 0.55 OR (regexp_matches(line, '[ð¼½¾¿¡»›þÿ]|[^\x00-\x7F].*[^\x00-\x7F].*[^\x00-\x7F]') AND len(list_filter({_TOKENS}, lambda t: length(t) <= 2)) >= 3)
+  OR len(regexp_extract_all(line, '(?:^|[^A-Za-zÀ-ÿ0-9_])[A-Za-záéíóúñ]\s+[A-Za-záéíóúñ]\s+[A-Za-záéíóúñ]')) >= 2))"""
+_KEPT = rf"list_filter(list_transform({_TOKENS}, lambda t: regexp_replace(t, '^[.,;:]+|[.,;:]+$', '', 'g')), lambda t: t <> '' AND regexp_matches(t, '{C.SALVAGE}'))"
+# The different kept tokens in order of first occurrence.
+_SNIPPET = f"array_to_string(list_filter({_KEPT}, lambda t, i: list_position({_KEPT}, t) = i)[1:48], ' ')"
+SALVAGED = f"CASE WHEN length({_SNIPPET}) >= 2 THEN '[ECUACION_PARCIAL: ' || {_SNIPPET} || ']' ELSE '[ECUACION_NO_EXTRAIBLE]' END"
+CLEANED = rf"""fx AS (SELECT source, doc_id, line_no, CASE WHEN NOT {_MARK} AND {SHARD} THEN {SALVAGED} ELSE regexp_replace(line, '(\S)[ \t]{{2,}}(\S)', '\1 \2', 'g') END AS line FROM r WHERE reason IS NULL),
+jn AS (SELECT source, doc_id, string_agg(line, chr(10) ORDER BY line_no) AS t FROM fx GROUP BY ALL),
+cl AS (SELECT e.source, e.doc_id, regexp_replace(regexp_replace(coalesce(t, ''), '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS t FROM (SELECT DISTINCT source, doc_id FROM l) e LEFT JOIN jn ON e.source = jn.source AND e.doc_id = jn.doc_id)"""
+GLYPHS = rf"""g0 AS (SELECT source, line, count(DISTINCT doc_id) AS n FROM l WHERE NOT {_MARK} AND {_GLYPH} GROUP BY source, line), t0 AS (SELECT source, count(DISTINCT doc_id) AS total FROM l GROUP BY source), noise AS (SELECT g0.source, line FROM g0 JOIN t0 USING (source) WHERE total >= 2 AND n * 5 >= total * 0.1)"""
+
+
 def _lines(spark, sf_dir):
     return S.lines_of(S.table(spark, sf_dir, "documents"), "source", "doc_id")
 
@@ -110,7 +125,7 @@ def flag_mirrored_lines(spark, sf_dir):
     return _lines(spark, sf_dir).filter(C.mirrored(F.col("line"))).select("doc_id", "line_no", "line")
 
 
-@query()
+@query(f"WITH {LINES} SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, {SALVAGED} AS line FROM l WHERE {SHARD}")
 def salvage_equation_shards(spark, sf_dir):
     return _lines(spark, sf_dir).filter(C.equation_shard(F.col("line"))).select("doc_id", "line_no", C.salvaged(F.col("line")).alias("line"))
 
@@ -128,12 +143,12 @@ def cleaning_audit(spark, sf_dir):
     return C.cleaning_audit(_lines(spark, sf_dir), "source", "doc_id", share=0.05)
 
 
-@query()
+@query(f"WITH {LINES}, {NOISE}, {REASONS}, {CLEANED} SELECT source, doc_id, CASE WHEN t = '' THEN '[TEXTO_ILEGIBLE]' ELSE t END AS text FROM cl")
 def clean_corpus(spark, sf_dir):
     return C.clean_corpus(_lines(spark, sf_dir), "source", "doc_id", share=0.05)
 
 
-@query()
+@query(f"WITH {LINES}, {GLYPHS}, {REASONS.replace(' AND length(l.line) <= 60', '')}, {CLEANED} SELECT source, doc_id, CASE WHEN t = '' THEN '[TEXTO_ILEGIBLE]' ELSE t END AS text FROM cl")
 def clean_corpus_light(spark, sf_dir):
     return C.clean_corpus(_lines(spark, sf_dir), "source", "doc_id", light=True, fifths=0.1)
 
