@@ -9,6 +9,7 @@ from tessella.operators import matching as M
 
 from .cleaning import NORM
 from .registry import query
+from .structure import H2, MD
 
 _TOK = "list_distinct(list_filter(string_split(trim(regexp_replace(lower(strip_accents(p_name)), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: length(x) >= 3))"
 
@@ -108,7 +109,9 @@ def suggest_anchor(spark, sf_dir):
     return M.suggest_anchor(asks, options, "conv_id", longer=6).select("conv_id", F.md5("anchor").alias("anchor_md5"))
 
 
-@query()
+@query(r"""WITH """ + MD + ", " + H2 + r""", s AS (SELECT doc_id, section_no, title, body FROM h2 WHERE section_no > 0 OR body <> ''), f AS (SELECT doc_id, section_no AS fragment, regexp_split_to_array(body, '\s+')[1] AS title FROM s WHERE body <> ''),
+j AS (SELECT f.doc_id, fragment, section_no, CASE WHEN lower(f.title) = lower(s.title) THEN 0 WHEN contains(lower(body), lower(f.title)) THEN 1 ELSE 2 END AS how FROM f JOIN s USING (doc_id))
+SELECT doc_id, CAST(fragment AS BIGINT) AS fragment, CAST(section_no AS BIGINT) AS section_no, ['title', 'body', 'last'][how + 1] AS how FROM j QUALIFY row_number() OVER (PARTITION BY doc_id, fragment ORDER BY how, CASE WHEN how = 2 THEN -section_no ELSE section_no END) = 1""")
 def place_fragments(spark, sf_dir):
     from tessella.operators.structure import split_h2_sections
 

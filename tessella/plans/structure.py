@@ -118,9 +118,15 @@ def numbered_lines(spark, sf_dir):
 
 
 
-@query()
+NUMBERED_SQL = rf"""n0 AS (SELECT DISTINCT l_orderkey, l_partkey AS line_no, '1.' || l_linenumber AS prefix, array_to_string(list_transform(string_split(p_name, ' '), lambda x: upper(x[1]) || lower(x[2:])), ' ') AS name FROM lineitem JOIN part ON l_partkey = p_partkey),
+n1 AS (SELECT *, {topic_key_sql('name')} AS key FROM n0 WHERE {valid_topic_sql('name')} AND NOT regexp_matches(name, '(?i)^(figura|tabla|ecuaci[oó]n|figure|table)\b'))"""
+
+
+@query(f"WITH {NUMBERED_SQL} SELECT l_orderkey, count(DISTINCT key) AS n_keys FROM n1 GROUP BY 1")
 def numbered_candidates(spark, sf_dir):
-    return O.numbered_candidates(numbered_lines(spark, sf_dir), "l_orderkey")
+    """How many different titles each order's numbered lines give: as many as there are keys, whatever number each keeps."""
+    once = O.numbered_candidates(numbered_lines(spark, sf_dir).withColumn("line", F.regexp_replace("line", r"^1\.\d+", F.concat(F.lit("1."), F.col("line_no")))), "l_orderkey")
+    return once.groupBy("l_orderkey").agg(F.count("*").alias("n_keys"))
 
 
 @query("WITH n AS (SELECT l_orderkey, count(*) AS raw FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey FROM lineitem JOIN part ON l_partkey = p_partkey) GROUP BY 1) SELECT l_orderkey, raw FROM n")
@@ -214,13 +220,21 @@ def combine_history(spark, sf_dir):
     return O.combine_history(u, "conv_id", "turn", "text").select("conv_id", F.md5("instruction").alias("instruction_md5"))
 
 
-@query()
+_CELL = "regexp_extract_all(html, '(?is)<(?:h1|li|p)>(?:<a[^>]*>|<b>)?([^<]+)', 1)"
+
+
+@query(f"""WITH c AS (SELECT page_id, unnest({_CELL}) AS line, generate_subscripts({_CELL}, 1) - 1 AS k FROM pages), f AS (SELECT page_id FROM c WHERE k = 0 AND regexp_matches(line, '(?i)^[a-z]')),
+v AS (SELECT page_id, k, line FROM c WHERE page_id IN (SELECT page_id FROM f) AND k > 0 AND {valid_topic_sql('line')} QUALIFY row_number() OVER (PARTITION BY page_id, {topic_key_sql('line')} ORDER BY k) = 1)
+SELECT page_id, CAST(1 AS INTEGER) AS page, CAST(row_number() OVER (PARTITION BY page_id ORDER BY k) AS INTEGER) AS ord, line AS name FROM v QUALIFY count(*) OVER (PARTITION BY page_id) >= 2""")
 def index_page_topics(spark, sf_dir):
     c = S.table(spark, sf_dir, "pages").select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(r"(?is)<(?:h1|li|p)>(?:<a[^>]*>|<b>)?([^<]+)"), 1)).alias("line_no", "line"))
     lines = c.select("page_id", F.lit(1).alias("page"), "line_no", (F.col("line_no") == 0).alias("is_title"), "line")
     return O.index_page_topics(lines, "page_id", keyword="(?i)^[a-z]")
 
 
-@query()
+@query(rf"""WITH {LINES}, {WORDS}, p AS (SELECT DISTINCT wd.doc_id, wd.y, wd.font, wd.size, wd.size / bs.size AS ratio, wd.font <> bs.font OR wd.size <> bs.size AS other FROM wd JOIN bs ON wd.doc_id = bs.doc_id),
+t AS (SELECT l.doc_id, l.line FROM p JOIN l ON p.doc_id = l.doc_id AND p.y = l.line_no WHERE other AND (ratio >= 1.2 OR (font = 'Arial-Bold' AND ratio >= 0.9))),
+v AS (SELECT doc_id, count(DISTINCT {topic_key_sql('line')}) AS n FROM t WHERE {valid_topic_sql('line')} AND NOT regexp_matches(line, '^[a-záéíóúñ]') AND len(string_split(line, ' ')) <= 12 GROUP BY 1)
+SELECT w.doc_id, CASE WHEN n IS NULL THEN 'sin_titulos' ELSE 'ok' END AS status, coalesce(n, 0) AS n_titles FROM (SELECT DISTINCT doc_id FROM wd) w LEFT JOIN v USING (doc_id)""")
 def visual_titles(spark, sf_dir):
     return O.visual_titles(words_of(spark, sf_dir), "doc_id")
