@@ -46,14 +46,12 @@ KNOWN_WORDS = ("de", "del", "la", "el", "tema", "chapter", "section", "slide", "
 
 
 def mirrored(line: Column) -> Column:
-    """Was the line read backwards? Few vowels in front and known words only on reversal, or a run of five consonants that
-    reversal breaks up - no run does, so known words decide."""
-    def words(c: Column) -> Column:
-        return F.size(F.filter(F.regexp_extract_all(F.lower(c), F.lit("([a-záéíóúñ]+)"), 1), lambda w: w.isin(*KNOWN_WORDS)))
-
-    letters = F.greatest(F.length(F.regexp_replace(line, r"[^A-Za-zÀ-ÿ]", "")), F.lit(1))
-    vowels = F.length(F.regexp_replace(line, r"(?i)[^aeiouáéíóú]", ""))
-    return (F.length(line) >= 6) & ((words(F.reverse(line)) > words(line)) & (words(line) == 0) | (vowels / letters < 0.1) & line.rlike(r"(?i)[bcdfghjklmnñpqrstvwxyz]{5,}"))
+    """Was the line read backwards? It has more known words when reversed than as it is. (The counts of vowels and of runs of
+    consonants are the same both ways, so they cannot tell.)"""
+    def known(c: Column) -> Column:
+        return F.size(F.filter(F.split(F.lower(c), r"\s+"), lambda w: w.isin(*KNOWN_WORDS)))
+
+    return (F.length(line) >= 4) & (known(F.reverse(line)) > known(line))
 
 
 SPACED = r"((?:^|[^A-Za-zÀ-ÿ0-9_])[A-Za-záéíóúñ]\s+[A-Za-záéíóúñ]\s+[A-Za-záéíóúñ])"  # three single letters

@@ -120,7 +120,10 @@ def drop_filename_lines(spark, sf_dir):
     return C.drop_filename_lines(_lines(spark, sf_dir), "source").groupBy("source").agg(F.count("*").alias("n_lines"))
 
 
-@query()
+_KNOWN = "len(list_filter(regexp_split_to_array(lower({}), '\\s+'), lambda w: w IN ('" + "', '".join(C.KNOWN_WORDS) + "')))"
+
+
+@query(f"WITH {LINES} SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, line FROM l WHERE length(line) >= 4 AND {_KNOWN.format('reverse(line)')} > {_KNOWN.format('line')}")
 def flag_mirrored_lines(spark, sf_dir):
     return _lines(spark, sf_dir).filter(C.mirrored(F.col("line"))).select("doc_id", "line_no", "line")
 

@@ -165,3 +165,8 @@ def test_chunks_lose_nothing(spark):
 def test_keys(spark):
     r = spark.range(1).select(T.topic_key(F.lit("3.2. Presión – Éxito")).alias("k"), T.slugify(F.lit("¡Año Nuevo!")).alias("s"), T.slugify(F.lit("--")).alias("e")).first()
     assert (r["k"], r["s"], r["e"]) == ("presion exito", "ano-nuevo", "elemento")
+
+
+def test_mirrored_lines(spark):
+    r = spark.range(1).select(cleaning.mirrored(F.lit("saniuqám ed ametsis le")).alias("a"), cleaning.mirrored(F.lit("el sistema de máquinas")).alias("b"), cleaning.mirrored(F.lit("xyz")).alias("c")).first()
+    assert (r["a"], r["b"], r["c"]) == (True, False, False)
