@@ -114,6 +114,13 @@ def chunk_documents(spark, sf_dir):
     return A.chunk_documents(_lines(spark, sf_dir), "doc_id")
 
 
+@query(r"SELECT doc_id, CAST(length(regexp_replace(text, '\s', '', 'g')) AS BIGINT) AS letters, true AS bounded FROM documents WHERE regexp_matches(text, '\S')")
+def chunk_invariants(spark, sf_dir):
+    """Chunks lose no letter and are at most twice the target long."""
+    c = A.chunk_documents(_lines(spark, sf_dir), "doc_id")
+    return c.groupBy("doc_id").agg(F.sum(F.length(F.regexp_replace("chunk", r"\s", ""))).alias("letters"), (F.max(F.length("chunk")) <= 2 * 6000).alias("bounded"))
+
+
 @query("WITH k AS (SELECT doc_id, replace(text, 'les ', '[FIGURA: b] ') AS text FROM documents) SELECT doc_id, 'b' AS figure FROM k WHERE contains(text, '[FIGURA: b]')")
 def extract_figures(spark, sf_dir):
     return A.extract_figures(marked_documents(spark, sf_dir), "doc_id").select("doc_id", "figure")

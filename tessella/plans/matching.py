@@ -73,15 +73,20 @@ def _page_headings(spark, sf_dir):
 _SIMILAR = "1 - levenshtein(a, b) / greatest(length(a), length(b), 1)"
 
 
-@query(rf"""WITH h AS (SELECT page_id, regexp_extract(html, '(?is)<h1>([^<]*)', 1) AS topic, unnest(regexp_extract_all(html, '(?is)<p>(?:<b>)?([^<.]+)', 1)) AS heading, generate_subscripts(regexp_extract_all(html, '(?is)<p>(?:<b>)?([^<.]+)', 1), 1) - 1 AS pos FROM pages),
-n AS (SELECT page_id, pos, {NORM.format('topic')} AS a, {NORM.format('heading')} AS b FROM h), s AS (SELECT *, {_SIMILAR} AS base FROM n)
-SELECT page_id, CAST(pos AS INTEGER) AS pos, round_even(least(1.0, base + CASE WHEN a <> '' AND b <> '' AND (contains(b, a) OR contains(a, b)) THEN 0.15 ELSE 0.0 END + CASE WHEN base > 0.6 THEN CASE WHEN pos = 0 THEN 0.1 ELSE 0.05 END ELSE 0.0 END), 6) AS score FROM s""")
+_SCORES = rf"""h AS (SELECT page_id, regexp_extract(html, '(?is)<h1>([^<]*)', 1) AS topic, unnest(regexp_extract_all(html, '(?is)<p>(?:<b>)?([^<.]+)', 1)) AS heading, generate_subscripts(regexp_extract_all(html, '(?is)<p>(?:<b>)?([^<.]+)', 1), 1) - 1 AS pos FROM pages),
+n AS (SELECT page_id, pos, {NORM.format('topic')} AS a, {NORM.format('heading')} AS b FROM h), s AS (SELECT *, {_SIMILAR} AS base FROM n),
+sc AS (SELECT page_id, CAST(pos AS INTEGER) AS pos, round_even(least(1.0, base + CASE WHEN a <> '' AND b <> '' AND (contains(b, a) OR contains(a, b)) THEN 0.15 ELSE 0.0 END + CASE WHEN base > 0.6 THEN CASE WHEN pos = 0 THEN 0.1 ELSE 0.05 END ELSE 0.0 END), 6) AS score FROM s)"""
+
+
+@query(f"WITH {_SCORES} SELECT * FROM sc")
 def score_heading_match(spark, sf_dir):
     h = _page_headings(spark, sf_dir)
     return h.select("page_id", "pos", F.bround(M.heading_score(F.col("topic"), F.col("heading"), F.when(F.col("pos") == 0, 1).otherwise(3)), 6).alias("score"))
 
 
-@query()
+@query(f"""WITH {_SCORES}, one AS (SELECT page_id, arg_min(pos, (-score, pos)) FILTER (score >= 0.2) AS pos FROM sc GROUP BY 1),
+two AS (SELECT sc.page_id, arg_min(sc.pos, (-score, sc.pos)) FILTER (score >= 0.2 AND sc.pos > coalesce(one.pos, -1)) AS pos FROM sc JOIN one ON sc.page_id = one.page_id GROUP BY 1)
+SELECT page_id, CAST(0 AS BIGINT) AS ord, CAST(pos AS BIGINT) AS pos FROM one UNION ALL SELECT page_id, 1, pos FROM two""")
 def monotone_anchors(spark, sf_dir):
     s = score_heading_match(spark, sf_dir)
     twice = s.select("page_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("ord"), "pos", "score")

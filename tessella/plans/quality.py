@@ -176,7 +176,9 @@ def cells_to_markdown_table(spark, sf_dir):
     return Q.cells_to_markdown_table(cells, "l_orderkey").select("l_orderkey", F.md5("markdown").alias("markdown_md5"))
 
 
-@query()
+@query(r"""WITH t AS (SELECT doc_id, replace(text, 'the ', '$a_1 = \frac{b}{c}$ ') AS t FROM documents),
+e AS (SELECT doc_id, list_filter(list_transform(list_concat(regexp_extract_all(t, '(?s)\$\$(.+?)\$\$', 1), regexp_extract_all(regexp_replace(t, '(?s)\$\$.+?\$\$', ' ', 'g'), '\$([^$\n]+)\$', 1)), lambda x: trim(x)), lambda x: x <> '') AS e FROM t)
+SELECT doc_id, unnest(list_filter(e, lambda x, i: list_position(e, x) = i)[1:12]) AS equation FROM e""")
 def extract_equations(spark, sf_dir):
     d = S.table(spark, sf_dir, "documents").select("doc_id", F.replace("text", F.lit("the "), F.lit("$a_1 = \\frac{b}{c}$ ")).alias("text"))
     return d.select("doc_id", F.explode(Q.equations(F.col("text"))).alias("equation"))
