@@ -16,7 +16,7 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _COEFFICIENTS = _rng.integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
 #: Bytes handled at once; a longer text is a batch of its own.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:
