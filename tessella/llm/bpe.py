@@ -108,7 +108,7 @@ class Codec:
                         break
                     good = fits.get((before, token))
                     if good is None:
-                        if len(fits) > 2_000_000:
+                        if len(fits) > 200_000:
                             fits.clear()
                         good = fits[before, token] = self._beside(before, token)
                     if good:
@@ -187,7 +187,7 @@ def decode(encoded: DataFrame, vocabulary: str, *, ids: str = "ids") -> DataFram
     return encoded.withColumn("decoded", texts(F.col(f"`{ids}`")))
 
 
-def bpe_digests(docs: DataFrame, vocabulary: str, *, cache_size: int = 300_000, key: str = "doc_id", text: str = "text") -> DataFrame:
+def bpe_digests(docs: DataFrame, vocabulary: str, *, cache_size: int = 150_000, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: key, n_tokens, ids_sha256 (decimal ids joined by a space), decoded_sha256 (the decoded text).
 
     Whole texts are encoded; null and empty texts have no tokens and the digests of the empty text. The work is per row, so
