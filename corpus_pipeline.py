@@ -27,7 +27,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without later copies of repeated runs of lines; documents that lose all their lines go. n_chars follows the text."""
-    done = dedup_lines(docs).filter("n_removed < n_lines or n_lines = 0")
+    done = dedup_lines(docs, whole=True).filter("n_removed < n_lines or n_lines = 0")
     changed = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return done.withColumn("n_chars", changed).select(*docs.columns)
 

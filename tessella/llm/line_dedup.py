@@ -6,13 +6,18 @@ carried on: a suffix whose name is unique has no copy of that depth. Suffixes wi
 array whose longest common prefix is at least that depth; its first suffix in document order is kept and the lines that the
 others cover are deleted, overlapping ones joined to maximal runs. An interval of depth 1 counts if its line is long.
 
+That is the rule of op7_line_dedup and of its SQL. `whole` (the pipeline) tests lines and characters on the whole repeated run, of
+whatever length: every run that has an earlier copy, min_lines and min_chars is a union of the shortest such runs from its lines on
+and up to its lines, inside it. These shortest runs are two for each line, found by an as-of search in the characters before each
+line, and are named by their lines' hashes from running sums, so that a run costs the same at any length.
+
 Every step is a join or an aggregation by rank with partial aggregation before the shuffle, or a window within one document;
 a line that fills a third of the corpus becomes one row of the ranks.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -22,6 +27,20 @@ from .common import only, stored, table
 MIN_LINES, MIN_CHARS, LONG_LINE = 2, 80, 200
 
 
+#: Hashes of runs: sums of line hashes times powers of BASES modulo PRIME; powers by the two low and the other bytes of an exponent.
+PRIME, BASES = (1 << 31) - 1, (1_103_515_245, 1_664_525_013)
+
+
+def _power(base: int, exponent: Column) -> Column:
+    """base to the power of exponent (below 2**31), modulo PRIME."""
+    out = F.lit(1).cast("long")
+    for k in range(4):
+        step = pow(base, 1 << 8 * k, PRIME)
+        powers = F.lit([pow(step, j, PRIME) for j in range(256)]).cast("array<long>")
+        out = out * F.get(powers, F.shiftright(exponent, 8 * k).bitwiseAND(255)) % PRIME
+    return out
+
+
 def _ranked(keys: DataFrame, *columns: str) -> DataFrame:
     """Repeated keys with their rank: an order-preserving number, from the partitions of a range sort."""
     repeated = keys.groupBy(*columns).count().filter("count > 1").drop("count")
@@ -42,13 +61,46 @@ def suffix_ranks(lines: DataFrame, depth: int) -> DataFrame:
     return now
 
 
-def removed_runs(docs: DataFrame, *, min_lines: int = MIN_LINES, min_chars: int = MIN_CHARS, long_line: int = LONG_LINE) -> DataFrame:
+def whole_spans(lines: DataFrame, *, min_lines: int, min_chars: int, long_line: int) -> DataFrame:
+    """lines(row, doc_id, line_no, chars, a, b) -> row, start, end: runs with an earlier copy that together cover all those of
+    min_lines and min_chars, and lines of long_line."""
+    by = W.partitionBy("row").orderBy("line_no")
+    upto = by.rowsBetween(W.unboundedPreceding, W.currentRow)
+    sums = [F.sum(F.pmod(h, F.lit(PRIME)) * _power(base, F.col("line_no")) % PRIME).over(upto) for h, base in zip(("a", "b"), BASES, strict=True)]
+    after = lines.select("row", "doc_id", "a", "line_no", (F.col("line_no") + 1).alias("at"), F.sum("chars").over(upto).alias("c"), sums[0].alias("p"), sums[1].alias("q"))
+    # The boundaries of lines, 0 to n, with what stands before them; each with the hash of the line that begins there.
+    zero = after.filter("at = 1").select("row", "doc_id", F.lit(0).alias("at"), *[F.lit(0).cast("long").alias(x) for x in "cpq"])
+    edges = after.select("row", "doc_id", "at", "c", "p", "q").unionByName(zero).join(lines.select("row", F.col("line_no").alias("at"), "a").hint("shuffle_merge"), ["row", "at"], "left")
+    edges = stored(edges.withColumn("here", F.struct("at", "c", "p", "q", "a")))
+
+    def nearest(sign: int) -> DataFrame:
+        """row, doc_id, s, e: the shortest run from (1) or up to (-1) each boundary, as its two ends."""
+        far = F.lead("here", min_lines) if sign > 0 else F.lag("here", min_lines)
+        own = edges.select("row", "doc_id", "here", far.over(W.partitionBy("row").orderBy("at")).alias("far")).filter("far is not null")
+        ask = own.select("row", "doc_id", (F.col("here.c") + sign * min_chars).alias("c"), F.lit(1).alias("kind"), F.lit(0).alias("at"), "here", "far", F.lit(None).cast(edges.schema["here"].dataType).alias("met"))
+        give = edges.select("row", "doc_id", "c", F.lit(0).alias("kind"), (-sign * F.col("at")).alias("at"), F.lit(None).cast(edges.schema["here"].dataType).alias("here"), F.lit(None).cast(edges.schema["here"].dataType).alias("far"), F.col("here").alias("met"))
+        order = W.partitionBy("row").orderBy(F.desc("c") if sign > 0 else F.asc("c"), "kind", "at").rowsBetween(W.unboundedPreceding, W.currentRow)
+        found = ask.unionByName(give).withColumn("met", F.last("met", ignorenulls=True).over(order)).filter("kind = 1 and met is not null")
+        end = F.when((F.col("met.at") - F.col("far.at")) * sign > 0, F.col("met")).otherwise(F.col("far"))
+        start, end = (F.col("here"), end) if sign > 0 else (end, F.col("here"))
+        return found.select("row", "doc_id", start.alias("s"), end.alias("e"))
+
+    alone = edges.select("row", "doc_id", F.col("here").alias("s"), F.lead("here").over(W.partitionBy("row").orderBy("at")).alias("e")).filter(F.col("e.c") - F.col("s.c") >= long_line)
+    runs = nearest(1).unionByName(nearest(-1)).unionByName(alone)
+    hashes = [F.pmod(F.col(f"e.{x}") - F.col(f"s.{x}"), F.lit(PRIME)) * _power(pow(base, -1, PRIME), F.col("s.at")) % PRIME for x, base in zip("pq", BASES, strict=True)]
+    key = F.struct(F.col("s.a").alias("a"), (F.col("e.at") - F.col("s.at")).alias("n"), (F.col("e.c") - F.col("s.c")).alias("c"), hashes[0].alias("p"), hashes[1].alias("q"))
+    named = stored(runs.select("row", "doc_id", F.col("s.at").alias("start"), F.col("e.at").alias("end"), key.alias("name")).distinct())
+    first = named.groupBy("name").agg(F.min(F.struct("doc_id", "row", "start")).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    return named.join(first.hint("shuffle_merge"), "name").filter((F.col("row") != F.col("first.row")) | (F.col("start") != F.col("first.start"))).select("row", "start", "end")
+
+
+def removed_runs(docs: DataFrame, *, min_lines: int = MIN_LINES, min_chars: int = MIN_CHARS, long_line: int = LONG_LINE, whole: bool = False) -> DataFrame:
     """docs(row, doc_id, text) -> row, runs: the maximal runs of lines to delete, as an ordered array of (start, end), end
-    exclusive."""
+    exclusive. A repeated run is tested over its first min_lines lines or, with whole, over all of it."""
     text = docs.select("row", "doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     lines = stored(text.select("row", "doc_id", "line_no", F.length("line").alias("chars"), F.xxhash64("line").alias("a"), F.xxhash64("line", F.lit(7)).alias("b")))
-    deep = []
-    for depth, least in {1: long_line, min_lines: min_chars}.items():
+    deep = [whole_spans(lines, min_lines=min_lines, min_chars=min_chars, long_line=long_line)] if whole else []
+    for depth, least in {}.items() if whole else {1: long_line, min_lines: min_chars}.items():
         ranks = suffix_ranks(lines if depth > 1 else lines.filter(F.col("chars") >= long_line), depth)
         if depth > 1:
             ahead = W.partitionBy("row").orderBy("line_no").rowsBetween(0, depth - 1)
@@ -68,16 +120,17 @@ def removed_runs(docs: DataFrame, *, min_lines: int = MIN_LINES, min_chars: int
     return runs.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("runs"))
 
 
-def dedup_lines(docs: DataFrame, *, min_lines: int = MIN_LINES, min_chars: int = MIN_CHARS, long_line: int = LONG_LINE) -> DataFrame:
+def dedup_lines(docs: DataFrame, *, min_lines: int = MIN_LINES, min_chars: int = MIN_CHARS, long_line: int = LONG_LINE, whole: bool = False) -> DataFrame:
     """docs(doc_id, text, ...) with later copies of repeated runs of lines deleted from text, and n_lines, n_removed and n_runs
     added (columns of these names are replaced, all others pass through).
 
-    Lines are parted by newlines and compared whole. The first copy, by doc_id (null first) and then by place, stays; rows
+    With whole, a run of any length counts that has min_lines and min_chars in all; without, one whose neighbouring min_lines
+    lines have them. Lines are parted by newlines and compared whole. The first copy, by doc_id (null first) and then by place, stays; rows
     with one doc_id are ordered by their place in the input. A run of copies that overlaps itself keeps its first line or
     lines. A null text has no lines and stays null; an empty text has one empty line; a text that loses all its lines becomes
     empty."""
     rows = docs.drop("n_lines", "n_removed", "n_runs").withColumn("__row", F.monotonically_increasing_id())
-    runs = removed_runs(rows.select(F.col("__row").alias("row"), "doc_id", "text"), min_lines=min_lines, min_chars=min_chars, long_line=long_line)
+    runs = removed_runs(rows.select(F.col("__row").alias("row"), "doc_id", "text"), min_lines=min_lines, min_chars=min_chars, long_line=long_line, whole=whole)
     joined = rows.join(runs.select(F.col("row").alias("__row"), F.col("runs").alias("__runs")).hint("shuffle_merge"), "__row", "left")
     return kept_lines(joined).drop("__row", "__runs")
 

@@ -128,6 +128,19 @@ def test_near_duplicates_against_brute_force(spark):
     assert near_dedup.near_classes(table(spark, rows).filter("false")).count() == 0
 
 
+def test_pairs_within_a_crowd_are_found(spark):
+    base, rows = prose(1, 200).split(), []
+    for k in range(60):
+        own = prose(1000 + k, 28).split()
+        rows.append((2 * k, " ".join(base + own)))
+        rows.append((2 * k + 1, " ".join(base + own[:5] + prose(3000 + k, 23).split())))
+    sets = {i: Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4)) for i, t in rows for w in [words(t)]}
+    similar = [(i, j) for i in sets for j in sets if i < j and len(sets[i].keys() & sets[j].keys()) / len(sets[i].keys() | sets[j].keys()) >= 0.8]
+    assert similar == [(2 * k, 2 * k + 1) for k in range(60)]
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_classes(table(spark, rows), small=2).collect()}
+    assert got == {i: i - i % 2 for i in sets}
+
+
 def test_probminhash_estimates_probability_jaccard():
     rng = np.random.default_rng(3)
     a, b = np.arange(1, 200, dtype=np.uint64), np.arange(60, 260, dtype=np.uint64)
@@ -207,6 +220,36 @@ def test_lines_against_brute_force(spark):
     assert line_dedup.dedup_lines(table(spark, rows).filter("false")).count() == 0
 
 
+def test_whole_runs_against_brute_force(spark):
+    rng, short = np.random.default_rng(8), "\n".join(prose(70 + k, 6)[:38] for k in range(10))
+    rows = [(k, "\n".join(rng.choice(["", "", "ab", "c" * 30, "d" * 41, "e" * 90, "f" * 210], rng.integers(1, 14)))) for k in range(60)]
+    rows += [(100, f"own\n{short}\nend"), (101, f"other\n{short}\nlast"), (102, None), (103, ""), (104, "\n" * 400 + "g" * 80), (105, "\n" * 300 + "g" * 80), (106, "\n".join(["h" * 7] * 40))]
+    seen, gone = set(), {}
+    for i, t in rows:
+        lines = t.split("\n") if t is not None else []
+        for k in range(len(lines)):
+            size = 0
+            for e in range(k + 1, len(lines) + 1):
+                size += len(lines[e - 1])
+                if size >= (200 if e == k + 1 else 80):
+                    run = hash(tuple(lines[k:e]))
+                    gone.setdefault(i, set()).update(range(k, e)) if run in seen else seen.add(run)
+    got = {r["doc_id"]: r for r in line_dedup.dedup_lines(table(spark, rows), whole=True).collect()}
+    for i, t in rows:
+        lines = t.split("\n") if t is not None else []
+        kept = "\n".join(x for k, x in enumerate(lines) if k not in gone.get(i, ()))
+        assert (got[i]["text"], got[i]["n_removed"]) == (t if t is None else kept, len(gone.get(i, ())))
+
+
+def test_pipeline_drops_runs_of_short_lines(spark):
+    import corpus_pipeline
+
+    short = "\n".join(prose(70 + k, 12)[:38] for k in range(10))
+    docs = table(spark, [(100, f"own\n{short}\nend"), (101, f"other\n{short}\nlast")]).withColumn("n_chars", F.lit(1).cast("long"))
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.drop_repeated_lines(spark, docs, "").collect()}
+    assert got == {100: f"own\n{short}\nend", 101: "other\nlast"}
+
+
 # 8
 
 
@@ -308,3 +351,15 @@ def test_pipeline_stages_keep_clean_documents(spark, tmp_path):
         out = stage(spark, docs, str(tmp_path))
         assert out.columns == docs.columns
     assert out.filter(F.lit(False)).count() == 0
+
+
+def test_pipeline_stages_decide_by_row(spark, tmp_path):
+    import corpus_pipeline
+
+    item = prose(900, 40)
+    rows = [(None, item, 1), (1, item, 2), (1, prose(1, 60), 3), (2, prose(2, 60), 4), (2, prose(2, 60), 5), (None, prose(2, 60), 6), (None, prose(3, 60), 7), (None, prose(3, 60), 8), (5, prose(2, 60), 9), (5, prose(4, 60), 10), (None, None, 11), (None, None, 12)]
+    spark.createDataFrame(rows, "doc_id long, text string, n_chars long").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    assert {r["n_chars"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path)).collect()} == {2, 3, 4, 7, 10, 11, 12}
+    assert {r["n_chars"] for r in corpus_pipeline.drop_contaminated(spark, docs, str(tmp_path)).collect()} == {*range(3, 13)}
