@@ -8,7 +8,8 @@ that share a band are verified by the exact similarity, linked from 0.8 on, and
 
 Equal texts are one node from the start. In a band's bucket each text is paired with the bucket's smallest; then the buckets in
 which texts of different classes are left are gone through again, small ones by all their pairs, large ones class by class. The
-number of pairs is thus linear in a group of copies.
+number of pairs is thus linear in a group of copies. What is still apart in large buckets is gone through exactly, by a prefix
+filter over rare shingles: no two texts of one bucket that are similar enough stay apart.
 """
 
 from __future__ import annotations
@@ -130,6 +131,43 @@ def components(links: DataFrame) -> DataFrame:
         edges = pairs(edges.join(least.hint("shuffle_merge"), "u"), ("v", "m"), ("u", "m"))
 
 
+def rare_pairs(apart: DataFrame, texts: DataFrame, *, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """apart(key, class), texts(key, text) -> a, b: of the pairs of different classes all that can be similar enough.
+
+    If texts have the shares p and q of their weight in common, their similarity is at most 1 / (1/p + 1/q - 1). The shingles of
+    every text are ordered by how many texts have them; before the first one that both have, neither can have more than what it
+    does not share. So a pair counts only if it has a shingle before which little enough stands in both."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, (shingles, counts) in enumerate(text_shingles(batch.column(2).to_pylist(), words)):
+                n = len(shingles)
+                own = [pa.array(np.full(n, batch.column(c)[k].as_py(), np.int64)) for c in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(shingles.view(np.int64)), pa.array(counts / max(1, counts.sum()))], names=["id", "group", "shingle", "share"])
+
+    named = stored(apart.withColumn("id", F.monotonically_increasing_id()))
+    groups = named.groupBy("class").agg(F.min("id").alias("group"))
+    numbered = named.join(groups.hint("shuffle_merge"), "class").select("key", "id", "group")
+    given = numbered.join(texts.hint("shuffle_merge"), "key").select("id", "group", "text")
+    parts = stored(bounded_batches(given).mapInArrow(spread, "id long, group long, shingle long, share double"))
+    rarity = parts.groupBy("shingle").agg(F.count("*").alias("df"), (F.min("group") != F.max("group")).alias("met"))
+    earlier = W.partitionBy("id").orderBy("df", "shingle").rowsBetween(W.unboundedPreceding, -1)
+    placed = parts.join(rarity.hint("shuffle_merge"), "shingle").withColumn("before", F.coalesce(F.sum("share").over(earlier), F.lit(0.0)))
+    rare = stored(placed.filter(F.col("met") & (F.col("before") <= 1 - similarity + 1e-9)).select("id", "group", "shingle", "before"))
+    can = 1 / (1 - F.col("x.before")) + 1 / (1 - F.col("y.before")) <= 1 + 1 / similarity + 1e-9
+    both = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.group") != F.col("y.group"))
+    pairs = rare.alias("x").join(rare.alias("y").hint("shuffle_merge"), both & can).select(F.col("x.id").alias("i"), F.col("y.id").alias("j")).distinct()
+    ends = pairs.join(named.select(F.col("id").alias("i"), F.col("key").alias("k")).hint("shuffle_merge"), "i").join(named.select(F.col("id").alias("j"), F.col("key").alias("l")).hint("shuffle_merge"), "j")
+    return ends.select(F.least("k", "l").alias("a"), F.greatest("k", "l").alias("b"))
+
+
+def mixed_buckets(shared: DataFrame, classes: DataFrame) -> DataFrame:
+    """shared(band, key, n) with the class of each key, of the bands in which there are several classes."""
+    placed = shared.join(classes.withColumnRenamed("node", "key").hint("shuffle_merge"), "key", "left").withColumn("class", F.coalesce("class", "key"))
+    mixed = placed.groupBy("band").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo <> hi").select("band")
+    return placed.join(mixed.hint("shuffle_merge"), "band").select("band", "key", "class", "n")
+
+
 def near_links(docs: DataFrame, signed: DataFrame, *, words: int = WORDS, similarity: float = SIMILARITY, small: int = SMALL) -> DataFrame:
     """a, b, similarity: verified links between the keys of different texts."""
     nodes = signed.filter("key is not null").dropDuplicates(["key"]).select("key", F.explode("bands").alias("band"))
@@ -141,10 +179,7 @@ def near_links(docs: DataFrame, signed: DataFrame, *, words: int = WORDS, simila
     texts = stored(keyed.join(needed.hint("shuffle_merge"), "key", "left_semi").dropDuplicates(["key"]))
     links = stored(linked(stars, texts, words=words, similarity=similarity))
 
-    classes = components(links)
-    placed = shared.join(classes.withColumnRenamed("node", "key").hint("shuffle_merge"), "key", "left").withColumn("class", F.coalesce("class", "key"))
-    mixed = placed.groupBy("band").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo <> hi").select("band")
-    open_ = stored(placed.join(mixed.hint("shuffle_merge"), "band").select("band", "key", "class", "n"))
+    open_ = stored(mixed_buckets(shared, components(links)))
     one, two = open_.filter(F.col("n") <= small), open_.filter(F.col("n") > small)
     pair = [F.col("x.key").alias("a"), F.col("y.key").alias("b")]
     apart = (F.col("x.class") != F.col("y.class")) & (F.col("x.key") < F.col("y.key"))
@@ -152,7 +187,17 @@ def near_links(docs: DataFrame, signed: DataFrame, *, words: int = WORDS, simila
     heads = two.groupBy("band", "class").agg(F.min("key").alias("key"))
     chain = heads.withColumn("a", F.lag("key").over(W.partitionBy("band").orderBy("class"))).filter("a is not null").select(F.least("a", "key").alias("a"), F.greatest("a", "key").alias("b"))
     more = stored(near.unionByName(chain).distinct().join(stars.hint("shuffle_merge"), ["a", "b"], "left_anti"))
-    return links.unionByName(linked(more, texts, words=words, similarity=similarity))
+    links = stored(links.unionByName(linked(more, texts, words=words, similarity=similarity)))
+
+    crowds = two.select("band", "key", "n")
+    if crowds.isEmpty():
+        return links
+    left = stored(mixed_buckets(crowds, components(links)).select("key", "class").distinct())
+    if left.isEmpty():
+        return links
+    tried = stars.unionByName(more)
+    rest = stored(rare_pairs(left, texts, words=words, similarity=similarity).join(tried.hint("shuffle_merge"), ["a", "b"], "left_anti"))
+    return links.unionByName(linked(rest, texts, words=words, similarity=similarity))
 
 
 def near_classes(docs: DataFrame, *, words: int = WORDS, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, small: int = SMALL) -> DataFrame:
