@@ -32,18 +32,27 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return done.withColumn("n_chars", changed).select(*docs.columns)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with a row number __row, written so that it is the same whenever it is read."""
+    return stored(docs.withColumn("__row", F.monotonically_increasing_id()))
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates, that with the smallest doc_id. Documents without a doc_id stay."""
-    classes = stored(near_classes(docs))
-    gone = classes.filter("class_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone.hint("shuffle_merge"), "doc_id", "left_anti").select(*docs.columns)
+    """One row of each class of near duplicates, that with the smallest doc_id and of these the first; one without a doc_id only
+    if no row of the class has one."""
+    rows = numbered(docs)
+    classes = near_classes(rows.select(F.col("__row").alias("doc_id"), "text")).select(F.col("doc_id").alias("__row"), "class_id")
+    ranked = rows.select("__row", F.col("doc_id").isNull().alias("none"), "doc_id").join(stored(classes).hint("shuffle_merge"), "__row")
+    kept = ranked.groupBy("class_id").agg(F.min(F.struct("none", "doc_id", "__row")).alias("first")).select("first.__row")
+    return rows.join(kept.hint("shuffle_merge"), "__row", "left_semi").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which less than a twentieth is benchmark text."""
-    judged = stored(decontaminate(docs, table(spark, sf_dir, "benchmark")))
-    gone = judged.filter("contaminated").select("doc_id").distinct()
-    return docs.join(gone.hint("shuffle_merge"), "doc_id", "left_anti").select(*docs.columns)
+    """Rows of which less than a twentieth is benchmark text, each judged by its own text."""
+    rows = numbered(docs)
+    judged = decontaminate(rows.select(F.col("__row").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    gone = stored(judged.filter("contaminated").select(F.col("doc_id").alias("__row")))
+    return rows.join(gone.hint("shuffle_merge"), "__row", "left_anti").select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
