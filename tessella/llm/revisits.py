@@ -44,7 +44,8 @@ def resolve_revisits(records: DataFrame, *, bucket_seconds: int = BUCKET_SECONDS
     status: resolved; no_response (no earlier full response, or the revisit has no url or time); mismatch (a validator of both
     differs: the entity tag without W/, else the modification time); unchecked (no validator in common). headers are merged
     where resolved, null otherwise: the revisit's values replace the stored ones, except those of KEPT_HEADERS. Earlier means
-    at a smaller time; of responses at one time the one with the largest id counts. Repeated revisit rows give repeated rows;
+    at a smaller time; of responses at one time the one with the largest id counts, and
+    of responses with one id the latest. Repeated revisit rows give repeated rows;
     records of other kinds are ignored, and so are responses without id, url or time."""
     r = only(records, "record_id", "kind", "url", "at", "etag", "last_modified", "headers").withColumn("canonical", canonical_url(F.col("url")))
     asks = r.filter("kind = 'revisit'")
@@ -63,8 +64,14 @@ def resolve_revisits(records: DataFrame, *, bucket_seconds: int = BUCKET_SECONDS
     found = points.withColumn("inside", F.last("full", ignorenulls=True).over(inside)).filter("full is null")
     asof = found.join(carried.hint("shuffle_merge"), ["canonical", "bucket"], "left").select("canonical", "at", F.coalesce("inside", "carried").getField("record_id").alias("response_id"))
 
-    stored_side = r.filter("kind = 'response'").dropDuplicates(["record_id"]).select(F.col("record_id").alias("response_id"), F.col("etag").alias("old_etag"), F.col("last_modified").alias("old_modified"), F.col("headers").alias("old_headers"))
-    joined = asks.join(asof.hint("shuffle_merge"), ["canonical", "at"], "left").join(stored_side.hint("shuffle_merge"), "response_id", "left")
+    entries = F.array_sort(F.map_entries(F.coalesce("headers", F.create_map().cast("map<string,string>"))))
+    latest = r.filter("kind = 'response' and record_id is not null").groupBy("record_id").agg(F.max(F.struct("at", "etag", "last_modified", entries.alias("headers"))).alias("old"))
+    stored_side = latest.select(F.col("record_id").alias("response_id"), F.col("old.etag").alias("old_etag"), F.col("old.last_modified").alias("old_modified"), F.map_from_entries("old.headers").alias("old_headers"))
+    # Revisits without a time or an earlier response meet nothing, and so are in no join on what they lack.
+    placed = asks.filter("canonical is not null and at is not null").join(asof.hint("shuffle_merge"), ["canonical", "at"])
+    met = placed.filter("response_id is not null").join(stored_side.hint("shuffle_merge"), "response_id")
+    alone = placed.filter("response_id is null").unionByName(asks.filter("canonical is null or at is null"), allowMissingColumns=True)
+    joined = met.unionByName(alone, allowMissingColumns=True)
     strong = lambda c: F.regexp_replace(c, "^W/", "")
     status = (
         F.when(F.col("response_id").isNull(), "no_response")
