@@ -5,7 +5,7 @@ shingles are ordered by rarity over the whole corpus. A document can hold a wind
 shingle - a prefix of length one is necessary for containment - at a place that leaves room for the whole window. These
 candidate places are then verified exactly: the window occurs there if every one of its shingles stands at its place.
 
-The benchmark side is small but is only broadcast behind a check of its rows; the corpus is exploded, filtered against the
+The benchmark side is small but is only broadcast behind a check of its bytes; the corpus is exploded, filtered against the
 benchmark's shingles in the same stage, and only what matches is ever shuffled.
 """
 
@@ -15,9 +15,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import only, stored, table, words
+from .common import join_hint, only, stored, table, words
 
-WINDOW, SHINGLE, BROADCAST_ROWS = 13, 3, 2_000_000
+WINDOW, SHINGLE = 13, 3
 
 
 def _shingles(array: Column, q: int) -> Column:
@@ -51,7 +51,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW
     lengths = sorted({min(shingle, r["n"]) for r in windows.select("n").distinct().collect()})
 
     rows = only(docs, "doc_id", "text").withColumn("row", F.monotonically_increasing_id())
-    texts = rows.select("row", words(F.col("text")).alias("words"))
+    texts = rows.select("row", words(F.col("text")).alias("words")).withColumn("n_words", F.size("words"))
     kinds = windows.dropDuplicates(["window"]).select("window", "n", "words")
     parts = [_exploded(kinds.filter(F.least(F.col("n"), F.lit(shingle)) == q), q, "window", "n").withColumn("q", F.lit(q)) for q in lengths]
     if not parts:
@@ -63,13 +63,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW
 
     # Where the corpus holds a shingle of the benchmark at all. One pass; nothing else of the corpus is shuffled.
     wanted = stored(inside.select("shingle", "q").distinct())
-    small = "broadcast" if wanted.count() <= BROADCAST_ROWS else "shuffle_merge"
+    small = join_hint(wanted, "shingle")
     met = None
     for q in lengths:
-        part = _exploded(texts, q, "row").join(wanted.filter(F.col("q") == q).select("shingle").hint(small), "shingle").select("row", "pos", "shingle")
+        part = _exploded(texts.filter(F.col("n_words") >= q), q, "row", "n_words").join(wanted.filter(F.col("q") == q).select("shingle").hint(small), "shingle").select("row", "n_words", "pos", "shingle")
         met = part if met is None else met.unionByName(part)
     if met is None:
-        met = texts.select("row", F.lit(0).alias("pos"), F.lit("").alias("shingle")).limit(0)
+        met = texts.select("row", "n_words", F.lit(0).alias("pos"), F.lit("").alias("shingle")).limit(0)
     met = stored(met)
 
     # The order by rarity, and each window's prefix: its rarest shingle (ties: the smallest, then the first).
@@ -79,20 +79,21 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW
     prefix = stored(ranked.withColumn("at", F.row_number().over(first)).filter("at = 1 and df > 0").select("window", "n", "shingle", "offset", "q"))
     shingles_of = stored(inside.join(prefix.select("window").hint("shuffle_merge"), "window", "left_semi"))
 
-    how = "broadcast" if prefix.count() <= BROADCAST_ROWS else "shuffle_merge"
-    places = met.join(prefix.hint(how), "shingle").select("row", (F.col("pos") - F.col("offset")).alias("start"), "window", "n", "q").filter("start >= 0")
+    how = join_hint(prefix, "window", "shingle")
+    # Bounds by position and length: the whole window must lie in the document.
+    places = met.join(prefix.hint(how), "shingle").select("row", (F.col("pos") - F.col("offset")).alias("start"), "window", "n", "q", "n_words").filter("start >= 0 and start + n <= n_words")
     # Exact: the place holds the window if all its n - q + 1 shingles stand in their places.
-    how = "broadcast" if shingles_of.count() <= BROADCAST_ROWS else "shuffle_merge"
+    how = join_hint(shingles_of, "window", "shingle")
     expected = places.join(shingles_of.select("window", "offset", "shingle").hint(how), "window").select("row", "start", "window", "n", "q", (F.col("start") + F.col("offset")).alias("pos"), "shingle")
-    held = expected.join(met.hint("shuffle_merge"), ["row", "pos", "shingle"], "left_semi")
+    held = expected.join(met.drop("n_words").hint("shuffle_merge"), ["row", "pos", "shingle"], "left_semi")
     occurrences = stored(held.groupBy("row", "start", "window", "n", "q").count().filter(F.col("count") == F.col("n") - F.col("q") + 1).select("row", "start", "window", "n"))
 
     # Words covered: the sum of what each start adds beyond what those before it have covered.
     spans = occurrences.groupBy("row", "start").agg(F.max(F.col("start") + F.col("n")).alias("end"))
     before = F.coalesce(F.max("end").over(W.partitionBy("row").orderBy("start").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     hits = spans.withColumn("added", F.greatest(F.lit(0), F.col("end") - F.greatest(F.col("start"), before))).groupBy("row").agg(F.sum("added").alias("n_hit"))
-    how = "broadcast" if windows.count() <= BROADCAST_ROWS else "shuffle_merge"
-    named = occurrences.select("row", "window").distinct().join(windows.select("window", "item").distinct().hint(how), "window").groupBy("row").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    owners = stored(windows.select("window", "item").distinct())
+    named = occurrences.select("row", "window").distinct().join(owners.hint(join_hint(owners, "window", "item")), "window").groupBy("row").agg(F.array_sort(F.collect_set("item")).alias("items"))
     found = hits.join(named.hint("shuffle_merge"), "row")
 
     sizes = rows.select("row", "doc_id", F.size(words(F.col("text"))).cast("long").alias("n_words"))
