@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import bounded_batches, only, stored, table
+from .common import bounded_batches, lean, only, spread_join, stored, table
 from .shingles import mix, text_shingles
 
 #: Words of a shingle, similarity of a link, bands and registers of a band: a pair at 0.8 shares a band in all but 7 cases of
@@ -75,7 +75,7 @@ def signatures(docs: DataFrame, *, words: int = WORDS, bands: int = BANDS, rows:
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = mix(np.arange(1, bands + 1, dtype=np.uint64) * _STEP)
-        for batch in batches:
+        for batch in lean(batches):
             out = []
             for shingles, counts in text_shingles(batch.column(2).to_pylist(), words):
                 if not len(shingles):
@@ -98,7 +98,7 @@ def linked(pairs: DataFrame, texts: DataFrame, *, words: int = WORDS, similarity
 
     @F.pandas_udf("double")
     def measured(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for left, right in batches:
+        for left, right in lean(batches):
             yield pd.Series([probability_jaccard(a, b) for a, b in zip(text_shingles(list(left), words), text_shingles(list(right), words), strict=True)], dtype="float64")
 
     named = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("left")).hint("shuffle_merge"), "a")
@@ -139,7 +139,7 @@ def rare_pairs(apart: DataFrame, texts: DataFrame, *, words: int = WORDS, simila
     does not share. So a pair counts only if it has a shingle before which little enough stands in both."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in lean(batches):
             for k, (shingles, counts) in enumerate(text_shingles(batch.column(2).to_pylist(), words)):
                 n = len(shingles)
                 own = [pa.array(np.full(n, batch.column(c)[k].as_py(), np.int64)) for c in (0, 1)]
@@ -154,9 +154,12 @@ def rare_pairs(apart: DataFrame, texts: DataFrame, *, words: int = WORDS, simila
     earlier = W.partitionBy("id").orderBy("df", "shingle").rowsBetween(W.unboundedPreceding, -1)
     placed = parts.join(rarity.hint("shuffle_merge"), "shingle").withColumn("before", F.coalesce(F.sum("share").over(earlier), F.lit(0.0)))
     rare = stored(placed.filter(F.col("met") & (F.col("before") <= 1 - similarity + 1e-9)).select("id", "group", "shingle", "before"))
+    # Of a pair that is similar enough one side at least has no more than (1 - s) / (1 + s) before.
+    short = rare.filter(F.col("before") <= (1 - similarity) / (1 + similarity) + 1e-9)
     can = 1 / (1 - F.col("x.before")) + 1 / (1 - F.col("y.before")) <= 1 + 1 / similarity + 1e-9
-    both = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.group") != F.col("y.group"))
-    pairs = rare.alias("x").join(rare.alias("y").hint("shuffle_merge"), both & can).select(F.col("x.id").alias("i"), F.col("y.id").alias("j")).distinct()
+    both = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.id") != F.col("y.id")) & (F.col("x.group") != F.col("y.group"))
+    met = short.alias("x").join(rare.alias("y").hint("shuffle_merge"), both & can)
+    pairs = met.select(F.least("x.id", "y.id").alias("i"), F.greatest("x.id", "y.id").alias("j")).distinct()
     ends = pairs.join(named.select(F.col("id").alias("i"), F.col("key").alias("k")).hint("shuffle_merge"), "i").join(named.select(F.col("id").alias("j"), F.col("key").alias("l")).hint("shuffle_merge"), "j")
     return ends.select(F.least("k", "l").alias("a"), F.greatest("k", "l").alias("b"))
 
@@ -168,8 +171,8 @@ def mixed_buckets(shared: DataFrame, classes: DataFrame) -> DataFrame:
     return placed.join(mixed.hint("shuffle_merge"), "band").select("band", "key", "class", "n")
 
 
-def near_links(docs: DataFrame, signed: DataFrame, *, words: int = WORDS, similarity: float = SIMILARITY, small: int = SMALL) -> DataFrame:
-    """a, b, similarity: verified links between the keys of different texts."""
+def near_components(docs: DataFrame, signed: DataFrame, *, words: int = WORDS, similarity: float = SIMILARITY, small: int = SMALL) -> DataFrame:
+    """node, class: the components of verified links between the keys of different texts, for keys that have any."""
     nodes = signed.filter("key is not null").dropDuplicates(["key"]).select("key", F.explode("bands").alias("band"))
     least = nodes.groupBy("band").agg(F.min("key").alias("first"), F.count("*").alias("n")).filter("n > 1")
     shared = stored(nodes.join(least.hint("shuffle_merge"), "band").select("band", "key", "first", "n"))
@@ -179,7 +182,10 @@ def near_links(docs: DataFrame, signed: DataFrame, *, words: int = WORDS, simila
     texts = stored(keyed.join(needed.hint("shuffle_merge"), "key", "left_semi").dropDuplicates(["key"]))
     links = stored(linked(stars, texts, words=words, similarity=similarity))
 
-    open_ = stored(mixed_buckets(shared, components(links)))
+    of = stored(components(links))
+    open_ = stored(mixed_buckets(shared, of))
+    if open_.isEmpty():
+        return of
     one, two = open_.filter(F.col("n") <= small), open_.filter(F.col("n") > small)
     pair = [F.col("x.key").alias("a"), F.col("y.key").alias("b")]
     apart = (F.col("x.class") != F.col("y.class")) & (F.col("x.key") < F.col("y.key"))
@@ -189,32 +195,43 @@ def near_links(docs: DataFrame, signed: DataFrame, *, words: int = WORDS, simila
     more = stored(near.unionByName(chain).distinct().join(stars.hint("shuffle_merge"), ["a", "b"], "left_anti"))
     links = stored(links.unionByName(linked(more, texts, words=words, similarity=similarity)))
 
-    crowds = two.select("band", "key", "n")
-    if crowds.isEmpty():
-        return links
-    left = stored(mixed_buckets(crowds, components(links)).select("key", "class").distinct())
+    of = stored(components(links))
+    left = stored(mixed_buckets(two.select("band", "key", "n"), of).select("key", "class").distinct())
     if left.isEmpty():
-        return links
+        return of
     tried = stars.unionByName(more)
     rest = stored(rare_pairs(left, texts, words=words, similarity=similarity).join(tried.hint("shuffle_merge"), ["a", "b"], "left_anti"))
-    return links.unionByName(linked(rest, texts, words=words, similarity=similarity))
+    # A text that is similar to one of a class needn't be compared with the others: each round takes more candidates of each
+    # text in each class, until none between different classes is left.
+    width = 1
+    while True:
+        first, second = (of.select(F.col("node").alias(x), F.col("class").alias(f"{x}_class")) for x in "ab")
+        placed = rest.join(first.hint("shuffle_merge"), "a", "left").join(second.hint("shuffle_merge"), "b", "left")
+        placed = placed.withColumns({f"{x}_class": F.coalesce(f"{x}_class", x) for x in "ab"}).filter("a_class <> b_class")
+        nth = F.row_number().over(W.partitionBy("a", "b_class").orderBy(F.xxhash64("b"), "b"))
+        rest = stored(placed.select("a", "b", nth.alias("nth")))
+        if rest.isEmpty():
+            return of
+        links = stored(links.unionByName(linked(rest.filter(F.col("nth") <= width), texts, words=words, similarity=similarity)))
+        of = stored(components(links))
+        rest, width = rest.filter(F.col("nth") > width).select("a", "b"), 8 * width
 
 
 def near_classes(docs: DataFrame, *, words: int = WORDS, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, small: int = SMALL) -> DataFrame:
-    """docs(doc_id, text) -> a row per document: doc_id, class_id (the smallest doc_id of its class), n_links (links of its text to other
-    texts), n_copies (documents with exactly its text).
+    """docs(doc_id, text) -> a row per document: doc_id, class_id (the smallest doc_id of its class), n_copies (documents with exactly its text).
 
     Texts without words are alike only if equal; null and empty texts are in no class but their own; a null doc_id never is a
     class_id unless it is alone. Repeated rows are copies."""
     signed = stored(signatures(docs, words=words, bands=bands, rows=rows))
-    links = stored(near_links(docs, signed, words=words, similarity=similarity, small=small))
-    of = components(links).withColumnRenamed("node", "key")
-    degree = links.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count("*").alias("n_links"))
+    of = near_components(docs, signed, words=words, similarity=similarity, small=small).withColumnRenamed("node", "key")
     texts = signed.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("first"), F.count("*").alias("n_copies"))
-    placed = stored(texts.join(of.hint("shuffle_merge"), "key", "left").join(degree.hint("shuffle_merge"), "key", "left").withColumn("class", F.coalesce("class", "key")))
+    placed = stored(texts.join(of.hint("shuffle_merge"), "key", "left").withColumn("class", F.coalesce("class", "key")))
     heads = placed.groupBy("class").agg(F.min("first").alias("class_id"))
-    known = placed.join(heads.hint("shuffle_merge"), "class").select("key", "class_id", "n_links", "n_copies")
-    return signed.select("doc_id", "key").join(known.hint("shuffle_merge"), "key", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"))
+    known = stored(placed.join(heads.hint("shuffle_merge"), "class").select("key", "class_id", "n_copies"))
+    own = signed.select("doc_id", "key")
+    met = spread_join(own.filter("key is not null"), known, ["key"], "n_copies").select("doc_id", "class_id", "n_copies")
+    alone = own.filter("key is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("n_copies"))
+    return met.unionByName(alone).withColumn("class_id", F.coalesce("class_id", "doc_id"))
 
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
