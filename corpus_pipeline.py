@@ -19,44 +19,57 @@ from tessella.llm.token_counts import vocabulary_text
 from tessella.llm.toxicity import score_toxicity, toxicity_model
 
 
+def whole(docs: DataFrame, *columns: str) -> DataFrame:
+    """docs as one column __doc, with just these columns beside it: no name of docs can clash with one of an operator."""
+    every = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc")
+    return docs.select(every, *[F.col(f"`{c}`") for c in columns])
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose expected severity is below the rejection threshold."""
+    """Documents whose expected severity is below the rejection threshold. A null or empty text has no words and stays; each row,
+    repeated or not, is judged by its own text; a row without doc_id has no label but is judged all the same."""
     model = toxicity_model(docs, table(spark, sf_dir, "labels"))
-    return score_toxicity(docs, model).filter("not toxic").select(*docs.columns)
+    return score_toxicity(whole(docs, "text"), model).filter("not toxic").select("__doc.*")
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without later copies of repeated runs of lines; documents that lose all their lines go. n_chars follows the text."""
-    done = dedup_lines(docs, whole=True).filter("n_removed < n_lines or n_lines = 0")
-    changed = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return done.withColumn("n_chars", changed).select(*docs.columns)
+    """Texts without later copies of repeated runs of lines; documents that lose all their lines go. n_chars, where there is one,
+    follows the text. Null texts have no lines and stay."""
+    done = dedup_lines(whole(docs, "doc_id", "text")).filter("n_removed < n_lines or n_lines = 0")
+    own = {c: F.col("__doc").getField(c) for c in docs.columns}
+    given = own | {"text": F.col("text")}
+    if "n_chars" in own:
+        given["n_chars"] = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(own["n_chars"])
+    return done.select(*[x.alias(c) for c, x in given.items()])
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """docs with a row number __row, written so that it is the same whenever it is read."""
-    return stored(docs.withColumn("__row", F.monotonically_increasing_id()))
+    """docs as __doc, doc_id and text with a row number, written so that it is the same whenever it is read."""
+    return stored(whole(docs, "doc_id", "text").withColumn("row", F.monotonically_increasing_id()))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each class of near duplicates, that with the smallest doc_id and of these the first; one without a doc_id only
-    if no row of the class has one."""
+    if no row of the class has one. Null and empty texts are in no class and stay."""
     rows = numbered(docs)
-    classes = near_classes(rows.select(F.col("__row").alias("doc_id"), "text")).select(F.col("doc_id").alias("__row"), "class_id")
-    ranked = rows.select("__row", F.col("doc_id").isNull().alias("none"), "doc_id").join(stored(classes).hint("shuffle_merge"), "__row")
-    kept = ranked.groupBy("class_id").agg(F.min(F.struct("none", "doc_id", "__row")).alias("first")).select("first.__row")
-    return rows.join(kept.hint("shuffle_merge"), "__row", "left_semi").select(*docs.columns)
+    classes = near_classes(rows.select(F.col("row").alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), "class_id")
+    ranked = rows.select("row", F.col("doc_id").isNull().alias("none"), "doc_id").join(stored(classes).hint("shuffle_merge"), "row")
+    kept = ranked.groupBy("class_id").agg(F.min(F.struct("none", "doc_id", "row")).alias("first")).select("first.row")
+    return rows.join(kept.hint("shuffle_merge"), "row", "left_semi").select("__doc.*")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows of which less than a twentieth is benchmark text, each judged by its own text."""
+    """Rows of which less than a twentieth is benchmark text, each judged by its own text. Null and empty texts have no words and
+    stay."""
     rows = numbered(docs)
-    judged = decontaminate(rows.select(F.col("__row").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
-    gone = stored(judged.filter("contaminated").select(F.col("doc_id").alias("__row")))
-    return rows.join(gone.hint("shuffle_merge"), "__row", "left_anti").select(*docs.columns)
+    judged = decontaminate(rows.select(F.col("row").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    gone = stored(judged.filter("contaminated").select(F.col("doc_id").alias("row")))
+    return rows.join(gone.hint("shuffle_merge"), "row", "left_anti").select("__doc.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, and digests of the token ids and of the text decoded from them."""
+    """doc_id, n_tokens, and digests of the token ids and of the text decoded from them, a row for each row; a null or empty
+    text has no tokens."""
     return bpe_digests(docs, vocabulary_text())
 
 

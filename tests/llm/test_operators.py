@@ -124,7 +124,7 @@ def test_near_duplicates_against_brute_force(spark):
                 a, b = sorted((root(i), root(j)))
                 parent[b] = a
     assert {i: r["class_id"] for i, r in got.items()} == {i: root(i) for i in parent}
-    assert got[10]["n_copies"] == 3 and got[30]["n_links"] == 0
+    assert got[10]["n_copies"] == 3 and got[30]["n_copies"] == 1
     assert near_dedup.near_classes(table(spark, rows).filter("false")).count() == 0
 
 
@@ -141,6 +141,23 @@ def test_pairs_within_a_crowd_are_found(spark):
     assert got == {i: i - i % 2 for i in sets}
 
 
+def test_a_class_and_its_neighbours(spark):
+    """Texts with little of their own, all in one class, and texts with more, each similar to some of the former only."""
+    base, rows = prose(1, 300).split(), []
+    for k in range(25):
+        rows.append((k, " ".join(base + prose(1000 + k, 10).split())))
+        rows.append((100 + k, " ".join(base[: 290 - k] + prose(3000 + k, 40 + k).split())))
+    sets = {i: Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4)) for i, t in rows for w in [words(t)]}
+    group = {i: i for i in sets}
+    for i in sets:
+        for j in sets:
+            if probability_jaccard(sets[i], sets[j]) >= 0.8:
+                low, high = sorted((group[i], group[j]))
+                group = {k: low if g == high else g for k, g in group.items()}
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_classes(table(spark, rows), small=2).collect()}
+    assert got == group and 1 < len(set(group.values())) < 26
+
+
 def test_probminhash_estimates_probability_jaccard():
     rng = np.random.default_rng(3)
     a, b = np.arange(1, 200, dtype=np.uint64), np.arange(60, 260, dtype=np.uint64)
@@ -201,44 +218,28 @@ def test_suffix_arrays_against_sorting():
 
 
 def test_lines_against_brute_force(spark):
+    rng, short = np.random.default_rng(8), "\n".join(prose(70 + k, 6)[:38] for k in range(10))
     a, b, c = ("alpha " * 9).strip(), ("beta " * 9).strip(), "long line " * 25
     rows = [(1, f"{a}\n{b}\nend one"), (2, f"x\n{a}\n{b}\ny"), (3, f"{a}\nz"), (4, None), (5, ""), (6, f"{c}\nq"), (7, f"p\n{c}"), (8, f"{a}\n{b}"), (9, "\n".join([a] * 5)), (10, "s\nt"), (11, "s\nt"), (12, "\n".join(prose(k, 6) for k in range(3000)))]
-    got = {r["doc_id"]: r for r in line_dedup.dedup_lines(table(spark, rows)).collect()}
-    seen, gone = set(), {}
-    for i, t in rows:
-        lines = t.split("\n") if t is not None else []
-        for k in range(len(lines)):
-            for n, least in ((1, 200), (2, 80)):
-                run = tuple(lines[k : k + n])
-                if len(run) == n and sum(map(len, run)) >= least:
-                    gone.setdefault(i, set()).update(range(k, k + n)) if run in seen else seen.add(run)
-    for i, t in rows:
-        lines = t.split("\n") if t is not None else []
-        kept = "\n".join(x for k, x in enumerate(lines) if k not in gone.get(i, ()))
-        assert (got[i]["text"], got[i]["n_lines"], got[i]["n_removed"]) == (t if t is None else kept, len(lines), len(gone.get(i, ())))
-    assert got[8]["text"] == "" and got[2]["n_runs"] == 1 and got[1]["rank"] == 1
-    assert line_dedup.dedup_lines(table(spark, rows).filter("false")).count() == 0
-
-
-def test_whole_runs_against_brute_force(spark):
-    rng, short = np.random.default_rng(8), "\n".join(prose(70 + k, 6)[:38] for k in range(10))
-    rows = [(k, "\n".join(rng.choice(["", "", "ab", "c" * 30, "d" * 41, "e" * 90, "f" * 210], rng.integers(1, 14)))) for k in range(60)]
-    rows += [(100, f"own\n{short}\nend"), (101, f"other\n{short}\nlast"), (102, None), (103, ""), (104, "\n" * 400 + "g" * 80), (105, "\n" * 300 + "g" * 80), (106, "\n".join(["h" * 7] * 40))]
+    rows += [(20 + k, "\n".join(rng.choice(["", "", "ab", "c" * 30, "d" * 41, "e" * 90, "f" * 210], rng.integers(1, 14)))) for k in range(60)]
+    rows += [(100, f"own\n{short}\nend"), (101, f"other\n{short}\nlast"), (104, "\n" * 400 + "g" * 80), (105, "\n" * 300 + "g" * 80), (106, "\n".join(["h" * 7] * 40))]
     seen, gone = set(), {}
     for i, t in rows:
         lines = t.split("\n") if t is not None else []
         for k in range(len(lines)):
             size = 0
-            for e in range(k + 1, len(lines) + 1):
+            for e in range(k + 1, min(len(lines), k + 500) + 1):
                 size += len(lines[e - 1])
                 if size >= (200 if e == k + 1 else 80):
                     run = hash(tuple(lines[k:e]))
                     gone.setdefault(i, set()).update(range(k, e)) if run in seen else seen.add(run)
-    got = {r["doc_id"]: r for r in line_dedup.dedup_lines(table(spark, rows), whole=True).collect()}
+    got = {r["doc_id"]: r for r in line_dedup.dedup_lines(table(spark, rows)).collect()}
     for i, t in rows:
         lines = t.split("\n") if t is not None else []
         kept = "\n".join(x for k, x in enumerate(lines) if k not in gone.get(i, ()))
-        assert (got[i]["text"], got[i]["n_removed"]) == (t if t is None else kept, len(gone.get(i, ())))
+        assert (got[i]["text"], got[i]["n_lines"], got[i]["n_removed"]) == (t if t is None else kept, len(lines), len(gone.get(i, ())))
+    assert got[8]["text"] == "" and got[2]["n_runs"] == 1 and got[1]["rank"] == 1 and got[101]["text"] == "other\nlast"
+    assert line_dedup.dedup_lines(table(spark, rows).filter("false")).count() == 0
 
 
 def test_pipeline_drops_runs_of_short_lines(spark):
@@ -344,8 +345,7 @@ def test_pipeline_stages_keep_clean_documents(spark, tmp_path):
     spark.createDataFrame([(i, 0, 1) for i in range(40)] + [(100 + i, 1, 1) for i in range(20)], "doc_id long, toxic int, quality int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     kept = {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
-    assert kept == {*range(40), 200, 201, 203} or kept == {*range(40), 200, 201}
-    assert 1 in kept and not kept & {*range(100, 120), 202, 204}
+    assert kept == {*range(40), 200, 201}  # 202 is a copy, 203 nearly one, 204 a benchmark item
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, str(tmp_path))
@@ -363,3 +363,17 @@ def test_pipeline_stages_decide_by_row(spark, tmp_path):
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
     assert {r["n_chars"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path)).collect()} == {2, 3, 4, 7, 10, 11, 12}
     assert {r["n_chars"] for r in corpus_pipeline.drop_contaminated(spark, docs, str(tmp_path)).collect()} == {*range(3, 13)}
+
+
+def test_pipeline_stages_take_clashing_names(spark, tmp_path):
+    import corpus_pipeline
+
+    rows = [(1, prose(1, 60), "a", 7, "x", 1), (2, prose(1, 60), "b", 8, "y", 2), (3, None, "c", 9, "z", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic string, n_removed long, `n.lines` string, row long")
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for (_, stage), left in zip(corpus_pipeline.STAGES[:-1], (3, 2, 2, 3), strict=True):
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns
+        got = {tuple(r) for r in out.collect()}
+        assert len(got) == left and got <= set(rows)

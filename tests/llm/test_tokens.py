@@ -26,7 +26,7 @@ def docs(spark):
 def test_counts_match_the_library(docs, vocabulary):
     lib = Tokenizer.from_str(vocabulary)
     for small in (2, 1000):  # with a tiny first tier and cache, the same counts
-        got = token_counts.token_counts(docs, vocabulary, table_size=small, cache_size=small, limit=2048).collect()
+        got = token_counts.token_counts(docs, vocabulary, table_size=small, cache_bytes=small, limit=2048).collect()
         assert len(got) == len(TEXTS) + 1
         for r in got:
             x = r["text"] or ""
@@ -36,7 +36,7 @@ def test_counts_match_the_library(docs, vocabulary):
 
 def test_encoding_round_trip_matches_the_library(docs, vocabulary):
     lib = Tokenizer.from_str(vocabulary)
-    digests = {r["doc_id"]: r for r in bpe.bpe_digests(docs, vocabulary, cache_size=3).collect()}
+    digests = {r["doc_id"]: r for r in bpe.bpe_digests(docs, vocabulary, cache_bytes=3).collect()}
     for r in bpe.decode(bpe.encode(docs, vocabulary), vocabulary).collect():
         ids = lib.encode(r["text"] or "", add_special_tokens=False).ids
         assert r["ids"] == ids and r["decoded"] == lib.decode(ids, skip_special_tokens=False)
