@@ -21,13 +21,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .anchors import picks, prefix_sums, substring_hashes
-from .common import bounded_batches, only, stored, table
+from .common import bounded_batches, lean, only, spread_join, stored, table
 from .lyndon import suffix_arrays
 
 #: Length of a repeated string and of its gram; kinds of segments that a bucket may have to be sorted; letters of a call.
-WINDOW, GRAM, KINDS, LETTERS = 200, 64, 64, 1_500_000
+WINDOW, GRAM, KINDS, LETTERS = 200, 64, 64, 250_000
 #: Window starts of a text that are handled at once.
-SPAN = 1 << 21
+SPAN = 1 << 18
 
 
 def _segments(text: bytes, window: int, gram: int) -> Iterator[tuple[np.ndarray, ...]]:
@@ -44,7 +44,7 @@ def _packed(rows: DataFrame) -> DataFrame:
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
+        for batch in lean(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([None if x is None else tool.compress(x.encode()) for x in batch.column(2).to_pylist()], pa.binary())], names=["row", "doc_id", "packed"])
 
     return rows.select("row", "doc_id", "text").mapInArrow(packed, f"row long, doc_id {rows.schema['doc_id'].dataType.simpleString()}, packed binary")
@@ -106,12 +106,12 @@ def repeated_spans(rows: DataFrame, *, window: int = WINDOW, gram: int = GRAM, k
     def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
         """Columns h, seg, row, first, last of some texts at a time."""
         out: list[tuple] = []
-        for batch in batches:
+        for batch in lean(batches):
             for row, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if x and len(x) * 4 >= window:
                     for h, seg, first, last in _segments(x.encode(), window, gram):
                         out.append((h, seg, np.full(len(h), row), first.astype(np.int32), last.astype(np.int32)))
-                if len(out) >= 256:
+                if len(out) >= 64:
                     yield [np.concatenate(c) for c in zip(*out, strict=True)]
                     out = []
         if out:
@@ -126,9 +126,9 @@ def repeated_spans(rows: DataFrame, *, window: int = WINDOW, gram: int = GRAM, k
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["h", "seg", "row", "first", "last"])
 
     counted = rows.select("row", "text").mapInArrow(grams, "h long, seg long").groupBy("h").agg(F.count("*").alias("n"), F.min("seg").alias("lo"), F.max("seg").alias("hi"))
-    again = stored(counted.filter("n > 1").select("h", (F.col("lo") != F.col("hi")).alias("many")))
+    again = stored(counted.filter("n > 1").select("h", "n", (F.col("lo") != F.col("hi")).alias("many")))
     met = rows.select("row", "text").mapInArrow(occurrences, "h long, seg long, row long, first int, last int")
-    placed = stored(met.join(again.hint("shuffle_merge"), "h"))
+    placed = stored(spread_join(met, again, ["h"], "n").drop("n"))
     alone = placed.filter("not many").select("row", F.col("first").alias("start"), (F.col("last") + window).alias("end"))
 
     # The different segments of each bucket, fetched from one text each.
@@ -138,7 +138,7 @@ def repeated_spans(rows: DataFrame, *, window: int = WINDOW, gram: int = GRAM, k
     by_row = wanted.groupBy("row").agg(F.collect_list(F.struct("h", "seg", "n", "size", "first", "last")).alias("wanted"))  # of one text
 
     def fetched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in lean(batches):
             for x, wants in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 text = _unpacked(x)
                 columns = [[w[c] for w in wants] for c in ("h", "seg", "n", "size")]
@@ -167,7 +167,7 @@ def repeated_spans(rows: DataFrame, *, window: int = WINDOW, gram: int = GRAM, k
             parts = [_spans(m) for ms in masks for m in ms]
             return pa.RecordBatch.from_arrays([pa.array([h for h, _ in names], pa.int64()), pa.array([s for _, s in names], pa.int64()), pa.array(parts, _PARTS)], names=["h", "seg", "parts"])
 
-        for batch in batches:
+        for batch in lean(batches):
             for h, seg, n, text in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 if h != now:
                     if letters > 4 * LETTERS:
@@ -185,7 +185,7 @@ def repeated_spans(rows: DataFrame, *, window: int = WINDOW, gram: int = GRAM, k
     parts = few.mapInArrow(sorted_, f"h long, seg long, parts {_PARTS_SQL}")
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in lean(batches):
             for h, seg, n, text in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 sums, at = prefix_sums(np.frombuffer(text, dtype=np.uint8)), np.arange(len(text) - window + 1)
                 one, two = substring_hashes(sums, at, at + window), substring_hashes(sums, at, at + window // 2, 3)
@@ -196,7 +196,8 @@ def repeated_spans(rows: DataFrame, *, window: int = WINDOW, gram: int = GRAM, k
     rest = every.join(double.hint("shuffle_merge"), ["one", "two"]).select("h", "seg", F.struct(F.col("at").alias("a"), (F.col("at") + 1).alias("b")).alias("part"))
     judged = parts.unionByName(rest.groupBy("h", "seg").agg(F.collect_list("part").alias("parts")))  # of one segment
 
-    found = placed.filter("many").join(stored(judged.filter(F.size("parts") > 0)).hint("shuffle_merge"), ["h", "seg"])
+    told = stored(judged.filter(F.size("parts") > 0).join(different.select("h", "seg", "n").hint("shuffle_merge"), ["h", "seg"]))
+    found = spread_join(placed.filter("many"), told, ["h", "seg"], "n")
     spans = found.select("row", "first", F.explode("parts").alias("p")).select("row", (F.col("first") + F.col("p.a")).alias("start"), (F.col("first") + F.col("p.b") + window - 1).alias("end"))
     return alone.unionByName(spans)
 
@@ -214,7 +215,7 @@ def dedup_substrings(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM,
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in lean(batches):
             out = []
             for x, some in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 text, runs = _unpacked(x), []
