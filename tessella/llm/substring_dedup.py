@@ -25,7 +25,7 @@ from .common import bounded_batches, lean, only, spread_join, stored, table
 from .lyndon import suffix_arrays
 
 #: Length of a repeated string and of its gram; kinds of segments that a bucket may have to be sorted; letters of a call.
-WINDOW, GRAM, KINDS, LETTERS = 200, 64, 64, 250_000
+WINDOW, GRAM, KINDS, LETTERS = 200, 64, 64, 800_000
 #: Window starts of a text that are handled at once.
 SPAN = 1 << 18
 
