@@ -33,11 +33,12 @@ _BYTES = {ord(x): b for b, x in enumerate(LETTERS)}
 class Splitter:
     """Splits texts, with the vocabulary file's special tokens cut out first."""
 
-    def __init__(self, vocabulary: str):
+    def __init__(self, vocabulary: str, *, with_model: bool = False):
         from tokenizers import Tokenizer
 
         whole = Tokenizer.from_str(vocabulary)
-        self.model, self._normalizer, self._cutter = whole.model, whole.normalizer, whole.pre_tokenizer
+        self.model = whole.model if with_model else None
+        self._normalizer, self._cutter = whole.normalizer, whole.pre_tokenizer
         self.special = {t["content"]: t["id"] for t in json.loads(vocabulary)["added_tokens"]}
         self._special = re.compile("(" + "|".join(re.escape(x) for x in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self._starts = {x[:2] for x in self.special}
@@ -64,3 +65,18 @@ class Splitter:
             elif part:
                 out += self.plain(part)
         return out
+
+
+class Cache:
+    """Values of strings, of at most about limit bytes: two generations, of which the older one goes when the newer is full.
+    Values are strings or tuples of them; strings of over 256 letters are not kept."""
+
+    def __init__(self, limit: int):
+        self.limit, self.size, self.new, self.old = limit // 2, 0, {}, {}
+
+    def put(self, key: str, value, size: int) -> None:
+        if len(key) <= 256:
+            if self.size > self.limit:
+                self.new, self.old, self.size = {}, self.new, 0
+            self.new[key] = value
+            self.size += 300 + 2 * len(key) + size
