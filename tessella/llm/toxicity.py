@@ -62,6 +62,25 @@ class OrdinalModel:
         return round(float(self.base + sum(above[1:-1])), 6), self.base + int(np.argmax(chances))
 
 
+def cuts(params: np.ndarray, features: int) -> np.ndarray:
+    """The thresholds: a first one and the logarithms of the gaps between them, so that they stay in order."""
+    return np.cumsum(np.concatenate([params[features : features + 1], np.exp(params[features + 1 :])]))
+
+
+def likelihood(params: np.ndarray, r: np.ndarray, c: np.ndarray, y: np.ndarray, features: int) -> tuple[float, np.ndarray]:
+    """The mean negative logarithm of each row's chance of its grade, and its gradient. Row r[i] has feature c[i]; y: grades."""
+    n, k = len(y), len(params) - features
+    t, z = cuts(params, features), np.bincount(r, weights=params[c], minlength=n)
+    above = np.concatenate([np.ones((n, 1)), 1 / (1 + np.exp(-np.clip(z[:, None] - t, -30, 30))), np.zeros((n, 1))], axis=1)
+    at = np.arange(n)
+    chance = np.maximum(above[at, y] - above[at, y + 1], 1e-12)
+    slope = above * (1 - above)
+    dz = -(slope[at, y] - slope[at, y + 1]) / chance / n
+    dt = np.array([(((y == i + 1) * slope[:, i + 1]) - ((y == i) * slope[:, i + 1])) @ (1 / chance) / n for i in range(k)])
+    tail = np.cumsum(dt[::-1])[::-1]
+    return -np.log(chance).mean(), np.concatenate([np.bincount(c, weights=dz[r], minlength=features), tail[:1], tail[1:] * np.exp(params[features + 1 :])])
+
+
 def fit(rows: list[tuple[list[int], int]], names: list[str], *, penalty: float = PENALTY, steps: int = 400) -> OrdinalModel:
     """rows: the features (places in names) and the grade of each labelled text. With one grade only, that grade is everyone's
     severity."""
@@ -69,34 +88,20 @@ def fit(rows: list[tuple[list[int], int]], names: list[str], *, penalty: float =
     if len(grades) < 2:
         return OrdinalModel(base=grades[0] if grades else 0)
     level = {g: i for i, g in enumerate(grades)}
-    y, n, kept = np.array([level[g] for _, g in rows]), len(rows), names
+    y, n, kept = np.array([level[g] for _, g in rows]), len(rows), len(names)
     r = np.repeat(np.arange(n), [len(f) for f, _ in rows])
     c = np.concatenate([np.asarray(f, dtype=np.int64) for f, _ in rows])
-    k = len(grades) - 1
-    share = np.array([(y > i).mean() for i in range(k)])
-    # Thresholds as a first one and positive gaps, so that they stay in order.
+    share = np.array([(y > i).mean() for i in range(len(grades) - 1)])
     first = -np.log(share / (1 - share))
-    params = np.concatenate([np.zeros(len(kept)), first[:1], np.log(np.maximum(np.diff(first), 1e-2))])
-
-    def cuts(p: np.ndarray) -> np.ndarray:
-        return np.cumsum(np.concatenate([p[-k : len(p) - k + 1], np.exp(p[len(p) - k + 1 :])]))
+    params = np.concatenate([np.zeros(kept), first[:1], np.log(np.maximum(np.diff(first), 1e-2))])
 
     def loss(p: np.ndarray) -> tuple[float, np.ndarray]:
-        t, z = cuts(p), np.bincount(r, weights=p[c], minlength=n)
-        above = np.concatenate([np.ones((n, 1)), 1 / (1 + np.exp(-np.clip(z[:, None] - t, -30, 30))), np.zeros((n, 1))], axis=1)
-        at = np.arange(n)
-        chance = np.maximum(above[at, y] - above[at, y + 1], 1e-12)
-        slope = above * (1 - above)
-        dz = -(slope[at, y] - slope[at, y + 1]) / chance / n
-        dt = np.array([(((y == i + 1) * slope[:, i + 1]) - ((y == i) * slope[:, i + 1])) @ (1 / chance) / n for i in range(k)])
-        gaps = np.exp(p[len(p) - k + 1 :])
-        tail = np.cumsum(dt[::-1])[::-1]
-        return -np.log(chance).mean(), np.concatenate([np.bincount(c, weights=dz[r], minlength=len(kept)), tail[:1], tail[1:] * gaps])
+        return likelihood(p, r, c, y, kept)
 
     def shrunk(p: np.ndarray, step: float) -> np.ndarray:
         p = p.copy()
-        w = p[: len(kept)]
-        p[: len(kept)] = np.sign(w) * np.maximum(np.abs(w) - step * penalty, 0)
+        w = p[:kept]
+        p[:kept] = np.sign(w) * np.maximum(np.abs(w) - step * penalty, 0)
         return p
 
     now, ahead, speed, step = params, params, 1.0, 4.0
@@ -112,7 +117,7 @@ def fit(rows: list[tuple[list[int], int]], names: list[str], *, penalty: float =
             speed = 1.0
         faster = (1 + np.sqrt(1 + 4 * speed * speed)) / 2
         ahead, now, speed, step = new + (speed - 1) / faster * (new - now), new, faster, step * 1.2
-    return OrdinalModel({f: float(now[i]) for i, f in enumerate(names) if now[i]}, [float(x) for x in cuts(now)], grades[0])
+    return OrdinalModel({f: float(now[i]) for i, f in enumerate(names) if now[i]}, [float(x) for x in cuts(now, kept)], grades[0])
 
 
 def labelled_texts(docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
