@@ -55,6 +55,30 @@ def significant_tokens(c: Column, least: int = 3, stopwords: tuple[str, ...] = (
     return F.array_except(F.array_distinct(tokens), F.array(*map(F.lit, stopwords))) if stopwords else F.array_distinct(tokens)
 
 
+# Markers that cleaning and extraction leave in a text.
+STRUCTURE_MARKER = r"(?i)\[(?:PAGINA|SLIDE)\s+\d+\]|\[TEXTO_ILEGIBLE\]|\[FIGURA[^\]]*\]|\[ECUACION_PARCIAL:[^\]]*\]|\[ECUACION_NO_EXTRAIBLE\]|\[ECUACION_RECONSTRUIDA:[^\]]*\]"
+TERM = r"[A-Za-z0-9_À-ÿ]+"
+# Words that are no key terms of a text, and no words of a topic.
+TERM_STOPWORDS = (
+    "para", "entre", "desde", "hasta", "sobre", "como", "donde", "cuando", "porque", "segun", "esto", "esta", "estas", "estos", "tambien", "puede", "pueden", "deber", "deben", "tener", "tiene",
+    "their", "with", "from", "that", "this", "pagina", "slide",
+)
+TOPIC_STOPWORDS = ("de", "la", "el", "los", "las", "y", "en", "del", "al", "un", "una", "por", "con")
+
+
+def term_norms(c: Column) -> Column:
+    """The normal forms of a text's words, in order, with repeats: of whole runs of letters, digits and underscores, so that a
+    letter without a plain form is a space inside its word. One pass over the text."""
+    apart = F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), STRUCTURE_MARKER, " "), rf"[^{TERM[1:-2]}]+", "\n")
+    plain = F.regexp_replace(F.regexp_replace(F.lower(unaccented(apart)), r"[^a-z0-9\n]", " "), " +", " ")
+    return F.transform(F.split(plain, "\n"), lambda t: F.trim(t))
+
+
+def topic_tokens(c: Column) -> Column:
+    """The words of a topic's normal form with more than two letters that are no stopwords, with repeats."""
+    return F.filter(F.split(normalize_for_matching(c), " "), lambda t: (F.length(t) > 2) & ~t.isin(*TOPIC_STOPWORDS))
+
+
 def is_heading(line: Column) -> Column:
     return line.rlike(HEADING)
 

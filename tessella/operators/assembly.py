@@ -212,17 +212,47 @@ def guide_structure(lines: DataFrame, doc: str) -> DataFrame:
     return once.select(doc, "block_no", F.row_number().over(W.partitionBy(doc, "block_no", "kind").orderBy("line_no", "part")).alias("ord"), "kind", "name")
 
 
-# Words that tell kinds of teaching hours.
-HOURS = {"theory": r"(?i)expositiv|te[oó]ric|theory", "seminar": r"(?i)seminari|pr[aá]cticas de aula", "lab": r"(?i)laboratori|campo"}
-
-
-def extract_hours(lines: DataFrame, doc: str) -> DataFrame:
-    """lines(doc, line_no, line) -> doc, theory, seminar, lab: in table lines of each kind the first number up to 120 that is no year, from the
-    first line of the kind that has one."""
-    number = F.element_at(F.filter(F.transform(F.regexp_extract_all("line", F.lit(r"(\d+(?:[.,]\d+)?)"), 1), lambda x: F.regexp_replace(x, ",", ".").cast("double")), lambda x: (x >= 0) & (x <= 120)), 1)
-    rows = lines.filter(F.col("line").contains("|") & ~F.col("line").rlike("(?i)total")).withColumn("kind", F.coalesce(*[F.when(F.col("line").rlike(p), k) for k, p in HOURS.items()])).filter("kind is not null").withColumn("number", F.try_element_at(F.array(number), F.lit(1)))
-    first = rows.filter("number is not null").groupBy(doc).agg(*[F.min_by("number", F.when(F.col("kind") == k, F.col("line_no"))).alias(k) for k in HOURS])
-    return first.na.fill(0.0)
+# Words that tell kinds of teaching hours in free text.
+HOURS = {"lab": r"(?i)laboratori|campo", "seminar": r"(?i)pr[aá]cticas de aula|seminari", "theory": r"(?i)expositiv|te[oó]ric|magistral|theory"}
+
+
+def _has(low: Column, *stems: str) -> Column:
+    return low.rlike("|".join(stems))
+
+
+def hours_kind(low: Column) -> Column:
+    """The kind of a table row of teaching hours, in plain lower case: laboratory practice first, practice in the room - not seminars
+    or workshops alone - next, then theory that is no practice."""
+    practice = _has(low, "practic", r"\bpract\b")
+    lab = _has(low, "laborator", r"\blab\b") | (practice & _has(low, "campo", "informatica", "idioma"))
+    return F.when(lab, "lab").when(practice & _has(low, "aula", "seminar", "taller"), "seminar").when(~practice & _has(low, "expositiv", "teoric", "magistral"), "theory")
+
+
+def extract_hours(lines: DataFrame, doc: str, *, reach: int = 45) -> DataFrame:
+    """lines(doc, line_no, line) -> doc, theory, seminar, lab: for each kind the hours of its best row, 0.0 without one; documents
+    without any row of hours give no row.
+
+    A row's hours are its first number up to 120 that is no year, or, if it has no number, that of the next line if this is nearly
+    numeric and counts no sessions. Rows of totals and of single topics, units and blocks are none. Rows within reach lines of a
+    heading with modalities and hours come before others, rows of practice in the room that name it before those that name a
+    seminar or workshop, and earlier rows before later ones."""
+    by = W.partitionBy(doc).orderBy("line_no")
+
+    def first_number(c: Column) -> Column:
+        every = F.transform(F.regexp_extract_all(c, F.lit(r"(\d+(?:[.,]\d+)?)"), 1), lambda x: F.bround(F.regexp_replace(x, ",", ".").cast("double")))
+        return F.get(F.filter(every, lambda x: (x >= 0) & (x <= 120)), F.lit(0))
+
+    filled = lines.select(doc, "line_no", "line").filter(F.trim("line") != "").withColumn("low", F.lower(T.unaccented(F.col("line"))))
+    head = F.when(F.col("low").contains("modalidad") & F.col("low").contains("hora"), F.col("nth"))
+    placed = filled.withColumn("nth", F.row_number().over(by)).withColumns({"next": F.lead("line").over(by), "next_low": F.lead("low").over(by)}).withColumn("since", F.col("nth") - F.last(head, ignorenulls=True).over(by))
+    letters = F.length(F.regexp_replace("next", r"[^A-Za-zÁÉÍÓÚáéíóúÑñ]", ""))
+    below = F.when((letters <= 3) & ~F.col("next_low").contains("sesion"), first_number(F.col("next")))
+    rows = placed.withColumn("kind", hours_kind(F.col("low"))).filter("kind is not null").filter(~F.col("low").contains("total") & ~F.col("low").rlike(r"^\s*(?:\d+\s*[.)]\s|(?:tema|unidad|bloque)\s*\d)"))
+    valued = rows.withColumn("number", F.when(F.col("line").rlike(r"\d"), first_number(F.col("line"))).otherwise(below)).filter("number is not null")
+    strength = F.when((F.col("kind") == "seminar") & ~_has(F.col("low"), "aula"), 1).otherwise(0)
+    order = F.struct(F.when(F.col("since").between(1, reach), 0).otherwise(1).alias("outside"), strength.alias("weak"), "line_no")
+    best = valued.groupBy(doc).agg(*[F.min_by("number", F.when(F.col("kind") == k, order)).alias(k) for k in ("theory", "seminar", "lab")])
+    return best.na.fill(0.0)
 
 
 def guide_topics_flat(lines: DataFrame, doc: str) -> DataFrame:

@@ -55,7 +55,7 @@ def mirrored(line: Column) -> Column:
 
 
 SPACED = r"((?:^|[^A-Za-zÀ-ÿ0-9_])[A-Za-záéíóúñ]\s+[A-Za-záéíóúñ]\s+[A-Za-záéíóúñ])"  # three single letters
-SALVAGE = r"(?i)^[\d.,+\-*/=^_{}\\()]+$|^[A-Za-zÀ-ÿ]{1,4}$|^\d+(?:[.,]\d+)?\s*(?:%|[kMGT]?W|[kMGT]?Pa|bar|psi|kg|g|mg|m|cm|mm|km|s|min|h|Hz|N|J|V|A|K|°C|°)$"
+SALVAGE = r"(?i)^\p{L}$|^[\d.,+\-*/=^_{}\\()]+$|^[A-Za-zÀ-ÿ]{1,4}$|^\d+(?:[.,]\d+)?\s*(?:%|[kMGT]?W|[kMGT]?Pa|bar|psi|kg|g|mg|m|cm|mm|km|s|min|h|Hz|N|J|V|A|K|°C|°)$"
 
 
 def equation_shard(line: Column) -> Column:

@@ -49,16 +49,29 @@ def fuzzy_best_match(left: DataFrame, right: DataFrame, within: str, *, least: f
 
 
 # Evidence that says nothing.
-EMPTY_EVIDENCE = ("", "-", "—", "n/a", "ninguna", "sin evidencia", "no disponible")
+EMPTY_EVIDENCE = (
+    "", "—", "-", "–", "sin señal verificable", "sin senal verificable", "fallback", "sin señal", "sin senal", "guía docente", "guia docente",
+)
 
 
-def enrich_evidence(topics: DataFrame, found: DataFrame, block: str) -> DataFrame:
-    """topics(block, name, evidence) with empty evidence filled from found(block, name, evidence) by the topic key; of equal keys the
-    last counts."""
-    known = found.select(block, T.topic_key(F.col("name")).alias("key"), F.col("evidence").alias("new"), "pos").groupBy(block, "key").agg(F.max_by("new", "pos").alias("new"))
-    joined = topics.withColumn("key", T.topic_key(F.col("name"))).join(known, [block, "key"], "left").drop("key")
+def enrich_evidence(topics: DataFrame, found: DataFrame, block: str, *, least: float = 0.85) -> DataFrame:
+    """topics(block, name, evidence) with empty evidence filled from found(block, name, evidence, pos), and origin.
+
+    By the topic key first; of equal keys the last counts (Detectado). What is still empty takes the evidence of the most similar
+    key of its block from least on, of equally similar ones the first in order (Detectado (aprox.)). Other rows are Propio. A topic
+    without a key takes nothing."""
+    named = found.select(block, T.topic_key(F.col("name")).alias("key"), "evidence", "pos").filter("key <> ''")
+    known = named.groupBy(block, "key").agg(F.max_by("evidence", "pos").alias("new"))
     empty = F.col("evidence").isNull() | F.lower(F.trim("evidence")).isin(*EMPTY_EVIDENCE)
-    return joined.withColumn("origin", F.when(empty & F.col("new").isNotNull(), "Detectado").otherwise("Propio")).withColumn("evidence", F.when(empty, F.col("new")).otherwise(F.col("evidence"))).drop("new")
+    keyed = topics.withColumn("key", T.topic_key(F.col("name"))).withColumn("empty", empty & (F.col("key") != ""))
+    open_ = keyed.filter("empty").select(block, "key").distinct().join(known.select(block, "key"), [block, "key"], "left_anti")
+    pairs = open_.join(known.select(block, F.col("key").alias("other"), F.col("new").alias("near")), block)  # topics of one block
+    score = similarity(F.col("key"), F.col("other"))
+    best = pairs.withColumn("score", score).filter(F.col("score") >= least).groupBy(block, "key").agg(F.min_by("near", F.struct((-F.col("score")).alias("s"), "other")).alias("near"))
+    joined = keyed.join(known, [block, "key"], "left").join(best, [block, "key"], "left")
+    origin = F.when(F.col("empty") & F.col("new").isNotNull(), "Detectado").when(F.col("empty") & F.col("near").isNotNull(), "Detectado (aprox.)").otherwise("Propio")
+    value = F.when(F.col("empty"), F.coalesce("new", "near", "evidence")).otherwise(F.col("evidence"))
+    return joined.withColumn("origin", origin).withColumn("evidence", value).drop("new", "near", "key", "empty")
 
 
 def heading_score(topic: Column, heading: Column, level: Column, number: Column | None = None) -> Column:

@@ -11,17 +11,22 @@ from tessella.functions import text as T
 from .structure import ordered
 
 
-def fidelity(pairs: DataFrame, source: str, output: str, *, least: int = 5, passing: float = 0.85, show: int = 10) -> DataFrame:
+def fidelity(pairs: DataFrame, source: str, output: str, *, longer: int = 4, passing: float = 0.85, show: int = 10) -> DataFrame:
     """pairs with n_terms, score, missing and passed: the share of the source's key terms that occur in the output, also across
-    its spaces. The score is rounded, passing is not; without terms the score is 1."""
+    its spaces. Key terms are different words of more than longer letters that are no stopwords and stand in no marker; missing
+    has the first ones as the source spells them. The score is rounded, passing is not; without terms the score is 1."""
     # Normal forms are columns of their own, so that they are made once a row and not once a term.
-    normal = pairs.withColumn("__terms", T.significant_tokens(F.col(source), least)).withColumn("__norm", T.normalize_for_matching(F.col(output)))
-    normal = normal.withColumn("__both", F.concat("__norm", F.lit("\n"), F.replace("__norm", F.lit(" "), F.lit(""))))
-    missing = normal.withColumn("__missing", F.filter("__terms", lambda t: ~F.col("__both").contains(t)))
+    normal = pairs.withColumn("__all", T.term_norms(F.col(source))).withColumn("__norm", T.normalize_for_matching(F.coalesce(F.col(output), F.lit(""))))
+    terms = F.filter(F.array_distinct("__all"), lambda t: (F.length(t) > longer) & ~t.isin(*T.TERM_STOPWORDS))
+    normal = normal.withColumns({"__terms": terms, "__compact": F.replace("__norm", F.lit(" "), F.lit(""))})
+    gone = F.filter("__terms", lambda t: ~F.col("__norm").contains(t) & ~F.col("__compact").contains(F.replace(t, F.lit(" "), F.lit(""))))
+    missing = normal.withColumn("__missing", gone)
+    spelled = F.split(F.regexp_replace(F.regexp_replace(F.coalesce(F.col(source), F.lit("")), T.STRUCTURE_MARKER, " "), rf"[^{T.TERM[1:-2]}]+", "\n"), "\n")
     n = F.size("__terms")
     share = F.when(n == 0, 1.0).otherwise((n - F.size("__missing")) / n)
-    scored = missing.withColumns({"n_terms": n, "score": F.bround(share, 3), "missing": F.slice("__missing", 1, show), "passed": share >= passing})
-    return scored.drop("__terms", "__norm", "__both", "__missing")
+    first = F.transform(F.slice("__missing", 1, show), lambda t: F.element_at(spelled, F.array_position("__all", t).cast("int")))
+    scored = missing.withColumns({"n_terms": n, "score": F.bround(share, 3), "missing": first, "passed": share >= passing})
+    return scored.drop("__all", "__terms", "__norm", "__compact", "__missing")
 
 
 def fidelity_rollup(scores: DataFrame, block: str, *, passing: float = 0.85) -> DataFrame:
@@ -30,15 +35,22 @@ def fidelity_rollup(scores: DataFrame, block: str, *, passing: float = 0.85) ->
     return scores.groupBy(block).agg(F.bround(mean, 3).alias("mean_score"), (mean < passing).alias("warns"))
 
 
-def coverage(topic: Column, content_norm: Column, *, least: int = 3) -> Column:
-    """Is a topic covered by a normalized content: are half of its tokens, rounded up, found? A topic without tokens is."""
-    tokens = T.significant_tokens(topic, least)
+def coverage(tokens: Column, content_norm: Column) -> Column:
+    """covered, found: is a topic (its tokens, a column made once a topic, see topic_tokens) covered by a normalized content? It is
+    if half of its tokens, rounded up, are found, or if it has none."""
     found = F.size(F.filter(tokens, lambda t: content_norm.contains(t)))
-    return (F.size(tokens) == 0) | (found >= F.greatest(F.lit(1), F.floor((F.size(tokens) + 1) / 2)))
+    covered = (F.size(tokens) == 0) | (found >= F.greatest(F.lit(1), F.floor((F.size(tokens) + 1) / 2)))
+    return F.struct(covered.alias("covered"), found.alias("found"))
+
+
+def coverage_detail(tokens: Column, told: Column) -> Column:
+    """The finding in words."""
+    few = F.concat(F.lit("Solo "), told["found"], F.lit("/"), F.size(tokens), F.lit(" términos clave ("), F.array_join(tokens, ", "), F.lit(")"))
+    return F.when(F.size(tokens) == 0, "Sin términos evaluables").when(told["covered"], "Detectado en el contenido curado").otherwise(few)
 
 
 # The markers that cleaning leaves.
-MARKERS = {"equation": r"\[ECUACION\]", "partial": r"\[ECUACION_PARCIAL:[^\]]*\]", "reconstructed": r"\[ECUACION_RECONSTRUIDA:[^\]]*\]", "unreadable": r"\[TEXTO_ILEGIBLE\]", "figure": r"\[FIGURA:[^\]]*\]"}
+MARKERS = {"equation": r"\[ECUACION\]", "partial": r"\[ECUACION_PARCIAL:[^\]]+\]", "reconstructed": r"\[ECUACION_RECONSTRUIDA:[^\]]+\]", "unreadable": r"\[TEXTO_ILEGIBLE\]", "figure": r"\[FIGURA:[^\]]+\]"}
 
 
 def count_markers(df: DataFrame, text: str = "text") -> DataFrame:

@@ -151,9 +151,24 @@ def guide_structure(spark, sf_dir):
     return s.join(names, "name", "left").groupBy("n_regionkey").agg(F.count(F.when(F.col("kind") == "block", 1)).alias("blocks"), F.count(F.when(topic & F.col("nation").isNull(), 1)).alias("segments"))
 
 
-@query("SELECT n_regionkey, CAST(min(n_nationkey) AS DOUBLE) AS theory FROM nation JOIN customer ON n_nationkey = c_nationkey GROUP BY 1")
+def hour_tables(spark, sf_dir):
+    """A guide for each customer with orders, with a table of hours from them, as lines; even customers have a year in a row and
+    another table of a topic before it."""
+    o = S.table(spark, sf_dir, "orders")
+    n = o.groupBy(F.col("o_custkey").alias("c_custkey")).agg((F.count("*") % 60).alias("t"), (F.count_distinct("o_orderstatus") * 5).alias("s"), (F.sum("o_orderkey") % 30).alias("l"))
+    even = F.col("c_custkey") % 2 == 0
+    text = F.concat_ws(
+        "\n", F.lit("Guía docente"), F.when(even, F.lit("Tema 1 Clases expositivas | 77")), F.when(even, F.lit("Prácticas de laboratorio | 99")),
+        F.lit("Modalidades organizativas | Horas | %"), F.concat(F.when(even, F.lit("Clases magistrales 2024 | ")).otherwise(F.lit("Clases expositivas | ")), "t", F.lit(" | 150")),
+        F.lit("Seminarios y talleres | 98"), F.lit("Prácticas en seminario | 97"), F.lit("Prácticas de aula / Seminarios"), F.concat("s", F.lit(" | 20 %")),
+        F.concat(F.lit("Prácticas de aula de informática | "), F.col("l"), F.lit(",4")), F.lit("Total | 96 | 100 %"),
+    )
+    return n.select("c_custkey", text.alias("text"))
+
+
+@query("SELECT o_custkey AS c_custkey, CAST(count(*) % 60 AS DOUBLE) AS theory, CAST(count(DISTINCT o_orderstatus) * 5 AS DOUBLE) AS seminar, CAST(sum(o_orderkey) % 30 AS DOUBLE) AS lab FROM orders GROUP BY 1")
 def extract_hours(spark, sf_dir):
-    return A.extract_hours(S.lines_of(guides(spark, sf_dir), "n_regionkey"), "n_regionkey").select("n_regionkey", "theory")
+    return A.extract_hours(S.lines_of(hour_tables(spark, sf_dir), "c_custkey"), "c_custkey")
 
 
 @query("SELECT n_regionkey, count(DISTINCT c_mktsegment) AS topics FROM nation JOIN customer ON n_nationkey = c_nationkey GROUP BY 1")

@@ -51,16 +51,23 @@ def fuzzy_best_match(spark, sf_dir):
     return best.select(F.element_at(F.split("group", ":"), 1).alias("p_brand"), "a", "b", "score")
 
 
-@query("""WITH t AS (SELECT l_orderkey, l_linenumber, max(l_partkey) AS l_partkey, CASE WHEN max(l_returnflag) = 'N' THEN 'n/a' ELSE max(l_returnflag) END AS evidence FROM lineitem GROUP BY ALL), j AS (SELECT t.*, p_name FROM t JOIN part ON l_partkey = p_partkey),
-f AS (SELECT l_orderkey, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')) AS key, arg_max(p_type, (p_partkey)) AS new FROM (SELECT DISTINCT l_orderkey, p_name, p_type, p_partkey FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_returnflag <> 'A') GROUP BY ALL)
-SELECT j.l_orderkey, l_linenumber, CASE WHEN evidence = 'n/a' THEN new ELSE evidence END AS evidence, CASE WHEN evidence = 'n/a' AND new IS NOT NULL THEN 'Detectado' ELSE 'Propio' END AS origin
-FROM j LEFT JOIN f ON j.l_orderkey = f.l_orderkey AND trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')) = f.key""")
+_KEY = "trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'))"
+
+
+@query(f"""WITH t AS (SELECT l_orderkey, l_linenumber, max(l_partkey) AS l_partkey, CASE WHEN max(l_returnflag) = 'N' THEN ' Sin señal' ELSE max(l_returnflag) END AS evidence FROM lineitem GROUP BY ALL),
+j AS (SELECT t.*, {_KEY.format('p_name')} AS key FROM t JOIN part ON l_partkey = p_partkey),
+f AS (SELECT l_orderkey, {_KEY.format("CASE WHEN p_partkey % 3 = 0 THEN substr(p_name, 2) ELSE p_name END")} AS key, arg_max(p_type, p_partkey) AS new FROM (SELECT DISTINCT l_orderkey, p_name, p_type, p_partkey FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_returnflag <> 'A') GROUP BY ALL),
+s AS (SELECT o.l_orderkey, o.key, f.new, f.key AS other, 1 - levenshtein(o.key, f.key) / greatest(length(o.key), length(f.key), 1) AS score FROM (SELECT DISTINCT l_orderkey, key FROM j WHERE evidence = ' Sin señal') o JOIN f ON o.l_orderkey = f.l_orderkey),
+n AS (SELECT l_orderkey, key, arg_min(new, (-score, other)) AS near FROM s WHERE score >= 0.85 GROUP BY ALL),
+m AS (SELECT j.l_orderkey, l_linenumber, evidence, evidence = ' Sin señal' AS gone, f.new, n.near FROM j LEFT JOIN f ON j.l_orderkey = f.l_orderkey AND j.key = f.key LEFT JOIN n ON j.l_orderkey = n.l_orderkey AND j.key = n.key)
+SELECT l_orderkey, l_linenumber, CASE WHEN gone THEN coalesce(new, near, evidence) ELSE evidence END AS evidence, CASE WHEN gone AND new IS NOT NULL THEN 'Detectado' WHEN gone AND near IS NOT NULL THEN 'Detectado (aprox.)' ELSE 'Propio' END AS origin FROM m""")
 def enrich_evidence(spark, sf_dir):
     line = S.table(spark, sf_dir, "lineitem")
     part = S.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_name").alias("name"), "p_type")
     flag = F.max("l_returnflag")
-    topics = line.groupBy("l_orderkey", "l_linenumber").agg(F.max("l_partkey").alias("l_partkey"), F.when(flag == "N", "n/a").otherwise(flag).alias("evidence")).join(part, "l_partkey").select("l_orderkey", "l_linenumber", "name", "evidence")
-    found = line.filter("l_returnflag <> 'A'").select("l_orderkey", "l_partkey").distinct().join(part, "l_partkey").select("l_orderkey", "name", F.col("p_type").alias("evidence"), F.col("l_partkey").alias("pos"))
+    topics = line.groupBy("l_orderkey", "l_linenumber").agg(F.max("l_partkey").alias("l_partkey"), F.when(flag == "N", " Sin señal").otherwise(flag).alias("evidence")).join(part, "l_partkey").select("l_orderkey", "l_linenumber", "name", "evidence")
+    spelled = F.when(F.col("l_partkey") % 3 == 0, F.expr("substr(name, 2)")).otherwise(F.col("name"))
+    found = line.filter("l_returnflag <> 'A'").select("l_orderkey", "l_partkey").distinct().join(part, "l_partkey").select("l_orderkey", spelled.alias("name"), F.col("p_type").alias("evidence"), F.col("l_partkey").alias("pos"))
     return M.enrich_evidence(topics, found, "l_orderkey").drop("name")
 
 

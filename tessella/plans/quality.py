@@ -20,8 +20,11 @@ def near_pairs(spark, sf_dir):
 
 
 _PAIRS = "d AS (SELECT doc_id, source, text, substr(text, 1, 40) AS head FROM documents), fi AS (SELECT head, min(doc_id) AS first_id FROM d GROUP BY 1), pr AS (SELECT d.doc_id, d.source, d.text, o.text AS original FROM d JOIN fi USING (head) JOIN documents o ON o.doc_id = fi.first_id WHERE d.doc_id <> fi.first_id)"
-_TERMS = f"list_distinct(list_filter(string_split({NORM.format('original')}, ' '), lambda x: length(x) >= 5 AND NOT regexp_matches(x, '^[0-9]+$')))"
-_FID = f"{_PAIRS}, t0 AS (SELECT doc_id, source, {_TERMS} AS terms, {NORM.format('text')} AS n FROM pr), t1 AS (SELECT doc_id, source, len(terms) AS n_terms, len(list_filter(terms, lambda x: NOT contains(n, x) AND NOT contains(replace(n, ' ', ''), x))) AS gone FROM t0), fid AS (SELECT doc_id, source, n_terms, CASE WHEN n_terms = 0 THEN 1.0 ELSE (n_terms - gone) / n_terms END AS share FROM t1)"
+_MARKERS = r"(?i)\[(?:PAGINA|SLIDE)\s+\d+\]|\[TEXTO_ILEGIBLE\]|\[FIGURA[^\]]*\]|\[ECUACION_PARCIAL:[^\]]*\]|\[ECUACION_NO_EXTRAIBLE\]|\[ECUACION_RECONSTRUIDA:[^\]]*\]"
+_WORDS = f"list_transform(string_split(regexp_replace(regexp_replace(lower(strip_accents(regexp_replace(regexp_replace(original, '{_MARKERS}', ' ', 'g'), '[^A-Za-z0-9_À-ÿ]+', chr(10), 'g'))), '[^a-z0-9\\n]', ' ', 'g'), ' +', ' ', 'g'), chr(10)), lambda x: trim(x))"
+_STOP = "(" + ", ".join(f"'{w}'" for w in T.TERM_STOPWORDS) + ")"
+_TERMS = f"list_distinct(list_filter({_WORDS}, lambda x: length(x) > 4 AND x NOT IN {_STOP}))"
+_FID = f"{_PAIRS}, t0 AS (SELECT doc_id, source, {_TERMS} AS terms, {NORM.format('text')} AS n FROM pr), t1 AS (SELECT doc_id, source, len(terms) AS n_terms, len(list_filter(terms, lambda x: NOT contains(n, x) AND NOT contains(replace(n, ' ', ''), replace(x, ' ', '')))) AS gone FROM t0), fid AS (SELECT doc_id, source, n_terms, CASE WHEN n_terms = 0 THEN 1.0 ELSE (n_terms - gone) / n_terms END AS share FROM t1)"
 
 
 def _scores(spark, sf_dir):
@@ -38,19 +41,25 @@ def fidelity_rollup(spark, sf_dir):
     return Q.fidelity_rollup(_scores(spark, sf_dir), "source")
 
 
-_COV = f"""b AS (SELECT item_id, 'src' || (item_id % 20) AS source, list_distinct(list_filter(string_split({NORM.format('text')}, ' '), lambda x: length(x) >= 3 AND NOT regexp_matches(x, '^[0-9]+$'))) AS k FROM benchmark),
-c AS (SELECT doc_id, source, {NORM.format('text')} AS n FROM documents), cov AS (SELECT item_id, doc_id, c.source, len(k) = 0 OR len(list_filter(k, lambda x: contains(n, x))) >= greatest(1, (len(k) + 1) // 2) AS covered FROM b JOIN c USING (source))"""
+_TOPIC_STOP = "(" + ", ".join(f"'{w}'" for w in T.TOPIC_STOPWORDS) + ")"
+_COV = f"""b AS (SELECT item_id, 'src' || (item_id % 20) AS source, list_filter(string_split({NORM.format('text')}, ' '), lambda x: length(x) > 2 AND x NOT IN {_TOPIC_STOP}) AS k FROM benchmark),
+c AS (SELECT doc_id, source, {NORM.format('text')} AS n FROM documents), cov0 AS (SELECT item_id, doc_id, c.source, k, len(list_filter(k, lambda x: contains(n, x))) AS found FROM b JOIN c USING (source)),
+cov AS (SELECT *, len(k) = 0 OR found >= greatest(1, (len(k) + 1) // 2) AS covered FROM cov0)"""
 
 
 def _coverage(spark, sf_dir):
-    b = S.table(spark, sf_dir, "benchmark").select("item_id", F.concat(F.lit("src"), F.col("item_id") % 20).alias("source"), F.col("text").alias("topic"))
+    """Topics of a source against its documents. A topic's tokens are made once, before the join; sources are few and large, so
+    documents stay where they are and the topics, whose bytes are checked, go to them."""
+    b = S.table(spark, sf_dir, "benchmark").select("item_id", F.concat(F.lit("src"), F.col("item_id") % 20).alias("source"), T.topic_tokens(F.col("text")).alias("tokens"))
+    topics = S.stored(b)
     d = S.table(spark, sf_dir, "documents").select("doc_id", "source", T.normalize_for_matching(F.col("text")).alias("norm"))
-    return d.join(b, "source").select("item_id", "doc_id", "source", Q.coverage(F.col("topic"), F.col("norm")).alias("covered"))
+    hint = "broadcast" if (topics.agg(F.sum(F.octet_length(F.array_join("tokens", " ")) + 64)).first()[0] or 0) < 64 << 20 else "shuffle_merge"
+    return d.join(topics.hint(hint), "source").withColumn("told", Q.coverage(F.col("tokens"), F.col("norm"))).select("item_id", "doc_id", "source", "tokens", "told", "told.covered")
 
 
-@query(f"WITH {_COV} SELECT item_id, doc_id, covered FROM cov")
+@query(f"WITH {_COV} SELECT item_id, doc_id, covered, CASE WHEN len(k) = 0 THEN 'Sin términos evaluables' WHEN covered THEN 'Detectado en el contenido curado' ELSE 'Solo ' || found || '/' || len(k) || ' términos clave (' || array_to_string(k, ', ') || ')' END AS detail FROM cov")
 def coverage_checklist(spark, sf_dir):
-    return _coverage(spark, sf_dir).drop("source")
+    return _coverage(spark, sf_dir).select("item_id", "doc_id", "covered", Q.coverage_detail(F.col("tokens"), F.col("told")).alias("detail"))
 
 
 @query(f"WITH {_COV} SELECT source, count(*) AS topics, count(CASE WHEN covered THEN 1 END) AS covered, round_even(count(CASE WHEN covered THEN 1 END) / count(*) * 100, 1) AS percent FROM cov GROUP BY 1")
@@ -71,7 +80,7 @@ _MARKED = "k AS (SELECT doc_id, replace(replace(replace(replace(replace(text, 't
 _N = r"CAST(len(regexp_extract_all(text, '{}')) AS INTEGER)"
 
 
-@query(f"WITH {_MARKED}, c AS (SELECT doc_id, {_N.format(r'\[ECUACION\]')} AS equation, {_N.format(r'\[ECUACION_PARCIAL:[^\]]*\]')} AS partial, {_N.format(r'\[ECUACION_RECONSTRUIDA:[^\]]*\]')} AS reconstructed, {_N.format(r'\[TEXTO_ILEGIBLE\]')} AS unreadable, {_N.format(r'\[FIGURA:[^\]]*\]')} AS figure FROM k) SELECT *, equation + partial + unreadable AS problems, reconstructed AS review FROM c")
+@query(f"WITH {_MARKED}, c AS (SELECT doc_id, {_N.format(r'\[ECUACION\]')} AS equation, {_N.format(r'\[ECUACION_PARCIAL:[^\]]+\]')} AS partial, {_N.format(r'\[ECUACION_RECONSTRUIDA:[^\]]+\]')} AS reconstructed, {_N.format(r'\[TEXTO_ILEGIBLE\]')} AS unreadable, {_N.format(r'\[FIGURA:[^\]]+\]')} AS figure FROM k) SELECT *, equation + partial + unreadable AS problems, reconstructed AS review FROM c")
 def count_markers(spark, sf_dir):
     return Q.count_markers(marked_documents(spark, sf_dir)).drop("text")
 
