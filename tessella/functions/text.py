@@ -24,7 +24,7 @@ WORD = r"[A-Za-zÀ-ÿ0-9]+"
 
 
 def stripped(c: Column) -> Column:
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.trim(c, F.lit(" \t\n\x0b\f\r"))
 
 
 def unaccented(c: Column) -> Column:

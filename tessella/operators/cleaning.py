@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions import text as T
+from tessella.sources import stored
+
+#: Bytes up to which noise lines go to all tasks.
+BROADCAST_BYTES = 64 << 20
 
 
 def line_kinds(lines: DataFrame) -> DataFrame:
@@ -16,7 +20,8 @@ def line_kinds(lines: DataFrame) -> DataFrame:
 
 def trivial_reason(line: Column) -> Column:
     """Why a line without technical content is dropped by itself, or null."""
-    return F.when(T.is_technical(line), None).when(line.rlike(T.PAGE_NUMBER), "page_number").when(line.rlike(T.FILLER), "filler").when(line.rlike(T.URL_ONLY), "url").when(line.rlike(T.SLIDE_META), "slide")
+    reason = F.when(line.rlike(T.PAGE_NUMBER), "page_number").when(line.rlike(T.FILLER), "filler").when(line.rlike(T.URL_ONLY), "url").when(line.rlike(T.SLIDE_META), "slide")
+    return F.when(reason.isNotNull() & ~T.is_technical(line), reason)  # the anchored patterns first: they fail at once
 
 
 def structural_noise(lines: DataFrame, doc: str, section: str, *, share: float = 0.60, longest: int = 60) -> DataFrame:
@@ -65,7 +70,7 @@ def equation_shard(line: Column) -> Column:
     long_ = F.size(F.filter(tokens, lambda t: (F.length(t) > 6) & t.rlike(r"^[A-Za-zÀ-ÿ]+$")))
     prose = T.is_technical(line) & line.rlike(r"=\s*\S") & (F.size(F.filter(F.regexp_extract_all(line, F.lit(f"({T.WORD})"), 1), lambda w: F.length(w) > 3)) >= 2)
     broken = (short / n >= 0.55) | line.rlike(r"[ð¼½¾¿¡»›þÿ]|[^\x00-\x7F].*[^\x00-\x7F].*[^\x00-\x7F]") & (short >= 3) | (F.size(F.regexp_extract_all(line, F.lit(SPACED), 1)) >= 2)
-    return (line != "") & ~T.is_heading(line) & ~T.is_equation_marker(line) & ~prose & (n >= 4) & (long_ < 2) & broken
+    return (n >= 4) & (long_ < 2) & (line != "") & ~T.is_heading(line) & ~T.is_equation_marker(line) & broken & ~prose
 
 
 def salvaged(line: Column) -> Column:
@@ -79,24 +84,25 @@ def salvaged(line: Column) -> Column:
 def reasons(lines: DataFrame, doc: str, section: str, *, light: bool = False, share: float = 0.60, fifths: float = 4.0) -> DataFrame:
     """lines with reason: page_number, filler, url, slide, frequency, glyph, or null for lines that stay."""
     noise = glyph_headers(lines, doc, section, fifths=fifths) if light else structural_noise(lines, doc, section, share=share)
-    noise = noise.select(doc, F.lower("line").alias("lowered")).distinct().withColumn("noise", F.lit(True))
-    joined = lines.withColumn("lowered", F.lower("line")).join(noise, [doc, "lowered"], "left").drop("lowered")
+    noise = stored(noise.select(doc, F.lower("line").alias("lowered")).distinct().withColumn("noise", F.lit(True)))
+    # Noise is short lines; the lines of the corpus stay where they are while its bytes are few.
+    few = (noise.agg(F.sum(F.octet_length("lowered") + 64)).first()[0] or 0) <= BROADCAST_BYTES
+    joined = lines.withColumn("lowered", F.lower("line")).join(noise.hint("broadcast" if few else "shuffle_merge"), [doc, "lowered"], "left").drop("lowered")
     line = F.col("line")
-    own = F.when(line == "", None).when(T.is_marker(line), None)
-    by_noise = F.col("noise") & ~T.is_technical(line) & ~T.is_heading(line) & (F.lit(light) | (F.length(line) <= 60))
-    return joined.withColumn("reason", F.when((line == "") | T.is_marker(line), own).otherwise(F.coalesce(trivial_reason(line), F.when(by_noise, "glyph" if light else "frequency")))).drop("noise")
+    by_noise = F.coalesce("noise", F.lit(False)) & (F.lit(light) | (F.length(line) <= 60)) & ~T.is_heading(line) & ~T.is_technical(line)
+    return joined.withColumn("reason", F.when((line != "") & ~T.is_marker(line), F.coalesce(trivial_reason(line), F.when(by_noise, "glyph" if light else "frequency")))).drop("noise")
 
 
 def clean_corpus(lines: DataFrame, doc: str, section: str, *, light: bool = False, share: float = 0.60, fifths: float = 4.0) -> DataFrame:
     """lines(doc, section, line_no, line) -> doc, section, text: trivial and repeated lines dropped, broken formulas salvaged,
     inner space and blank lines reduced. A section that loses all is [TEXTO_ILEGIBLE]."""
     line = F.col("line")
-    kept = reasons(lines, doc, section, light=light, share=share, fifths=fifths).filter("reason is null")
-    fixed = kept.withColumn("line", F.when(~T.is_marker(line) & equation_shard(line), salvaged(line)).otherwise(F.regexp_replace(line, r"(\S)[ \t]{2,}(\S)", "$1 $2")))
-    joined = fixed.groupBy(doc, section).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda s: s["line"]), "\n").alias("text"))
-    every = lines.select(doc, section).distinct().join(joined, [doc, section], "left")
-    text = T.stripped(F.regexp_replace(F.coalesce("text", F.lit("")), r"\n{3,}", "\n\n"))
-    return every.select(doc, section, F.when(text == "", "[TEXTO_ILEGIBLE]").otherwise(text).alias("text"))
+    marked = reasons(lines, doc, section, light=light, share=share, fifths=fifths)
+    fixed = F.when(~T.is_marker(line) & equation_shard(line), salvaged(line)).otherwise(F.regexp_replace(line, r"(\S)[ \t]{2,}(\S)", "$1 $2"))
+    kept = marked.withColumn("kept", F.when(F.col("reason").isNull(), F.struct("line_no", fixed.alias("line"))))
+    joined = kept.groupBy(doc, section).agg(F.array_join(F.transform(F.array_sort(F.collect_list("kept")), lambda s: s["line"]), "\n").alias("text"))  # of one section
+    text = T.stripped(F.regexp_replace("text", r"\n{3,}", "\n\n"))
+    return joined.select(doc, section, F.when(text == "", "[TEXTO_ILEGIBLE]").otherwise(text).alias("text"))
 
 
 def cleaning_audit(lines: DataFrame, doc: str, section: str, *, light: bool = False, share: float = 0.60) -> DataFrame:

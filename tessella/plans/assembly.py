@@ -10,7 +10,7 @@ from tessella.operators import assembly as A
 from .cleaning import LINES, _lines
 from .quality import marked_documents
 from .registry import query
-from .structure import MD, markdown
+from .structure import H2, MD, markdown
 
 _KINDS = ("mixto", "teoria", "procedimiento", "tabla", "ejemplo_resuelto", "ejercicio_propuesto", "resumen")
 _KIND_SQL = "['" + "', '".join(_KINDS) + "'][doc_id % 7 + 1]"
@@ -62,9 +62,11 @@ def front_matter_fields(spark, sf_dir):
     return d.select("source", A.front_matter_field(F.col("markdown"), "tipo_documento").alias("tipo_documento"), A.front_matter_field(F.col("markdown"), "idioma").alias("idioma"))
 
 
-@query(f"WITH {MD}, x AS (SELECT *, sum(CASE WHEN starts_with(line, '## ') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS s FROM md), y AS (SELECT *, max(CASE WHEN NOT starts_with(line, '## ') AND trim(line) NOT IN ('', '---') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, s) AS r FROM x) SELECT doc_id, count(*) AS n_lines FROM y WHERE s = 0 OR r = 1 GROUP BY 1")
+@query(f"WITH {MD}, x AS (SELECT *, sum(CASE WHEN starts_with(line, '## ') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS s FROM md), y AS (SELECT *, max(CASE WHEN NOT starts_with(line, '## ') AND trim(line) NOT IN ('', '---') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, s) AS r FROM x) SELECT doc_id, md5(string_agg(line, chr(10) ORDER BY line_no)) AS markdown_md5 FROM y WHERE s = 0 OR r = 1 GROUP BY 1")
 def remove_empty_sections(spark, sf_dir):
-    return A.remove_empty_sections(markdown(spark, sf_dir), "doc_id").groupBy("doc_id").agg(F.count("*").alias("n_lines"))
+    from tessella.operators.structure import ordered
+
+    return A.remove_empty_sections(markdown(spark, sf_dir), "doc_id").groupBy("doc_id").agg(F.md5(ordered("line_no", "line")).alias("markdown_md5"))
 
 
 @query("SELECT l_orderkey, CAST(l_linenumber AS INTEGER) AS ord, max(l_returnflag) AS state, 'Pieza ' || max(l_partkey) AS name, CASE WHEN max(l_linestatus) = 'O' THEN '_Pendiente de generar._' ELSE 'Texto ' || max(l_suppkey) END AS body FROM lineitem GROUP BY ALL")
@@ -192,13 +194,25 @@ def variable_glossary(spark, sf_dir):
     return A.variable_glossary(p, "p_brand")
 
 
-@query(f"WITH {MD}, x AS (SELECT doc_id, sum(CASE WHEN starts_with(line, '## ') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS section_no FROM md) SELECT doc_id, CAST(max(section_no) AS BIGINT) AS last FROM x GROUP BY 1")
+_ELEMENTS = r"""e AS (SELECT doc_id, 0 AS element, NULL AS heading, string_split(text, ' ')[6] AS expression FROM documents UNION ALL SELECT doc_id, 1, 'no such heading', '$none$' FROM documents
+UNION ALL SELECT doc_id, 2 + section_no, upper(title), regexp_split_to_array(body, '\s+')[2] FROM h2 WHERE section_no > 0 AND len(regexp_split_to_array(body, '\s+')) > 1)"""
+
+
+@query(f"""WITH {MD}, {H2}, {_ELEMENTS}, s AS (SELECT doc_id, section_no, lower(title) AS t, body FROM h2 WHERE section_no > 0 OR body <> ''),
+j AS (SELECT e.doc_id, element, section_no, contains(body, expression) AS has, contains(body, expression) AND t = lower(coalesce(heading, '')) AS named FROM e JOIN s USING (doc_id) WHERE expression IS NOT NULL)
+SELECT doc_id, CAST(element AS BIGINT) AS element, CAST(section_no AS BIGINT) AS section_no FROM j QUALIFY row_number() OVER (PARTITION BY doc_id, element ORDER BY has DESC, named DESC, CASE WHEN has THEN section_no ELSE -section_no END) = 1""")
 def place_equations(spark, sf_dir):
+    """Expressions are words of the documents: one of each text, one of each section with its heading, and one that is nowhere."""
     from tessella.operators.structure import split_h2_sections
 
     s = split_h2_sections(markdown(spark, sf_dir), "doc_id")
-    e = S.table(spark, sf_dir, "documents").select("doc_id", F.lit(0).alias("element"), F.lit(None).cast("string").alias("heading"), F.lit("$none$").alias("expression"))
-    return A.place_equations(e, s, "doc_id").select("doc_id", F.col("section_no").alias("last"))
+    d = S.table(spark, sf_dir, "documents")
+    word = F.get(F.split("body", r"\s+"), F.lit(1))
+    own = s.filter("section_no > 0").select("doc_id", (F.col("section_no") + 2).cast("long").alias("element"), F.upper("title").alias("heading"), word.alias("expression"))
+    one = d.select("doc_id", F.lit(0).cast("long").alias("element"), F.lit(None).cast("string").alias("heading"), F.get(F.split("text", " "), F.lit(5)).alias("expression"))
+    none = d.select("doc_id", F.lit(1).cast("long").alias("element"), F.lit("no such heading").alias("heading"), F.lit("$none$").alias("expression"))
+    e = own.unionByName(one).unionByName(none).filter("expression is not null")
+    return A.place_equations(e, s, "doc_id").select("doc_id", "element", F.col("section_no").cast("long").alias("section_no"))
 
 
 @query("""WITH d AS (SELECT source, doc_id, text, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents WHERE text IS NOT NULL)

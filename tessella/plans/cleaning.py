@@ -115,9 +115,11 @@ def glyph_headers(spark, sf_dir):
     return C.glyph_headers(_lines(spark, sf_dir), "source", "doc_id", fifths=0.1)
 
 
-@query(rf"WITH {LINES} SELECT source, count(*) AS n_lines FROM l WHERE lower(line) <> lower(trim(source)) GROUP BY source")
+@query(rf"WITH {LINES}, n AS (SELECT source, doc_id, line_no, CASE WHEN (doc_id + line_no) % 3 = 0 THEN upper(source) ELSE line END AS line FROM l) SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, md5(line) AS line_md5 FROM n WHERE lower(line) <> lower(trim(source))")
 def drop_filename_lines(spark, sf_dir):
-    return C.drop_filename_lines(_lines(spark, sf_dir), "source").groupBy("source").agg(F.count("*").alias("n_lines"))
+    """Every third line is the name of its source."""
+    line = F.when((F.col("doc_id") + F.col("line_no")) % 3 == 0, F.upper("source")).otherwise(F.col("line"))
+    return C.drop_filename_lines(_lines(spark, sf_dir).withColumn("line", line), "source").select("doc_id", "line_no", F.md5("line").alias("line_md5"))
 
 
 _KNOWN = "len(list_filter(regexp_split_to_array(lower({}), '\\s+'), lambda w: w IN ('" + "', '".join(C.KNOWN_WORDS) + "')))"

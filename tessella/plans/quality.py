@@ -130,12 +130,14 @@ def fragment_rules(spark, sf_dir):
     return S.table(spark, sf_dir, "pages").select("page_id", Q.fragment_rules(F.col("html")).alias("broken"))
 
 
-@query("""WITH r AS (SELECT p_type, avg(p_retailprice) * 0.9 AS low, avg(p_retailprice) * 1.1 AS high FROM part GROUP BY 1)
-SELECT p_type, count(CASE WHEN p_retailprice < low OR p_retailprice > high THEN 1 END) AS outside, count(*) AS n, 'both' AS known FROM part JOIN r USING (p_type) GROUP BY 1""")
+@query("""WITH r AS (SELECT p_type, avg(p_retailprice) * 0.9 AS low, avg(p_retailprice) * 1.1 AS high FROM part WHERE NOT starts_with(p_type, 'PROMO') GROUP BY 1), v AS (SELECT p_type, p_retailprice AS value FROM part WHERE NOT starts_with(p_type, 'ECONOMY')),
+c AS (SELECT v.p_type, count(CASE WHEN value < low OR value > high THEN 1 END) AS outside, count(*) AS n FROM v LEFT JOIN r ON v.p_type = r.p_type GROUP BY 1)
+SELECT coalesce(c.p_type, r.p_type) AS p_type, coalesce(outside, 0) AS outside, coalesce(n, 0) AS n, CASE WHEN n IS NULL THEN 'unused' WHEN r.p_type IS NULL THEN 'undeclared' ELSE 'both' END AS known FROM c FULL JOIN r ON c.p_type = r.p_type""")
 def range_conformance(spark, sf_dir):
+    """Prices of parts against ranges of their types; some types have no range and some ranges no parts."""
     p = S.table(spark, sf_dir, "part").select("p_type", F.col("p_retailprice").alias("value"))
-    ranges = p.groupBy("p_type").agg((F.avg("value") * 0.9).alias("low"), (F.avg("value") * 1.1).alias("high"))
-    return Q.range_conformance(ranges, p, "p_type")
+    ranges = p.filter("not startswith(p_type, 'PROMO')").groupBy("p_type").agg((F.avg("value") * 0.9).alias("low"), (F.avg("value") * 1.1).alias("high"))
+    return Q.range_conformance(ranges, p.filter("not startswith(p_type, 'ECONOMY')"), "p_type")
 
 
 @query("WITH t AS (SELECT conv_id, turn, text, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS next FROM conversations) SELECT conv_id, turn, round_even(levenshtein(a, b) / greatest(length(a), length(b), 1) * 100, 1) AS percent FROM (SELECT conv_id, turn, text, next, " + NORM.format("text") + " AS a, " + NORM.format("next") + " AS b FROM t) WHERE text IS NOT NULL AND next IS NOT NULL")
@@ -166,8 +168,15 @@ def _parsed(spark, sf_dir):
     return Q.markdown_to_blocks(S.lines_of(_rendered(spark, sf_dir), "doc", text="markdown"), "doc")
 
 
-@query("SELECT o_custkey AS doc, CAST(o_orderkey AS INTEGER) AS no, o_orderpriority AS name, floor(o_totalprice) / 2 AS hours FROM orders")
+@query("""WITH l AS (SELECT l_orderkey, l_linenumber, max(l_partkey) AS part FROM lineitem GROUP BY ALL), r AS (SELECT l_orderkey, string_agg('| Pieza ' || part || ' | p. ' || l_linenumber || ' | Guía docente |', chr(10) ORDER BY l_linenumber) AS rows FROM l GROUP BY 1),
+b AS (SELECT o_custkey AS doc, o_orderkey AS no, '## Bloque ' || o_orderkey || ' — ' || o_orderpriority || ' · ' || CAST(floor(floor(o_totalprice) / 2) AS BIGINT) || CASE WHEN floor(o_totalprice) % 2 = 1 THEN '.5' ELSE '' END || 'h' || chr(10) || chr(10) || '| Subtema | Evidencia | Origen |' || chr(10) || '|---|---|---|' AS head FROM orders)
+SELECT doc, md5(string_agg(head || coalesce(chr(10) || rows, ''), chr(10) || chr(10) ORDER BY no)) AS markdown_md5 FROM b LEFT JOIN r ON no = l_orderkey GROUP BY 1""")
 def blocks_to_markdown(spark, sf_dir):
+    return _rendered(spark, sf_dir).select("doc", F.md5("markdown").alias("markdown_md5"))
+
+
+@query("SELECT o_custkey AS doc, CAST(o_orderkey AS INTEGER) AS no, o_orderpriority AS name, floor(o_totalprice) / 2 AS hours FROM orders")
+def markdown_to_block_heads(spark, sf_dir):
     return _parsed(spark, sf_dir)[0]
 
 
