@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,7 +12,7 @@ from pyspark.sql.window import Window as W
 
 from tessella.functions import text as T
 
-from .structure import is_section_header, ordered
+from .structure import chunk_numbers, is_section_header, ordered, pack
 
 # The canonical sections of a document, their order and their names.
 ORDER = ("teoria", "procedimiento", "tabla", "ejemplo_resuelto", "ejercicio_propuesto", "resumen")
@@ -119,36 +120,54 @@ def interleave(bodies: DataFrame, inserts: DataFrame, doc: str, text: str = "bod
     return both.select(doc, F.when(F.col("head").isNull(), F.col(text)).otherwise(F.concat("head", F.expr(f"substring({text}, upto + 1)"))).alias("text"))
 
 
-SENTENCE_END = r'[.!?]["\')]*(?:\s|$)'
-
-
-def cut_oversized(text: str, most: int, ahead: int = 300) -> list[str]:
-    """A long text in parts of about most characters: each ends at its last newline, or else at the end of the sentence that most falls
-    into if that is near, and never beyond twice most."""
-    import re
-
-    end = re.compile(SENTENCE_END)
-    parts, at = [], 0
-    while len(text) - at > most:
-        cut = text.rfind("\n", at + 1, at + most)
-        if cut < 0:
-            m = end.search(text, at + most, min(len(text), at + most + ahead, at + 2 * most))
-            cut = m.end() if m else at + most
+SENTENCE_END = re.compile(r'[.!?]["\')]*(?:\s|$)')
+TABLE_LINES = re.compile(r"(?m)(?:^[^\S\n]*\|[^\n]*(?:\n|\Z))+")
+
+
+def cut_oversized(text: str, most: int, hard: int, ahead: int = 300) -> list[str]:
+    """A long text in parts of about most characters. A part ends after its last newline, or else at most; if that falls into
+    the lines of a table, after the table, and if into a sentence, after this one when it ends within ahead characters; neither
+    makes a part longer than hard."""
+    tables = [m.span() for m in TABLE_LINES.finditer(text)]
+    parts, at, k = [], 0, 0
+    while at < len(text):
+        cut = at + most
+        if cut < len(text):
+            cut = text.rfind("\n", at, cut) + 1 or cut
+            while k < len(tables) and tables[k][1] <= cut:
+                k += 1
+            if k < len(tables) and tables[k][0] < cut and tables[k][1] - at <= hard:
+                cut = tables[k][1]
+            if cut < len(text) and text[cut - 1] != "\n" and not text[max(at, cut - 10) : cut].rstrip().endswith((".", "!", "?")):
+                m = SENTENCE_END.search(text, cut, min(len(text), cut + ahead, at + hard))
+                cut = m.end() if m else cut
         if part := text[at:cut].strip():
             parts.append(part)
         at = cut
-    if part := text[at:].strip():
-        parts.append(part)
     return parts
 
 
-def split_oversized(paragraphs: DataFrame, doc: str, *, most: int) -> DataFrame:
+def cut_section(text: str, header: str | None, most: int, hard: int, repeat: bool = True) -> list[str]:
+    """A section that is too long in parts of whole paragraphs, each under the section's header; too long paragraphs are cut."""
+    body, room = (text.partition("\n")[2], max(400, most - len(header) - 1)) if header else (text, most)
+    paragraphs = [x for p in map(str.strip, body.split("\n\n")) if p for x in ([p] if len(p) <= room else cut_oversized(p, room, hard))]
+    none = [False] * len(paragraphs)
+    chunks: list[list[str]] = []
+    for p, c in zip(paragraphs, chunk_numbers([len(p) for p in paragraphs], none, none, room, room), strict=True):
+        if c == len(chunks):
+            chunks.append([])
+        chunks[c].append(p)
+    parts = ["\n\n".join(c) for c in chunks]
+    return [f"{header}\n{p}" if header and (repeat or not k) else p for k, p in enumerate(parts)] or [header or ""]
+
+
+def split_oversized(paragraphs: DataFrame, doc: str, *, most: int, hard: int | None = None) -> DataFrame:
     """paragraphs(doc, no, text) -> doc, no, part_no, text: only those longer than most pass through Python, a row at a time."""
     kind = paragraphs.schema[doc].dataType.simpleString()
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(d, n, k, p) for d, n, t in zip(b[doc], b["no"], b["text"], strict=True) for k, p in enumerate(cut_oversized(t, most))]
+            rows = [(d, n, k, p) for d, n, t in zip(b[doc], b["no"], b["text"], strict=True) for k, p in enumerate(cut_oversized(t, most, hard or 2 * most))]
             yield pd.DataFrame(rows, columns=[doc, "no", "part_no", "text"])
 
     long_ = paragraphs.filter(F.length("text") > most).select(doc, F.col("no").cast("long").alias("no"), "text").mapInPandas(cut, f"{doc} {kind}, no long, part_no long, text string")
@@ -156,20 +175,32 @@ def split_oversized(paragraphs: DataFrame, doc: str, *, most: int) -> DataFrame:
     return rest.unionByName(long_)
 
 
-def chunk_documents(lines: DataFrame, doc: str, *, target_tokens: int = 1500, ratio: int = 4, flush: int = 500) -> DataFrame:
-    """lines(doc, line_no, line) -> doc, chunk_no, chunk: lines packed in order up to max(1000, target_tokens * ratio) characters; a section
-    header begins a new chunk once the one at hand has flush characters; lines that are too long are cut first."""
-    most = max(1000, target_tokens * ratio)
-    parts = split_oversized(lines.filter("line <> ''").select(doc, F.col("line_no").alias("no"), F.col("line").alias("text")), doc, most=most)
-    rows = parts.groupBy(doc).agg(F.transform(F.array_sort(F.collect_list(F.struct("no", "part_no", "text"))), lambda s: s["text"]).alias("p"))
-    start = F.array().cast("array<string>")
+def chunk_documents(lines: DataFrame, doc: str, *, target_tokens: int = 1500, ratio: int = 4, flush: int = 500, repeat: bool = True) -> DataFrame:
+    """lines(doc, line_no, line) -> doc, chunk_no, chunk.
 
-    def add(chunks: Column, p: Column) -> Column:
-        last = F.element_at(chunks, -1)
-        fits = (F.size(chunks) > 0) & (F.length(last) + 2 + F.length(p) <= most) & ~(is_section_header(p) & (F.length(last) >= flush))
-        return F.when(fits, F.concat(F.slice(chunks, 1, F.size(chunks) - 1), F.array(F.concat(last, F.lit("\n\n"), p)))).otherwise(F.concat(chunks, F.array(p)))
+    Sections begin at headers and are packed in order up to max(1000, target_tokens * ratio) characters; a section with a header
+    begins a new chunk once the one at hand has flush characters. A section that is too long is cut by paragraphs, and shares its
+    chunks with no other; its header stands above each part (with repeat; else above the first). A document without headers is
+    packed by paragraphs. Documents without text give no chunk."""
+    most, hard = max(1000, target_tokens * ratio), 2 * target_tokens * ratio
+    kind = lines.schema[doc].dataType.simpleString()
+    by = W.partitionBy(doc).orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
+    marked = lines.withColumn("head", is_section_header(F.trim("line"))).withColumn("no", F.sum(F.col("head").cast("long")).over(by))
+    text = T.stripped(ordered("line_no", "line"))
+    sections = marked.groupBy(doc, "no").agg(F.max(F.when(F.col("head"), F.trim("line"))).alias("header"), text.alias("text")).filter("text <> ''")
+    several = sections.groupBy(doc).agg((F.max("no") > 0).alias("several"))
+    known = sections.join(several.hint("shuffle_merge"), doc)
 
-    return rows.select(doc, F.posexplode(F.aggregate("p", start, add)).alias("chunk_no", "chunk"))
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(d, n, k, p, h is not None, True) for d, n, h, t in zip(b[doc], b["no"], b["header"], b["text"], strict=True) for k, p in enumerate(cut_section(t, h, most, hard, repeat))]
+            yield pd.DataFrame(rows, columns=[doc, "no", "part_no", "text", "head", "alone"])
+
+    short = known.filter(F.col("several") & (F.length("text") <= most)).select(doc, "no", F.lit(0).cast("long").alias("part_no"), "text", F.col("header").isNotNull().alias("head"), F.lit(False).alias("alone"))
+    long_ = known.filter(F.col("several") & (F.length("text") > most)).select(doc, "no", "header", "text").mapInPandas(cut, f"{doc} {kind}, no long, part_no long, text string, head boolean, alone boolean")
+    plain = known.filter("not several").select(doc, F.posexplode(F.split("text", "\n\n")).alias("no", "text")).withColumn("text", T.stripped(F.col("text"))).filter("text <> ''")
+    paragraphs = split_oversized(plain, doc, most=most, hard=hard).select(doc, "no", "part_no", "text", F.lit(False).alias("head"), F.lit(False).alias("alone"))
+    return pack(short.unionByName(long_).unionByName(paragraphs), doc, most=most, flush=flush)
 
 
 def extract_figures(docs: DataFrame, doc: str, text: str = "text") -> DataFrame:

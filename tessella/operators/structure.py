@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -182,17 +183,38 @@ def guide_first_merge(guide: DataFrame, material: DataFrame, block: str) -> Data
     return own.unionByName(other)
 
 
-def pack_paragraphs(docs: DataFrame, doc: str, paragraphs: str, *, most: int) -> DataFrame:
-    """doc, chunk_no, chunk: paragraphs packed in order while they fit, with a blank line between."""
-    start = F.array().cast("array<string>")
+def chunk_numbers(lengths: list[int], heads: list[bool], alone: list[bool], most: int, flush: int) -> list[int]:
+    """The chunk of each of some parts in order: parts go together, with two characters between, up to most characters; a part
+    with a head begins a chunk once the one at hand has flush characters; one that is alone shares its chunk with none."""
+    out, chunk, size = [], -1, None  # size: of the chunk at hand, None if it is closed
+    for n, head, single in zip(lengths, heads, alone, strict=True):
+        if single or size is None or head and size >= flush or size + 2 + n > most:
+            chunk, size = chunk + 1, None if single else n
+        else:
+            size += 2 + n
+        out.append(chunk)
+    return out
+
+
+def pack(parts: DataFrame, doc: str, *, most: int, flush: int) -> DataFrame:
+    """parts(doc, no, part_no, text, head, alone) -> doc, chunk_no, chunk. Only the parts' lengths of one document meet in Python, in
+    one value; texts are joined by Spark."""
 
-    def add(chunks: Column, p: Column) -> Column:
-        last = F.element_at(chunks, -1)
-        fits = (F.size(chunks) > 0) & (F.length(last) + 2 + F.length(p) <= most)
-        return F.when(fits, F.concat(F.slice(chunks, 1, F.size(chunks) - 1), F.array(F.concat(last, F.lit("\n\n"), p)))).otherwise(F.concat(chunks, F.array(p)))
+    @F.pandas_udf("array<int>")
+    def numbers(sizes: pd.Series) -> pd.Series:
+        return pd.Series([chunk_numbers([x["n"] for x in s], [x["head"] for x in s], [x["alone"] for x in s], most, flush) for s in sizes])
 
-    blank = F.filter(F.col(paragraphs), lambda p: F.trim(p) != "")
-    return docs.select(doc, F.posexplode(F.aggregate(blank, start, add)).alias("chunk_no", "chunk"))
+    rows = F.struct("no", "part_no", F.length("text").alias("n"), "head", "alone", "text")
+    by_doc = parts.groupBy(doc).agg(F.array_sort(F.collect_list(rows)).alias("parts"))  # of one document
+    sizes = F.transform("parts", lambda x: F.struct(x["n"].alias("n"), x["head"].alias("head"), x["alone"].alias("alone")))
+    placed = by_doc.withColumn("chunks", numbers(sizes)).select(doc, F.posexplode(F.arrays_zip("parts", "chunks")).alias("at", "x"))
+    return placed.groupBy(doc, F.col("x.chunks").alias("chunk_no")).agg(ordered("at", F.col("x.parts.text"), "\n\n").alias("chunk"))
+
+
+def pack_paragraphs(docs: DataFrame, doc: str, paragraphs: str, *, most: int) -> DataFrame:
+    """doc, chunk_no, chunk: paragraphs packed in order while they fit, with a blank line between."""
+    each = docs.select(doc, F.posexplode(paragraphs).alias("no", "text")).filter(F.trim("text") != "")
+    return pack(each.select(doc, "no", F.lit(0).alias("part_no"), "text", F.lit(False).alias("head"), F.lit(False).alias("alone")), doc, most=most, flush=most)
 
 
 def chunk_stats(chunks: DataFrame, doc: str) -> DataFrame:

@@ -162,6 +162,34 @@ def test_chunks_lose_nothing(spark):
     assert "".join("".join(out).split()) == "".join("".join(text).split()) and max(map(len, out)) <= 2 * 1200
 
 
+def test_oversized_paragraphs():
+    sentences = ("Una frase corta. " * 100).strip()
+    parts = assembly.cut_oversized(sentences, 100, 400)
+    assert all(p.endswith("corta.") for p in parts) and " ".join(parts) == sentences
+    table = "Antes\n" + "| a | b |\n" * 20 + "Después " * 30
+    parts = assembly.cut_oversized(table, 50, 400)
+    assert sum("| a | b |" in p for p in parts) == 1 and parts[0].count("| a | b |") in (0, 20)
+    assert any("| a | b |" in p for p in assembly.cut_oversized("| a | b |\n" * 20, 50, 60)[1:])  # too long to stay whole
+    assert assembly.cut_oversized("x" * 250, 100, 200) == ["x" * 100, "x" * 100, "x" * 50]
+    assert assembly.cut_oversized(" \n " * 80, 100, 200) == []
+
+
+def test_chunks_of_sections(spark):
+    """Headers begin chunks, are repeated above the parts of a long section, and short sections are packed."""
+    long_ = "\n\n".join(f"Párrafo {k} " + "palabra " * 40 for k in range(12))
+    docs = {"a": f"Texto inicial\n# Uno\n{'corto ' * 20}\n# Dos\n{'corto ' * 60}\n# Tres\n{long_}\n# Cuatro\nfin", "b": "solo\n\n" + "p " * 450 + "\n\n" + "q " * 80, "c": "", "d": None}
+    lines = [(d, i, x) for d, t in docs.items() for i, x in enumerate((t or "").split("\n"))]
+    got = {}
+    for r in assembly.chunk_documents(spark.createDataFrame([*lines, ("e", 0, None)], "doc string, line_no int, line string"), "doc", target_tokens=250).orderBy("doc", "chunk_no").collect():
+        got.setdefault(r["doc"], []).append(r["chunk"])
+    assert set(got) == {"a", "b"}
+    first, *middle, last = got["a"]
+    assert first.startswith("Texto inicial\n\n# Uno") and "# Dos" in first and last == "# Cuatro\nfin"
+    assert len(middle) > 2 and all(c.startswith("# Tres\nPárrafo") and len(c) <= 1000 for c in middle)
+    assert "\n\n".join(c.removeprefix("# Tres\n") for c in middle).split() == long_.split()
+    assert [c[:4] for c in got["b"]] == ["solo", "q q "] and got["b"][0].endswith("p p")
+
+
 def test_keys(spark):
     r = spark.range(1).select(T.topic_key(F.lit("3.2. Presión – Éxito")).alias("k"), T.slugify(F.lit("¡Año Nuevo!")).alias("s"), T.slugify(F.lit("--")).alias("e")).first()
     assert (r["k"], r["s"], r["e"]) == ("presion exito", "ano-nuevo", "elemento")
