@@ -28,7 +28,7 @@ def doc_metadata(items: DataFrame, doc: str) -> DataFrame:
     langs = items.filter("lang is not null").groupBy(doc, "lang").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
     common = langs.groupBy(doc).agg(F.max_by("lang", F.struct("n", (-F.col("first")).alias("f"))).alias("lang"))
     kinds = items.groupBy(doc).agg(F.when(F.count_distinct("kind") > 1, "mixto").otherwise(F.coalesce(F.max("kind"), F.lit("mixto"))).alias("kind"), F.min_by("title", F.when(F.col("title").isNotNull(), F.col("pos"))).alias("title"))
-    both = kinds.join(common, doc, "left")
+    both = kinds.join(common.hint("shuffle_merge"), doc, "left")
     return both.select(doc, "kind", F.coalesce("title", F.lit("No detectado")).alias("title"), F.when(F.col("lang").isin("es", "en"), F.col("lang")).otherwise("es").alias("lang"))
 
 
@@ -47,11 +47,11 @@ def assemble_sections(items: DataFrame, metadata: DataFrame, doc: str) -> DataFr
     place = F.coalesce(*[F.when(F.col("kind") == k, i) for i, k in enumerate(ORDER)], F.lit(len(ORDER)))
     m = metadata.select(doc, "title", "lang", F.col("kind").alias("doc_kind"))
     name = F.coalesce(*[F.when((F.col("lang") == lang) & (F.col("kind") == k), v) for lang, names in NAMES.items() for k, v in names.items()], F.when(F.col("lang") == "en", "Content").otherwise("Contenido"))
-    parts = bodies.join(m.select(doc, "lang"), doc).select(doc, place.alias("place"), F.concat(F.lit("## "), name, F.lit("\n\n"), "body").alias("part"))
+    parts = bodies.join(m.select(doc, "lang").hint("shuffle_merge"), doc).select(doc, place.alias("place"), F.concat(F.lit("## "), name, F.lit("\n\n"), "body").alias("part"))
     whole = parts.groupBy(doc).agg(ordered("place", "part", "\n\n---\n").alias("sections"))
     front = F.concat(F.lit("---\narchivo_origen: "), F.col(doc).cast("string"), F.lit("\ntipo_documento: "), "doc_kind", F.lit("\ntema_detectado: "), "title", F.lit("\nidioma: "), "lang", F.lit("\n---"))
     head = F.when(F.col("title") != "No detectado", F.concat(F.lit("# "), "title"))
-    return m.join(whole, doc, "left").select(doc, F.concat_ws("\n\n", front, head, "sections").alias("markdown"))
+    return m.join(whole.hint("shuffle_merge"), doc, "left").select(doc, F.concat_ws("\n\n", front, head, "sections").alias("markdown"))
 
 
 def remove_empty_sections(lines: DataFrame, doc: str) -> DataFrame:
@@ -112,11 +112,11 @@ def interleave(bodies: DataFrame, inserts: DataFrame, doc: str, text: str = "bod
     never go back."""
     size = F.length(text)
     by = W.partitionBy(doc).orderBy("pos")
-    j = inserts.join(bodies.select(doc, F.col(text).alias("__t"), size.alias("__n")), doc).withColumn("at", F.greatest(F.lit(0), F.least("offset", "__n")))
+    j = inserts.join(bodies.select(doc, F.col(text).alias("__t"), size.alias("__n")).hint("shuffle_merge"), doc).withColumn("at", F.greatest(F.lit(0), F.least("offset", "__n")))
     j = j.withColumn("at", F.max("at").over(by.rowsBetween(W.unboundedPreceding, 0))).withColumn("before", F.coalesce(F.lag("at").over(by), F.lit(0)))
     chunk = F.concat(F.expr("substring(__t, before + 1, at - before)"), "piece")
     made = j.groupBy(doc).agg(ordered("pos", chunk, "").alias("head"), F.max("at").alias("upto"))
-    both = bodies.join(made, doc, "left")
+    both = bodies.join(made.hint("shuffle_merge"), doc, "left")
     return both.select(doc, F.when(F.col("head").isNull(), F.col(text)).otherwise(F.concat("head", F.expr(f"substring({text}, upto + 1)"))).alias("text"))
 
 
@@ -226,9 +226,9 @@ def guide_structure(lines: DataFrame, doc: str) -> DataFrame:
     """lines(doc, line_no, line) -> doc, block_no, ord, kind, name: blocks and their topics between a guide's contents header and the next
     administrative one. A block line's own text after a colon gives topics too, parted by full stops."""
     start = lines.filter(F.col("line").rlike(CONTENTS)).groupBy(doc).agg(F.min("line_no").alias("from"))
-    inside = lines.join(start, doc).filter(F.col("line_no") > F.col("from"))
+    inside = lines.join(start.hint("shuffle_merge"), doc).filter(F.col("line_no") > F.col("from"))
     end = inside.filter(F.col("line").rlike(CONTENTS_END)).groupBy(doc).agg(F.min("line_no").alias("to"))
-    body = inside.join(end, doc, "left").filter((F.col("to").isNull() | (F.col("line_no") < F.col("to"))) & (F.col("line") != ""))
+    body = inside.join(end.hint("shuffle_merge"), doc, "left").filter((F.col("to").isNull() | (F.col("line_no") < F.col("to"))) & (F.col("line") != ""))
     head = F.col("line").rlike(BLOCK_LINE)
     by = W.partitionBy(doc).orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
     b = body.withColumn("block_no", F.sum(head.cast("int")).over(by)).filter("block_no > 0")
@@ -293,7 +293,7 @@ def guide_topics_flat(lines: DataFrame, doc: str) -> DataFrame:
     found = guide_structure(lines, doc).filter("kind = 'topic'").withColumn("key", T.topic_key(F.col("name")))
     once = found.withColumn("r", F.row_number().over(W.partitionBy(doc, "key").orderBy("block_no", "ord"))).filter("r = 1")
     flat = once.select(doc, F.row_number().over(W.partitionBy(doc).orderBy("block_no", "ord")).alias("ord"), "name")
-    other = numbered_candidates(lines, doc).join(flat.select(doc).distinct(), doc, "left_anti")
+    other = numbered_candidates(lines, doc).join(flat.select(doc).distinct().hint("shuffle_merge"), doc, "left_anti")
     return flat.unionByName(other.select(doc, F.row_number().over(W.partitionBy(doc).orderBy("line_no")).alias("ord"), "name"))
 
 
@@ -304,7 +304,7 @@ def hours_from_text(lines: DataFrame, tables: DataFrame, doc: str) -> DataFrame:
     hours = F.regexp_replace(F.regexp_extract("line", cue, 1), ",", ".").try_cast("double")
     rows = lines.filter(~F.col("line").contains("|") & F.col("line").rlike(cue)).withColumn("hours", hours)
     first = rows.groupBy(doc).agg(*[F.min_by("hours", F.when(F.col("line").rlike(p), F.col("line_no"))).alias(f"t_{k}") for k, p in HOURS.items()])
-    j = tables.join(first, doc, "full")
+    j = tables.join(first.hint("shuffle_merge"), doc, "full")
     return j.select(doc, *[F.coalesce(F.when(F.col(k) > 0, F.col(k)), f"t_{k}", F.lit(0.0)).alias(k) for k in HOURS])
 
 
@@ -323,7 +323,7 @@ def place_equations(elements: DataFrame, sections: DataFrame, doc: str) -> DataF
     """elements(doc, element, heading, expression), sections(doc, section_no, title, body) -> doc, element, section_no: the section that holds the
     expression, one with the element's heading first; else the last."""
     s = sections.select(doc, "section_no", F.lower("title").alias("t"), "body")
-    j = elements.join(s, doc).withColumn("has", F.col("body").contains(F.col("expression"))).withColumn("named", F.col("has") & (F.col("t") == F.lower(F.coalesce("heading", F.lit("")))))
+    j = elements.join(s.hint("shuffle_merge"), doc).withColumn("has", F.col("body").contains(F.col("expression"))).withColumn("named", F.col("has") & (F.col("t") == F.lower(F.coalesce("heading", F.lit("")))))
     place = F.when(F.col("has"), F.col("section_no")).otherwise(-F.col("section_no"))
     return j.withColumn("r", F.row_number().over(W.partitionBy(doc, "element").orderBy(F.desc("has"), F.desc("named"), place))).filter("r = 1").select(doc, "element", "section_no")
 

@@ -30,7 +30,7 @@ def structural_noise(lines: DataFrame, doc: str, section: str, *, share: float =
     able = (line != "") & (F.length(line) <= longest) & ~T.is_marker(line) & ~T.is_heading(line) & ~T.is_technical(line) & ~T.keeps_from_frequency(line)
     counts = lines.filter(able).select(doc, section, "line").distinct().groupBy(doc, "line").agg(F.count("*").alias("n"))
     totals = lines.groupBy(doc).agg(F.count_distinct(section).alias("total"))
-    return counts.join(totals, doc).filter(F.col("n") > F.col("total") * share)
+    return counts.join(totals.hint("shuffle_merge"), doc).filter(F.col("n") > F.col("total") * share)
 
 
 def glyph_headers(lines: DataFrame, doc: str, section: str, *, fifths: float = 4.0) -> DataFrame:
@@ -38,7 +38,7 @@ def glyph_headers(lines: DataFrame, doc: str, section: str, *, fifths: float = 4
     line = F.col("line")
     counts = lines.filter(~T.is_marker(line) & T.is_glyph_soup(line)).select(doc, section, "line").distinct().groupBy(doc, "line").agg(F.count("*").alias("n"))
     totals = lines.groupBy(doc).agg(F.count_distinct(section).alias("total"))
-    return counts.join(totals, doc).filter((F.col("total") >= 2) & (F.col("n") * 5 >= F.col("total") * fifths))
+    return counts.join(totals.hint("shuffle_merge"), doc).filter((F.col("total") >= 2) & (F.col("n") * 5 >= F.col("total") * fifths))
 
 
 def drop_filename_lines(lines: DataFrame, stem: str) -> DataFrame:

@@ -15,7 +15,7 @@ def token_overlap_pairs(left: DataFrame, right: DataFrame, within: str, *, least
     def tokens(df: DataFrame, id_: str, name: str) -> DataFrame:
         return df.select(within, id_, T.significant_tokens(F.col(name), least).alias("t")).withColumn(f"n_{id_}", F.size("t")).select(within, id_, f"n_{id_}", F.explode("t").alias("token"))
 
-    met = tokens(left, "a", "a_name").join(tokens(right, "b", "b_name"), [within, "token"])
+    met = tokens(left, "a", "a_name").join(tokens(right, "b", "b_name").hint("shuffle_merge"), [within, "token"])
     shared = met.groupBy(within, "a", "b", "n_a", "n_b").agg(F.count("*").alias("shared"))
     return shared.select(within, "a", "b", (F.col("shared") / F.greatest(F.lit(1), F.least("n_a", "n_b"))).alias("overlap"))
 
@@ -32,7 +32,7 @@ def greedy_one_to_one(pairs: DataFrame, store) -> DataFrame:
         if not best.take(1):
             return best if taken is None else taken
         taken = best if taken is None else taken.unionByName(best)
-        left = store(left.join(best.select("a"), "a", "left_anti").join(best.select("b"), "b", "left_anti"))
+        left = store(left.join(best.select("a").hint("shuffle_merge"), "a", "left_anti").join(best.select("b").hint("shuffle_merge"), "b", "left_anti"))
 
 
 def similarity(a: Column, b: Column) -> Column:
@@ -43,7 +43,7 @@ def similarity(a: Column, b: Column) -> Column:
 def fuzzy_best_match(left: DataFrame, right: DataFrame, within: str, *, least: float = 0.35) -> DataFrame:
     """left(within, a, a_name), right(within, b, b_name) -> within, a, b, score: the most similar name of the same group, ties to the
     smaller b; below least no b."""
-    scored = left.join(right, within).withColumn("score", similarity(T.normalize_for_matching(F.col("a_name")), T.normalize_for_matching(F.col("b_name"))))
+    scored = left.join(right.hint("shuffle_merge"), within).withColumn("score", similarity(T.normalize_for_matching(F.col("a_name")), T.normalize_for_matching(F.col("b_name"))))
     best = scored.groupBy(within, "a").agg(F.max("score").alias("score"), F.min_by("b", F.struct((-F.col("score")).alias("s"), "b")).alias("b"))
     return best.select(within, "a", F.when(F.col("score") >= least, F.col("b")).alias("b"), F.bround("score", 6).alias("score"))
 
@@ -64,11 +64,11 @@ def enrich_evidence(topics: DataFrame, found: DataFrame, block: str, *, least: f
     known = named.groupBy(block, "key").agg(F.max_by("evidence", "pos").alias("new"))
     empty = F.col("evidence").isNull() | F.lower(F.trim("evidence")).isin(*EMPTY_EVIDENCE)
     keyed = topics.withColumn("key", T.topic_key(F.col("name"))).withColumn("empty", empty & (F.col("key") != ""))
-    open_ = keyed.filter("empty").select(block, "key").distinct().join(known.select(block, "key"), [block, "key"], "left_anti")
-    pairs = open_.join(known.select(block, F.col("key").alias("other"), F.col("new").alias("near")), block)  # topics of one block
+    open_ = keyed.filter("empty").select(block, "key").distinct().join(known.select(block, "key").hint("shuffle_merge"), [block, "key"], "left_anti")
+    pairs = open_.join(known.select(block, F.col("key").alias("other"), F.col("new").alias("near")).hint("shuffle_merge"), block)  # topics of one block
     score = similarity(F.col("key"), F.col("other"))
     best = pairs.withColumn("score", score).filter(F.col("score") >= least).groupBy(block, "key").agg(F.min_by("near", F.struct((-F.col("score")).alias("s"), "other")).alias("near"))
-    joined = keyed.join(known, [block, "key"], "left").join(best, [block, "key"], "left")
+    joined = keyed.join(known.hint("shuffle_merge"), [block, "key"], "left").join(best.hint("shuffle_merge"), [block, "key"], "left")
     origin = F.when(F.col("empty") & F.col("new").isNotNull(), "Detectado").when(F.col("empty") & F.col("near").isNotNull(), "Detectado (aprox.)").otherwise("Propio")
     value = F.when(F.col("empty"), F.coalesce("new", "near", "evidence")).otherwise(F.col("evidence"))
     return joined.withColumn("origin", origin).withColumn("evidence", value).drop("new", "near", "key", "empty")
@@ -89,7 +89,7 @@ def match_by_number(blocks: DataFrame, files: DataFrame, within: str) -> DataFra
     """blocks(within, block, label), files(within, file, stem) -> within, block, file: the smallest file whose stem ends in the block's number."""
     number = r"(\d+)\s*$"
     f = files.withColumn("no", F.regexp_extract("stem", number, 1).cast("long")).groupBy(within, "no").agg(F.min("file").alias("file"))
-    return blocks.withColumn("no", F.regexp_extract("label", number, 1).cast("long")).join(f, [within, "no"], "left").select(within, "block", "file")
+    return blocks.withColumn("no", F.regexp_extract("label", number, 1).cast("long")).join(f.hint("shuffle_merge"), [within, "no"], "left").select(within, "block", "file")
 
 
 def suggest_anchor(instructions: DataFrame, options: DataFrame, key: str, *, longer: int = 3) -> DataFrame:
@@ -97,7 +97,7 @@ def suggest_anchor(instructions: DataFrame, options: DataFrame, key: str, *, lon
     words does; else the first option."""
     low = F.lower("text")
     word = F.exists(F.split(F.lower("option"), r"\s+"), lambda w: (F.length(w) > longer) & low.contains(w))
-    met = instructions.join(options, key).withColumn("met", low.contains(F.lower("option")) | word)
+    met = instructions.join(options.hint("shuffle_merge"), key).withColumn("met", low.contains(F.lower("option")) | word)
     best = F.max_by("option", F.when(F.col("met"), F.struct(F.length("option"), -F.col("pos"))))
     return met.groupBy(key).agg(F.coalesce(best, F.min_by("option", "pos")).alias("anchor"))
 
@@ -106,7 +106,7 @@ def place_fragments(fragments: DataFrame, sections: DataFrame, doc: str) -> Data
     """fragments(doc, fragment, title), sections(doc, section_no, title, body) -> doc, fragment, section_no, how: the section of the
     same title, else the first whose body has the title, else the last."""
     s = sections.select(doc, "section_no", F.lower("title").alias("section_title"), F.lower("body").alias("section_body"))
-    j = fragments.join(s, doc).withColumn("how", F.when(F.lower("title") == F.col("section_title"), 0).when(F.col("section_body").contains(F.lower("title")), 1).otherwise(2))
+    j = fragments.join(s.hint("shuffle_merge"), doc).withColumn("how", F.when(F.lower("title") == F.col("section_title"), 0).when(F.col("section_body").contains(F.lower("title")), 1).otherwise(2))
     order = F.when(F.col("how") == 2, -F.col("section_no")).otherwise(F.col("section_no"))
     return j.withColumn("r", F.row_number().over(W.partitionBy(doc, "fragment").orderBy("how", order))).filter("r = 1").select(doc, "fragment", "section_no", F.element_at(F.array(F.lit("title"), F.lit("body"), F.lit("last")), F.col("how") + 1).alias("how"))
 

@@ -32,7 +32,7 @@ def split_h2_sections(lines: DataFrame, doc: str, *, opening: str = "Introducci
     shown = numbered.filter(~is_h2 & ~((F.col("section_no") == 0) & F.col("line").startswith("# ")))
     bodies = shown.groupBy(doc, "section_no").agg(T.stripped(ordered("line_no", "line")).alias("body"))
     titles = numbered.filter(is_h2).select(doc, "section_no", F.trim(F.expr("substring(line, 4)")).alias("title"))
-    both = titles.join(bodies, [doc, "section_no"], "full")
+    both = titles.join(bodies.hint("shuffle_merge"), [doc, "section_no"], "full")
     return both.select(doc, "section_no", F.coalesce("title", F.lit(opening)).alias("title"), F.coalesce("body", F.lit("")).alias("body")).filter((F.col("section_no") > 0) | (F.col("body") != ""))
 
 
@@ -103,7 +103,7 @@ def heading_prefix(words: DataFrame, doc: str, *, dominant: float = 0.7) -> Data
     ratio = F.col("size") / F.col("body_size")
     other = (F.col("font") != F.col("body_font")) | (F.col("size") != F.col("body_size"))
     prefix = F.when(ratio >= 1.45, "#").when(ratio >= 1.2, "##").when(F.col("font").rlike("(?i)bold") & (ratio >= 0.9), "###")
-    return top.join(body, doc).withColumn("prefix", F.when(other, prefix)).filter("prefix is not null").select(doc, "page", "y", "prefix")
+    return top.join(body.hint("shuffle_merge"), doc).withColumn("prefix", F.when(other, prefix)).filter("prefix is not null").select(doc, "page", "y", "prefix")
 
 
 def slide_titles(shapes: DataFrame, doc: str, slide: str, *, longest: int = 100) -> DataFrame:
@@ -160,7 +160,7 @@ def numbered_candidates(lines: DataFrame, doc: str) -> DataFrame:
 def numbering_quality(lines: DataFrame, doc: str) -> DataFrame:
     """doc, raw, accepted: numbered lines, and those that become candidates."""
     raw = lines.groupBy(doc).agg(F.count(F.when(F.col("line").rlike(NUMBERED), 1)).alias("raw"))
-    return raw.join(numbered_candidates(lines, doc).groupBy(doc).agg(F.count("*").alias("accepted")), doc, "left").na.fill(0, ["accepted"])
+    return raw.join(numbered_candidates(lines, doc).groupBy(doc).agg(F.count("*").alias("accepted")).hint("shuffle_merge"), doc, "left").na.fill(0, ["accepted"])
 
 
 def candidate_cascade(candidates: DataFrame, doc: str, *, enough: int = 2) -> DataFrame:
@@ -276,19 +276,19 @@ def index_page_topics(lines: DataFrame, doc: str, *, keyword: str = r"(?i)^(?:[i
     """lines(doc, page, line_no, is_title, line) -> doc, page, ord, name: of the first page whose first title is an index keyword, the valid
     topics in the lines below it, if there are enough."""
     first = lines.filter("is_title").groupBy(doc, "page").agg(F.min("line_no").alias("at"), F.min_by("line", "line_no").alias("title")).filter(F.col("title").rlike(keyword))
-    below = lines.join(first.select(doc, "page", "at"), [doc, "page"]).filter((F.col("line_no") > F.col("at")) & valid_topic(F.col("line"))).withColumn("key", T.topic_key(F.col("line")))
+    below = lines.join(first.select(doc, "page", "at").hint("shuffle_merge"), [doc, "page"]).filter((F.col("line_no") > F.col("at")) & valid_topic(F.col("line"))).withColumn("key", T.topic_key(F.col("line")))
     once = below.withColumn("r", F.row_number().over(W.partitionBy(doc, "page", "key").orderBy("line_no"))).filter("r = 1").withColumn("n", F.count("*").over(W.partitionBy(doc, "page"))).filter(F.col("n") >= least)
     page = once.groupBy(doc).agg(F.min("page").alias("page"))
-    return once.join(page, [doc, "page"]).select(doc, "page", F.row_number().over(W.partitionBy(doc).orderBy("line_no")).alias("ord"), F.col("line").alias("name"))
+    return once.join(page.hint("shuffle_merge"), [doc, "page"]).select(doc, "page", F.row_number().over(W.partitionBy(doc).orderBy("line_no")).alias("ord"), F.col("line").alias("name"))
 
 
 def visual_titles(words: DataFrame, doc: str) -> DataFrame:
     """doc, status, n_titles: titles found by their style, each key once and without noise; documents without styled words, without titles, or
     with them are sin_metadatos, sin_titulos and ok."""
     text = group_words_into_lines(words, doc)
-    titles = text.join(heading_prefix(words, doc), [doc, "page", "y"]).filter(valid_topic(F.col("line")) & ~F.col("line").rlike(r"^[a-záéíóúñ]") & (F.size(F.split("line", " ")) <= 12)).withColumn("key", T.topic_key(F.col("line")))
+    titles = text.join(heading_prefix(words, doc).hint("shuffle_merge"), [doc, "page", "y"]).filter(valid_topic(F.col("line")) & ~F.col("line").rlike(r"^[a-záéíóúñ]") & (F.size(F.split("line", " ")) <= 12)).withColumn("key", T.topic_key(F.col("line")))
     counts = titles.groupBy(doc).agg(F.count_distinct("key").alias("n_titles"))
     styled = words.groupBy(doc).agg(F.count(F.when(F.col("size").isNotNull(), 1)).alias("styled"))
-    both = styled.join(counts, doc, "left")
+    both = styled.join(counts.hint("shuffle_merge"), doc, "left")
     status = F.when(F.col("styled") == 0, "sin_metadatos").when(F.col("n_titles").isNull(), "sin_titulos").otherwise("ok")
     return both.select(doc, status.alias("status"), F.coalesce("n_titles", F.lit(0)).alias("n_titles"))

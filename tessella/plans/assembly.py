@@ -80,7 +80,7 @@ def _anchors(spark, sf_dir):
     """The lines of a document as topics; those of more than three words have lost their place."""
     lines = S.explode_lines(S.table(spark, sf_dir, "documents"), "doc_id")
     total = S.table(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("length"))
-    return lines.join(total, "doc_id").select("doc_id", F.col("line_no").alias("ord"), F.when(F.size(F.split("line", " ")) <= 3, F.col("start")).alias("start"), "length")
+    return lines.join(total.hint("shuffle_merge"), "doc_id").select("doc_id", F.col("line_no").alias("ord"), F.when(F.size(F.split("line", " ")) <= 3, F.col("start")).alias("start"), "length")
 
 
 @query(rf"""WITH {LINES}, o AS (SELECT doc_id, line_no AS ord, line, sum(length(raw) + 1) OVER (PARTITION BY doc_id ORDER BY line_no) - 1 - length(raw) AS s0 FROM (SELECT l.*, l0.raw FROM l JOIN l0 USING (source, doc_id, line_no))),
@@ -150,7 +150,7 @@ def guide_structure(spark, sf_dir):
     s = A.guide_structure(S.lines_of(guides(spark, sf_dir), "n_regionkey"), "n_regionkey")
     topic = (F.col("kind") == "topic") & F.col("name").rlike("^[A-Z]+$")
     names = S.table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), F.lit(True).alias("nation"))
-    return s.join(names, "name", "left").groupBy("n_regionkey").agg(F.count(F.when(F.col("kind") == "block", 1)).alias("blocks"), F.count(F.when(topic & F.col("nation").isNull(), 1)).alias("segments"))
+    return s.join(names.hint("shuffle_merge"), "name", "left").groupBy("n_regionkey").agg(F.count(F.when(F.col("kind") == "block", 1)).alias("blocks"), F.count(F.when(topic & F.col("nation").isNull(), 1)).alias("segments"))
 
 
 def hour_tables(spark, sf_dir):
@@ -177,7 +177,7 @@ def extract_hours(spark, sf_dir):
 def guide_topics_flat(spark, sf_dir):
     t = A.guide_topics_flat(S.lines_of(guides(spark, sf_dir), "n_regionkey"), "n_regionkey")
     segments = S.table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("name")).distinct()
-    return t.join(segments, "name", "left_semi").groupBy("n_regionkey").agg(F.count("*").alias("topics"))
+    return t.join(segments.hint("shuffle_merge"), "name", "left_semi").groupBy("n_regionkey").agg(F.count("*").alias("topics"))
 
 
 @query("SELECT c_nationkey, CAST(min(c_custkey) % 50 + 1 AS DOUBLE) AS theory, CAST(0 AS DOUBLE) AS seminar, CAST(min(c_custkey) % 7 AS DOUBLE) AS lab FROM customer GROUP BY 1")
