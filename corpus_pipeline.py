@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm.bpe import bpe_digests
-from tessella.llm.common import stored, table
+from tessella.llm.common import join_hint, spread_join, stored, table
 from tessella.llm.decontamination import decontaminate
 from tessella.llm.line_dedup import dedup_lines
 from tessella.llm.near_dedup import near_classes
@@ -44,8 +44,14 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """docs as __doc, doc_id and text with a row number, written so that it is the same whenever it is read."""
-    return stored(whole(docs, "doc_id", "text").withColumn("row", F.monotonically_increasing_id()))
+    """docs as __doc, doc_id and text with a row number, which is the same whenever a table is read."""
+    return whole(docs, "doc_id", "text").withColumn("row", F.monotonically_increasing_id())
+
+
+def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """The documents of rows whose row numbers are not in gone."""
+    gone = stored(gone.select("row"))
+    return rows.join(gone.hint(join_hint(gone)), "row", "left_anti").select("__doc.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,9 +59,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     if no row of the class has one. Null and empty texts are in no class and stay."""
     rows = numbered(docs)
     classes = near_classes(rows.select(F.col("row").alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), "class_id")
-    ranked = rows.select("row", F.col("doc_id").isNull().alias("none"), "doc_id").join(stored(classes).hint("shuffle_merge"), "row")
-    kept = ranked.groupBy("class_id").agg(F.min(F.struct("none", "doc_id", "row")).alias("first")).select("first.row")
-    return rows.join(kept.hint("shuffle_merge"), "row", "left_semi").select("__doc.*")
+    ranked = stored(rows.select("row", F.col("doc_id").isNull().alias("none"), "doc_id").join(stored(classes).hint("shuffle_merge"), "row"))
+    first = stored(ranked.groupBy("class_id").agg(F.min(F.struct("none", "doc_id", "row")).alias("first"), F.count("*").alias("n")).filter("n > 1"))
+    return without(rows, spread_join(ranked.filter("class_id is not null"), first, ["class_id"], "n").filter("row <> first.row"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,8 +69,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     stay."""
     rows = numbered(docs)
     judged = decontaminate(rows.select(F.col("row").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
-    gone = stored(judged.filter("contaminated").select(F.col("doc_id").alias("row")))
-    return rows.join(gone.hint("shuffle_merge"), "row", "left_anti").select("__doc.*")
+    return without(rows, judged.filter("contaminated").select(F.col("doc_id").alias("row")))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
