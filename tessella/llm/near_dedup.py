@@ -212,9 +212,11 @@ def near_components(docs: DataFrame, signed: DataFrame, *, words: int = WORDS, s
         rest = stored(placed.select("a", "b", nth.alias("nth")))
         if rest.isEmpty():
             return of
-        links = stored(links.unionByName(linked(rest.filter(F.col("nth") <= width), texts, words=words, similarity=similarity)))
-        of = stored(components(links))
-        rest, width = rest.filter(F.col("nth") > width).select("a", "b"), 8 * width
+        new = stored(linked(rest.filter(F.col("nth") <= width), texts, words=words, similarity=similarity))
+        if not new.isEmpty():
+            links = stored(links.unionByName(new))
+            of = stored(components(links))
+        rest, width = rest.filter(F.col("nth") > width).select("a", "b"), 32 * width
 
 
 def near_classes(docs: DataFrame, *, words: int = WORDS, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, small: int = SMALL) -> DataFrame:
