@@ -123,10 +123,11 @@ def components(links: DataFrame) -> DataFrame:
         if now == before:
             return edges.select("v", F.explode(F.array("u", "v")).alias("node")).select("node", F.col("v").alias("class")).distinct()
         before = now
-        edges = edges.coalesce(1) if now[0] <= FEW else edges
+        in_one = (lambda df: df.coalesce(1)) if now[0] <= FEW else (lambda df: df)
+        edges = in_one(edges)
         near = edges.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.u", "e.v")
         least = near.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        edges = pairs(near.join(least.hint("shuffle_merge"), "u").filter("v > u"), ("v", "m"))
+        edges = in_one(pairs(near.join(least.hint("shuffle_merge"), "u").filter("v > u"), ("v", "m")))  # else the next join deals them anew
         least = edges.groupBy("u").agg(F.min("v").alias("m"))
         edges = pairs(edges.join(least.hint("shuffle_merge"), "u"), ("v", "m"), ("u", "m"))
 
