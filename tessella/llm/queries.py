@@ -8,6 +8,7 @@ from .html_text import op8_html_text
 from .line_dedup import OP7_SQL, op7_line_dedup
 from .near_dedup import op5_near_duplicates
 from .neighbours import op3_neighbours
+from .periodic_runs import op11_periodic_runs
 from .revisits import OP9_SQL, op9_revisits
 from .substring_dedup import op6_substring_dedup
 from .token_counts import op2_token_counts
@@ -15,7 +16,7 @@ from .toxicity import op1_toxicity
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_neighbours, op4_bpe, op5_near_duplicates, op6_substring_dedup, op7_line_dedup, op8_html_text, op9_revisits, op10_decontamination)}
+    return {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_neighbours, op4_bpe, op5_near_duplicates, op6_substring_dedup, op7_line_dedup, op8_html_text, op9_revisits, op10_decontamination, op11_periodic_runs)}
 
 
 def oracle_sql() -> dict:
