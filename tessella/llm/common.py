@@ -59,8 +59,9 @@ def spread_join(rows: DataFrame, by_key: DataFrame, keys: list[str], times: str,
     such a key goes to all of them. The other keys are joined as ever, in the same shuffle."""
     total = by_key.agg(F.sum(times)).first()[0] or 0
     hot = by_key.filter(F.col(times) > max(total / share, 1000)).select(*keys, F.lit(parts).alias("__parts"))
+    own = [c for c in rows.columns if c not in keys] or keys  # by the row's own values: a task that is run again deals alike
     dealt = rows.join(hot.hint("broadcast"), keys, "left")  # at most share rows
-    dealt = dealt.withColumn("__part", F.when(F.col("__parts").isNotNull(), F.floor(F.rand(1) * parts)).otherwise(0).cast("int")).drop("__parts")
+    dealt = dealt.withColumn("__part", F.when(F.col("__parts").isNotNull(), F.pmod(F.xxhash64(*own), F.lit(parts))).otherwise(0).cast("int")).drop("__parts")
     often = F.when(F.col(times) > max(total / share, 1000), parts - 1).otherwise(0)
     every = by_key.withColumn("__part", F.explode(F.sequence(F.lit(0), often)))
     return dealt.join(every.hint("shuffle_merge"), [*keys, "__part"]).drop("__part")

@@ -1,4 +1,4 @@
-"""The eleven queries over the smallest tables, against SQL, the libraries, or brute force."""
+"""The queries over the smallest tables, against SQL, the libraries, or brute force."""
 
 import hashlib
 from collections import Counter
@@ -23,7 +23,7 @@ def texts(spark):
 def test_sql(spark, name):
     df = queries.queries()[name](spark, DIR)
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "pages"):
+    for t in ("documents", "benchmark", "pages", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DIR}/{t}.parquet'")
     columns = ", ".join(f'"{c}"' for c in df.columns)
     want = con.execute(f"SELECT {columns} FROM ({queries.oracle_sql()[name]})").fetchall()
