@@ -87,11 +87,12 @@ def _release() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def lean(batches: Iterator, keeps: bool = False) -> Iterator:
+def lean(batches: Iterator, keeps: bool = False, returned: int = 1 << 18) -> Iterator:
     """The batches. Before the first one what another operator has kept in this worker goes (unless keeps), and after the last
-    one free memory goes back to the system, so that a worker that is used again does not grow from stage to stage."""
+    one free memory goes back to the system, so that a worker that is used again does not grow from stage to stage. Arrays of
+    returned bytes or more go back at once, which takes time where many are made."""
     if hasattr(ctypes.CDLL(None), "mallopt"):
-        ctypes.CDLL(None).mallopt(-3, 1 << 18)  # M_MMAP_THRESHOLD: arrays beyond 256 kB are returned at once
+        ctypes.CDLL(None).mallopt(-3, returned)  # M_MMAP_THRESHOLD
     if not keeps:
         _kept.clear()
     yield from batches

@@ -3,8 +3,8 @@
 A run is a stretch of consecutive words with a smallest period q (words q apart are identical) that no neighbouring word extends
 keeping the period; those of at least `least` words and `times` periods count.
 
-The word ids of a batch of documents are compressed by Re-Pair: the most frequent pairs of neighbours become nonterminals, round
-by round, until no pair occurs twice within the batch; what is left of a document is folded into a balanced tree, so that
+The word ids of some documents at once are compressed by Re-Pair: the most frequent pairs of neighbours become nonterminals, round
+by round, until no pair occurs twice within them; what is left of a document is folded into a balanced tree, so that
 everything is a binary node. A run that lies in the text lies whole in the expansion of one lowest node, whose boundary it
 crosses. So each node is asked once, at its first place, for the runs that cross its boundary, however often it is derived, and
 what it has is translated to all its places. Higher nodes give longer parts of the same run; of each period the intervals that
@@ -12,17 +12,19 @@ no other one holds are the maximal runs.
 
 A run of four periods that crosses a boundary has two of them on one of its sides. Short periods are tried there word by word.
 For long ones the rarest of the eight words beside the boundary must occur again a period away, and only its few places are
-compared, all exactly. The grammar is made anew for every batch: it decides how often a repeated passage is looked at and nothing
-else. Memory is some 150 bytes a word of a batch, which is 4 MB of text or a single longer document.
+compared, all exactly. The grammar is made anew for every PART: it decides how often a repeated passage is looked at and nothing
+else. Memory is some 150 bytes a word of what shares a grammar, which is PART bytes of text or a single longer document.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,8 +35,8 @@ from .shingles import mix
 LEAST, TIMES = 6, 4
 #: Words beside a boundary of which the rarest is looked up; shorter periods are tried one by one.
 BESIDE = 8
-#: Comparisons that are held at once.
-CHUNK = 1 << 20
+#: Comparisons that are held at once, and bytes of text that share a grammar.
+CHUNK, PART = 1 << 18, 1 << 20
 
 
 class Grammar:
@@ -45,57 +47,69 @@ class Grammar:
 
     def __init__(self, word: np.ndarray, doc: np.ndarray):
         self.left, self.right, self.of, self.places = [], [], [], []
-        length = [np.ones(int(word.max()) + 1 if len(word) else 1, np.int64)]
-        symbol, at, live = word.astype(np.int64), np.arange(len(word)), np.ones(len(word), bool)
-        total = len(length[0])
-        first_rule = total
+        n, total = len(word), int(word.max()) + 1 if len(word) else 1
+        first_rule, lengths = total, np.ones(total, np.int64)
+        # Symbols stay where their first word stands; the last place is behind the end.
+        symbol, doc = np.append(word, -1).astype(np.int64), np.append(doc, -1).astype(np.int32)
+        after, before, stands = np.arange(1, n + 2), np.arange(-1, n), np.ones(n + 1, bool)
+        after[n:], stands[n] = n, False
+        live, marked = np.arange(n), np.zeros(n + 1, bool)
         while True:
-            i = np.flatnonzero(live[:-1] & (doc[:-1] == doc[1:])) if len(symbol) > 1 else np.zeros(0, np.int64)
-            twice = symbol[i] == symbol[i + 1] if len(i) else np.zeros(0, bool)
+            i = live[doc[live] == doc[after[live]]]
+            twice = symbol[i] == symbol[after[i]]
             odd = np.zeros(len(i), bool)
             if twice.any():  # of x x x only every other pair
-                goes_on = np.concatenate([[False], twice[1:] & twice[:-1] & (np.diff(i) == 1)])
+                goes_on = np.concatenate([[False], twice[1:] & twice[:-1] & (after[i[:-1]] == i[1:])])
                 begins = np.maximum.accumulate(np.where(goes_on, 0, np.arange(len(i))))
                 odd = twice & ((np.arange(len(i)) - begins) % 2 == 1)
             pair = i[~odd]
-            kind, inverse, count = np.unique(symbol[pair] * total + symbol[pair + 1], return_inverse=True, return_counts=True) if len(pair) else (pair, pair, pair)
+            pair = pair[self._often(symbol[pair], symbol[after[pair]])]
+            kind, inverse, count = np.unique(symbol[pair] * total + symbol[after[pair]], return_inverse=True, return_counts=True) if len(pair) else (pair, pair, pair)
             if not len(count) or count.max() < 2:
                 break
             weight = (count << 40) | (mix(kind.astype(np.uint64)) & np.uint64((1 << 40) - 1)).astype(np.int64)
             chosen = count[inverse] >= max(2, (int(count.max()) + 1) // 2)
-            taken, number = self._greedy(pair[chosen], weight[inverse[chosen]], inverse[chosen])
+            taken, number = self._greedy(pair[chosen], after, weight[inverse[chosen]], inverse[chosen])
             enough = np.bincount(number, minlength=len(kind))[number] >= 2
             taken, number = taken[enough], number[enough]
             used, number = np.unique(number, return_inverse=True)
-            lengths = np.concatenate(length) if len(length) > 1 else length[0]
-            length = [lengths]
             a, b = lengths[kind[used] // total], lengths[kind[used] % total]
             self.left.append(a)
             self.right.append(b)
             self.of.append(number + total - first_rule)
-            self.places.append(at[taken])
-            length.append(a + b)
-            live = np.zeros(len(symbol), bool)
-            live[pair[count[inverse] >= 2]] = live[i[odd]] = live[taken] = True
-            live[np.maximum(taken - 1, 0)] = True
+            self.places.append(taken)
+            lengths = np.concatenate([lengths, a + b])
             symbol[taken] = number + total
-            stays = np.ones(len(symbol), bool)
-            stays[taken + 1] = False
-            symbol, at, doc, live = symbol[stays], at[stays], doc[stays], live[stays]
             total += len(used)
+            gone = after[taken]
+            stands[gone] = False
+            after[taken] = after[gone]
+            before[after[gone]] = taken
+            marked[:] = False
+            for some in (pair[count[inverse] >= 2], i[odd], taken, before[taken]):
+                marked[some] = True  # before the first one is the last place, whose pair is none
+            live = np.flatnonzero(marked & stands)
         joined = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
         self.left, self.right, self.of, self.places = map(joined, (self.left, self.right, self.of, self.places))
         by = np.argsort(self.of, kind="stable")
         self.places = self.places[by]
         self.start = np.searchsorted(self.of[by], np.arange(len(self.left) + 1))
-        self.rest, self.rest_doc = at, doc
+        self.rest = np.flatnonzero(stands[:n])
+        self.rest_doc = doc[self.rest]
 
     @staticmethod
-    def _greedy(at: np.ndarray, weight: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _often(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Which pairs may occur twice: counts by a hash of the pair are never too small."""
+        mixed = left * 0x9E3779B1 + right * 0x85EBCA77
+        slot = (mixed ^ (mixed >> 23)) & ((1 << max(10, len(left).bit_length() + 1)) - 1)
+        return np.bincount(slot)[slot] > 1 if len(left) else np.zeros(0, bool)
+
+    @staticmethod
+    def _greedy(at: np.ndarray, after: np.ndarray, weight: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of pairs at ascending places those that no heavier overlapping one forbids, heaviest first."""
         out = []
         while len(at):
-            close = np.diff(at) == 1
+            close = after[at[:-1]] == at[1:]
             wins = np.ones(len(at), bool)
             wins[1:] &= ~close | (weight[1:] > weight[:-1])
             wins[:-1] &= ~close | (weight[:-1] >= weight[1:])
@@ -105,8 +119,7 @@ class Grammar:
             gone[:-1] |= close & wins[1:]
             at, weight, number = at[~gone], weight[~gone], number[~gone]
         both = np.concatenate(out, axis=1)
-        both = both[:, np.argsort(both[0], kind="stable")]
-        return both[0], both[1]
+        return tuple(both[:, np.argsort(both[0], kind="stable")])
 
     def nodes(self, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """lo, boundary and hi of all binary nodes: the nonterminals at their first place, then the trees over what is left.
@@ -244,6 +257,16 @@ def runs_of(word: np.ndarray, doc: np.ndarray, ends: np.ndarray, least: int = LE
     return start[by], end[by], period[by]
 
 
+def parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of about PART bytes of text, or of one longer text."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(batch):
+        to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + PART, side="right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 RUNS = "array<struct<start: long, length: long, period: long>>"
 
 
@@ -255,13 +278,13 @@ def periodic_runs(docs: DataFrame, *, least: int = LEAST, times: int = TIMES) ->
     row is judged by itself, so repeated rows, ids and null ids come out as they are."""
 
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in lean(batches):
+        for batch in (part for whole in lean(batches, returned=1 << 25) for part in parts(whole)):
             numbers: defaultdict = defaultdict()
             numbers.default_factory = numbers.__len__
             words = [(t or "").encode().split() for t in batch.column(1).to_pylist()]
             sizes = np.array([len(x) for x in words], np.int64)
             ends = np.cumsum(sizes)
-            word = np.fromiter((numbers[x] for own in words for x in own), np.int32, int(sizes.sum()))
+            word = np.fromiter(map(numbers.__getitem__, chain.from_iterable(words)), np.int32, int(sizes.sum()))
             start, end, period = runs_of(word, np.repeat(np.arange(len(words), dtype=np.int32), sizes), ends, least, times)
             of = np.searchsorted(ends, start, side="right")
             change = np.zeros(len(word) + 1, np.int64)
