@@ -322,8 +322,10 @@ def variable_glossary(lines: DataFrame, doc: str) -> DataFrame:
 def place_equations(elements: DataFrame, sections: DataFrame, doc: str) -> DataFrame:
     """elements(doc, element, heading, expression), sections(doc, section_no, title, body) -> doc, element, section_no: the section that holds the
     expression, one with the element's heading first; else the last."""
-    s = sections.select(doc, "section_no", F.lower("title").alias("t"), "body")
-    j = elements.join(s.hint("shuffle_merge"), doc).withColumn("has", F.col("body").contains(F.col("expression"))).withColumn("named", F.col("has") & (F.col("t") == F.lower(F.coalesce("heading", F.lit("")))))
+    # Catalyst makes lower(upper(x)) lower(x), so the one letter whose upper case is two is folded by itself.
+    folded = lambda c: F.replace(F.lower(c), F.lit("ß"), F.lit("ss"))
+    s = sections.select(doc, "section_no", folded("title").alias("t"), "body")
+    j = elements.join(s.hint("shuffle_merge"), doc).withColumn("has", F.col("body").contains(F.col("expression"))).withColumn("named", F.col("has") & (F.col("t") == folded(F.coalesce("heading", F.lit("")))))
     place = F.when(F.col("has"), F.col("section_no")).otherwise(-F.col("section_no"))
     return j.withColumn("r", F.row_number().over(W.partitionBy(doc, "element").orderBy(F.desc("has"), F.desc("named"), place))).filter("r = 1").select(doc, "element", "section_no")
 

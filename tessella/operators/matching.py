@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tessella.functions import text as T
+from tessella.functions.blocks import bag, bag_bound, block_ratio
 
 
 def token_overlap_pairs(left: DataFrame, right: DataFrame, within: str, *, least: int = 3) -> DataFrame:
@@ -35,17 +36,53 @@ def greedy_one_to_one(pairs: DataFrame, store) -> DataFrame:
         left = store(left.join(best.select("a").hint("shuffle_merge"), "a", "left_anti").join(best.select("b").hint("shuffle_merge"), "b", "left_anti"))
 
 
-def similarity(a: Column, b: Column) -> Column:
-    """One minus the edit distance over the longer length."""
-    return 1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b), F.lit(1))
-
-
-def fuzzy_best_match(left: DataFrame, right: DataFrame, within: str, *, least: float = 0.35) -> DataFrame:
-    """left(within, a, a_name), right(within, b, b_name) -> within, a, b, score: the most similar name of the same group, ties to the
-    smaller b; below least no b."""
-    scored = left.join(right.hint("shuffle_merge"), within).withColumn("score", similarity(T.normalize_for_matching(F.col("a_name")), T.normalize_for_matching(F.col("b_name"))))
-    best = scored.groupBy(within, "a").agg(F.max("score").alias("score"), F.min_by("b", F.struct((-F.col("score")).alias("s"), "b")).alias("b"))
-    return best.select(within, "a", F.when(F.col("score") >= least, F.col("b")).alias("b"), F.bround("score", 6).alias("score"))
+def similar_names(left: DataFrame, right: DataFrame, within: str, *, least: float) -> DataFrame:
+    """left(within, name, need), right(within, other), both distinct normal forms -> within, name, other, score: the similarity by
+    matching blocks of pairs of a group that can reach need, which is least or more.
+
+    Names meet by group and length: a similarity of s asks for lengths within a factor of s / (2 - s). Of those that meet, a pair
+    is formed only if the letters that both have, counted as bags, allow for need."""
+    width = 8
+    factor = F.col("need") / (2 - F.col("need"))
+    size, spare = F.length("name"), 1e-9
+    lo, hi = F.floor(size * factor - spare), F.when(F.col("need") > 0, F.ceil(size / factor + spare))
+    asked = left.withColumn("bag", bag(F.col("name"))).withColumn("size", size).withColumn("lo", lo).withColumn("hi", hi)
+    asked = asked.withColumn("bucket", F.explode(F.sequence((F.col("lo") / width).cast("int"), (F.col("hi") / width).cast("int"))))
+    held = right.withColumn("other_bag", bag(F.col("other"))).withColumn("other_size", F.length("other")).withColumn("bucket", (F.col("other_size") / width).cast("int"))
+    can = F.col("other_size").between(F.col("lo"), F.col("hi")) & (bag_bound(F.col("bag"), F.col("other_bag"), F.col("size") + F.col("other_size")) >= F.col("need") - spare)
+    pairs = asked.join(held.hint("shuffle_merge"), [within, "bucket"]).filter(can).select(within, "name", "other")
+    return pairs.withColumn("score", block_ratio(F.col("name"), F.col("other"))).filter(F.col("score") >= least)
+
+
+def rare_token_scores(left: DataFrame, right: DataFrame, within: str) -> DataFrame:
+    """left(within, name), right(within, other) -> within, name, score: of each name its similarity with one name that has its
+    rarest token among those of its group, which tells how good a match must be at least."""
+    tokens = right.select(within, "other", F.explode(F.array_distinct(F.split("other", " "))).alias("token")).groupBy(within, "token").agg(F.count("*").alias("n"), F.min("other").alias("other"))
+    met = left.select(within, "name", F.explode(F.array_distinct(F.split("name", " "))).alias("token")).join(tokens.hint("shuffle_merge"), [within, "token"])
+    one = met.groupBy(within, "name").agg(F.min_by("other", F.struct("n", "other")).alias("other"))
+    return one.select(within, "name", block_ratio(F.col("name"), F.col("other")).alias("known"))
+
+
+def fuzzy_best_match(left: DataFrame, right: DataFrame, within: str, store, *, least: float = 0.35) -> DataFrame:
+    """left(within, a, a_name), right(within, b, b_name) -> within, a, b, score, how: the b of the same group whose name is the most
+    similar by matching blocks (similar), ties to the smaller b. If none reaches least, the b in the same place: the a-th in order
+    takes the b-th in order, and the first one where there are fewer (position). A group without any b gives null.
+
+    Names are compared by their topic keys and only once each; store writes a table out. A name without letters is similar to
+    another such name only."""
+    names = store(left.select(within, "a", T.topic_key(F.coalesce("a_name", F.lit(""))).alias("name")))
+    others = store(right.select(within, "b", T.topic_key(F.coalesce("b_name", F.lit(""))).alias("other")))
+    asked, held = names.select(within, "name").distinct(), others.groupBy(within, "other").agg(F.min("b").alias("b"))
+    known = rare_token_scores(asked, held, within)
+    need = F.greatest(F.lit(least), F.coalesce("known", F.lit(0.0)))
+    scored = similar_names(asked.join(known.hint("shuffle_merge"), [within, "name"], "left").select(within, "name", need.alias("need")), held.select(within, "other"), within, least=least)
+    best = scored.join(held.hint("shuffle_merge"), [within, "other"]).groupBy(within, "name").agg(F.max("score").alias("score"), F.min_by("b", F.struct((-F.col("score")).alias("s"), "b")).alias("b"))
+    placed = names.withColumn("place", F.row_number().over(W.partitionBy(within).orderBy("a")))
+    files = others.withColumn("place", F.row_number().over(W.partitionBy(within).orderBy("b"))).select(within, "place", F.col("b").alias("same"))
+    first = others.groupBy(within).agg(F.min("b").alias("first"))
+    joined = placed.join(best.hint("shuffle_merge"), [within, "name"], "left").join(files.hint("shuffle_merge"), [within, "place"], "left").join(first.hint("shuffle_merge"), within, "left")
+    how = F.when(F.col("score").isNotNull(), "similar").when(F.col("first").isNotNull(), "position")
+    return joined.select(within, "a", F.coalesce("b", "same", "first").alias("b"), F.bround("score", 6).alias("score"), how.alias("how"))
 
 
 # Evidence that says nothing.
@@ -64,25 +101,33 @@ def enrich_evidence(topics: DataFrame, found: DataFrame, block: str, *, least: f
     known = named.groupBy(block, "key").agg(F.max_by("evidence", "pos").alias("new"))
     empty = F.col("evidence").isNull() | F.lower(F.trim("evidence")).isin(*EMPTY_EVIDENCE)
     keyed = topics.withColumn("key", T.topic_key(F.col("name"))).withColumn("empty", empty & (F.col("key") != ""))
-    open_ = keyed.filter("empty").select(block, "key").distinct().join(known.select(block, "key").hint("shuffle_merge"), [block, "key"], "left_anti")
-    pairs = open_.join(known.select(block, F.col("key").alias("other"), F.col("new").alias("near")).hint("shuffle_merge"), block)  # topics of one block
-    score = similarity(F.col("key"), F.col("other"))
-    best = pairs.withColumn("score", score).filter(F.col("score") >= least).groupBy(block, "key").agg(F.min_by("near", F.struct((-F.col("score")).alias("s"), "other")).alias("near"))
+    open_ = keyed.filter("empty").select(block, F.col("key").alias("name")).distinct().join(known.select(block, F.col("key").alias("name")).hint("shuffle_merge"), [block, "name"], "left_anti").withColumn("need", F.lit(least))
+    held = known.select(block, F.col("key").alias("other"), F.col("new").alias("near"))
+    scored = similar_names(open_, held.select(block, "other"), block, least=least).join(held.hint("shuffle_merge"), [block, "other"])
+    best = scored.groupBy(block, F.col("name").alias("key")).agg(F.min_by("near", F.struct((-F.col("score")).alias("s"), "other")).alias("near"))
     joined = keyed.join(known.hint("shuffle_merge"), [block, "key"], "left").join(best.hint("shuffle_merge"), [block, "key"], "left")
     origin = F.when(F.col("empty") & F.col("new").isNotNull(), "Detectado").when(F.col("empty") & F.col("near").isNotNull(), "Detectado (aprox.)").otherwise("Propio")
     value = F.when(F.col("empty"), F.coalesce("new", "near", "evidence")).otherwise(F.col("evidence"))
     return joined.withColumn("origin", origin).withColumn("evidence", value).drop("new", "near", "key", "empty")
 
 
-def heading_score(topic: Column, heading: Column, level: Column, number: Column | None = None) -> Column:
-    """Similarity with bonuses for containment, section number and level, at most 1."""
-    a, b = T.normalize_for_matching(topic), T.normalize_for_matching(heading)
-    base = similarity(a, b)
-    bonus = F.when((a != "") & (b.contains(a) | a.contains(b)) & (b != ""), 0.15).otherwise(0.0)
-    if number is not None:
-        bonus = bonus + F.when(number, 0.15).otherwise(0.0)
-    depth = F.when(base > 0.6, F.when(level == 1, 0.10).when(level == 3, 0.05).otherwise(0.0)).otherwise(0.0)
-    return F.least(F.lit(1.0), base + bonus + depth)
+# How an evidence names a section, and what the bonuses are.
+SECTION_EVIDENCE = r"(?i)^Secci[oó]n\s+([\d.]+)"
+CONTAINED, NUMBERED, TOP, THIRD, SURE = 0.15, 0.15, 0.10, 0.05, 0.6
+
+
+def heading_score(topic: Column, evidence: Column, heading: Column, level: Column) -> Column:
+    """Similarity by matching blocks, and more for containment, for the section number that the evidence names, and for level 1
+    or 3 where they are similar already; at most 1. A topic without letters has 0."""
+    a, b = T.title_key(topic), T.title_key(heading)
+    base = block_ratio(a, b)
+    number = F.regexp_extract(T.stripped(F.coalesce(evidence, F.lit(""))), SECTION_EVIDENCE, 1)
+    text = T.stripped(heading)
+    goes_on = F.substring(text, F.length(number) + 1, F.lit(1)).rlike(r"[\p{L}\p{N}_]")
+    numbered = (number != "") & F.startswith(text, number) & (F.endswith(number, F.lit(".")) == goes_on)  # the number ends there
+    bonus = F.when(b.contains(a) | a.contains(b), CONTAINED).otherwise(0.0) + F.when(numbered, NUMBERED).otherwise(0.0)
+    depth = F.when(base > SURE, F.when(level == 1, TOP).when(level == 3, THIRD).otherwise(0.0)).otherwise(0.0)
+    return F.when(a == "", 0.0).otherwise(F.least(F.lit(1.0), base + bonus + depth))
 
 
 def match_by_number(blocks: DataFrame, files: DataFrame, within: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tessella.functions import text as T
+from tessella.functions.blocks import block_ratio
 
 from .structure import ordered
 
@@ -110,8 +111,9 @@ def range_conformance(ranges: DataFrame, values: DataFrame, key: str) -> DataFra
 
 
 def edit_percentage(draft: Column, final: Column) -> Column:
-    """How much of a text was changed, in percent, by edit distance."""
-    return F.bround(F.levenshtein(draft, final) / F.greatest(F.length(draft), F.length(final), F.lit(1)) * 100, 1)
+    """How much of a draft was changed, in percent, by matching blocks; the final text without surrounding white space. Two empty
+    texts: 0; a null final text is empty, a null draft gives null."""
+    return F.bround((1 - block_ratio(draft, T.stripped(F.coalesce(final, F.lit(""))))) * 100, 1)
 
 
 def normalize_hours(topics: DataFrame, group: str, hours: str, order: list[str], *, total: float, tolerance: float = 0.01) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tessella import sources as S
 from tessella.operators import matching as M
 
-from .cleaning import NORM
+from .ratio_sql import ratio
 from .registry import query
 from .structure import H2, MD
 
@@ -39,25 +39,31 @@ def greedy_one_to_one(spark, sf_dir):
     return M.greedy_one_to_one(token_overlap_pairs(spark, sf_dir).select("a", "b", F.col("overlap").alias("score")), _store(spark))
 
 
-@query("""WITH n AS (SELECT p_brand, p_name, min(p_partkey) AS id FROM part GROUP BY ALL), s AS (SELECT x.p_brand, x.id AS a, y.id AS b, 1 - levenshtein(x.p_name, y.p_name) / greatest(length(x.p_name), length(y.p_name), 1) AS score FROM n x JOIN n y ON x.p_brand = y.p_brand AND x.id <> y.id)
-SELECT p_brand, a, CASE WHEN max(score) >= 0.35 THEN arg_min(b, (-score, b)) END AS b, round_even(max(score), 6) AS score FROM s GROUP BY ALL""")
-def fuzzy_best_match(spark, sf_dir):
-    right = _names(spark, sf_dir, "b")
-    left = _names(spark, sf_dir, "a")
-    # The name itself is no match for itself.
-    other = left.join(right, "p_brand").filter("a <> b").select("p_brand", "a", "a_name", "b", "b_name")
-    pairs = other.withColumn("group", F.concat_ws(":", "p_brand", "a"))
-    best = M.fuzzy_best_match(pairs.select("group", "a", "a_name").distinct(), pairs.select("group", "b", "b_name"), "group")
-    return best.select(F.element_at(F.split("group", ":"), 1).alias("p_brand"), "a", "b", "score")
+_KEY = "trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'))"
+_GROUP = "p_brand || '/' || (p_size % 5)"
 
 
-_KEY = "trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'))"
+@query(f"""WITH RECURSIVE l AS (SELECT {_GROUP} AS grp, p_name, min(p_partkey) AS a, any_value({_KEY.format('p_name')}) AS k FROM part WHERE p_size % 2 = 0 GROUP BY 1, 2),
+f AS (SELECT {_GROUP} AS grp, p_name, min(p_partkey) AS b, any_value({_KEY.format('p_name')}) AS k FROM part WHERE p_size % 2 = 1 GROUP BY 1, 2),
+pr AS (SELECT l.k AS x, f.k AS y FROM l JOIN f USING (grp)), {ratio('pr')},
+best AS (SELECT grp, a, max(r) AS score, arg_min(b, (-r, b)) AS b FROM l JOIN f USING (grp) JOIN ratio ON x = l.k AND y = f.k WHERE r >= 0.35 GROUP BY ALL),
+lp AS (SELECT grp, a, row_number() OVER (PARTITION BY grp ORDER BY a) AS place FROM l), fp AS (SELECT grp, b, min(b) OVER (PARTITION BY grp) AS first, row_number() OVER (PARTITION BY grp ORDER BY b) AS place FROM f)
+SELECT lp.grp, lp.a, coalesce(best.b, fp.b, firsts.first) AS b, round_even(score, 6) AS score, CASE WHEN score IS NOT NULL THEN 'similar' WHEN firsts.first IS NOT NULL THEN 'position' END AS how
+FROM lp LEFT JOIN best ON lp.grp = best.grp AND lp.a = best.a LEFT JOIN fp ON lp.grp = fp.grp AND lp.place = fp.place LEFT JOIN (SELECT DISTINCT grp, first FROM fp) firsts ON lp.grp = firsts.grp""")
+def fuzzy_best_match(spark, sf_dir):
+    """Blocks are the names of parts of even size, files those of odd size, of one brand and a fifth of the sizes."""
+    def names(id_, odd):
+        part = S.table(spark, sf_dir, "part").filter(F.col("p_size") % 2 == odd).withColumn("grp", F.concat("p_brand", F.lit("/"), F.col("p_size") % 5))
+        return part.groupBy("grp", F.col("p_name").alias(f"{id_}_name")).agg(F.min("p_partkey").alias(id_))
 
+    return M.fuzzy_best_match(names("a", 0), names("b", 1), "grp", _store(spark))
 
-@query(f"""WITH t AS (SELECT l_orderkey, l_linenumber, max(l_partkey) AS l_partkey, CASE WHEN max(l_returnflag) = 'N' THEN ' Sin señal' ELSE max(l_returnflag) END AS evidence FROM lineitem GROUP BY ALL),
+
+@query(f"""WITH RECURSIVE t AS (SELECT l_orderkey, l_linenumber, max(l_partkey) AS l_partkey, CASE WHEN max(l_returnflag) = 'N' THEN ' Sin señal' ELSE max(l_returnflag) END AS evidence FROM lineitem GROUP BY ALL),
 j AS (SELECT t.*, {_KEY.format('p_name')} AS key FROM t JOIN part ON l_partkey = p_partkey),
 f AS (SELECT l_orderkey, {_KEY.format("CASE WHEN p_partkey % 3 = 0 THEN substr(p_name, 2) ELSE p_name END")} AS key, arg_max(p_type, p_partkey) AS new FROM (SELECT DISTINCT l_orderkey, p_name, p_type, p_partkey FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_returnflag <> 'A') GROUP BY ALL),
-s AS (SELECT o.l_orderkey, o.key, f.new, f.key AS other, 1 - levenshtein(o.key, f.key) / greatest(length(o.key), length(f.key), 1) AS score FROM (SELECT DISTINCT l_orderkey, key FROM j WHERE evidence = ' Sin señal') o JOIN f ON o.l_orderkey = f.l_orderkey),
+o AS (SELECT DISTINCT l_orderkey, key FROM j WHERE evidence = ' Sin señal'), pr AS (SELECT o.key AS x, f.key AS y FROM o JOIN f USING (l_orderkey)), {ratio('pr')},
+s AS (SELECT o.l_orderkey, o.key, f.new, f.key AS other, r AS score FROM o JOIN f USING (l_orderkey) JOIN ratio ON x = o.key AND y = f.key),
 n AS (SELECT l_orderkey, key, arg_min(new, (-score, other)) AS near FROM s WHERE score >= 0.85 GROUP BY ALL),
 m AS (SELECT j.l_orderkey, l_linenumber, evidence, evidence = ' Sin señal' AS gone, f.new, n.near FROM j LEFT JOIN f ON j.l_orderkey = f.l_orderkey AND j.key = f.key LEFT JOIN n ON j.l_orderkey = n.l_orderkey AND j.key = n.key)
 SELECT l_orderkey, l_linenumber, CASE WHEN gone THEN coalesce(new, near, evidence) ELSE evidence END AS evidence, CASE WHEN gone AND new IS NOT NULL THEN 'Detectado' WHEN gone AND near IS NOT NULL THEN 'Detectado (aprox.)' ELSE 'Propio' END AS origin FROM m""")
@@ -72,26 +78,26 @@ def enrich_evidence(spark, sf_dir):
 
 
 def _page_headings(spark, sf_dir):
+    """Paragraphs stand for headings, numbered, and a page's first heading for its topic."""
     p = S.table(spark, sf_dir, "pages")
     topic = F.regexp_extract("html", r"(?is)<h1>([^<]*)", 1)
-    return p.select("page_id", topic.alias("topic"), F.posexplode(F.regexp_extract_all("html", F.lit(r"(?is)<p>(?:<b>)?([^<.]+)"), 1)).alias("pos", "heading"))
-
-
-_SIMILAR = "1 - levenshtein(a, b) / greatest(length(a), length(b), 1)"
+    found = p.select("page_id", topic.alias("topic"), F.posexplode(F.regexp_extract_all("html", F.lit(r"(?is)<p>(?:<b>)?([^<.]+)"), 1)).alias("pos", "text"))
+    return found.select("page_id", "topic", F.concat(F.lit("Sección "), F.col("page_id") % 4).alias("evidence"), "pos", F.concat("pos", F.lit(". "), F.col("text")).alias("heading"))
 
 
-_SCORES = rf"""h AS (SELECT page_id, regexp_extract(html, '(?is)<h1>([^<]*)', 1) AS topic, unnest(regexp_extract_all(html, '(?is)<p>(?:<b>)?([^<.]+)', 1)) AS heading, generate_subscripts(regexp_extract_all(html, '(?is)<p>(?:<b>)?([^<.]+)', 1), 1) - 1 AS pos FROM pages),
-n AS (SELECT page_id, pos, {NORM.format('topic')} AS a, {NORM.format('heading')} AS b FROM h), s AS (SELECT *, {_SIMILAR} AS base FROM n),
-sc AS (SELECT page_id, CAST(pos AS INTEGER) AS pos, round_even(least(1.0, base + CASE WHEN a <> '' AND b <> '' AND (contains(b, a) OR contains(a, b)) THEN 0.15 ELSE 0.0 END + CASE WHEN base > 0.6 THEN CASE WHEN pos = 0 THEN 0.1 ELSE 0.05 END ELSE 0.0 END), 6) AS score FROM s)"""
+_TITLE = "trim(regexp_replace(lower(strip_accents({})), '[^a-z0-9 ]', ' ', 'g'))"
+_SCORES = rf"""h AS (SELECT page_id, regexp_extract(html, '(?is)<h1>([^<]*)', 1) AS topic, unnest(regexp_extract_all(html, '(?is)<p>(?:<b>)?([^<.]+)', 1)) AS text, generate_subscripts(regexp_extract_all(html, '(?is)<p>(?:<b>)?([^<.]+)', 1), 1) - 1 AS pos FROM pages),
+n AS (SELECT page_id, pos, pos = page_id % 4 AS numbered, {_TITLE.format('topic')} AS a, {_TITLE.format("pos || '. ' || text")} AS b FROM h), pr AS (SELECT a AS x, b AS y FROM n), {ratio('pr')},
+sc AS (SELECT page_id, CAST(pos AS INTEGER) AS pos, round_even(CASE WHEN a = '' THEN 0 ELSE least(1e0, r + (CASE WHEN contains(b, a) OR contains(a, b) THEN 0.15 ELSE 0 END + CASE WHEN numbered THEN 0.15 ELSE 0 END) + CASE WHEN r > 0.6 THEN CASE WHEN pos = 0 THEN 0.1 ELSE 0.05 END ELSE 0 END) END, 6) AS score FROM n JOIN ratio ON x = a AND y = b)"""
 
 
-@query(f"WITH {_SCORES} SELECT * FROM sc")
+@query(f"WITH RECURSIVE {_SCORES} SELECT * FROM sc")
 def score_heading_match(spark, sf_dir):
     h = _page_headings(spark, sf_dir)
-    return h.select("page_id", "pos", F.bround(M.heading_score(F.col("topic"), F.col("heading"), F.when(F.col("pos") == 0, 1).otherwise(3)), 6).alias("score"))
+    return h.select("page_id", "pos", F.bround(M.heading_score(F.col("topic"), F.col("evidence"), F.col("heading"), F.when(F.col("pos") == 0, 1).otherwise(3)), 6).alias("score"))
 
 
-@query(f"""WITH {_SCORES}, one AS (SELECT page_id, arg_min(pos, (-score, pos)) FILTER (score >= 0.2) AS pos FROM sc GROUP BY 1),
+@query(f"""WITH RECURSIVE {_SCORES}, one AS (SELECT page_id, arg_min(pos, (-score, pos)) FILTER (score >= 0.2) AS pos FROM sc GROUP BY 1),
 two AS (SELECT sc.page_id, arg_min(sc.pos, (-score, sc.pos)) FILTER (score >= 0.2 AND sc.pos > coalesce(one.pos, -1)) AS pos FROM sc JOIN one ON sc.page_id = one.page_id GROUP BY 1)
 SELECT page_id, CAST(0 AS BIGINT) AS ord, CAST(pos AS BIGINT) AS pos FROM one UNION ALL SELECT page_id, 1, pos FROM two""")
 def monotone_anchors(spark, sf_dir):

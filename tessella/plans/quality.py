@@ -9,6 +9,7 @@ from tessella.functions import text as T
 from tessella.operators import quality as Q
 
 from .cleaning import LINES, NORM, _lines
+from .ratio_sql import ratio
 from .registry import query
 
 
@@ -140,12 +141,15 @@ def range_conformance(spark, sf_dir):
     return Q.range_conformance(ranges, p.filter("not startswith(p_type, 'ECONOMY')"), "p_type")
 
 
-@query("WITH t AS (SELECT conv_id, turn, text, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS next FROM conversations) SELECT conv_id, turn, round_even(levenshtein(a, b) / greatest(length(a), length(b), 1) * 100, 1) AS percent FROM (SELECT conv_id, turn, text, next, " + NORM.format("text") + " AS a, " + NORM.format("next") + " AS b FROM t) WHERE text IS NOT NULL AND next IS NOT NULL")
+@query(f"""WITH RECURSIVE t AS (SELECT conv_id, turn, text AS a, regexp_replace(lead(text) OVER (PARTITION BY conv_id ORDER BY turn), '^\\s+|\\s+$', '', 'g') AS b FROM conversations),
+n AS (SELECT * FROM t WHERE a IS NOT NULL AND b IS NOT NULL), pr AS (SELECT a AS x, b AS y FROM n), {ratio('pr')}
+SELECT conv_id, turn, round_even((1 - r) * 100, 1) AS percent FROM n JOIN ratio ON x = a AND y = b""")
 def edit_percentage(spark, sf_dir):
+    """Each turn as the draft of the next one."""
     from pyspark.sql.window import Window as W
 
     c = S.table(spark, sf_dir, "conversations").withColumn("next", F.lead("text").over(W.partitionBy("conv_id").orderBy("turn")))
-    return c.filter("text is not null and next is not null").select("conv_id", "turn", Q.edit_percentage(T.normalize_for_matching(F.col("text")), T.normalize_for_matching(F.col("next"))).alias("percent"))
+    return c.filter("text is not null and next is not null").select("conv_id", "turn", Q.edit_percentage(F.col("text"), F.col("next")).alias("percent"))
 
 
 @query("""WITH l AS (SELECT l_orderkey, l_linenumber, sum(l_quantity) AS h FROM lineitem GROUP BY ALL), s AS (SELECT *, sum(h) OVER (PARTITION BY l_orderkey) AS total, count(*) OVER (PARTITION BY l_orderkey) AS n FROM l),
