@@ -23,7 +23,7 @@ DIGIT_LETTER = r"(?i)(?:\d+\s*[a-záéíóúñ]|[a-záéíóúñ]+\s*\d+)"
 WORD = r"[A-Za-zÀ-ÿ0-9]+"
 
 
-def stripped(c: Column) -> Column:
+def stripped(c: Column | str) -> Column:
     return F.trim(c, F.lit(" \t\n\x0b\f\r"))
 
 

@@ -147,13 +147,68 @@ def suggest_anchor(instructions: DataFrame, options: DataFrame, key: str, *, lon
     return met.groupBy(key).agg(F.coalesce(best, F.min_by("option", "pos")).alias("anchor"))
 
 
-def place_fragments(fragments: DataFrame, sections: DataFrame, doc: str) -> DataFrame:
-    """fragments(doc, fragment, title), sections(doc, section_no, title, body) -> doc, fragment, section_no, how: the section of the
-    same title, else the first whose body has the title, else the last."""
-    s = sections.select(doc, "section_no", F.lower("title").alias("section_title"), F.lower("body").alias("section_body"))
-    j = fragments.join(s.hint("shuffle_merge"), doc).withColumn("how", F.when(F.lower("title") == F.col("section_title"), 0).when(F.col("section_body").contains(F.lower("title")), 1).otherwise(2))
-    order = F.when(F.col("how") == 2, -F.col("section_no")).otherwise(F.col("section_no"))
-    return j.withColumn("r", F.row_number().over(W.partitionBy(doc, "fragment").orderBy("how", order))).filter("r = 1").select(doc, "fragment", "section_no", F.element_at(F.array(F.lit("title"), F.lit("body"), F.lit("last")), F.col("how") + 1).alias("how"))
+# An anchor that names a figure, and a heading line.
+FIGURE_ANCHOR, HEADING_LINE = r"(?i)^\[FIGURA:\s*(.+)\]$", r"^(#{1,6})\s+(.*)$"
+
+
+def subsections(sections: DataFrame, doc: str, *, nested: bool = False) -> DataFrame:
+    """sections(doc, section_no, body) -> doc, section_no, pos, level, heading, ends: the heading lines of bodies, where they begin,
+    and where their subsection ends: at the next heading, or, nested, at the next one of the same or a higher level, else at the
+    body's end. The next one of each level is a window's least position, so no heading is compared with another."""
+    lines = sections.select(doc, "section_no", F.length("body").alias("size"), F.posexplode(F.split("body", "\n")).alias("line_no", "line"))
+    by = W.partitionBy(doc, "section_no").orderBy("line_no")
+    placed = lines.withColumn("pos", F.sum(F.length("line") + 1).over(by.rowsBetween(W.unboundedPreceding, 0)) - F.length("line") - 1)
+    found = placed.filter(F.col("line").rlike(HEADING_LINE)).withColumn("level", F.length(F.regexp_extract("line", HEADING_LINE, 1)))
+    later = by.rowsBetween(1, W.unboundedFollowing)
+    next_ = [F.min(F.when(F.col("level") <= n, F.col("pos"))).over(later) for n in range(1, 7)] if nested else [F.min("pos").over(later)] * 6
+    ends = F.coalesce(F.element_at(F.array(*next_), F.col("level")) if nested else next_[0], F.col("size"))
+    return found.select(doc, "section_no", "pos", "level", T.stripped(F.regexp_extract("line", HEADING_LINE, 2)).alias("heading"), ends.cast("long").alias("ends"))
+
+
+def _grams(c: Column, sizes: tuple[int, ...]) -> Column:
+    """The distinct pieces of so many letters."""
+    none = F.array().cast("array<string>")
+
+    def pieces(n: int) -> Column:
+        return F.when(F.length(c) >= n, F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substring(c, i, F.lit(n)))).otherwise(none)
+
+    return F.array_distinct(F.concat(*map(pieces, sizes)))
+
+
+def place_fragments(fragments: DataFrame, sections: DataFrame, doc: str, *, nested: bool = False) -> DataFrame:
+    """fragments(doc, fragment, anchor, html), sections(doc, section_no, title, body) -> doc, fragment, section_no, offset, how.
+
+    The section whose title the anchor is (title), at its end; else the first section with a heading of level 2 to 4 that contains
+    the anchor (heading), at the end of the subsection of level 3 or 4 whose heading it is, or else contains it, the first one, or
+    at the section's end if there is none; else the end of the last section (last). Case doesn't count. Blank fragments and those
+    with a figure for an anchor have no place; a document without sections takes none.
+
+    Anchors and headings of a document meet by three letters (all of a shorter anchor), never all with all."""
+    low = lambda c: F.lower(T.stripped(F.coalesce(F.col(c), F.lit(""))))
+    asked = fragments.filter(T.stripped(F.coalesce("html", F.lit(""))) != "").select(doc, "fragment", low("anchor").alias("anchor")).filter(~F.col("anchor").rlike(FIGURE_ANCHOR))
+    sized = sections.select(doc, "section_no", low("title").alias("anchor"), F.length(F.coalesce("body", F.lit(""))).cast("long").alias("size"))
+    titles = sized.groupBy(doc, "anchor").agg(F.min_by(F.struct("section_no", F.col("size").alias("offset")), "section_no").alias("by_title"))
+    heads = subsections(sections.withColumn("body", F.coalesce("body", F.lit(""))), doc, nested=nested).filter(F.col("level").between(2, 4)).withColumn("low", F.lower("heading"))
+    pieces = heads.withColumn("gram", F.explode(_grams(F.col("low"), (1, 2, 3))))
+    wanted = asked.filter("anchor <> ''").select(doc, "anchor").distinct().withColumn("gram", F.substring("anchor", 1, 3))
+    met = wanted.join(pieces.hint("shuffle_merge"), [doc, "gram"]).filter(F.col("low").contains(F.col("anchor")))
+    deep = F.when(F.col("level") >= 3, F.struct((F.col("low") != F.col("anchor")).alias("contains"), "pos"))
+    first = met.groupBy(doc, "anchor", "section_no").agg(F.min_by("ends", deep).alias("offset"))
+    by_heading = first.groupBy(doc, "anchor").agg(F.min_by(F.struct("section_no", "offset"), "section_no").alias("by_heading"))
+    last = sized.groupBy(doc).agg(F.max_by(F.struct("section_no", F.col("size").alias("offset")), "section_no").alias("last"))
+    joined = asked.join(titles.filter("anchor <> ''").hint("shuffle_merge"), [doc, "anchor"], "left").join(by_heading.hint("shuffle_merge"), [doc, "anchor"], "left").join(last.hint("shuffle_merge"), doc)
+    how = F.when(F.col("by_title").isNotNull(), "title").when(F.col("by_heading").isNotNull(), "heading").otherwise("last")
+    spot = joined.select(doc, "fragment", how.alias("how"), F.coalesce("by_title", "by_heading", "last").alias("spot")).select(doc, "fragment", "spot.section_no", "spot.offset", "how")
+    ends = sized.select(doc, "section_no", "size")  # a heading of level 2 alone: the section's end
+    return spot.join(ends.hint("shuffle_merge"), [doc, "section_no"]).select(doc, "fragment", "section_no", F.coalesce("offset", "size").alias("offset"), "how")
+
+
+def figure_overrides(fragments: DataFrame, doc: str) -> DataFrame:
+    """fragments(doc, fragment, ord, anchor, html) -> doc, figure, fragment: of the fragments anchored to a figure the last one by
+    ord, then fragment; blank ones don't count. Descriptions are told apart as they are written."""
+    figure = T.stripped(F.regexp_extract(T.stripped("anchor"), FIGURE_ANCHOR, 1))
+    named = fragments.filter(T.stripped(F.coalesce("html", F.lit(""))) != "").withColumn("figure", figure).filter("figure <> ''")
+    return named.groupBy(doc, "figure").agg(F.max_by("fragment", F.struct(F.coalesce("ord", F.lit(0)), "fragment")).alias("fragment"))
 
 
 def monotone_anchors(scores: DataFrame, doc: str, *, least: float = 0.78) -> DataFrame:

@@ -9,7 +9,7 @@ from tessella.operators import matching as M
 
 from .ratio_sql import ratio
 from .registry import query
-from .structure import H2, MD
+from .structure import H2, LINES
 
 _TOK = "list_distinct(list_filter(string_split(trim(regexp_replace(lower(strip_accents(p_name)), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: length(x) >= 3))"
 
@@ -127,17 +127,55 @@ def suggest_anchor(spark, sf_dir):
     return M.suggest_anchor(asks, options, "conv_id", longer=6).select("conv_id", F.md5("anchor").alias("anchor_md5"))
 
 
-@query(r"""WITH """ + MD + ", " + H2 + r""", s AS (SELECT doc_id, section_no, title, body FROM h2 WHERE section_no > 0 OR body <> ''), f AS (SELECT doc_id, section_no AS fragment, regexp_split_to_array(body, '\s+')[1] AS title FROM s WHERE body <> ''),
-j AS (SELECT f.doc_id, fragment, section_no, CASE WHEN lower(f.title) = lower(s.title) THEN 0 WHEN contains(lower(body), lower(f.title)) THEN 1 ELSE 2 END AS how FROM f JOIN s USING (doc_id))
-SELECT doc_id, CAST(fragment AS BIGINT) AS fragment, CAST(section_no AS BIGINT) AS section_no, ['title', 'body', 'last'][how + 1] AS how FROM j QUALIFY row_number() OVER (PARTITION BY doc_id, fragment ORDER BY how, CASE WHEN how = 2 THEN -section_no ELSE section_no END) = 1""")
-def place_fragments(spark, sf_dir):
+# Documents as sections: each line of up to three words is a heading, in turn of level 2, 3, 4 and 3.
+_LEVELS = ["##", "###", "####", "###"]
+_DEEP = f"""{LINES}, md AS (SELECT doc_id, line_no, CASE WHEN short THEN {_LEVELS}[CAST(1 + (nth - 1) % 4 AS INTEGER)] || ' ' || line ELSE line END AS line
+  FROM (SELECT *, sum(CASE WHEN short THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS nth FROM (SELECT *, line <> '' AND len(string_split(line, ' ')) <= 3 AS short FROM l)))"""
+_FRAGMENTS = r"""hd AS (SELECT doc_id, line_no, regexp_replace(line, '^#+ ', '') AS h FROM md WHERE starts_with(line, '##')),
+fr AS (SELECT doc_id, line_no * 4 + k AS fragment, k AS ord, '<p>' AS html, CASE k WHEN 0 THEN lower(h) WHEN 1 THEN substr(h, 2, 4) WHEN 2 THEN 'no such heading' ELSE '[FIGURA: ' || substr(h, 1, 2) || ']' END AS anchor FROM hd, (SELECT unnest(range(4)) AS k))"""
+
+
+def _sections_and_fragments(spark, sf_dir):
+    """Of each heading four fragments: one in small letters, one with a part of it, one that is nowhere, and one of a figure."""
+    from pyspark.sql.window import Window as W
+
     from tessella.operators.structure import split_h2_sections
 
-    from .structure import markdown
+    from .structure import _lines
+
+    line = F.col("line")
+    short = (line != "") & (F.size(F.split(line, " ")) <= 3)
+    nth = F.sum(short.cast("int")).over(W.partitionBy("doc_id").orderBy("line_no"))
+    level = F.element_at(F.array(*map(F.lit, _LEVELS)), ((nth - 1) % 4 + 1).cast("int"))
+    deep = _lines(spark, sf_dir).withColumn("short", short).withColumn("line", F.when(F.col("short"), F.concat(level, F.lit(" "), line)).otherwise(line))
+    k, h = F.col("k"), F.expr("regexp_replace(line, '^#+ ', '')")
+    anchor = F.when(k == 0, F.lower(h)).when(k == 1, F.substring(h, 2, 4)).when(k == 2, "no such heading").otherwise(F.concat(F.lit("[FIGURA: "), F.substring(h, 1, 2), F.lit("]")))
+    made = deep.filter("line like '##%'").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(3))))
+    fragments = made.select("doc_id", (F.col("line_no") * 4 + k).cast("long").alias("fragment"), k.alias("ord"), F.lit("<p>").alias("html"), anchor.alias("anchor"))
+    return split_h2_sections(deep.select("doc_id", "line_no", "line"), "doc_id"), fragments
+
+
+@query(rf"""WITH {_DEEP}, {H2}, {_FRAGMENTS}, s AS (SELECT doc_id, section_no, lower(title) AS title, body, length(body) AS size FROM h2 WHERE section_no > 0 OR body <> ''),
+bl AS (SELECT doc_id, section_no, size, generate_subscripts(string_split(body, chr(10)), 1) AS n, unnest(string_split(body, chr(10))) AS line FROM s),
+bp AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY doc_id, section_no ORDER BY n) - length(line) - 1 AS pos FROM bl),
+bh AS (SELECT doc_id, section_no, pos, length(regexp_extract(line, '^(#+)', 1)) AS level, lower(trim(regexp_replace(line, '^#+', ''))) AS h, coalesce(lead(pos) OVER (PARTITION BY doc_id, section_no ORDER BY pos), size) AS ends FROM bp WHERE regexp_matches(line, '^#{{1,6}}\s')),
+f AS (SELECT doc_id, fragment, lower(trim(anchor)) AS anchor FROM fr WHERE NOT starts_with(anchor, '[FIGURA')),
+t AS (SELECT fragment, f.doc_id, arg_min((section_no, size), section_no) AS spot FROM f JOIN s ON f.doc_id = s.doc_id AND f.anchor = s.title WHERE anchor <> '' GROUP BY ALL),
+hh AS (SELECT fragment, f.doc_id, section_no, arg_min(ends, (h <> anchor, pos)) FILTER (level >= 3) AS off FROM f JOIN bh ON f.doc_id = bh.doc_id AND contains(h, anchor) WHERE anchor <> '' AND level BETWEEN 2 AND 4 GROUP BY ALL),
+hf AS (SELECT fragment, doc_id, arg_min((section_no, off), section_no) AS spot FROM hh GROUP BY ALL),
+z AS (SELECT doc_id, arg_max((section_no, size), section_no) AS spot FROM s GROUP BY ALL)
+SELECT f.doc_id, f.fragment, CAST(coalesce(t.spot[1], hf.spot[1], z.spot[1]) AS BIGINT) AS section_no, CAST(coalesce(t.spot[2], CASE WHEN hf.spot IS NOT NULL THEN coalesce(hf.spot[2], s.size) ELSE z.spot[2] END) AS BIGINT) AS "offset",
+CASE WHEN t.spot IS NOT NULL THEN 'title' WHEN hf.spot IS NOT NULL THEN 'heading' ELSE 'last' END AS how
+FROM f JOIN z ON f.doc_id = z.doc_id LEFT JOIN t ON f.doc_id = t.doc_id AND f.fragment = t.fragment LEFT JOIN hf ON f.doc_id = hf.doc_id AND f.fragment = hf.fragment LEFT JOIN s ON s.doc_id = f.doc_id AND s.section_no = hf.spot[1]""")
+def place_fragments(spark, sf_dir):
+    sections, fragments = _sections_and_fragments(spark, sf_dir)
+    made = M.place_fragments(fragments, sections, "doc_id")
+    return made.withColumns({c: F.col(c).cast("long") for c in ("section_no", "offset")})
+
 
-    s = split_h2_sections(markdown(spark, sf_dir), "doc_id")
-    f = s.select("doc_id", F.col("section_no").alias("fragment"), F.element_at(F.split("body", r"\s+"), 1).alias("title")).filter("title <> ''")
-    return M.place_fragments(f, s, "doc_id")
+@query(f"WITH {_DEEP}, {_FRAGMENTS} SELECT doc_id, trim(regexp_extract(anchor, '^\\[FIGURA: (.*)\\]$', 1)) AS figure, max(fragment) AS fragment FROM fr WHERE starts_with(anchor, '[FIGURA: ') GROUP BY ALL")
+def figure_overrides(spark, sf_dir):
+    return M.figure_overrides(_sections_and_fragments(spark, sf_dir)[1], "doc_id")
 
 
 @query("SELECT c_custkey, o_orderkey, c_mktsegment FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')")
