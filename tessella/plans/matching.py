@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessella import sources as S
+from tessella.operators import anchors as N
 from tessella.operators import matching as M
 
 from .ratio_sql import ratio
@@ -135,24 +136,28 @@ _FRAGMENTS = r"""hd AS (SELECT doc_id, line_no, regexp_replace(line, '^#+ ', '')
 fr AS (SELECT doc_id, line_no * 4 + k AS fragment, k AS ord, '<p>' AS html, CASE k WHEN 0 THEN lower(h) WHEN 1 THEN substr(h, 2, 4) WHEN 2 THEN 'no such heading' ELSE '[FIGURA: ' || substr(h, 1, 2) || ']' END AS anchor FROM hd, (SELECT unnest(range(4)) AS k))"""
 
 
-def _sections_and_fragments(spark, sf_dir):
-    """Of each heading four fragments: one in small letters, one with a part of it, one that is nowhere, and one of a figure."""
+def _deep_lines(spark, sf_dir):
     from pyspark.sql.window import Window as W
 
-    from tessella.operators.structure import split_h2_sections
-
     from .structure import _lines
 
     line = F.col("line")
     short = (line != "") & (F.size(F.split(line, " ")) <= 3)
     nth = F.sum(short.cast("int")).over(W.partitionBy("doc_id").orderBy("line_no"))
     level = F.element_at(F.array(*map(F.lit, _LEVELS)), ((nth - 1) % 4 + 1).cast("int"))
-    deep = _lines(spark, sf_dir).withColumn("short", short).withColumn("line", F.when(F.col("short"), F.concat(level, F.lit(" "), line)).otherwise(line))
+    return _lines(spark, sf_dir).withColumn("short", short).withColumn("line", F.when(F.col("short"), F.concat(level, F.lit(" "), line)).otherwise(line)).select("doc_id", "line_no", "line")
+
+
+def _sections_and_fragments(spark, sf_dir):
+    """Of each heading four fragments: one in small letters, one with a part of it, one that is nowhere, and one of a figure."""
+    from tessella.operators.structure import split_h2_sections
+
+    deep = _deep_lines(spark, sf_dir)
     k, h = F.col("k"), F.expr("regexp_replace(line, '^#+ ', '')")
     anchor = F.when(k == 0, F.lower(h)).when(k == 1, F.substring(h, 2, 4)).when(k == 2, "no such heading").otherwise(F.concat(F.lit("[FIGURA: "), F.substring(h, 1, 2), F.lit("]")))
     made = deep.filter("line like '##%'").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(3))))
     fragments = made.select("doc_id", (F.col("line_no") * 4 + k).cast("long").alias("fragment"), k.alias("ord"), F.lit("<p>").alias("html"), anchor.alias("anchor"))
-    return split_h2_sections(deep.select("doc_id", "line_no", "line"), "doc_id"), fragments
+    return split_h2_sections(deep, "doc_id"), fragments
 
 
 @query(rf"""WITH {_DEEP}, {H2}, {_FRAGMENTS}, s AS (SELECT doc_id, section_no, lower(title) AS title, body, length(body) AS size FROM h2 WHERE section_no > 0 OR body <> ''),
@@ -178,6 +183,55 @@ def figure_overrides(spark, sf_dir):
     return M.figure_overrides(_sections_and_fragments(spark, sf_dir)[1], "doc_id")
 
 
+def _blocks_and_topics(spark, sf_dir):
+    """Documents as blocks; topics are the second heading with a letter more, a name that is nowhere, and the fourth heading."""
+    from pyspark.sql.window import Window as W
+
+    from tessella.operators.structure import ordered
+
+    lines = _deep_lines(spark, sf_dir)
+    docs = lines.groupBy("doc_id").agg(ordered("line_no", "line").alias("markdown"))
+    heads = lines.filter("line like '##%'").withColumn("nth", F.row_number().over(W.partitionBy("doc_id").orderBy("line_no"))).withColumn("h", F.expr("regexp_replace(line, '^#+ ', '')"))
+    second, fourth = (heads.filter(F.col("nth") == n).select("doc_id", F.lit(o).alias("ord"), F.concat("h", F.lit(x)).alias("name")) for n, o, x in ((2, 1, " x"), (4, 3, "")))
+    topics = second.unionByName(docs.select("doc_id", F.lit(2).alias("ord"), F.lit("zzz").alias("name"))).unionByName(fourth)
+    return docs, topics.withColumn("evidence", F.lit(None).cast("string"))
+
+
+_SPLIT = f"""{_DEEP}, hd AS (SELECT doc_id, length(regexp_extract(line, '^(#+)', 1)) AS level, trim(regexp_replace(line, '^#+ ', '')) AS h, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS nth, pos
+  FROM (SELECT *, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY line_no) - length(line) - 1 AS pos FROM md) WHERE starts_with(line, '##')),
+b AS (SELECT doc_id, trim(string_agg(line, chr(10) ORDER BY line_no), chr(10) || chr(9) || chr(11) || chr(12) || chr(13) || ' ') AS body FROM md GROUP BY 1),
+tp AS (SELECT doc_id, 1 AS ord, h || ' x' AS name FROM hd WHERE nth = 2 UNION ALL SELECT doc_id, 2, 'zzz' FROM b UNION ALL SELECT doc_id, 3, h FROM hd WHERE nth = 4),
+k AS (SELECT tp.doc_id, ord, pos, h, level, {_TITLE.format('name')} AS x, {_TITLE.format('h')} AS y FROM tp JOIN hd ON tp.doc_id = hd.doc_id), pr AS (SELECT x, y FROM k WHERE x <> ''), {ratio('pr')},
+sc AS (SELECT doc_id, ord, pos, h, least(1e0, r + CASE WHEN contains(k.x, k.y) OR contains(k.y, k.x) THEN 0.15 ELSE 0 END + CASE WHEN r > 0.6 AND level = 3 THEN 0.05 ELSE 0 END) AS score FROM k JOIN ratio ON k.x = ratio.x AND k.y = ratio.y),
+o1 AS (SELECT doc_id, arg_min((pos, h, score), (-score, pos)) AS m FROM sc WHERE ord = 1 AND score >= 0.78 GROUP BY 1),
+o2 AS (SELECT sc.doc_id, arg_min((pos, h, score), (-score, pos)) AS m FROM sc LEFT JOIN o1 USING (doc_id) WHERE ord = 2 AND score >= 0.78 AND pos > coalesce(o1.m[1], -1) GROUP BY 1),
+o3 AS (SELECT sc.doc_id, arg_min((pos, h, score), (-score, pos)) AS m FROM sc LEFT JOIN o1 USING (doc_id) LEFT JOIN o2 USING (doc_id) WHERE ord = 3 AND score >= 0.78 AND pos > coalesce(o2.m[1], o1.m[1], -1) GROUP BY 1),
+an AS (SELECT tp.*, body, length(body) AS size, coalesce(o1.m, o2.m, o3.m) AS m, row_number() OVER (PARTITION BY tp.doc_id ORDER BY ord) - 1 AS i FROM tp JOIN b USING (doc_id)
+  LEFT JOIN o1 ON tp.doc_id = o1.doc_id AND ord = 1 LEFT JOIN o2 ON tp.doc_id = o2.doc_id AND ord = 2 LEFT JOIN o3 ON tp.doc_id = o3.doc_id AND ord = 3),
+fx AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n, max(m[1]) OVER (PARTITION BY doc_id) AS anywhere, coalesce(m[1], CASE WHEN i = 0 THEN 0 END) AS spot FROM an),
+lh AS (SELECT *, last_value(spot IGNORE NULLS) OVER back AS p0, last_value(CASE WHEN spot IS NOT NULL THEN i END IGNORE NULLS) OVER back AS i0, first_value(spot IGNORE NULLS) OVER ahead AS p1, first_value(CASE WHEN spot IS NOT NULL THEN i END IGNORE NULLS) OVER ahead AS i1 FROM fx
+  WINDOW back AS (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), ahead AS (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+st AS (SELECT *, CAST(CASE WHEN anywhere IS NULL THEN 0 WHEN spot IS NOT NULL THEN spot WHEN p1 IS NOT NULL THEN p0 + (p1 - p0) * (i - i0) // (i1 - i0)
+  ELSE p0 + sum(CASE WHEN i1 IS NULL THEN (size - p0) * (i - i0) // (n - i0) ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY ord) END AS BIGINT) AS start FROM lh),
+en AS (SELECT *, CAST(greatest(start, coalesce(lead(start) OVER (PARTITION BY doc_id ORDER BY ord), size)) AS BIGINT) AS stop FROM st),
+pc AS (SELECT *, trim(substr(body, start + 1, stop - start), chr(10) || ' ') AS own, CASE WHEN i = 0 AND m[1] > 0 THEN trim(substr(body, 1, CAST(m[1] AS BIGINT)), chr(10) || ' ') ELSE '' END AS intro FROM en),
+fr AS (SELECT *, CASE WHEN intro <> '' AND NOT contains(own, intro) THEN trim(intro || chr(10) || chr(10) || own, chr(10) || ' ') ELSE own END AS text FROM pc)"""
+
+
+@query(f"""WITH RECURSIVE {_SPLIT} SELECT doc_id, CAST(ord AS BIGINT) AS ord, start, stop AS "end", m[2] AS anchor, round_even(coalesce(m[3], 0), 3) AS score, CASE WHEN m IS NULL THEN 'sin_ancla' ELSE 'alta' END AS confidence,
+md5('# ' || name || chr(10) || chr(10) || CASE WHEN body = '' THEN '*Sin contenido.*' WHEN text = '' THEN '*Sin contenido detectado para este apartado.*' ELSE text END) AS markdown_md5,
+CASE WHEN body = '' THEN 'El markdown del bloque está vacío.' ELSE concat_ws('|', CASE WHEN m IS NULL THEN 'No se localizó título para «' || name || '»; contenido inferido por posición.' END, CASE WHEN m IS NOT NULL AND text = '' THEN 'Ancla encontrada pero el tramo asignado está vacío.' END) END AS warnings FROM fr""")
+def split_at_anchors(spark, sf_dir):
+    made = N.split_at_anchors(*_blocks_and_topics(spark, sf_dir), "doc_id")
+    return made.select("doc_id", "ord", "start", "end", "anchor", "score", "confidence", F.md5("markdown").alias("markdown_md5"), F.array_join("warnings", "|").alias("warnings"))
+
+
+@query(f"""WITH RECURSIVE {_SPLIT} SELECT doc_id, count(*) AS n, round_even(avg(coalesce(m[3], 0)), 3) AS score, bool_or(body = '' OR m IS NULL OR text = '') AS review FROM fr GROUP BY 1""")
+def split_summary(spark, sf_dir):
+    docs, topics = _blocks_and_topics(spark, sf_dir)
+    return N.split_summary(N.split_at_anchors(docs, topics, "doc_id"), docs, "doc_id")
+
+
 @query("SELECT c_custkey, o_orderkey, c_mktsegment FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')")
 def material_of_block(spark, sf_dir):
     c = S.table(spark, sf_dir, "customer").filter(F.col("c_mktsegment").isin("BUILDING", "MACHINERY")).select("c_custkey", "c_mktsegment")
