@@ -80,28 +80,20 @@ def cardinality_check(expected: DataFrame, generated: DataFrame, key: str) -> Da
     return j.withColumn("uncovered", F.greatest(F.lit(0), F.col("expected") - F.col("generated")))
 
 
-def curve_jumps(points: DataFrame, series: list[str], *, near: float = 0.08, high: float = 0.18, floor: float = 80.0, tall: float = 0.28, steep: float = 6.0, least: float = 0.12) -> DataFrame:
+def curve_jumps(points: DataFrame, series: list[str], *, near: float = 0.08, high: float = 0.18, floor: float = 80.0, tall: float = 0.28, steep: float = 6.0, least: float = 0.12, order: str = "x") -> DataFrame:
     """series, idx, rule: the first place where a curve jumps - a large rise within a small step, or a slope far above the one
-    before. Series of fewer than three points have none."""
-    by, whole = W.partitionBy(*series).orderBy("x"), W.partitionBy(*series)
+    before. Points stand in the order given. Series of fewer than three points have none."""
+    by, whole = W.partitionBy(*series).orderBy(order), W.partitionBy(*series)
     span = lambda c: F.max(c).over(whole) - F.min(c).over(whole)
-    p = points.withColumns({"idx": F.row_number().over(by) - 1, "n": F.count("*").over(whole), "dx": F.col("x") - F.lag("x").over(by), "dy": F.abs(F.col("y") - F.lag("y").over(by)), "xs": span("x"), "ys": span("y")})
+    p = points.withColumns({"idx": F.row_number().over(by) - 1, "n": F.count("*").over(whole), "dx": F.abs(F.col("x") - F.lag("x").over(by)), "dy": F.abs(F.col("y") - F.lag("y").over(by)), "xs": span("x"), "ys": span("y")})
     p = p.withColumns({c: F.when(F.col(c) == 0, 1.0).otherwise(F.col(c).cast("double")) for c in ("xs", "ys")}).withColumn("slope", F.when(F.col("dx") > 0, F.col("dy") / F.col("dx")))
-    p = p.withColumn("before", F.lag("slope").over(by))
+    p = p.withColumn("before", F.lag(F.col("dy") / F.when(F.col("dx") == 0, 1e-9).otherwise(F.col("dx"))).over(by))
     jump = (F.col("dx") <= near * F.col("xs")) & (F.col("dy") >= high * F.col("ys"))
     bend = (F.col("idx") >= 2) & (F.col("dx") > 0) & (F.col("dy") > F.greatest(F.lit(floor), tall * F.col("ys"))) & (F.col("slope") > steep * F.greatest(F.coalesce("before", F.lit(0.0)), F.lit(0.5))) & (F.col("dy") > least * F.col("ys"))
     found = p.filter("n >= 3").withColumn("rule", F.when(jump, "vertical").when(bend, "slope")).filter("rule is not null")
     return found.groupBy(*series).agg(F.min("idx").alias("idx"), F.min_by("rule", "idx").alias("rule"))
 
 
-def fragment_rules(c: Column) -> Column:
-    """The rules that an HTML fragment breaks, joined."""
-    low = F.lower(c)
-    opened, closed = F.regexp_count(low, F.lit("<script[ >]")), F.regexp_count(low, F.lit("</script>"))
-    rules = {"script_open": opened != closed, "no_canvas": ~low.rlike("<(canvas|svg)"), "no_listener": ~low.contains("addeventlistener"), "not_a_number": c.rlike(r"\b(NaN|Infinity)\b"), "unclosed_body": ~low.contains("</body>")}
-    return F.array_join(F.array_compact(F.array(*[F.when(bad, F.lit(name)) for name, bad in rules.items()])), ",")
-
-
 def range_conformance(ranges: DataFrame, values: DataFrame, key: str) -> DataFrame:
     """ranges(key, low, high), values(key, value) -> key, outside, n, known: values beyond their range; keys on one side only."""
     counted = values.join(ranges, key, "left").groupBy(key).agg(F.count(F.when((F.col("value") < F.col("low")) | (F.col("value") > F.col("high")), 1)).alias("outside"), F.count("*").alias("n"))

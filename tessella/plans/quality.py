@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tessella import sources as S
 from tessella.functions import text as T
 from tessella.operators import quality as Q
+from tessella.operators import scripts as R
 
 from .cleaning import LINES, NORM, _lines
 from .ratio_sql import ratio
@@ -125,10 +126,53 @@ def curve_jumps(spark, sf_dir):
     return Q.curve_jumps(e, ["user_id", "event_type"], near=0.02, high=0.6)
 
 
-@query(r"""SELECT page_id, array_to_string(list_filter([CASE WHEN len(regexp_extract_all(lower(html), '<script[ >]')) <> len(regexp_extract_all(lower(html), '</script>')) THEN 'script_open' END, CASE WHEN NOT regexp_matches(lower(html), '<(canvas|svg)') THEN 'no_canvas' END,
- CASE WHEN NOT contains(lower(html), 'addeventlistener') THEN 'no_listener' END, CASE WHEN regexp_matches(html, '\b(NaN|Infinity)\b') THEN 'not_a_number' END, CASE WHEN NOT contains(lower(html), '</body>') THEN 'unclosed_body' END], lambda x: x IS NOT NULL), ',') AS broken FROM pages""")
+# Scripts that draw the events of a user, one series a type; what is wrong with a script and what is asked for go by the user.
+_ASKED = ["dibuja la curva de tensión", "haz un plot", "un cilindro animado", "texto", "solo svg, sin canvas"]
+_SCRIPT = """p0 AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) - 1 AS nth, CAST(floor(value) AS BIGINT) AS y, user_id % 13 AS k FROM events),
+p AS (SELECT *, CASE WHEN k = 5 THEN 100 + nth ELSE y END AS v FROM p0 WHERE k NOT IN (6, 7))"""
+
+
+def _scripts(spark, sf_dir):
+    """A canvas, a loop, and pushed points; by the user's number without start, cut off, without points, with NaN, flat or broken
+    tension, a low exponent, no canvas, no loop; points of one in thirteen rise evenly."""
+    from pyspark.sql.window import Window as W
+
+    from tessella.operators.structure import ordered
+
+    e = S.table(spark, sf_dir, "events").withColumn("k", F.col("user_id") % 13)
+    nth = F.row_number().over(W.partitionBy("user_id", "event_type").orderBy("ts", "event_id")) - 1
+    e = e.withColumn("nth", nth).withColumn("y", F.when(F.col("k") == 5, 100 + F.col("nth")).otherwise(F.floor("value")).cast("string"))
+    push = F.concat(F.lit("s.push({x: "), F.col("nth").cast("string"), F.lit(", y: "), "y", F.lit("});"))
+    series = e.groupBy("user_id", "k", "event_type").agg(ordered("nth", push, " ").alias("points"))
+    part = F.concat(F.lit("const data_"), "event_type", F.lit(" = []; "), F.when(F.col("k").isin(6, 7), "").otherwise(F.col("points")))
+    f = series.groupBy("user_id", "k").agg(ordered("event_type", part, " ").alias("data"))
+    k, name = F.col("k"), F.concat(F.lit("window['initBloque_u"), F.col("user_id").cast("string"), F.lit("']"))
+    more = {0: "y = a - K * Math.pow(d, p.n); n: 0.5;", 1: "tension: 0 }", 2: "tension: 0.4.4", 3: "y =NaN", 6: "{x: 1, y: 2}", 7: "data: datasets"}
+    extra = F.lit("")
+    for n, text in more.items():
+        extra = F.when(k == n, text).otherwise(extra)
+    html = F.concat(
+        F.when(k == 4, "<div>").otherwise("<canvas id=c>"), F.lit("<script>"), F.when(k == 8, "").otherwise(F.concat(name, F.lit(" = f; "))), F.when(k.isin(6, 9), "").otherwise("for (;;) {} "), extra, F.lit(" "), "data", F.lit(" new Chart(c); "),
+        F.when(k == 10, "").otherwise(F.concat(F.lit("addEventListener('DOMContentLoaded', "), name, F.lit("());"))), F.when(k == 11, "").otherwise("</script>"),
+    )
+    return f.select("user_id", html.alias("html"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("slug"), F.element_at(F.array(*map(F.lit, _ASKED)), (F.col("user_id") % 5 + 1).cast("int")).alias("instruction"))
+
+
+@query(f"""WITH {_SCRIPT}, every AS (SELECT user_id, 0 AS series, row_number() OVER (PARTITION BY user_id ORDER BY event_type, nth) - 1 AS i, nth AS x, v AS y FROM p
+  UNION ALL SELECT user_id, dense_rank() OVER (PARTITION BY user_id ORDER BY event_type), nth, nth, v FROM p),
+q AS (SELECT *, count(*) OVER g AS n, abs(x - lag(x) OVER w) AS dx, abs(y - lag(y) OVER w) AS dy, max(x) OVER g - min(x) OVER g AS xs0, max(y) OVER g - min(y) OVER g AS ys0 FROM every WINDOW w AS (PARTITION BY user_id, series ORDER BY i), g AS (PARTITION BY user_id, series)),
+s AS (SELECT *, CASE WHEN xs0 = 0 THEN 1.0 ELSE xs0 END AS xs, CASE WHEN ys0 = 0 THEN 1.0 ELSE ys0 END AS ys, dy / CASE WHEN dx = 0 THEN 1e-9 ELSE dx END AS slope FROM q),
+b AS (SELECT *, lag(slope) OVER (PARTITION BY user_id, series ORDER BY i) AS before FROM s),
+r AS (SELECT user_id, series, i, CASE WHEN dx <= 0.08 * xs AND dy >= 0.18 * ys THEN 'vertical' WHEN i >= 2 AND dx > 0 AND dy > greatest(80.0, 0.28 * ys) AND slope > 6.0 * greatest(before, 0.5) AND dy > 0.12 * ys THEN 'slope' END AS rule FROM b WHERE n >= 3),
+j AS (SELECT user_id, arg_min((series, i, rule), (series, i)) AS jump FROM r WHERE rule IS NOT NULL GROUP BY 1),
+u AS (SELECT DISTINCT user_id, user_id % 13 AS k, user_id % 5 AS a FROM events),
+c AS (SELECT u.*, jump, CASE WHEN k = 2 THEN 'broken_tension' WHEN a IN (2, 4) THEN 'no_svg' WHEN a = 3 AND k = 4 THEN '' WHEN k = 4 THEN 'no_canvas' WHEN a = 0 AND k IN (6, 9) THEN 'no_sampling'
+  WHEN k = 1 AND NOT dense THEN 'flat_tension' WHEN k = 6 THEN 'few_points' WHEN k = 7 THEN 'no_push' WHEN k = 3 THEN 'not_finite' WHEN k = 0 THEN 'low_exponent' ELSE coalesce(jump[3], '') END AS chart
+  FROM u LEFT JOIN j USING (user_id) JOIN (SELECT user_id, count(*) >= 40 AS dense FROM events GROUP BY 1) USING (user_id))
+SELECT user_id, CASE k WHEN 8 THEN 'no_global_init' WHEN 10 THEN 'no_start' WHEN 11 THEN 'script_cut' ELSE '' END AS block, chart, CASE WHEN chart IN ('vertical', 'slope') THEN jump[1] END AS series, CASE WHEN chart IN ('vertical', 'slope') THEN jump[2] END AS place FROM c""")
 def fragment_rules(spark, sf_dir):
-    return S.table(spark, sf_dir, "pages").select("page_id", Q.fragment_rules(F.col("html")).alias("broken"))
+    made = R.fragment_rules(_scripts(spark, sf_dir), "user_id", S.stored)
+    return made.withColumns({c: F.col(c).cast("long") for c in ("series", "place")})
 
 
 @query("""WITH r AS (SELECT p_type, avg(p_retailprice) * 0.9 AS low, avg(p_retailprice) * 1.1 AS high FROM part WHERE NOT starts_with(p_type, 'PROMO') GROUP BY 1), v AS (SELECT p_type, p_retailprice AS value FROM part WHERE NOT starts_with(p_type, 'ECONOMY')),
