@@ -37,6 +37,10 @@ def normalize_for_matching(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(plain, r"[^a-z0-9\s]", " "), r"\s+", " "))
 
 
+def without_bullet(c: Column) -> Column:
+    return stripped(F.regexp_replace(stripped(c), r"^[•▪●\-–*·]\s*", ""))
+
+
 def title_key(c: Column) -> Column:
     """Lower case without accents, all but a-z, digits and spaces as space, trimmed."""
     return F.trim(F.regexp_replace(F.lower(unaccented(c)), r"[^a-z0-9 ]", " "))

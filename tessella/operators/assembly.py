@@ -217,97 +217,6 @@ def math_spans(docs: DataFrame, doc: str, text: str = "text") -> DataFrame:
     return s.withColumn("kind", F.when(long_words >= 3, "prose").when(F.col("span").rlike(r"[=+\-*/^_\\<>]"), "valid").otherwise("invalid"))
 
 
-# Headers that open and close the list of contents of a course guide.
-CONTENTS, CONTENTS_END = r"(?i)^(?:\d+\.?\s*)?contenidos\b", r"(?i)^(?:\d+\.?\s*)?(?:metodolog[ií]a|evaluaci[oó]n|recursos|bibliograf[ií]a|competencias)\b"
-BLOCK_LINE = r"(?i)^(?:(?:bloque|tema|unidad)\s+\d+[.:\-]*\s*|\d+\.-\s*)(.*)$"
-
-
-def guide_structure(lines: DataFrame, doc: str) -> DataFrame:
-    """lines(doc, line_no, line) -> doc, block_no, ord, kind, name: blocks and their topics between a guide's contents header and the next
-    administrative one. A block line's own text after a colon gives topics too, parted by full stops."""
-    start = lines.filter(F.col("line").rlike(CONTENTS)).groupBy(doc).agg(F.min("line_no").alias("from"))
-    inside = lines.join(start.hint("shuffle_merge"), doc).filter(F.col("line_no") > F.col("from"))
-    end = inside.filter(F.col("line").rlike(CONTENTS_END)).groupBy(doc).agg(F.min("line_no").alias("to"))
-    body = inside.join(end.hint("shuffle_merge"), doc, "left").filter((F.col("to").isNull() | (F.col("line_no") < F.col("to"))) & (F.col("line") != ""))
-    head = F.col("line").rlike(BLOCK_LINE)
-    by = W.partitionBy(doc).orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
-    b = body.withColumn("block_no", F.sum(head.cast("int")).over(by)).filter("block_no > 0")
-    text = F.regexp_extract("line", BLOCK_LINE, 1)
-    blocks = b.filter(head).select(doc, "block_no", "line_no", F.lit(0).alias("part"), F.lit("block").alias("kind"), F.trim(F.element_at(F.split(text, ":"), 1)).alias("name"))
-    tail = F.regexp_extract(text, r":\s*(.*)$", 1)
-    inline = b.filter(head & (tail != "")).select(doc, "block_no", "line_no", F.posexplode(F.split(tail, r"\.\s+")).alias("part", "name"))
-    inline = inline.select(doc, "block_no", "line_no", (F.col("part") + 1).alias("part"), F.lit("topic").alias("kind"), F.regexp_replace("name", r"\.$", "").alias("name"))
-    own = b.filter(~head).select(doc, "block_no", "line_no", F.lit(0).alias("part"), F.lit("topic").alias("kind"), F.regexp_replace("line", r"^(?:[-•*]\s*|\d+(?:\.\d+)+\.?\s*)", "").alias("name"))
-    rows = blocks.unionByName(inline).unionByName(own).withColumn("key", T.topic_key(F.col("name"))).filter("key <> '' or kind = 'block'")
-    once = rows.withColumn("r", F.row_number().over(W.partitionBy(doc, "block_no", "kind", "key").orderBy("line_no", "part"))).filter("r = 1")
-    return once.select(doc, "block_no", F.row_number().over(W.partitionBy(doc, "block_no", "kind").orderBy("line_no", "part")).alias("ord"), "kind", "name")
-
-
-# Words that tell kinds of teaching hours in free text.
-HOURS = {"lab": r"(?i)laboratori|campo", "seminar": r"(?i)pr[aá]cticas de aula|seminari", "theory": r"(?i)expositiv|te[oó]ric|magistral|theory"}
-
-
-def _has(low: Column, *stems: str) -> Column:
-    return low.rlike("|".join(stems))
-
-
-def hours_kind(low: Column) -> Column:
-    """The kind of a table row of teaching hours, in plain lower case: laboratory practice first, practice in the room - not seminars
-    or workshops alone - next, then theory that is no practice."""
-    practice = _has(low, "practic", r"\bpract\b")
-    lab = _has(low, "laborator", r"\blab\b") | (practice & _has(low, "campo", "informatica", "idioma"))
-    return F.when(lab, "lab").when(practice & _has(low, "aula", "seminar", "taller"), "seminar").when(~practice & _has(low, "expositiv", "teoric", "magistral"), "theory")
-
-
-def extract_hours(lines: DataFrame, doc: str, *, reach: int = 45) -> DataFrame:
-    """lines(doc, line_no, line) -> doc, theory, seminar, lab: for each kind the hours of its best row, 0.0 without one; documents
-    without any row of hours give no row.
-
-    A row's hours are its first number up to 120 that is no year, or, if it has no number, that of the next line if this is nearly
-    numeric and counts no sessions. Rows of totals and of single topics, units and blocks are none. Rows within reach lines of a
-    heading with modalities and hours come before others, rows of practice in the room that name it before those that name a
-    seminar or workshop, and earlier rows before later ones."""
-    by = W.partitionBy(doc).orderBy("line_no")
-
-    def first_number(c: Column) -> Column:
-        every = F.transform(F.regexp_extract_all(c, F.lit(r"(\d+(?:[.,]\d+)?)"), 1), lambda x: F.bround(F.regexp_replace(x, ",", ".").cast("double")))
-        return F.get(F.filter(every, lambda x: (x >= 0) & (x <= 120)), F.lit(0))
-
-    filled = lines.select(doc, "line_no", "line").filter(F.trim("line") != "").withColumn("low", F.lower(T.unaccented(F.col("line"))))
-    head = F.when(F.col("low").contains("modalidad") & F.col("low").contains("hora"), F.col("nth"))
-    placed = filled.withColumn("nth", F.row_number().over(by)).withColumns({"next": F.lead("line").over(by), "next_low": F.lead("low").over(by)}).withColumn("since", F.col("nth") - F.last(head, ignorenulls=True).over(by))
-    letters = F.length(F.regexp_replace("next", r"[^A-Za-zÁÉÍÓÚáéíóúÑñ]", ""))
-    below = F.when((letters <= 3) & ~F.col("next_low").contains("sesion"), first_number(F.col("next")))
-    rows = placed.withColumn("kind", hours_kind(F.col("low"))).filter("kind is not null").filter(~F.col("low").contains("total") & ~F.col("low").rlike(r"^\s*(?:\d+\s*[.)]\s|(?:tema|unidad|bloque)\s*\d)"))
-    valued = rows.withColumn("number", F.when(F.col("line").rlike(r"\d"), first_number(F.col("line"))).otherwise(below)).filter("number is not null")
-    strength = F.when((F.col("kind") == "seminar") & ~_has(F.col("low"), "aula"), 1).otherwise(0)
-    order = F.struct(F.when(F.col("since").between(1, reach), 0).otherwise(1).alias("outside"), strength.alias("weak"), "line_no")
-    best = valued.groupBy(doc).agg(*[F.min_by("number", F.when(F.col("kind") == k, order)).alias(k) for k in ("theory", "seminar", "lab")])
-    return best.na.fill(0.0)
-
-
-def guide_topics_flat(lines: DataFrame, doc: str) -> DataFrame:
-    """doc, ord, name: the topics of all blocks, each key once; documents without a contents section give their numbered lines."""
-    from .structure import numbered_candidates
-
-    found = guide_structure(lines, doc).filter("kind = 'topic'").withColumn("key", T.topic_key(F.col("name")))
-    once = found.withColumn("r", F.row_number().over(W.partitionBy(doc, "key").orderBy("block_no", "ord"))).filter("r = 1")
-    flat = once.select(doc, F.row_number().over(W.partitionBy(doc).orderBy("block_no", "ord")).alias("ord"), "name")
-    other = numbered_candidates(lines, doc).join(flat.select(doc).distinct().hint("shuffle_merge"), doc, "left_anti")
-    return flat.unionByName(other.select(doc, F.row_number().over(W.partitionBy(doc).orderBy("line_no")).alias("ord"), "name"))
-
-
-def hours_from_text(lines: DataFrame, tables: DataFrame, doc: str) -> DataFrame:
-    """tables(doc, theory, seminar, lab) with kinds that are still 0 taken from the first line, outside tables, that names the kind and a number
-    of hours."""
-    cue = r"(?i)(\d+(?:[.,]\d+)?)\s*(?:h\b|horas?\b|hours?\b)"
-    hours = F.regexp_replace(F.regexp_extract("line", cue, 1), ",", ".").try_cast("double")
-    rows = lines.filter(~F.col("line").contains("|") & F.col("line").rlike(cue)).withColumn("hours", hours)
-    first = rows.groupBy(doc).agg(*[F.min_by("hours", F.when(F.col("line").rlike(p), F.col("line_no"))).alias(f"t_{k}") for k, p in HOURS.items()])
-    j = tables.join(first.hint("shuffle_merge"), doc, "full")
-    return j.select(doc, *[F.coalesce(F.when(F.col(k) > 0, F.col(k)), f"t_{k}", F.lit(0.0)).alias(k) for k in HOURS])
-
-
 def variable_glossary(lines: DataFrame, doc: str) -> DataFrame:
     """doc, symbol, description: from Markdown tables of symbols, before 'donde X es ...' clauses; of several the first."""
     cells = F.transform(F.split(F.regexp_replace("line", r"^\|\s*|\s*\|$", ""), r"\s*\|\s*"), lambda x: F.trim(x))

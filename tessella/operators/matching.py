@@ -112,7 +112,7 @@ def enrich_evidence(topics: DataFrame, found: DataFrame, block: str, *, least: f
 
 
 # How an evidence names a section, and what the bonuses are.
-SECTION_EVIDENCE = r"(?i)^Secci[oó]n\s+([\d.]+)"
+SECTION_EVIDENCE = r"(?iu)^Secci[oó]n\s+([\d.]+)"
 CONTAINED, NUMBERED, TOP, THIRD, SURE = 0.15, 0.15, 0.10, 0.05, 0.6
 
 

@@ -133,15 +133,22 @@ PROSE_OPENINGS = (
 FUNCTION_WORDS = ("de", "del", "la", "el", "los", "las", "y", "o", "en", "a", "con", "por", "para", "que", "su", "sus", "un", "una", "al")
 
 
+# Titles of a course's own parts, and what is on a page but no topic.
+COURSE_PART = r"^(tema|bloque|unidad|chapter|topic|module)\s+\d+"
+VISUAL_NOISE = ("contexto", "temario", "indice", "index", "outline", "tipos", "types", "ejemplos de aplicaciones", "liquidos", "newtonianos")
+
+
 def valid_topic(name: Column) -> Column:
     """Could the line be the title of a topic?"""
+    name = T.without_bullet(name)
     norm = T.topic_key(name)
     tokens = F.split(norm, " ")
     numbers = F.size(F.filter(tokens, lambda t: t.rlike("[0-9]")))
     admin = norm.isin(*ADMIN_EXACT) | norm.rlike("^(" + "|".join(ADMIN_PREFIXES) + ")")
     prose = norm.rlike("^(" + "|".join(PROSE_OPENINGS) + ")( |$)")
+    noise = norm.rlike(COURSE_PART) | norm.isin(*VISUAL_NOISE) | norm.startswith("contexto")
     cut = (F.length(norm) <= 80) & F.element_at(tokens, -1).isin(*FUNCTION_WORDS)
-    return (F.length(norm) >= 4) & ~admin & ~prose & ~norm.startswith("contexto") & ~F.replace(norm, F.lit(" "), F.lit("")).rlike(r"^[0-9]+$") & ~(name.contains("/") & (F.length(norm) < 12)) & (numbers < 3) & ~cut
+    return (F.length(norm) >= 4) & ~admin & ~prose & ~noise & ~F.replace(norm, F.lit(" "), F.lit("")).rlike(r"^[0-9]+$") & ~(name.contains("/") & (F.length(norm) < 12)) & (numbers < 3) & ~cut
 
 
 NUMBERED = r"^([1-9]\d*(?:\.\d+)+)\.?\s+(\S.*)$"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import assembly, cleaning, matching, quality, state, structure  # noqa: F401
+from . import assembly, cleaning, guides, matching, quality, state, structure  # noqa: F401
 from .registry import QUERIES, SQL
 
 

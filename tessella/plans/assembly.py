@@ -134,60 +134,6 @@ def math_spans(spark, sf_dir):
     return A.math_spans(d, "doc_id").groupBy("doc_id", "kind").agg(F.count("*").alias("n"))
 
 
-def guides(spark, sf_dir):
-    """A guide for each region: its nations are blocks, and their customers' segments topics."""
-    n = S.table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
-    c = S.table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.array_sort(F.collect_set("c_mktsegment")).alias("segments"))
-    part = n.join(c, "n_nationkey").select("n_regionkey", "n_nationkey", F.concat(F.lit("Bloque "), "n_nationkey", F.lit(": "), "n_name", F.lit("\n"), F.array_join("segments", "\n"), F.lit("\n| Clases expositivas | "), "n_nationkey", F.lit(" |")).alias("part"))
-    from tessella.operators.structure import ordered
-
-    whole = part.groupBy("n_regionkey").agg(ordered("n_nationkey", "part").alias("body"))
-    return whole.select("n_regionkey", F.concat(F.lit("Identificación\n1. Contenidos\n"), "body", F.lit("\n2. Evaluación\nBloque 99: fin")).alias("text"))
-
-
-@query("SELECT n_regionkey, count(DISTINCT n_nationkey) AS blocks, count(DISTINCT (n_nationkey, c_mktsegment)) AS segments FROM nation JOIN customer ON n_nationkey = c_nationkey GROUP BY 1")
-def guide_structure(spark, sf_dir):
-    s = A.guide_structure(S.lines_of(guides(spark, sf_dir), "n_regionkey"), "n_regionkey")
-    topic = (F.col("kind") == "topic") & F.col("name").rlike("^[A-Z]+$")
-    names = S.table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), F.lit(True).alias("nation"))
-    return s.join(names.hint("shuffle_merge"), "name", "left").groupBy("n_regionkey").agg(F.count(F.when(F.col("kind") == "block", 1)).alias("blocks"), F.count(F.when(topic & F.col("nation").isNull(), 1)).alias("segments"))
-
-
-def hour_tables(spark, sf_dir):
-    """A guide for each customer with orders, with a table of hours from them, as lines; even customers have a year in a row and
-    another table of a topic before it."""
-    o = S.table(spark, sf_dir, "orders")
-    n = o.groupBy(F.col("o_custkey").alias("c_custkey")).agg((F.count("*") % 60).alias("t"), (F.count_distinct("o_orderstatus") * 5).alias("s"), (F.sum("o_orderkey") % 30).alias("l"))
-    even = F.col("c_custkey") % 2 == 0
-    text = F.concat_ws(
-        "\n", F.lit("Guía docente"), F.when(even, F.lit("Tema 1 Clases expositivas | 77")), F.when(even, F.lit("Prácticas de laboratorio | 99")),
-        F.lit("Modalidades organizativas | Horas | %"), F.concat(F.when(even, F.lit("Clases magistrales 2024 | ")).otherwise(F.lit("Clases expositivas | ")), "t", F.lit(" | 150")),
-        F.lit("Seminarios y talleres | 98"), F.lit("Prácticas en seminario | 97"), F.lit("Prácticas de aula / Seminarios"), F.concat("s", F.lit(" | 20 %")),
-        F.concat(F.lit("Prácticas de aula de informática | "), F.col("l"), F.lit(",4")), F.lit("Total | 96 | 100 %"),
-    )
-    return n.select("c_custkey", text.alias("text"))
-
-
-@query("SELECT o_custkey AS c_custkey, CAST(count(*) % 60 AS DOUBLE) AS theory, CAST(count(DISTINCT o_orderstatus) * 5 AS DOUBLE) AS seminar, CAST(sum(o_orderkey) % 30 AS DOUBLE) AS lab FROM orders GROUP BY 1")
-def extract_hours(spark, sf_dir):
-    return A.extract_hours(S.lines_of(hour_tables(spark, sf_dir), "c_custkey"), "c_custkey")
-
-
-@query("SELECT n_regionkey, count(DISTINCT c_mktsegment) AS topics FROM nation JOIN customer ON n_nationkey = c_nationkey GROUP BY 1")
-def guide_topics_flat(spark, sf_dir):
-    t = A.guide_topics_flat(S.lines_of(guides(spark, sf_dir), "n_regionkey"), "n_regionkey")
-    segments = S.table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("name")).distinct()
-    return t.join(segments.hint("shuffle_merge"), "name", "left_semi").groupBy("n_regionkey").agg(F.count("*").alias("topics"))
-
-
-@query("SELECT c_nationkey, CAST(min(c_custkey) % 50 + 1 AS DOUBLE) AS theory, CAST(0 AS DOUBLE) AS seminar, CAST(min(c_custkey) % 7 AS DOUBLE) AS lab FROM customer GROUP BY 1")
-def extract_hours_freetext(spark, sf_dir):
-    c = S.table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.min("c_custkey").alias("k"))
-    text = F.concat(F.lit("Las clases expositivas ocupan "), F.col("k") % 50 + 1, F.lit(" horas\n| Laboratorio | "), F.col("k") % 7, F.lit(" |\nsin dato"))
-    lines = S.lines_of(c.select("c_nationkey", text.alias("text")), "c_nationkey")
-    return A.hours_from_text(lines, A.extract_hours(lines, "c_nationkey"), "c_nationkey")
-
-
 @query("SELECT p_brand, 'p_' || p_size AS symbol, arg_min(p_name, p_partkey) AS description FROM part GROUP BY ALL")
 def variable_glossary(spark, sf_dir):
     p = S.table(spark, sf_dir, "part").select("p_brand", F.col("p_partkey").alias("line_no"), F.concat(F.lit("| $p_"), "p_size", F.lit("$ | "), "p_name", F.lit(" |")).alias("line"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessella import sources as S
 from tessella.functions import text as T
-from tessella.operators import assembly, cleaning, matching, quality, state, structure
+from tessella.operators import assembly, cleaning, guides, matching, quality, state, structure
 
 
 def lines(spark, sections):
@@ -149,8 +149,8 @@ def test_monotone_anchors_and_fragments(spark):
 
 
 def test_five_guide_layouts(spark):
-    text = ["Contenidos", "Bloque 1: Fuerzas", "- Rozamiento", "2.- Energía", "2.1 Trabajo", "Tema 3. Calor: Conducción. Convección.", "Evaluación", "Bloque 9: no"]
-    got = assembly.guide_structure(spark.createDataFrame([("d", i, x) for i, x in enumerate(text)], "doc string, line_no int, line string"), "doc")
+    text = ["3. Contenidos", "Bloque 1: Fuerzas", "1.1 Rozamiento", "2.- Energía", "2.1 Trabajo", "Tema 3. Calor: Conducción. Convección.", "4. Evaluación", "Bloque 9: no"]
+    got = guides.guide_structure(spark.createDataFrame([("d", i, x) for i, x in enumerate(text)], "doc string, line_no int, line string"), "doc")
     assert [(r["block_no"], r["kind"], r["name"]) for r in got.orderBy("block_no", "kind", "ord").collect()] == [(1, "block", "Fuerzas"), (1, "topic", "Rozamiento"), (2, "block", "Energía"), (2, "topic", "Trabajo"), (3, "block", "Calor"), (3, "topic", "Conducción"), (3, "topic", "Convección")]
 
 
