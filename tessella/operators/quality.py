@@ -36,12 +36,33 @@ def fidelity_rollup(scores: DataFrame, block: str, *, passing: float = 0.85) ->
     return scores.groupBy(block).agg(F.bround(mean, 3).alias("mean_score"), (mean < passing).alias("warns"))
 
 
-def coverage(tokens: Column, content_norm: Column) -> Column:
-    """covered, found: is a topic (its tokens, a column made once a topic, see topic_tokens) covered by a normalized content? It is
-    if half of its tokens, rounded up, are found, or if it has none."""
-    found = F.size(F.filter(tokens, lambda t: content_norm.contains(t)))
-    covered = (F.size(tokens) == 0) | (found >= F.greatest(F.lit(1), F.floor((F.size(tokens) + 1) / 2)))
-    return F.struct(covered.alias("covered"), found.alias("found"))
+def coverage(docs: DataFrame, topics: DataFrame, within: str, doc: str, item: str, store, *, shortest: int = 3) -> DataFrame:
+    """docs(doc, within, norm: normalized content), topics(item, within, tokens) -> doc, item, within, tokens, told (covered, found),
+    for all documents and topics of a group. A topic is covered if half of its tokens, rounded up, occur in the content, also
+    inside words, or if it has none; repeated ones count each time. Tokens have no spaces and at least shortest letters; store
+    writes a table out. Null contents hold nothing.
+
+    As tokens hold no space, each lies within a word. So the different words of all documents are looked through once, by pieces
+    of shortest letters, for the tokens inside them; documents then meet tokens through their words, and topics through tokens."""
+    named = store(topics.select(item, within, "tokens"))
+    wanted = named.select(item, within, F.explode("tokens").alias("token")).groupBy(item, within, "token").agg(F.count("*").alias("times"))
+    tokens = wanted.select("token").distinct().withColumn("piece", F.substring("token", 1, shortest))
+    words = docs.select(doc, within, F.explode(F.array_distinct(F.split("norm", " "))).alias("word"))
+    at = F.sequence(F.lit(1), F.length("word") - shortest + 1)
+    pieces = words.select("word").distinct().filter(F.length("word") >= shortest).select("word", F.explode(F.array_distinct(F.transform(at, lambda i: F.substring("word", i, F.lit(shortest))))).alias("piece"))
+    inside = store(pieces.join(tokens.hint("shuffle_merge"), "piece").filter(F.col("word").contains(F.col("token"))).select("word", "token").distinct())
+    met = words.join(inside.hint(size_hint(inside, "word", "token")), "word").select(doc, within, "token").distinct()
+    counts = met.join(wanted.hint(size_hint(named, F.array_join("tokens", " "))), [within, "token"]).groupBy(doc, item).agg(F.sum("times").alias("found"))
+    pairs = docs.select(doc, within).join(named.hint(size_hint(named, F.array_join("tokens", " "))), within)
+    told = pairs.join(counts.hint("shuffle_merge"), [doc, item], "left").withColumn("found", F.coalesce("found", F.lit(0)).cast("int"))
+    covered = (F.size("tokens") == 0) | (F.col("found") >= F.greatest(F.lit(1), F.floor((F.size("tokens") + 1) / 2)))
+    return told.select(doc, item, within, "tokens", F.struct(covered.alias("covered"), "found").alias("told"))
+
+
+def size_hint(df: DataFrame, *texts: Column | str, most: int = 64 << 20) -> str:
+    """How to join df, a stored table: broadcast while its texts and 64 bytes a row, which are counted, are at most so many bytes."""
+    size = sum((F.coalesce(F.octet_length(c).cast("long"), F.lit(0)) for c in texts), F.lit(64).cast("long"))
+    return "broadcast" if (df.agg(F.sum(size)).first()[0] or 0) <= most else "shuffle_merge"
 
 
 def coverage_detail(tokens: Column, told: Column) -> Column:

@@ -50,13 +50,10 @@ cov AS (SELECT *, len(k) = 0 OR found >= greatest(1, (len(k) + 1) // 2) AS cover
 
 
 def _coverage(spark, sf_dir):
-    """Topics of a source against its documents. A topic's tokens are made once, before the join; sources are few and large, so
-    documents stay where they are and the topics, whose bytes are checked, go to them."""
-    b = S.table(spark, sf_dir, "benchmark").select("item_id", F.concat(F.lit("src"), F.col("item_id") % 20).alias("source"), T.topic_tokens(F.col("text")).alias("tokens"))
-    topics = S.stored(b)
-    d = S.table(spark, sf_dir, "documents").select("doc_id", "source", T.normalize_for_matching(F.col("text")).alias("norm"))
-    hint = "broadcast" if (topics.agg(F.sum(F.octet_length(F.array_join("tokens", " ")) + 64)).first()[0] or 0) < 64 << 20 else "shuffle_merge"
-    return d.join(topics.hint(hint), "source").withColumn("told", Q.coverage(F.col("tokens"), F.col("norm"))).select("item_id", "doc_id", "source", "tokens", "told", "told.covered")
+    """Topics of a source against its documents."""
+    topics = S.table(spark, sf_dir, "benchmark").select("item_id", F.concat(F.lit("src"), F.col("item_id") % 20).alias("source"), T.topic_tokens(F.col("text")).alias("tokens"))
+    docs = S.table(spark, sf_dir, "documents").select("doc_id", "source", T.normalize_for_matching(F.col("text")).alias("norm"))
+    return Q.coverage(docs, topics, "source", "doc_id", "item_id", S.stored).withColumn("covered", F.col("told.covered"))
 
 
 @query(f"WITH {_COV} SELECT item_id, doc_id, covered, CASE WHEN len(k) = 0 THEN 'Sin términos evaluables' WHEN covered THEN 'Detectado en el contenido curado' ELSE 'Solo ' || found || '/' || len(k) || ' términos clave (' || array_to_string(k, ', ') || ')' END AS detail FROM cov")
