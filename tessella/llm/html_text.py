@@ -2,8 +2,8 @@
 
 Every page is parsed in its task to a tree of elements, in time linear in its length. First pass: each block container's
 subtree is hashed together with the page's host, and Spark counts in how many different surroundings it stands. Second pass:
-subtrees that recur on many pages of their host are deleted, with the elements that are never main text by their kind or name,
-and the blocks of what remains of the article are joined. Pages of one host are never brought together: only hashes are
+subtrees that recur on many pages of their host are deleted, and so are elements that are never main text by their kind; a name
+says the same of an element only if it stands beside an article or does not hold half of the page's text. The blocks of what remains are joined. Pages of one host are never brought together: only hashes are
 shuffled, summed on the map side first.
 
 A surrounding is one of the longest texts of the page outside the subtree. A notice or menu stands beside another article on
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,9 +28,11 @@ from .common import bounded_batches, lean, only, stored, table
 
 # Fixed values of HTML: elements without content, with raw content, that are blocks, that hold no article text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
 BLOCKS = frozenset("address article aside blockquote body br center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
-NEVER = frozenset("head script style noscript template svg math canvas object iframe nav footer aside form button select textarea input dialog menu title audio video".split())
+NEVER = frozenset("head script style noscript template svg math canvas object iframe button select textarea input dialog menu title audio video".split())
+ASIDE = frozenset("nav footer aside form".split())  # as names
 CONTAINERS = frozenset("div section ul ol dl table nav aside header footer form figure menu details center fieldset dialog".split())
 CLOSES_P = BLOCKS - {"br", "body", "html", "dd", "dt", "li", "option", "optgroup", "td", "th", "tr", "tbody", "thead", "tfoot", "summary", "figcaption"}
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "tbody": ("thead", "tbody", "tfoot", "tr", "td", "th"), "tfoot": ("thead", "tbody", "tfoot", "tr", "td", "th")}
@@ -39,7 +42,10 @@ BOUNDS = frozenset("ul ol dl table select article section div body html td th bl
 # parts that say no more than what kind of box it is.
 _NAMES = frozenset("ad ads advert adverts advertisement advertisements advertising adsense banner sponsor sponsors sponsored promo promos promotion promotions cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login sidebar menu menus nav navbar navigation breadcrumb breadcrumbs header masthead footer share sharing social related recommend recommended recommendation recommendations comment comments commentlist disqus respond replies reply pagination pager widget widgets toolbar skiplink teaser teasers".split())
 _HEADS = frozenset("header masthead".split())
-_BOXES = frozenset("site page main global top bottom left right first last box bar block area wrapper wrap container content section list inner outer unit slot item items link links post posts article articles story stories text message row col column group panel primary secondary sticky fixed reader readers user users mobile desktop small large head body buttons button icons icon".split())
+_BOXES = frozenset("site page main global top bottom left right first last box bar block area wrapper wrap container content section list inner outer unit slot item items link links post posts article articles story stories text message row col column group panel primary secondary sticky fixed reader readers user users mobile desktop small large head body buttons button icons icon thread fb facebook google twitter this x".split())
+_SURE = frozenset("ad ads advert adverts advertisement advertisements advertising adsense disqus".split())  # whatever stands beside them
+_COMMENTS = frozenset("comment comments commentlist disqus respond replies reply".split())
+_COMMENT_HEADS = re.compile(r"(?:\d+\s+)?(?:reader |user |leser)?(?:comments?|replies|responses|kommentare?|comentarios?|commentaires?|leave a (?:comment|reply))(?:\s*\(?\d+\)?)?\W*", re.I)
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
@@ -115,7 +121,7 @@ def parse(page: str) -> list[Node]:
                 close(k)
         parent = stack[-1]
         told = _named(tag, rest[0]) if len(rest[0]) > 1 else False
-        drop = tag in NEVER or told or (None if told is None or tag == "header" else False)
+        drop = True if tag in NEVER or told == "comments" else "named" if told or tag in ASIDE else None if told is None or tag == "header" else False
         node = Node(tag, parent, drop, len(nodes))
         nodes.append(node)
         parent.children.append(node)
@@ -131,24 +137,49 @@ def parse(page: str) -> list[Node]:
         if tag in BOUNDS:
             bounds.append(len(stack))
         stack.append(node)
+    for node in nodes:
+        if node.tag in _HEADINGS and node.parent.tag in CONTAINERS and next((x for x in node.parent.children if not isinstance(x, str) or not x.isspace()), None) is node:
+            if _COMMENT_HEADS.fullmatch(" ".join(x for x in _texts(node)).strip()):
+                node.parent.drop = True
+    # A name decides about what stands beside an article, or does not hold half of the text that is left without the sure ones.
+    held = [0] * len(nodes)
+    for node in reversed(nodes):
+        if node.drop is not True:
+            held[node.first] = sum(len(x) - x.count(" ") if isinstance(x, str) else held[x.first] for x in node.children)
+    for node in reversed(nodes):
+        if node.parent:
+            node.parent.last = max(node.parent.last, node.last)
+    articles = [x for x in nodes if x.tag in ("article", "main") and x.drop is False and held[x.first]]
+    ends, starts = min((x.last for x in articles), default=len(nodes)), max((x.first for x in articles), default=-1)
     inside = [False] * len(nodes)
     for node in nodes[1:]:
         up = node.parent
         inside[node.first] = up.tag in ("article", "main") or inside[up.first]
-        node.drop = up.drop or (not inside[node.first] if node.drop is None else node.drop)
-    for node in reversed(nodes):
-        if node.parent:
-            node.parent.last = max(node.parent.last, node.last)
+        named = node.drop == "named" or node.drop is None and not inside[node.first]
+        beside = ends < node.first or starts > node.last
+        node.drop = up.drop or node.drop is True or named and (beside or 2 * held[node.first] < held[0])
     return nodes
 
 
-def _unwanted(value: str) -> bool | None:
+def _texts(node: Node) -> Iterator[str]:
+    for x in node.children:
+        if isinstance(x, str):
+            yield x
+        else:
+            yield from (y for y in x.children if isinstance(y, str))
+
+
+def _unwanted(value: str) -> bool | str | None:
     """Is one of the names of a class or id attribute one of no main text? Names count as wholes: all their parts must be known.
-    None: only as the head of a site."""
+    None: only as the head of a site; "comments": what readers say."""
     found: bool | None = False
     for name in value.split():
         parts = [x for x in re.split(r"[-_\d]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower()) if x]
         hits = [x for x in parts if x in _NAMES]
+        if hits and all(x in _NAMES or x in _BOXES for x in parts) and _COMMENTS & set(parts):
+            return "comments"
+        if parts[:1] and (parts[0] in _SURE or parts[-1] in _SURE):
+            return True
         if hits and all(x in _NAMES or x in _BOXES for x in parts) or parts in (["sign", "up"], ["skip", "link"], ["side", "bar"]):
             if not hits or not all(x in _HEADS for x in hits) or {"site", "global"} & set(parts):
                 return True
@@ -157,7 +188,7 @@ def _unwanted(value: str) -> bool | None:
     return found
 
 
-def _named(tag: str, attributes: str) -> bool | None:
+def _named(tag: str, attributes: str) -> bool | str | None:
     """Do the element's class, id or role say that it is no main text, or is it hidden? None: only outside an article."""
     found: bool | None = False
     for name, *values in _ATTR.findall(attributes):
@@ -165,7 +196,7 @@ def _named(tag: str, attributes: str) -> bool | None:
         if name in ("class", "id") and value and tag not in ("main", "body", "html"):
             told = _unwanted(value)
             if told:
-                return True
+                return told
             found = told if told is None else found
         elif name == "role" and value.lower() in _ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
             return tag not in ("main", "body", "html")
@@ -195,8 +226,8 @@ def _keyed(nodes: list[Node]) -> None:
 
 
 def _containers(nodes: list[Node]) -> list[Node]:
-    """The containers that may be templates: with text, not dropped anyway, and with less than half of the page's text."""
-    return [x for x in nodes if x.key and x.tag in CONTAINERS and not x.drop and 2 * x.mass < nodes[0].mass]
+    """The containers that may be templates, whatever their names say: with text, and with less than half of what the page keeps."""
+    return [x for x in nodes if x.key and x.tag in CONTAINERS and 2 * x.mass < nodes[0].mass]
 
 
 def _signed(host: str, key: int) -> int:
@@ -208,9 +239,19 @@ def _host(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
+def _outermost(nodes: list[Node], tag: str, mass: list[int]) -> list[Node]:
+    """The elements of a tag that are shown, hold text and stand in no other one of them."""
+    found, end = [], 0
+    for node in nodes:
+        if node.tag == tag and not node.drop and node.first >= end and mass[node.first]:
+            found.append(node)
+            end = node.last + 1
+    return found
+
+
 def main_text(page: str | None, url: str | None = None, template: frozenset = frozenset()) -> str:
-    """The main text of a page; template: keys of subtrees to delete. It is what the article elements hold, if that is a third of
-    the text that stays, else the main element in the same way, else the body."""
+    """The main text of a page; template: keys of subtrees to delete. It is what the main elements hold; without any, what the
+    articles hold if that is half of the text that stays, with titles of level 1 before their end; else the body."""
     if not page:
         return ""
     nodes = parse(page)
@@ -224,20 +265,14 @@ def main_text(page: str | None, url: str | None = None, template: frozenset = fr
     for node in reversed(nodes):
         if not node.drop:
             mass[node.first] = sum(len(x) - x.count(" ") if isinstance(x, str) else mass[x.first] for x in node.children)
-    tops = nodes[:1]
-    for tag in ("main", "article"):
-        found, end = [], 0
-        for top in tops:
-            shown = {top.first}
-            for node in nodes[top.first + 1 : top.last + 1]:
-                if node.drop or node.parent.first not in shown:
-                    continue
-                shown.add(node.first)
-                if node.tag == tag and node.first >= end and mass[node.first]:
-                    found.append(node)
-                    end = node.last + 1
-        if 3 * sum(mass[x.first] for x in found) >= sum(mass[x.first] for x in tops) > 0:
-            tops = found
+    outer = lambda tag: _outermost(nodes, tag, mass)
+    tops = outer("main")
+    if not tops:
+        articles = outer("article")
+        tops = nodes[:1]
+        if 2 * sum(mass[x.first] for x in articles) >= mass[0] > 0:
+            last = articles[-1].last
+            tops = sorted([*articles, *(x for x in outer("h1") if x.first < last and not any(y.first < x.first <= y.last for y in articles))], key=lambda x: x.first)
     parts: list[str] = []
     for top in tops:
         todo: list = [iter(top.children)]
@@ -263,19 +298,27 @@ def surroundings(page: str, url: str | None, most: int = 3) -> Iterator[tuple[in
     most so many and none of less than a sixth of the longest. With no text outside, sig is 0."""
     nodes = parse(page)
     _keyed(nodes)
-    texts = sorted(((-len(t), x.first, k, t) for x in nodes if x.key and not x.drop for k, t in enumerate(x.children) if isinstance(t, str) and not t.isspace()), key=lambda y: y[:3])
+    texts = sorted((x.first, k, t) for x in nodes if x.key and not x.drop for k, t in enumerate(x.children) if isinstance(t, str) and not t.isspace())
+    order = lambda y: (-len(y[2]), y[0], y[1])
+
+    def longest(some: list) -> tuple[list[int], list[list]]:
+        """The longest texts of each beginning of the list, and the places of their elements."""
+        best, held = [[]], []
+        for y in some:
+            held = sorted([*held, y], key=order)[:most]
+            best.append(held)
+        return [y[0] for y in some], best
+
+    at, before = longest(texts)
+    _, after = longest(texts[::-1])
     host = _host(url)
     for x in _containers(nodes):
-        rank = longest = 0
-        for size, at, _, t in texts[:64]:
-            if x.first <= at <= x.last:
-                continue
-            if rank == most or 6 * -size < longest:
+        outside = sorted([*before[bisect_left(at, x.first)], *after[len(texts) - bisect_right(at, x.last)]], key=order)[:most]
+        for rank, (_, _, t) in enumerate(outside):
+            if 6 * len(t) < len(outside[0][2]):
                 break
-            longest = longest or -size
             yield _signed(host, x.key), rank, xxhash.xxh3_64_intdigest(" ".join(t.split()).encode("utf-8", "surrogatepass")) >> 1
-            rank += 1
-        if not rank:
+        if not outside:
             yield _signed(host, x.key), 0, 0
 
 
