@@ -81,10 +81,38 @@ def count_markers(df: DataFrame, text: str = "text") -> DataFrame:
     return counted.withColumns({"problems": F.col("equation") + F.col("partial") + F.col("unreadable"), "review": F.col("reconstructed")})
 
 
-def validate_items(items: DataFrame, doc: str, required: list[str]) -> DataFrame:
-    """doc, n_items, n_errors, ok: items with a missing value in a required column are errors."""
-    errors = F.size(F.array_compact(F.array(*[F.when(F.col(c).isNull() | (F.trim(F.col(c).cast("string")) == ""), F.lit(c)) for c in required])))
-    return items.withColumn("e", errors).groupBy(doc).agg(F.count("*").alias("n_items"), F.sum("e").alias("n_errors"), F.bool_and(F.col("e") == 0).alias("ok"))
+# The keys of an item, in order, those that hold texts, and messages.
+ITEM_KEYS = ("contenido_markdown", "tipo", "titulo_detectado")
+MISSING_KEYS, NO_TEXT, NO_TEXT_OR_NULL, NO_OBJECT = "Bloque %s: faltan claves [%s]", "Bloque %s: contenido_markdown no es string", "Bloque %s: titulo_detectado no es string/null", "Bloque %s: no es un objeto"
+
+
+def validate_items(items: DataFrame, chunks: DataFrame, doc: str, *, passing: float = 0.85) -> tuple[DataFrame, DataFrame]:
+    """items(doc, idx from 1, item: JSON), chunks(doc, idx, chunk) -> reports (doc, n_items, errors in order, n_failed, ok) and
+    fidelities (doc, idx, score, missing, passed).
+
+    Items are parsed as variants, so a value of a wrong type is an error of its own and not a null. An item must have all of
+    ITEM_KEYS, contenido_markdown a text, titulo_detectado a text or null. What is no JSON object is an error and has no keys. An
+    item with a chunk is measured against it (fidelity); ok: no errors, and all that are measured pass."""
+    parsed = items.select(doc, "idx", F.try_parse_json("item").alias("v"))
+    get = lambda k: F.try_variant_get("v", f"$.{k}", "variant")
+    kind = lambda k: F.schema_of_variant(get(k))
+    object_ = F.coalesce(F.startswith(F.schema_of_variant("v"), F.lit("OBJECT")), F.lit(False))
+    absent = F.array_join(F.array_compact(F.array(*[F.when(get(k).isNull(), F.lit(f"'{k}'")) for k in ITEM_KEYS])), ", ")
+    told = lambda message, *more: F.format_string(message, F.col("idx").cast("string"), *more)
+    errors = F.array(
+        F.when(~object_, told(NO_OBJECT)),
+        F.when(object_ & (absent != ""), told(MISSING_KEYS, absent)),
+        F.when(object_ & (kind("contenido_markdown") != "STRING"), told(NO_TEXT)),
+        F.when(object_ & ~kind("titulo_detectado").isin("STRING", "VOID"), told(NO_TEXT_OR_NULL)),
+    )
+    text = F.coalesce(F.try_variant_get("v", "$.contenido_markdown", "string"), F.when(kind("contenido_markdown") == "VOID", "None"), F.lit(""))
+    checked = parsed.select(doc, "idx", F.array_compact(errors).alias("errors"), text.alias("text"))
+    met = checked.select(doc, "idx", "text").join(chunks.select(doc, "idx", "chunk").filter("chunk is not null").hint("shuffle_merge"), [doc, "idx"])
+    fidelities = fidelity(met, "chunk", "text", passing=passing).select(doc, "idx", "score", "missing", "passed")
+    failed = fidelities.groupBy(doc).agg(F.count_if(~F.col("passed")).alias("n_failed"))
+    all_ = checked.groupBy(doc).agg(F.count("*").alias("n_items"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("idx", "errors"))), lambda x: x["errors"])).alias("errors"))
+    reports = all_.join(failed.hint("shuffle_merge"), doc, "left").withColumn("n_failed", F.coalesce("n_failed", F.lit(0)))
+    return reports.withColumn("ok", (F.size("errors") == 0) & (F.col("n_failed") == 0)), fidelities
 
 
 def detect_truncation(lines: DataFrame, doc: str) -> DataFrame:

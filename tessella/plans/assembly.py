@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessella import sources as S
+from tessella.sources import versions as V
 from tessella.operators import assembly as A
 
 from .cleaning import LINES, _lines
@@ -168,11 +169,15 @@ def assemble_multiple(spark, sf_dir):
     return A.assemble_multiple(d, "source", "doc_id", "name").select("source", F.md5("markdown").alias("markdown_md5"))
 
 
-@query("SELECT source, doc_id, length(text) AS n FROM documents")
+@query("""WITH b AS (SELECT source, doc_id, trim(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS t, CASE WHEN doc_id % 3 = 0 THEN 'Tema' || doc_id ELSE 'Bloque ' || doc_id END AS label FROM documents)
+SELECT v AS version, source AS doc, CASE WHEN doc_id % 3 = 0 THEN 'bloque-tema' || doc_id || '.md' ELSE 'bloque-' || doc_id || '.md' END AS file, label, md5(t) AS markdown_md5 FROM b, (SELECT unnest([1, 2]) AS v) WHERE t <> '' AND (v = 1 OR doc_id % 2 = 0)""")
 def write_outputs(spark, sf_dir):
+    """All documents as one version and those of even number as the next one; both are read again."""
     import uuid
 
-    d = S.table(spark, sf_dir, "documents").select(F.col("source").alias("doc"), F.lit(1).alias("version"), F.col("doc_id").alias("no"), "text")
+    label = F.concat(F.when(F.col("doc_id") % 3 == 0, "Tema").otherwise("Bloque "), F.col("doc_id").cast("string"))
+    d = S.table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("doc"), label.alias("label"), F.col("text").alias("markdown"))
     where = f"{S.shared_folder(spark)}/outputs-{uuid.uuid4().hex}"
-    S.write_outputs(d, where)
-    return spark.read.parquet(where).select(F.col("doc").alias("source"), F.col("no").alias("doc_id"), F.length("text").alias("n"))
+    first, second = V.write_version(d, where), V.write_version(d.filter("doc_id % 2 = 0"), where)
+    both = V.read_version(spark, where, first).unionByName(V.read_version(spark, where, second))
+    return both.select("version", "doc", "file", "label", F.md5("markdown").alias("markdown_md5"))

@@ -89,9 +89,23 @@ def equation_markers(spark, sf_dir):
     return Q.equation_markers(marked_documents(spark, sf_dir), "doc_id").groupBy("doc_id", "kind", "payload").agg(F.count("*").alias("n"))
 
 
-@query("SELECT conv_id, count(*) AS n_items, CAST(sum((CASE WHEN text IS NULL OR trim(text) = '' THEN 1 ELSE 0 END) + (CASE WHEN role IS NULL OR trim(role) = '' THEN 1 ELSE 0 END)) AS BIGINT) AS n_errors, bool_and(text IS NOT NULL AND trim(text) <> '' AND role IS NOT NULL AND trim(role) <> '') AS ok FROM conversations GROUP BY 1")
+@query(r"""WITH t AS (SELECT conv_id, turn, event, idx FROM (SELECT conv_id, turn, (conv_id * 3 + turn) % 11 AS event, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS idx FROM conversations WHERE text IS NOT NULL)),
+e AS (SELECT *, CASE event WHEN 0 THEN 'Bloque ' || idx || ': faltan claves [''tipo'', ''titulo_detectado'']' WHEN 1 THEN 'Bloque ' || idx || ': contenido_markdown no es string' WHEN 2 THEN 'Bloque ' || idx || ': titulo_detectado no es string/null' WHEN 3 THEN 'Bloque ' || idx || ': no es un objeto' WHEN 4 THEN 'Bloque ' || idx || ': no es un objeto' END AS error,
+  event = 6 AS failed FROM t)
+SELECT conv_id, count(*) AS n_items, coalesce(string_agg(error, '|' ORDER BY idx), '') AS errors, CAST(count(CASE WHEN failed THEN 1 END) AS BIGINT) AS n_failed, count(error) = 0 AND NOT bool_or(failed) AS ok FROM e GROUP BY 1""")
 def validate_items(spark, sf_dir):
-    return Q.validate_items(S.table(spark, sf_dir, "conversations"), "conv_id", ["text", "role"])
+    """Turns as items: some lack keys, have a number, a list, are cut off, or no object; against their own text, where it is one, or
+    another."""
+    from pyspark.sql.window import Window as W
+
+    c = S.table(spark, sf_dir, "conversations").filter("text is not null").withColumn("event", (F.col("conv_id") * 3 + F.col("turn")) % 11)
+    c = c.withColumn("idx", F.row_number().over(W.partitionBy("conv_id").orderBy("turn")))
+    e, text = F.col("event"), F.col("text").alias("contenido_markdown")
+    whole = F.to_json(F.struct(F.lit("teoria").alias("tipo"), F.when(e != 5, F.col("role")).alias("titulo_detectado"), text), {"ignoreNullFields": "false"})
+    item = F.when(e == 0, F.to_json(F.struct(text))).when(e == 1, '{"tipo": "x", "titulo_detectado": null, "contenido_markdown": 7}').when(e == 2, F.to_json(F.struct(F.lit("x").alias("tipo"), F.array(F.lit(1)).alias("titulo_detectado"), text))).when(e == 3, '{"tipo": ').when(e == 4, "[1]").otherwise(whole)
+    chunk = F.when(e == 6, "palabrauno palabrados palabratres").when(e.isin(0, 2, 5, 7), F.col("text"))
+    reports, _ = Q.validate_items(c.select("conv_id", "idx", item.alias("item")), c.select("conv_id", "idx", chunk.alias("chunk")), "conv_id")
+    return reports.select("conv_id", "n_items", F.array_join("errors", "|").alias("errors"), "n_failed", "ok")
 
 
 def order_table(spark, sf_dir):

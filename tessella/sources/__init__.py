@@ -1,4 +1,4 @@
-"""Reading the tables and cutting texts into sections and lines; writing versioned outputs."""
+"""Reading the tables and cutting texts into sections and lines; stored tables."""
 
 from __future__ import annotations
 
@@ -74,15 +74,12 @@ def table_profile(tables: dict[str, tuple[DataFrame, str | None]]) -> DataFrame:
     return out
 
 
-def write_outputs(blocks: DataFrame, path: str) -> None:
-    """blocks(doc, version, no, text) as Parquet files by document and version."""
-    blocks.write.mode("overwrite").partitionBy("doc", "version").parquet(path)
-
-
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share; a temporary one where that is unset, as in local runs."""
+    """The folder in spark.checkpoint.dir, which driver and executors share; a temporary one where that is unset, in local runs only."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         where = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", where)
     return where

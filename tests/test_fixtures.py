@@ -62,12 +62,6 @@ def test_materials_with_reasons(spark):
     assert whole.first()["text"] == "a\n\nb" and {(r["o"], r["reason"]) for r in bad.collect()} == {(3, "no_encontrado"), (4, "sin texto")}
 
 
-def test_outputs_round_trip(spark, tmp_path):
-    df = spark.createDataFrame([("d", 1, 1, "x"), ("d", 2, 1, "y")], "doc string, version int, no int, text string")
-    S.write_outputs(df, str(tmp_path / "out"))
-    assert {(r["version"], r["text"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {(1, "x"), (2, "y")}
-
-
 @pytest.mark.parametrize(("name", "good"), [("Engranajes rectos", True), ("Evaluación", False), ("Además de lo anterior", False), ("12 34 56", False), ("Relación entre presión y temperatura en", False), ("L", False), ("Requisitos", False)])
 def test_valid_topic(spark, name, good):
     assert spark.range(1).select(structure.valid_topic(F.lit(name)).alias("v")).first()["v"] is good
