@@ -8,6 +8,7 @@ from pyspark.sql.window import Window as W
 
 from tessella.functions import text as T
 
+from .matching import assign_files
 from .structure import ADMIN_EXACT, ADMIN_PREFIXES, numbered_candidates, ordered, valid_topic
 
 # The header of the contents, lines that head a block, a topic of two levels or more, and lines of the page's own.
@@ -72,6 +73,21 @@ def guide_topics_flat(lines: DataFrame, doc: str) -> DataFrame:
     return flat.unionByName(other.select(doc, F.row_number().over(W.partitionBy(doc).orderBy("line_no")).alias("ord"), "name"))
 
 
+# What evidence and origins say.
+FROM_GUIDE, OWN, DETECTED = "Guía docente — Contenidos", "Guía docente", "Detectado"
+
+
+def guide_first_topics(blocks: DataFrame, topics: DataFrame, files: DataFrame, found: DataFrame, within: str, store) -> DataFrame:
+    """blocks(within, block, name), topics(within, block, ord, name), files(within, file, stem), found(within, file, ord, name,
+    evidence) -> within, block, ord, name, evidence, origin: a block with topics in the guide keeps them; each other one takes what
+    was found in the file that assign_files gives it. Blocks with neither have no rows."""
+    bare = blocks.join(topics.select(within, "block").distinct().hint("shuffle_merge"), [within, "block"], "left_anti")
+    assigned = assign_files(bare, files, within, store).filter("file is not null").select(within, "block", "file")
+    own = topics.select(within, "block", "ord", "name", F.lit(FROM_GUIDE).alias("evidence"), F.lit(OWN).alias("origin"))
+    other = assigned.join(found.hint("shuffle_merge"), [within, "file"]).select(within, "block", "ord", "name", "evidence", F.lit(DETECTED).alias("origin"))
+    return own.unionByName(other)
+
+
 # How many lines a table of hours has, rows of single topics, cues of hours in a text, and bounds of a number.
 REACH, TOPIC_ROW, HOUR_CUE = 45, r"^(?:\d+\s*[.)]\s|tema\s*\d|unidad\s*\d|bloque\s*\d)", r"hora|h | h|lectiv|dedicacion|carga docente|credit"
 LARGEST, LARGEST_TEXT = 120, 500

@@ -36,6 +36,25 @@ def greedy_one_to_one(pairs: DataFrame, store) -> DataFrame:
         left = store(left.join(best.select("a").hint("shuffle_merge"), "a", "left_anti").join(best.select("b").hint("shuffle_merge"), "b", "left_anti"))
 
 
+def assign_files(blocks: DataFrame, files: DataFrame, within: str, store) -> DataFrame:
+    """blocks(within, block, name), files(within, file, stem) -> within, block, file, how: one file for each block.
+
+    Pairs that share a token are taken best first by their overlap, ties to the earlier block and file, and no file twice
+    (overlap). The blocks that are left take the files that are left, both in order (free); when no file is left, a block takes the
+    file that stands where it stands among all blocks, or else the first one (place). Groups without files have null."""
+    pairs = token_overlap_pairs(blocks.select(within, F.col("block").alias("a"), F.col("name").alias("a_name")), files.select(within, F.col("file").alias("b"), F.col("stem").alias("b_name")), within)
+    keyed = pairs.select(F.struct(within, "a").alias("a"), F.struct(within, "b").alias("b"), F.col("overlap").alias("score"))
+    taken = store(greedy_one_to_one(keyed, store).select(F.col(f"a.{within}").alias(within), F.col("a.a").alias("block"), F.col("b.b").alias("file")))
+    placed = blocks.select(within, "block", (F.row_number().over(W.partitionBy(within).orderBy("block"))).alias("place"))
+    left = placed.join(taken.select(within, "block").hint("shuffle_merge"), [within, "block"], "left_anti").withColumn("nth", F.row_number().over(W.partitionBy(within).orderBy("block")))
+    free = files.select(within, "file").join(taken.select(within, "file").hint("shuffle_merge"), [within, "file"], "left_anti").withColumn("nth", F.row_number().over(W.partitionBy(within).orderBy("file")))
+    same = files.select(within, F.col("file").alias("same"), F.row_number().over(W.partitionBy(within).orderBy("file")).alias("place"))
+    first = files.groupBy(within).agg(F.min("file").alias("first"))
+    rest = left.join(free.hint("shuffle_merge"), [within, "nth"], "left").join(same.hint("shuffle_merge"), [within, "place"], "left").join(first.hint("shuffle_merge"), within, "left")
+    how = F.when(F.col("file").isNotNull(), "free").when(F.col("first").isNotNull(), "place")
+    return taken.select(within, "block", "file", F.lit("overlap").alias("how")).unionByName(rest.select(within, "block", F.coalesce("file", "same", "first").alias("file"), how.alias("how")))
+
+
 def similar_names(left: DataFrame, right: DataFrame, within: str, *, least: float) -> DataFrame:
     """left(within, name, need), right(within, other), both distinct normal forms -> within, name, other, score: the similarity by
     matching blocks of pairs of a group that can reach need, which is least or more.

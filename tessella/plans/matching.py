@@ -35,7 +35,15 @@ def _store(spark):
     return stored
 
 
-@query()
+# Pairs cand(grp, a, b, score) taken one after the other: greedy(grp, a, b, score).
+GREEDY = """ranked AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY score DESC, a, b) AS r FROM cand),
+steps AS (SELECT grp, CAST(0 AS BIGINT) AS r, CAST([] AS BIGINT[]) AS us, CAST([] AS BIGINT[]) AS vs, CAST([] AS DOUBLE[]) AS ss FROM (SELECT DISTINCT grp FROM ranked)
+UNION ALL SELECT s.grp, k.r, CASE WHEN list_contains(us, a) OR list_contains(vs, b) THEN us ELSE list_append(us, a) END, CASE WHEN list_contains(us, a) OR list_contains(vs, b) THEN vs ELSE list_append(vs, b) END, CASE WHEN list_contains(us, a) OR list_contains(vs, b) THEN ss ELSE list_append(ss, score) END
+  FROM steps s JOIN ranked k ON s.grp = k.grp AND k.r = s.r + 1),
+greedy AS (SELECT grp, unnest(us) AS a, unnest(vs) AS b, unnest(ss) AS score FROM (SELECT * FROM steps QUALIFY row_number() OVER (PARTITION BY grp ORDER BY r DESC) = 1))"""
+
+
+@query(f"WITH RECURSIVE {_PAIRS}, cand AS (SELECT p_brand AS grp, a, b, overlap AS score FROM pairs), {GREEDY} SELECT a, b, score FROM greedy")
 def greedy_one_to_one(spark, sf_dir):
     return M.greedy_one_to_one(token_overlap_pairs(spark, sf_dir).select("a", "b", F.col("overlap").alias("score")), _store(spark))
 
@@ -128,6 +136,41 @@ def suggest_anchor(spark, sf_dir):
     return M.suggest_anchor(asks, options, "conv_id", longer=6).select("conv_id", F.md5("anchor").alias("anchor_md5"))
 
 
+def _blocks_and_files(spark, sf_dir):
+    """Blocks are the names of parts of even size, files those of odd size above 20, of one brand and a fifth of the sizes."""
+    part = S.table(spark, sf_dir, "part").withColumn("grp", F.concat("p_brand", F.lit("/"), F.col("p_size") % 5))
+    names = lambda df, i, n: df.groupBy("grp", F.col("p_name").alias(n)).agg(F.min("p_partkey").alias(i))
+    return names(part.filter("p_size % 2 = 0"), "block", "name"), names(part.filter("p_size % 2 = 1 and p_size > 20"), "file", "stem")
+
+
+def _assigned(blocks: str) -> str:
+    return f"""f0 AS (SELECT {_GROUP} AS grp, p_name AS stem, min(p_partkey) AS file, any_value({_TOK}) AS t FROM part WHERE p_size % 2 = 1 AND p_size > 20 GROUP BY 1, 2),
+b0 AS (SELECT {_GROUP} AS grp, p_name AS name, min(p_partkey) AS block, any_value({_TOK}) AS t FROM part WHERE p_size % 2 = 0 GROUP BY 1, 2), b1 AS (SELECT * FROM b0 WHERE {blocks}),
+cand AS (SELECT b1.grp, block AS a, file AS b, len(list_intersect(b1.t, f0.t)) / greatest(1, least(len(b1.t), len(f0.t))) AS score FROM b1 JOIN f0 ON b1.grp = f0.grp WHERE len(list_intersect(b1.t, f0.t)) > 0), {GREEDY},
+bp AS (SELECT grp, block, row_number() OVER (PARTITION BY grp ORDER BY block) AS place FROM b1), fp AS (SELECT grp, file, row_number() OVER (PARTITION BY grp ORDER BY file) AS place, min(file) OVER (PARTITION BY grp) AS first FROM f0),
+lb AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY block) AS nth FROM bp WHERE (grp, block) NOT IN (SELECT grp, a FROM greedy)), lf AS (SELECT grp, file, row_number() OVER (PARTITION BY grp ORDER BY file) AS nth FROM f0 WHERE (grp, file) NOT IN (SELECT grp, b FROM greedy)),
+assigned AS (SELECT grp, a AS block, b AS file, 'overlap' AS how FROM greedy UNION ALL SELECT lb.grp, block, coalesce(lf.file, fp.file, o.first), CASE WHEN lf.file IS NOT NULL THEN 'free' WHEN o.first IS NOT NULL THEN 'place' END
+  FROM lb LEFT JOIN lf ON lb.grp = lf.grp AND lb.nth = lf.nth LEFT JOIN fp ON lb.grp = fp.grp AND lb.place = fp.place LEFT JOIN (SELECT DISTINCT grp, first FROM fp) o ON lb.grp = o.grp)"""
+
+
+@query(f"WITH RECURSIVE {_assigned('true')} SELECT * FROM assigned")
+def assign_files(spark, sf_dir):
+    return M.assign_files(*_blocks_and_files(spark, sf_dir), "grp", _store(spark))
+
+
+@query(f"""WITH RECURSIVE {_assigned('block % 3 <> 0')} SELECT grp, block, k AS ord, name || ' ' || k AS name, 'Guía docente — Contenidos' AS evidence, 'Guía docente' AS origin FROM b0, (SELECT unnest([1, 2]) AS k) WHERE block % 3 = 0
+UNION ALL SELECT a.grp, block, CAST(1 AS INTEGER), stem, 'Sección ' || a.file, 'Detectado' FROM assigned a JOIN f0 ON a.grp = f0.grp AND a.file = f0.file""")
+def guide_first_topics(spark, sf_dir):
+    """Each third block has two topics of its own; each file has its stem as one."""
+    from tessella.operators import guides as G
+
+    blocks, files = _blocks_and_files(spark, sf_dir)
+    k = F.explode(F.array(F.lit(1), F.lit(2)))
+    topics = blocks.filter("block % 3 = 0").withColumn("ord", k).select("grp", "block", "ord", F.concat_ws(" ", "name", F.col("ord").cast("string")).alias("name"))
+    found = files.select("grp", "file", F.lit(1).alias("ord"), F.col("stem").alias("name"), F.concat(F.lit("Sección "), F.col("file").cast("string")).alias("evidence"))
+    return G.guide_first_topics(blocks, topics, files, found, "grp", _store(spark))
+
+
 # Documents as sections: each line of up to three words is a heading, in turn of level 2, 3, 4 and 3.
 _LEVELS = ["##", "###", "####", "###"]
 _DEEP = f"""{LINES}, md AS (SELECT doc_id, line_no, CASE WHEN short THEN {_LEVELS}[CAST(1 + (nth - 1) % 4 AS INTEGER)] || ' ' || line ELSE line END AS line
