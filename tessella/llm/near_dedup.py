@@ -29,6 +29,8 @@ from .shingles import mix, text_shingles
 #: Words of a shingle, similarity of a link, bands and registers of a band: a pair at 0.8 shares a band in all but 7 cases of
 #: 100,000. Buckets of at most SMALL texts are gone through pair by pair.
 WORDS, SIMILARITY, BANDS, ROWS, SMALL = 5, 0.8, 24, 5, 32
+#: Bands whose pairs are verified first.
+FIRST = 4
 #: Edges that one task may handle.
 FEW = 200_000
 
@@ -132,8 +134,8 @@ def components(links: DataFrame) -> DataFrame:
         edges = pairs(edges.join(least.hint("shuffle_merge"), "u"), ("v", "m"), ("u", "m"))
 
 
-def rare_pairs(apart: DataFrame, texts: DataFrame, *, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """apart(key, class), texts(key, text) -> a, b: of the pairs of different classes all that can be similar enough.
+def rare_pairs(left: DataFrame, texts: DataFrame, *, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """left(key, class), texts(key, text) -> a, b: of the pairs of different classes all that can be similar enough.
 
     If texts have the shares p and q of their weight in common, their similarity is at most 1 / (1/p + 1/q - 1). The shingles of
     every text are ordered by how many texts have them; before the first one that both have, neither can have more than what it
@@ -146,7 +148,7 @@ def rare_pairs(apart: DataFrame, texts: DataFrame, *, words: int = WORDS, simila
                 own = [pa.array(np.full(n, batch.column(c)[k].as_py(), np.int64)) for c in (0, 1)]
                 yield pa.RecordBatch.from_arrays([*own, pa.array(shingles.view(np.int64)), pa.array(counts / max(1, counts.sum()))], names=["id", "group", "shingle", "share"])
 
-    named = stored(apart.withColumn("id", F.monotonically_increasing_id()))
+    named = stored(left.withColumn("id", F.monotonically_increasing_id()))
     groups = named.groupBy("class").agg(F.min("id").alias("group"))
     numbered = named.join(groups.hint("shuffle_merge"), "class").select("key", "id", "group")
     given = numbered.join(texts.hint("shuffle_merge"), "key").select("id", "group", "text")
@@ -172,16 +174,28 @@ def mixed_buckets(shared: DataFrame, classes: DataFrame) -> DataFrame:
     return placed.join(mixed.hint("shuffle_merge"), "band").select("band", "key", "class", "n")
 
 
+def apart(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Of pairs(a, b) those in different classes(node, class), with a_class and b_class; a key without a class is its own."""
+    first, second = (classes.select(F.col("node").alias(x), F.col("class").alias(f"{x}_class")) for x in "ab")
+    placed = pairs.join(first.hint("shuffle_merge"), "a", "left").join(second.hint("shuffle_merge"), "b", "left")
+    return placed.withColumns({f"{x}_class": F.coalesce(f"{x}_class", x) for x in "ab"}).filter("a_class <> b_class")
+
+
 def near_components(docs: DataFrame, signed: DataFrame, *, words: int = WORDS, similarity: float = SIMILARITY, small: int = SMALL) -> DataFrame:
     """node, class: the components of verified links between the keys of different texts, for keys that have any."""
-    nodes = signed.filter("key is not null").dropDuplicates(["key"]).select("key", F.explode("bands").alias("band"))
+    nodes = signed.filter("key is not null").dropDuplicates(["key"]).select("key", F.posexplode("bands").alias("nth", "band"))
     least = nodes.groupBy("band").agg(F.min("key").alias("first"), F.count("*").alias("n")).filter("n > 1")
-    shared = stored(nodes.join(least.hint("shuffle_merge"), "band").select("band", "key", "first", "n"))
-    stars = stored(shared.filter("key <> first").select(F.col("first").alias("a"), F.col("key").alias("b")).distinct())
+    shared = stored(nodes.join(least.hint("shuffle_merge"), "band").select("band", "nth", "key", "first", "n"))
+    stars_of = lambda some: shared.filter("key <> first").filter(some).select(F.col("first").alias("a"), F.col("key").alias("b")).distinct()
     needed = shared.select("key").distinct()
     keyed = only(docs, "text").filter(F.length("text") > 0).select(F.md5("text").alias("key"), "text")
     texts = stored(keyed.join(needed.hint("shuffle_merge"), "key", "left_semi").dropDuplicates(["key"]))
+    # The first bands bring most of a large group together; of the others only pairs that are still apart are verified.
+    stars = stored(stars_of(F.col("nth") < FIRST))
     links = stored(linked(stars, texts, words=words, similarity=similarity))
+    late = stored(apart(stars_of(F.col("nth") >= FIRST), components(links)).select("a", "b").join(stars.hint("shuffle_merge"), ["a", "b"], "left_anti"))
+    stars = stars.unionByName(late)
+    links = stored(links.unionByName(linked(late, texts, words=words, similarity=similarity)))
 
     of = stored(components(links))
     open_ = stored(mixed_buckets(shared, of))
@@ -189,8 +203,8 @@ def near_components(docs: DataFrame, signed: DataFrame, *, words: int = WORDS, s
         return of
     one, two = open_.filter(F.col("n") <= small), open_.filter(F.col("n") > small)
     pair = [F.col("x.key").alias("a"), F.col("y.key").alias("b")]
-    apart = (F.col("x.class") != F.col("y.class")) & (F.col("x.key") < F.col("y.key"))
-    near = one.alias("x").join(one.alias("y").hint("shuffle_merge"), (F.col("x.band") == F.col("y.band")) & apart).select(*pair)
+    differ = (F.col("x.class") != F.col("y.class")) & (F.col("x.key") < F.col("y.key"))
+    near = one.alias("x").join(one.alias("y").hint("shuffle_merge"), (F.col("x.band") == F.col("y.band")) & differ).select(*pair)
     heads = two.groupBy("band", "class").agg(F.min("key").alias("key"))
     chain = heads.withColumn("a", F.lag("key").over(W.partitionBy("band").orderBy("class"))).filter("a is not null").select(F.least("a", "key").alias("a"), F.greatest("a", "key").alias("b"))
     more = stored(near.unionByName(chain).distinct().join(stars.hint("shuffle_merge"), ["a", "b"], "left_anti"))
@@ -206,9 +220,7 @@ def near_components(docs: DataFrame, signed: DataFrame, *, words: int = WORDS, s
     # text in each class, until none between different classes is left.
     width = 1
     while True:
-        first, second = (of.select(F.col("node").alias(x), F.col("class").alias(f"{x}_class")) for x in "ab")
-        placed = rest.join(first.hint("shuffle_merge"), "a", "left").join(second.hint("shuffle_merge"), "b", "left")
-        placed = placed.withColumns({f"{x}_class": F.coalesce(f"{x}_class", x) for x in "ab"}).filter("a_class <> b_class")
+        placed = apart(rest, of)
         nth = F.row_number().over(W.partitionBy("a", "b_class").orderBy(F.xxhash64("b"), "b"))
         rest = stored(placed.select("a", "b", nth.alias("nth")))
         if rest.isEmpty():
