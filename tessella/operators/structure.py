@@ -299,3 +299,53 @@ def visual_titles(words: DataFrame, doc: str) -> DataFrame:
     both = styled.join(counts.hint("shuffle_merge"), doc, "left")
     status = F.when(F.col("styled") == 0, "sin_metadatos").when(F.col("n_titles").isNull(), "sin_titulos").otherwise("ok")
     return both.select(doc, status.alias("status"), F.coalesce("n_titles", F.lit(0)).alias("n_titles"))
+
+
+# Fonts of formulas, fonts with weight, openings of prose on a page, the share of a page that is margin, its height if
+# that isn't known, and how much larger than the body a title is.
+FORMULA_FONTS, HEAVY_FONTS = "(?i)math|symbol|ding", "(?i)bold|bd|black|heavy"
+PAGE_PROSE = r"^(permiten|tienen|los |las |el |la |se |son |esta|este|como |para |ejemplo)"
+MARGIN, HEIGHT, LARGER, WEIGHTED = 0.06, 800.0, 1.2, 0.9
+
+
+def visual_noise(text: Column) -> Column:
+    """Is a line of large letters no title: a cover, a course's own part, prose, a label, or a stray letter?"""
+    norm, tokens = T.topic_key(text), F.split(T.stripped(text), r"\s+")
+    label = F.endswith(text, F.lit(":")) & (F.length(norm) < 45)
+    single = (F.size(tokens) == 1) & (F.length(F.element_at(tokens, 1)) <= 2)
+    return (F.length(norm) < 3) | norm.isin(*VISUAL_NOISE) | norm.startswith("contexto") | norm.rlike(COURSE_PART) | norm.rlike(PAGE_PROSE) | label | text.rlike(r"^\p{Ll}") | (F.size(tokens) > 12) | single | text.rlike(r"^\p{L}(\s|$)")
+
+
+def styled_lines(words: DataFrame, doc: str, *, dominant: float = 0.7) -> DataFrame:
+    """words(doc, page, top, x0, font, size, text) -> doc, page, y, line, size, is_title: the lines of words of one height, from
+    left to right, with the size of their dominant style, and whether this is a title's: larger than the body, or of a heavy font
+    that isn't the body's. Documents of fewer than 20 words, or without a body, have none."""
+    known = words.select(doc, "page", F.bround("top").alias("y"), "top", "x0", F.trim(F.coalesce("font", F.lit(""))).alias("font"), (F.bround(F.coalesce("size", F.lit(0.0)) * 2) / 2).alias("size"), "text")
+    enough = known.groupBy(doc).agg(F.count("*").alias("n")).filter("n >= 20").select(doc)
+    body = body_style(known.filter("font <> ''"), doc, math=FORMULA_FONTS).join(enough.hint("shuffle_merge"), doc).select(doc, F.col("font").alias("body_font"), F.col("size").alias("body_size"))
+    text = known.filter("text <> ''").groupBy(doc, "page", "y").agg(ordered("x0", "text", " ").alias("line"))
+    line = W.partitionBy(doc, "page", "y")
+    shares = known.filter("font <> '' and size > 0").groupBy(doc, "page", "y", "font", "size").agg(F.count("*").alias("n"), F.min("x0").alias("first"))
+    top = shares.withColumn("all", F.sum("n").over(line)).withColumn("r", F.row_number().over(line.orderBy(F.desc("n"), "first"))).filter("r = 1")
+    placed = text.join(top.hint("shuffle_merge"), [doc, "page", "y"]).join(body.hint("shuffle_merge"), doc)
+    heavy = (F.col("font") != F.col("body_font")) & F.col("font").rlike(HEAVY_FONTS) & (F.col("size") >= F.col("body_size") * WEIGHTED)
+    other = (F.col("font") != F.col("body_font")) | (F.col("size") != F.col("body_size"))
+    title = (F.col("n") >= F.col("all") * dominant) & other & ((F.col("size") > F.col("body_size") * LARGER) | heavy)
+    return placed.select(doc, "page", "y", T.without_bullet(F.col("line")).alias("line"), "size", title.alias("is_title"))
+
+
+def visual_title_rows(words: DataFrame, pages: DataFrame, doc: str) -> DataFrame:
+    """words(doc, page, top, x0, font, size, text), pages(doc, page, height) -> doc, ord, title, reference: of a document with an
+    index page the topics listed there, else the lines of a title's style outside the margins that are no noise and can be topics,
+    each key once. Pages of unknown height have a usual one."""
+    lines = styled_lines(words, doc)
+    listed = index_page_topics(lines.withColumnRenamed("y", "line_no"), doc)
+    quoted = lambda name: F.when(F.length(name) > 60, F.concat(F.substring(name, 1, 57), F.lit("…"))).otherwise(name)
+    index = listed.select(doc, "ord", F.col("name").alias("title"), F.format_string("Índice: «%s» (p. %s)", quoted(F.col("name")), F.col("page").cast("string")).alias("reference"))
+    sized = lines.filter("is_title").join(pages.select(doc, "page", "height").hint("shuffle_merge"), [doc, "page"], "left").withColumn("height", F.coalesce("height", F.lit(HEIGHT)))
+    inside = sized.filter((F.col("y") >= F.col("height") * MARGIN) & (F.col("y") <= F.col("height") - F.col("height") * MARGIN) & (F.length("line") <= 120))
+    able = inside.filter(~visual_noise(F.col("line")) & valid_topic(F.col("line"))).withColumn("key", T.topic_key(F.col("line"))).filter("key <> ''")
+    alone = able.join(listed.select(doc).distinct().hint("shuffle_merge"), doc, "left_anti")
+    once = alone.withColumn("r", F.row_number().over(W.partitionBy(doc, "key").orderBy("page", "y"))).filter("r = 1")
+    said = F.format_string("Visual: «%s» (p. %s, %spt)", quoted(F.col("line")), F.col("page").cast("string"), F.col("size").cast("string"))
+    return index.unionByName(once.select(doc, F.row_number().over(W.partitionBy(doc).orderBy("page", "y")).alias("ord"), F.col("line").alias("title"), said.alias("reference")))

@@ -100,7 +100,7 @@ def valid_topic_sql(c: str) -> str:
     k = topic_key_sql(c)
     names = lambda values: ", ".join(f"'{v}'" for v in values)
     return f"""(length({k}) >= 4 AND {k} NOT IN ({names(O.ADMIN_EXACT)}) AND NOT regexp_matches({k}, '^({"|".join(O.ADMIN_PREFIXES)})') AND NOT regexp_matches({k}, '^({"|".join(O.PROSE_OPENINGS)})( |$)')
- AND NOT starts_with({k}, 'contexto') AND NOT regexp_matches(replace({k}, ' ', ''), '^[0-9]+$') AND NOT (contains({c}, '/') AND length({k}) < 12) AND len(list_filter(string_split({k}, ' '), lambda x: regexp_matches(x, '[0-9]'))) < 3
+ AND NOT starts_with({k}, 'contexto') AND {k} NOT IN ({names(O.VISUAL_NOISE)}) AND NOT regexp_matches({k}, '{O.COURSE_PART}') AND NOT regexp_matches(replace({k}, ' ', ''), '^[0-9]+$') AND NOT (contains({c}, '/') AND length({k}) < 12) AND len(list_filter(string_split({k}, ' '), lambda x: regexp_matches(x, '[0-9]'))) < 3
  AND NOT (length({k}) <= 80 AND string_split({k}, ' ')[-1] IN ({names(O.FUNCTION_WORDS)})))"""
 
 
@@ -238,3 +238,17 @@ v AS (SELECT doc_id, count(DISTINCT {topic_key_sql('line')}) AS n FROM t WHERE {
 SELECT w.doc_id, CASE WHEN n IS NULL THEN 'sin_titulos' ELSE 'ok' END AS status, coalesce(n, 0) AS n_titles FROM (SELECT DISTINCT doc_id FROM wd) w LEFT JOIN v USING (doc_id)""")
 def visual_titles(spark, sf_dir):
     return O.visual_titles(words_of(spark, sf_dir), "doc_id")
+
+
+@query(rf"""WITH {LINES}, {WORDS}, n AS (SELECT doc_id, count(*) AS words, max(y) + 1 AS height FROM wd GROUP BY 1),
+t AS (SELECT DISTINCT l.doc_id, l.line_no AS y, regexp_replace(l.line, '\s+', ' ', 'g') AS line, wd.size FROM wd JOIN bs ON wd.doc_id = bs.doc_id JOIN n ON wd.doc_id = n.doc_id AND words >= 20 JOIN l ON l.doc_id = wd.doc_id AND l.line_no = wd.y
+  WHERE wd.y >= height * 0.06 AND wd.y <= height - height * 0.06 AND (wd.font <> bs.font OR wd.size <> bs.size) AND (wd.size > bs.size * 1.2 OR (wd.font <> bs.font AND wd.font = 'Arial-Bold' AND wd.size >= 0.9 * bs.size))),
+b AS (SELECT doc_id, y, size, trim(regexp_replace(trim(line), '^[•▪●\-–*·]\s*', '')) AS line FROM t), k AS (SELECT *, {topic_key_sql('line')} AS key FROM b WHERE length(line) <= 120),
+v AS (SELECT * FROM k WHERE {valid_topic_sql('line')} AND length(key) >= 3 AND NOT regexp_matches(key, '^(permiten|tienen|los |las |el |la |se |son |esta|este|como |para |ejemplo)') AND NOT (ends_with(line, ':') AND length(key) < 45)
+  AND NOT regexp_matches(line, '^\p{{Ll}}') AND NOT regexp_matches(line, '^\p{{L}}(\s|$)') AND len(regexp_split_to_array(line, '\s+')) <= 12 AND NOT (NOT contains(line, ' ') AND length(line) <= 2) QUALIFY row_number() OVER (PARTITION BY doc_id, key ORDER BY y) = 1)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY y) AS INTEGER) AS ord, line AS title, 'Visual: «' || CASE WHEN length(line) > 60 THEN substr(line, 1, 57) || '…' ELSE line END || '» (p. 1, ' || CAST(size AS DOUBLE) || 'pt)' AS reference FROM v""")
+def visual_title_rows(spark, sf_dir):
+    """Each document is one page, as high as it has lines."""
+    words = words_of(spark, sf_dir)
+    pages = words.groupBy("doc_id", "page").agg((F.max("top") + 1).alias("height"))
+    return O.visual_title_rows(words, pages, "doc_id")
