@@ -279,7 +279,7 @@ def combine_history(turns: DataFrame, conversation: str, order: str, text: str)
     return got.select(conversation, F.array_join(F.concat(earlier, F.array(F.concat(F.lit("PRIORIDAD: "), F.element_at("t", -1)[text]))), "\n").alias("instruction"))
 
 
-def index_page_topics(lines: DataFrame, doc: str, *, keyword: str = r"(?i)^(?:[ií]ndice|contenidos?|index|outline)\b", least: int = 2) -> DataFrame:
+def index_page_topics(lines: DataFrame, doc: str, *, keyword: str = r"(?iu)^(?:[ií]ndice|contenidos?|index|outline)\b", least: int = 2) -> DataFrame:
     """lines(doc, page, line_no, is_title, line) -> doc, page, ord, name: of the first page whose first title is an index keyword, the valid
     topics in the lines below it, if there are enough."""
     first = lines.filter("is_title").groupBy(doc, "page").agg(F.min("line_no").alias("at"), F.min_by("line", "line_no").alias("title")).filter(F.col("title").rlike(keyword))
