@@ -48,7 +48,7 @@ def guide_structure(spark, sf_dir):
 @query(f"""WITH {_TOPICS}, once AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY o_custkey, key ORDER BY b, n) = 1)
 SELECT o_custkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY b, n) AS INTEGER) AS ord, trim(name) AS name FROM once""")
 def guide_topics_flat(spark, sf_dir):
-    return G.guide_topics_flat(S.lines_of(guides(spark, sf_dir), "o_custkey"), "o_custkey")
+    return G.guide_topics_flat(S.lines_of(S.stored(guides(spark, sf_dir)), "o_custkey"), "o_custkey")
 
 
 def hour_tables(spark, sf_dir):
@@ -79,5 +79,4 @@ def extract_hours(spark, sf_dir):
 
 @query(f"WITH {_HOURS} SELECT o_custkey, CAST(CASE WHEN theory = 0 THEN 11 ELSE theory END AS DOUBLE) AS theory, CAST(CASE WHEN seminar = 0 THEN 7 ELSE seminar END AS DOUBLE) AS seminar, CAST(CASE WHEN lab = 0 THEN 13 ELSE lab END AS DOUBLE) AS lab FROM h")
 def extract_hours_freetext(spark, sf_dir):
-    lines = S.lines_of(hour_tables(spark, sf_dir), "o_custkey")
-    return G.hours_from_text(lines, G.extract_hours(lines, "o_custkey"), "o_custkey")
+    return G.table_or_text_hours(S.lines_of(hour_tables(spark, sf_dir), "o_custkey"), "o_custkey")
