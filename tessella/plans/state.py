@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tessella.operators import state as D
-from tessella.sources import table
+from tessella.sources import dealt, table
 
 from .registry import query
 
@@ -72,8 +72,11 @@ def append_with_order(spark, sf_dir):
 @query("SELECT l_orderkey, count(*) AS n, round(sum(CASE WHEN o_orderstatus = 'O' THEN l_quantity + 1 ELSE l_quantity END), 2) AS quantity FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1")
 def replace_subtree(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
-    open_ = table(spark, sf_dir, "orders").filter("o_orderstatus = 'O'").select(F.col("o_orderkey").alias("l_orderkey"))
-    known = lines.join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi")
+    n = lines.count()  # from the files' footers
+    lines = dealt(n, lines, "l_orderkey")
+    orders = dealt(n, table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderstatus"), "l_orderkey")
+    open_ = orders.filter("o_orderstatus = 'O'").select("l_orderkey")
+    known = lines.join(orders.select("l_orderkey"), "l_orderkey", "left_semi")
     new = known.join(open_, "l_orderkey", "left_semi").withColumn("l_quantity", F.col("l_quantity") + 1)
     return D.replace_subtree(known, new, "l_orderkey").groupBy("l_orderkey").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
 

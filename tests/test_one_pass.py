@@ -25,3 +25,10 @@ def test_styles(spark):
     w = spark.range(24).select(F.lit(1).alias("doc"), F.lit(1).alias("page"), F.floor(F.col("id") / 3).cast("double").alias("top"), (F.col("id") % 3).alias("x0"), font.alias("font"), size.alias("size"), word.alias("text"))
     titles = O.visual_titles(w, "doc")
     assert scans(titles) == 0 and [tuple(r) for r in titles.collect()] == [(1, "ok", 1)]
+
+
+def test_partitions_grow_with_rows(spark):
+    from tessella import sources as S
+
+    df = spark.range(10)
+    assert [S.dealt(n, df, "id").rdd.getNumPartitions() for n in (0, S.ROWS, S.ROWS + 1, 7 * S.ROWS)] == [1, 1, 2, 7]
