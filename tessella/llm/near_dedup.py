@@ -8,8 +8,8 @@ that share a band are verified by the exact similarity, linked from 0.8 on, and
 
 Equal texts are one node from the start. In a band's bucket each text is paired with the bucket's smallest; then the buckets in
 which texts of different classes are left are gone through again, small ones by all their pairs, large ones class by class. The
-number of pairs is thus linear in a group of copies. What is still apart in large buckets is gone through exactly, by a prefix
-filter over rare shingles: no two texts of one bucket that are similar enough stay apart.
+number of pairs is thus linear in a group of copies. What is still apart in large buckets is gone through exactly, block against
+block inside tasks, and only links leave them: no two texts of one bucket that are similar enough stay apart.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import bounded_batches, lean, only, spread_join, stored, table
+from .common import bounded_batches, join_hint, lean, only, spread_join, stored, table
 from .shingles import mix, text_shingles
 
 #: Words of a shingle, similarity of a link, bands and registers of a band: a pair at 0.8 shares a band in all but 7 cases of
@@ -33,26 +33,38 @@ WORDS, SIMILARITY, BANDS, ROWS, SMALL = 5, 0.8, 24, 5, 32
 FIRST = 4
 #: Edges that one task may handle.
 FEW = 200_000
+#: Texts and bytes of a block of a large bucket (one text at least), shingles compared at once, texts signed at once.
+BLOCK, BLOCK_BYTES, STRIP, SIGNED = 256, 4 << 20, 2048, 128
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-def probminhash(shingles: np.ndarray, weights: np.ndarray, registers: int) -> np.ndarray:
-    """The signature: in each register the shingle of the first arrival."""
-    first, held = np.full(registers, np.inf), np.zeros(registers, np.uint64)
-    d, rate, time, turn = shingles, weights.astype(np.float64), np.zeros(len(shingles)), 0
+def probminhashes(texts: list[tuple[np.ndarray, np.ndarray]], registers: int) -> np.ndarray:
+    """The signatures of texts given as shingles and weights, a row each: in each register the shingle of the first arrival. The
+    arrivals of all texts are worked on together."""
+    first, held = np.full(len(texts) * registers, np.inf), np.zeros(len(texts) * registers, np.uint64)
+    if not texts:
+        return held.reshape(0, registers)
+    of = np.repeat(np.arange(len(texts)), [len(s) for s, _ in texts])
+    d, rate = np.concatenate([s for s, _ in texts]), np.concatenate([w for _, w in texts]).astype(np.float64)
+    time, turn = np.zeros(len(d)), 0
     while len(d):
         turn += 1
         ahead = np.arange(2 * turn, 2 * turn + 2, dtype=np.uint64) * _STEP
         draw = mix(d + ahead[0])
         time = time - np.log(((draw >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53) / rate
-        to = (mix(d + ahead[1]) % np.uint64(registers)).astype(np.int64)
+        to = (mix(d + ahead[1]) % np.uint64(registers)).astype(np.int64) + of * registers
         np.minimum.at(first, to, time)
         won = first[to] == time
         held[to[won]] = d[won]
-        on = time < first.max()
-        d, rate, time = d[on], rate[on], time[on]
-    return held
+        on = time < first.reshape(-1, registers).max(axis=1)[of]
+        d, rate, time, of = d[on], rate[on], time[on], of[on]
+    return held.reshape(-1, registers)
+
+
+def probminhash(shingles: np.ndarray, weights: np.ndarray, registers: int) -> np.ndarray:
+    """The signature of one text."""
+    return probminhashes([(shingles, weights)], registers)[0]
 
 
 def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -78,17 +90,25 @@ def signatures(docs: DataFrame, *, words: int = WORDS, bands: int = BANDS, rows:
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = mix(np.arange(1, bands + 1, dtype=np.uint64) * _STEP)
         for batch in lean(batches):
-            out = []
-            for shingles, counts in text_shingles(batch.column(2).to_pylist(), words):
-                if not len(shingles):
-                    out.append([])
-                    continue
-                held = probminhash(shingles, counts, bands * rows).reshape(bands, rows)
-                h = place
+            sizes, out, some = [], [], []
+
+            def sign() -> None:
+                held = probminhashes(some, bands * rows).reshape(-1, bands, rows)
+                h = np.broadcast_to(place, held.shape[:2])
                 for k in range(rows):
-                    h = mix(h * _STEP + held[:, k])
-                out.append(h.view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int64()))], names=["doc_id", "key", "bands"])
+                    h = mix(h * _STEP + held[:, :, k])
+                out.append(h.reshape(-1).view(np.int64))
+                some.clear()
+
+            for part in text_shingles(batch.column(2).to_pylist(), words):
+                sizes.append(bands if len(part[0]) else 0)
+                if len(part[0]):
+                    some.append(part)
+                if len(some) >= SIGNED:
+                    sign()
+            sign()
+            offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(out)))], names=["doc_id", "key", "bands"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     keyed = only(bounded_batches(docs), "doc_id", "text").select("doc_id", F.when(F.length("text") > 0, F.md5("text")).alias("key"), "text")
@@ -134,37 +154,83 @@ def components(links: DataFrame) -> DataFrame:
         edges = pairs(edges.join(least.hint("shuffle_merge"), "u"), ("v", "m"), ("u", "m"))
 
 
-def rare_pairs(left: DataFrame, texts: DataFrame, *, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """left(key, class), texts(key, text) -> a, b: of the pairs of different classes all that can be similar enough.
-
-    If texts have the shares p and q of their weight in common, their similarity is at most 1 / (1/p + 1/q - 1). The shingles of
-    every text are ordered by how many texts have them; before the first one that both have, neither can have more than what it
-    does not share. So a pair counts only if it has a shingle before which little enough stands in both."""
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in lean(batches):
-            for k, (shingles, counts) in enumerate(text_shingles(batch.column(2).to_pylist(), words)):
-                n = len(shingles)
-                own = [pa.array(np.full(n, batch.column(c)[k].as_py(), np.int64)) for c in (0, 1)]
-                yield pa.RecordBatch.from_arrays([*own, pa.array(shingles.view(np.int64)), pa.array(counts / max(1, counts.sum()))], names=["id", "group", "shingle", "share"])
-
-    named = stored(left.withColumn("id", F.monotonically_increasing_id()))
-    groups = named.groupBy("class").agg(F.min("id").alias("group"))
-    numbered = named.join(groups.hint("shuffle_merge"), "class").select("key", "id", "group")
-    given = numbered.join(texts.hint("shuffle_merge"), "key").select("id", "group", "text")
-    parts = stored(bounded_batches(given).mapInArrow(spread, "id long, group long, shingle long, share double"))
-    rarity = parts.groupBy("shingle").agg(F.count("*").alias("df"), (F.min("group") != F.max("group")).alias("met"))
-    earlier = W.partitionBy("id").orderBy("df", "shingle").rowsBetween(W.unboundedPreceding, -1)
-    placed = parts.join(rarity.hint("shuffle_merge"), "shingle").withColumn("before", F.coalesce(F.sum("share").over(earlier), F.lit(0.0)))
-    rare = stored(placed.filter(F.col("met") & (F.col("before") <= 1 - similarity + 1e-9)).select("id", "group", "shingle", "before"))
-    # Of a pair that is similar enough one side at least has no more than (1 - s) / (1 + s) before.
-    short = rare.filter(F.col("before") <= (1 - similarity) / (1 + similarity) + 1e-9)
-    can = 1 / (1 - F.col("x.before")) + 1 / (1 - F.col("y.before")) <= 1 + 1 / similarity + 1e-9
-    both = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.id") != F.col("y.id")) & (F.col("x.group") != F.col("y.group"))
-    met = short.alias("x").join(rare.alias("y").hint("shuffle_merge"), both & can)
-    pairs = met.select(F.least("x.id", "y.id").alias("i"), F.greatest("x.id", "y.id").alias("j")).distinct()
-    ends = pairs.join(named.select(F.col("id").alias("i"), F.col("key").alias("k")).hint("shuffle_merge"), "i").join(named.select(F.col("id").alias("j"), F.col("key").alias("l")).hint("shuffle_merge"), "j")
-    return ends.select(F.least("k", "l").alias("a"), F.greatest("k", "l").alias("b"))
+def shared_weights(texts: list[tuple[np.ndarray, np.ndarray]], rows: np.ndarray, columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each of the texts rows against each of the texts columns: the weight of the shingles of the one, and of the other, that
+    both have. Strips of shingles at a time."""
+    of = np.repeat(np.arange(len(texts)), [len(s) for s, _ in texts])
+    every, code, df = np.unique(np.concatenate([s for s, _ in texts]), return_inverse=True, return_counts=True)
+    by = np.argsort(code, kind="stable")
+    by = by[df[code[by]] > 1]  # what one text has alone is shared with none
+    of, column, weight = of[by], (np.cumsum(df > 1) - 1)[code[by]], np.concatenate([w for _, w in texts])[by]
+    one, two = np.zeros((len(rows), len(columns))), np.zeros((len(rows), len(columns)))
+    for at in range(0, int((df > 1).sum()), STRIP):
+        a, b = np.searchsorted(column, [at, at + STRIP])
+        table = np.zeros((len(texts), STRIP))
+        table[of[a:b], column[a:b] - at] = weight[a:b]
+        x, y = table[rows], table[columns]
+        one += x @ (y > 0).astype(np.float64).T
+        two += (x > 0).astype(np.float64) @ y.T
+    return one, two
+
+
+def links_of_blocks(texts: list[tuple[np.ndarray, np.ndarray]], classes: np.ndarray, rows: np.ndarray, columns: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Links between the texts rows and the texts columns, so many that all classes with two texts that are similar enough are
+    connected.
+
+    If texts have the shares p and q of their weight in common, their similarity is at most 1 / (1/p + 1/q - 1), and just that if
+    all weights are 1. Where this is enough it is measured, unless links found before connect both already."""
+    one, two = shared_weights(texts, rows, columns)
+    total = np.array([max(1, w.sum()) for _, w in texts], dtype=np.float64)
+    p, q = one / total[rows][:, None], two / total[columns]
+    with np.errstate(invalid="ignore"):
+        most = np.where(p > 0, p * q / (p + q - p * q), 0.0)
+    i, j = np.nonzero((most >= similarity - 1e-9) & (classes[rows][:, None] != classes[columns]))
+    root = list(range(int(classes.max()) + 1))
+
+    def top(c: int) -> int:
+        while root[c] != c:
+            root[c] = c = root[root[c]]
+        return c
+
+    found = []
+    for k in np.argsort(-most[i, j], kind="stable"):
+        a, b = int(rows[i[k]]), int(columns[j[k]])
+        ca, cb = top(int(classes[a])), top(int(classes[b]))
+        if ca != cb and probability_jaccard(texts[a], texts[b]) >= similarity:
+            root[ca] = cb
+            found.append((a, b))
+    return found
+
+
+def block_links(mixed: DataFrame, texts: DataFrame, *, words: int = WORDS, similarity: float = SIMILARITY, block: int = BLOCK, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """mixed(band, key, class), texts(key, text) -> a, b: links that connect all classes of which two texts of one band are similar
+    enough.
+
+    A band's texts are dealt to blocks of bounded size, those of its largest class to blocks of their own, and each task compares
+    two blocks. Blocks of the largest class do not meet. The work is quadratic in a band of very many classes, but a task holds two
+    blocks, a text is handed out once for each block it meets, and no pair leaves a task unless it links."""
+    placed = stored(mixed.join(texts.select("key", F.octet_length("text").cast("long").alias("bytes")).hint("shuffle_merge"), "key").select("band", "key", "class", "bytes"))
+    each = placed.groupBy("band", "class").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    whole = each.groupBy("band").agg(F.max(F.struct("n", "class", "bytes")).alias("main"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
+    needed = lambda n, size: F.greatest(F.lit(1), F.ceil(n / block), F.ceil(size / block_bytes)).cast("int")
+    blocks = stored(whole.select("band", F.col("main.class").alias("main"), needed(F.col("main.n"), F.col("main.bytes")).alias("mains"), needed(F.col("n") - F.col("main.n"), F.col("bytes") - F.col("main.bytes")).alias("others")))
+    dealt = placed.join(blocks.hint(join_hint(blocks, "main")), "band").withColumn("is_main", F.col("class") == F.col("main"))
+    own = F.when(F.col("is_main"), F.pmod(F.xxhash64("key"), "mains")).otherwise(F.col("mains") + F.pmod(F.xxhash64("key"), "others")).cast("int")
+    meets = F.sequence(F.when(F.col("is_main"), F.col("mains")).otherwise(F.lit(0)), F.col("mains") + F.col("others") - 1)
+    met = dealt.select("band", "key", "class", own.alias("block"), F.explode(meets).alias("with"))
+    given = met.select("band", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), "block", "key", "class").join(texts.hint("shuffle_merge"), "key")
+
+    def compared(group: pa.Table) -> pa.Table:
+        keys, (_, classes) = group.column("key").to_pylist(), np.unique(group.column("class").to_pylist(), return_inverse=True)
+        side, lo, hi = (group.column(c).to_numpy() for c in ("block", "lo", "hi"))
+        rows, columns = np.flatnonzero(side == lo), np.flatnonzero(side == hi)
+        found = []
+        if classes.max() and len(rows) and len(columns):
+            found = links_of_blocks(list(text_shingles(group.column("text").to_pylist(), words)), classes, rows, columns, similarity)
+        ends = [sorted((keys[a], keys[b])) for a, b in found]
+        return pa.table({"a": pa.array([a for a, _ in ends], pa.string()), "b": pa.array([b for _, b in ends], pa.string())})
+
+    return given.groupBy("band", "lo", "hi").applyInArrow(compared, "a string, b string").distinct()
 
 
 def mixed_buckets(shared: DataFrame, classes: DataFrame) -> DataFrame:
@@ -211,25 +277,10 @@ def near_components(docs: DataFrame, signed: DataFrame, *, words: int = WORDS, s
     links = stored(links.unionByName(linked(more, texts, words=words, similarity=similarity)))
 
     of = stored(components(links))
-    left = stored(mixed_buckets(two.select("band", "key", "n"), of).select("key", "class").distinct())
+    left = stored(mixed_buckets(two.select("band", "key", "n"), of))
     if left.isEmpty():
         return of
-    tried = stars.unionByName(more)
-    rest = stored(rare_pairs(left, texts, words=words, similarity=similarity).join(tried.hint("shuffle_merge"), ["a", "b"], "left_anti"))
-    # A text that is similar to one of a class needn't be compared with the others: each round takes more candidates of each
-    # text in each class, until none between different classes is left.
-    width = 1
-    while True:
-        placed = apart(rest, of)
-        nth = F.row_number().over(W.partitionBy("a", "b_class").orderBy(F.xxhash64("b"), "b"))
-        rest = stored(placed.select("a", "b", nth.alias("nth")))
-        if rest.isEmpty():
-            return of
-        new = stored(linked(rest.filter(F.col("nth") <= width), texts, words=words, similarity=similarity))
-        if not new.isEmpty():
-            links = stored(links.unionByName(new))
-            of = stored(components(links))
-        rest, width = rest.filter(F.col("nth") > width).select("a", "b"), 32 * width
+    return stored(components(links.select("a", "b").unionByName(block_links(left, texts, words=words, similarity=similarity))))
 
 
 def near_classes(docs: DataFrame, *, words: int = WORDS, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, small: int = SMALL) -> DataFrame:

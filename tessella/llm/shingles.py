@@ -63,7 +63,9 @@ def text_shingles(texts: list[str | None], size: int = 5) -> Iterator[tuple[np.n
         cut = np.searchsorted(start, bounds)
         for a, b in zip(cut[:-1], cut[1:], strict=True):
             if b - a >= size:
-                yield np.unique(whole[a : b - size + 1], return_counts=True)
+                own = np.sort(whole[a : b - size + 1])
+                new = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+                yield own[new], np.diff(new, append=len(own))
             elif b > a:
                 yield _of(words[a:b], b - a), np.ones(1, dtype=np.int64)
             else:

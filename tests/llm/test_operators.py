@@ -197,6 +197,31 @@ def test_probminhash_estimates_probability_jaccard():
     assert abs(same.mean() - exact) < 0.04
 
 
+def test_texts_signed_together_are_signed_as_alone():
+    texts = list(text_shingles([prose(k, 1 + 3 * k) for k in range(40)] + ["a b a b " * 90, "x"]))
+    together = near_dedup.probminhashes(texts, 120)
+    assert all((row == near_dedup.probminhash(*t, 120)).all() for row, t in zip(together, texts, strict=True))
+    assert near_dedup.probminhashes([], 120).shape == (0, 120)
+
+
+@pytest.mark.parametrize("block", [4, 1000])
+def test_a_crowd_leaves_tasks_as_links_only(spark, block):
+    """Texts that are alike, but below the limit, in one bucket: all pairs are compared, and no more than the links come out."""
+    base, rows = prose(1, 200).split(), []
+    for k in range(30):
+        own = prose(1000 + k, 28).split()
+        rows.append((f"{2 * k}", " ".join(base + own)))
+        rows.append((f"{2 * k + 1}", " ".join(base + own[:5] + prose(3000 + k, 23).split())))
+    twice = " ".join(base[:50] * 4)  # weights beyond 1
+    rows += [("60", twice), ("61", " ".join(base[:50] * 3))]
+    mixed = spark.createDataFrame([(7, k, "m" if k in ("0", "2", "4") else k) for k, _ in rows], "band long, key string, class string")
+    got = near_dedup.block_links(mixed, spark.createDataFrame(rows, "key string, text string"), block=block).collect()
+    sets = {k: Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)) for k, t in rows for w in [words(t)]}
+    assert probability_jaccard(sets["60"], sets["61"]) >= 0.8  # of the others all weights are 1
+    want = {("60", "61")} | {(a, b) for a in sets for b in sets if a < b and not {a, b} & {"60", "61"} and len(sets[a].keys() & sets[b].keys()) >= 0.8 * len(sets[a].keys() | sets[b].keys())}
+    assert {(r["a"], r["b"]) for r in got} == want and len(got) == len(want) and len(want) == 31
+
+
 def test_shingles_of_batches_are_those_of_texts():
     texts = ["A b C d e f", None, "", "a b c d e", "a  b\nc d-e", "x y", "é" * 3]
     alone = [next(iter(text_shingles([t]))) for t in texts]
