@@ -19,6 +19,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from .anchors import picks, prefix_sums, substring_hashes
 from .common import bounded_batches, lean, only, spread_join, stored, table
@@ -50,8 +51,11 @@ def _packed(rows: DataFrame) -> DataFrame:
     return rows.select("row", "doc_id", "text").mapInArrow(packed, f"row long, doc_id {rows.schema['doc_id'].dataType.simpleString()}, packed binary")
 
 
+_UNPACK = zstandard.ZstdDecompressor()  # one for all texts of a worker
+
+
 def _unpacked(x: bytes | None) -> bytes:
-    return zstandard.ZstdDecompressor().decompress(x) if x else b""
+    return _UNPACK.decompress(x) if x else b""
 
 
 def repeated_starts(bucket: list[list[tuple[bytes, int]]], window: int) -> list[list[np.ndarray]]:
@@ -191,9 +195,10 @@ def repeated_spans(rows: DataFrame, *, window: int = WINDOW, gram: int = GRAM, k
                 one, two = substring_hashes(sums, at, at + window), substring_hashes(sums, at, at + window // 2, 3)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), x)) for x in (h, seg, n)] + [pa.array(at.astype(np.int32)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))], names=["h", "seg", "n", "at", "one", "two"])
 
-    every = stored(pieces.filter(F.col("size") > kinds).select("h", "seg", "n", "bytes").mapInArrow(windows, "h long, seg long, n long, at int, one long, two long"))
-    double = every.groupBy("one", "two").agg(F.sum("n").alias("times")).filter("times > 1").drop("times")
-    rest = every.join(double.hint("shuffle_merge"), ["one", "two"]).select("h", "seg", F.struct(F.col("at").alias("a"), (F.col("at") + 1).alias("b")).alias("part"))
+    every = pieces.filter(F.col("size") > kinds).select("h", "seg", "n", "bytes").mapInArrow(windows, "h long, seg long, n long, at int, one long, two long")
+    # Counted beside its rows: a window is moved once, and nothing is joined.
+    times = every.withColumn("times", F.sum("n").over(W.partitionBy("one", "two")))
+    rest = times.filter("times > 1").select("h", "seg", F.struct(F.col("at").alias("a"), (F.col("at") + 1).alias("b")).alias("part"))
     judged = parts.unionByName(rest.groupBy("h", "seg").agg(F.collect_list("part").alias("parts")))  # of one segment
 
     told = stored(judged.filter(F.size("parts") > 0).join(different.select("h", "seg", "n").hint("shuffle_merge"), ["h", "seg"]))

@@ -256,6 +256,17 @@ def test_substrings_against_brute_force(spark, kinds):
     assert substring_dedup.dedup_substrings(table(spark, rows).filter("false")).count() == 0
 
 
+def test_windows_of_a_common_passage_are_not_joined(spark, monkeypatch):
+    """A passage in many surroundings: its windows are counted where they are, not joined with their counts."""
+    plans, real = [], substring_dedup.stored
+    monkeypatch.setattr(substring_dedup, "stored", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or real(df))
+    rows = [(i, prose(50 + i, 30) + prose(2, 60) + prose(80 + i, 30)) for i in range(6)]
+    got = substring_dedup.dedup_substrings(table(spark, rows), kinds=2).collect()
+    assert sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got), key=str) == removed([(i, t.encode()) for i, t in rows], 200)
+    assert min(r["n_removed"] for r in got) >= 200
+    assert not [line for plan in plans for line in plan.splitlines() if "Join" in line and "two#" in line]
+
+
 def test_suffix_arrays_against_sorting():
     rng = np.random.default_rng(4)
     for _ in range(60):
