@@ -91,3 +91,24 @@ def test_headings_by_fold(spark):
 
 def test_title_key(spark):
     assert spark.range(1).select(T.title_key(F.lit(" Ár-bol  N.º 2 "))).first()[0] == "ar bol  n   2"
+
+
+def test_evidence_of_open_names(spark):
+    """Names are compared only where a key is missing, and once for all blocks; a known key without evidence is not missing."""
+    from pyspark.sql import functions as F
+
+    from tessella import sources as S
+    from tessella.operators import matching as M
+
+    t = spark.createDataFrame([(b, k, n, e) for b in range(6) for k, (n, e) in enumerate([("Ejes lisos", "—"), ("Ejes lisas", None), ("Uniones", "visto"), ("...", ""), ("Nada", "")])], "b int, k int, name string, evidence string")
+    f = spark.createDataFrame([(b, n, e, p) for b in range(5) for n, e, p in [("ejes lisos", "vieja", 1), ("1. Ejes lisos", "nueva", 2), ("ejes lisox", "otra", 3), ("nada", None, 4), ("nade", "x", 5)]], "b int, name string, evidence string, pos int")
+    tables = []
+    made = M.enrich_evidence(t, f, "b", store=lambda df: tables.append(S.stored(df)) or tables[-1])
+    got = {(r["b"], r["k"]): (r["evidence"], r["origin"]) for r in made.collect()}
+    full = {0: ("nueva", "Detectado"), 1: ("nueva", "Detectado (aprox.)"), 2: ("visto", "Propio"), 3: ("", "Propio"), 4: ("", "Propio")}
+    bare = {0: ("—", "Propio"), 1: (None, "Propio"), 2: ("visto", "Propio"), 3: ("", "Propio"), 4: ("", "Propio")}
+    assert got == {(b, k): (full if b < 5 else bare)[k] for b in range(6) for k in range(5)}
+    each = next(x for x in tables if x.columns == ["name", "other"])
+    assert each.count() == 2 and each.filter("name = 'ejes lisas'").count() == 2  # the five blocks' ten pairs
+    again = M.enrich_evidence(t.withColumn("key", F.lower("name")), f.withColumn("key", F.lower("name")), "b")
+    assert again.filter("origin = 'Detectado'").count() == 5
