@@ -32,3 +32,13 @@ def test_partitions_grow_with_rows(spark):
 
     df = spark.range(10)
     assert [S.dealt(n, df, "id").rdd.getNumPartitions() for n in (0, S.ROWS, S.ROWS + 1, 7 * S.ROWS)] == [1, 1, 2, 7]
+
+
+def test_fragments(spark):
+    from tessella.operators import anchors as A
+
+    first = F.col("id") == 0
+    d = spark.range(2).select(F.col("id").alias("doc"), F.when(first, "# Ejes\nA\n  ## Uniones\nB").otherwise("x").alias("markdown"))
+    t = spark.range(2).select(F.lit(0).cast("long").alias("doc"), F.col("id").alias("ord"), F.when(first, "Ejes").otherwise("Uniones").alias("name"), F.lit(None).cast("string").alias("evidence"))
+    made = A.split_at_anchors(d, t, "doc")
+    assert scans(made) == 0 and [(r["anchor"], r["start"], r["end"]) for r in made.orderBy("ord").collect()] == [("Ejes", 0, 9), ("Uniones", 9, 23)]
