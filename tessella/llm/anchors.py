@@ -29,7 +29,8 @@ def picks(sums: tuple[np.ndarray, np.ndarray], n: int, window: int, gram: int) -
     """Of a text of n bytes (n >= window): the picked places, the hashes of the gram bytes there, and the first and last start
     of the windows that pick each, in order of starts. A window picks its gram of smallest hash, the first of equal ones."""
     at = np.arange(n - gram + 1)
-    hashes = substring_hashes(sums, at, at + gram)
+    total, inverse = sums
+    hashes = mix((total[gram : n + 1] - total[: n - gram + 1]) * inverse[: n - gram + 1] + np.array([gram], dtype=np.uint64) * _VALUE[0])  # as substring_hashes
     low = (hashes & ~_PLACE) | at.astype(np.uint64)
     width, reach = window - gram + 1, 1
     while reach < width:  # low[i]: the least of so many grams from i on

@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -100,6 +101,20 @@ def _spans(mask: np.ndarray) -> list[dict]:
     return [{"a": int(a), "b": int(b)} for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True)]
 
 
+def merged(lengths: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans of texts one after the other, lengths of them each, in any order and overlapping -> first and last + 1 of the maximal
+    runs, and where each text's runs begin."""
+    of = np.repeat(np.arange(len(lengths)), lengths)
+    if not len(of):
+        return start, end, np.zeros(len(lengths) + 1, dtype=np.int64)
+    order = np.lexsort((start, of))
+    base = of * (int(end.max()) + 1)  # so that no text's runs reach the next text
+    low, upto = start[order] + base, np.maximum.accumulate(end[order] + base)
+    begin = np.flatnonzero(np.concatenate([[True], low[1:] > upto[:-1]]))
+    last = np.append(begin[1:], len(of)) - 1
+    return low[begin] - base[begin], upto[last] - base[last], np.searchsorted(of[begin], np.arange(len(lengths) + 1))
+
+
 _PARTS = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
 _PARTS_SQL = "array<struct<a: int, b: int>>"
 
@@ -222,13 +237,12 @@ def dedup_substrings(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM,
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in lean(batches):
             out = []
-            for x, some in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                text, runs = _unpacked(x), []
-                for start, end in sorted((s["start"], s["end"]) for s in some or ()):
-                    if runs and start <= runs[-1][1]:
-                        runs[-1][1] = max(runs[-1][1], end)
-                    else:
-                        runs.append([start, end])
+            spans = batch.column(2)
+            start, end = (c.to_numpy().astype(np.int64) for c in spans.flatten().flatten())
+            low, upto, at = merged(pc.fill_null(pc.list_value_length(spans), 0).to_numpy(), start, end)
+            low, upto, at = low.tolist(), upto.tolist(), at.tolist()
+            for x, i, j in zip(batch.column(1).to_pylist(), at, at[1:], strict=False):
+                text, runs = _unpacked(x), list(zip(low[i:j], upto[i:j], strict=True))
                 edges = [0, *(e for r in runs for e in r), len(text)]
                 kept = b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
                 out.append((len(text), len(text) - len(kept), len(runs), kept, hashlib.sha256(kept).hexdigest()))

@@ -482,3 +482,31 @@ def test_pipeline_stages_take_clashing_names(spark, tmp_path):
         assert out.columns == docs.columns
         got = {tuple(r) for r in out.collect()}
         assert len(got) == left and got <= set(rows)
+
+
+def test_spans_are_merged_for_many_texts_at_once():
+    import random
+
+    import numpy as np
+
+    from tessella.llm.anchors import picks, prefix_sums, substring_hashes
+    from tessella.llm.substring_dedup import merged
+
+    rng = random.Random(3)
+    texts = [[(a, a + rng.randint(1, 6)) for a in (rng.randint(0, 40) for _ in range(rng.randint(0, 9)))] for _ in range(200)]
+    flat = [p for t in texts for p in t]
+    low, upto, at = merged(np.array([len(t) for t in texts]), np.array([a for a, _ in flat]), np.array([b for _, b in flat]))
+    for k, spans in enumerate(texts):
+        runs = []
+        for a, b in sorted(spans):
+            if runs and a <= runs[-1][1]:
+                runs[-1][1] = max(runs[-1][1], b)
+            else:
+                runs.append([a, b])
+        assert runs == [[int(a), int(b)] for a, b in zip(low[at[k] : at[k + 1]], upto[at[k] : at[k + 1]], strict=True)]
+    none = np.zeros(0, np.int64)
+    assert merged(np.zeros(3, np.int64), none, none)[2].tolist() == [0, 0, 0, 0]
+    raw = np.frombuffer(rng.randbytes(500), dtype=np.uint8)
+    sums = prefix_sums(raw)
+    place, hashes, _, _ = picks(sums, len(raw), 200, 64)
+    assert (hashes == substring_hashes(sums, place, place + 64)).all()
