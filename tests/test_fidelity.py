@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import tessella.plans as plans
+from tessella.functions import text as T
 from tessella.functions.tokens import tokens_absent
 from tessella.operators import quality as Q
 
@@ -20,6 +21,17 @@ def test_tokens_absent_against_search(spark):
     assert got == {k: [i for i, x in enumerate(line.split(" ") if line else []) if x not in (t or "")] for k, t, line in rows}
 
 
+def test_term_norms_against_ranges(spark):
+    """The words of a text are runs of A-Z, a-z, 0-9, _ and À-ÿ, and in their normal forms only a-z and 0-9 stay."""
+    rng = random.Random(6)
+    chars = [*"abYZ09_ _\n\r\t[]ßłéÉÿŸ×ÀñΣ–😀", "[FIGURA: x]", "[pagina 3]", "[TEXTO_ILEGIBLE]"]
+    texts = ["".join(rng.choices(chars, k=rng.randint(0, 40))) for _ in range(300)]
+    d = spark.createDataFrame([(k, x) for k, x in enumerate(texts)], "k int, x string")
+    ranges = F.split(F.regexp_replace(F.regexp_replace("x", T.STRUCTURE_MARKER, " "), "[^A-Za-z0-9_À-ÿ]+", "\n"), "\n")
+    slow = F.transform(ranges, lambda t: T.normalize_for_matching(t))
+    assert d.filter(T.term_norms(F.col("x")) != slow).count() == 0
+
+
 def test_groups_against_single_pairs(spark):
     """Parts of any size give what single pairs give; terms count once, with the letters inside them that have no plain form."""
     rng = random.Random(3)
